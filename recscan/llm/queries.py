@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscan.llm import chat_format, exact_dedup, html_extract, mixing, pii, simhash, toxicity, warc
+from recscan.llm import chat_format, exact_dedup, html_extract, language_id, mixing, pii, simhash, toxicity, warc
 from recscan.llm.shared import scratch_path, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = language_id.identify(docs, language_id.train(docs.select("doc_id", "text", "lang")))
+    return named.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as archives, reads them back, and takes everything from the captures."""
     path = scratch_path(spark, "warc")
@@ -80,7 +86,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_pii, op4_html, op5_simhash, op6_mixing, op7_toxicity, op8_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_pii, op4_html, op5_simhash, op6_mixing, op7_toxicity, op8_exact_dedup, op10_chat_format)}
 
 ORACLE_SQL = {
     "op2_warc": """
