@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscan.llm import chat_format, exact_dedup, html_extract, language_id, mixing, pii, simhash, toxicity, warc
+from recscan.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, mixing, pii, simhash, toxicity, warc
 from recscan.llm.shared import scratch_path, table
 
 
@@ -60,6 +60,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
+
+
 #: A conversation that holds another template's marks and this one's escape character.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -86,7 +90,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_pii, op4_html, op5_simhash, op6_mixing, op7_toxicity, op8_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_pii, op4_html, op5_simhash, op6_mixing, op7_toxicity, op8_exact_dedup, op9_decontaminate, op10_chat_format)}
 
 ORACLE_SQL = {
     "op2_warc": """
