@@ -27,6 +27,8 @@ MAX_TRAIN = 20_000
 MAX_PATTERNS, LEAST_G2, LEAST_SHARE = 4_000, 20.0, 0.5
 #: Lengths of the word beginnings that are patterns, besides whole words.
 STEMS = (4, 5, 6, 7, 8)
+#: A beginning is a pattern if at least so many words with it, and this share of them, are mostly toxic.
+STEM_WORDS, STEM_SHARE = 3, 0.8
 THRESHOLD = 0.3
 
 # Closed word classes of the grammar, in English, German, French and Spanish.
@@ -96,6 +98,10 @@ class Lexicon:
     def weight(self, word: str) -> float:
         return max(self.words.get(word, 0.0), max((self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n), default=0.0))
 
+    def matches(self, word: str) -> list[str]:
+        stems = [f"{word[:n]}*" for n in STEMS if len(word) > n and word[:n] in self.stems] if word[: STEMS[0]] in self.heads else []
+        return [word, *stems] if word in self.words else stems
+
     def features(self, text: str | None) -> np.ndarray:
         """The features of a whole text; a text without any hit costs only its set of words."""
         out = np.zeros(FEATURES)
@@ -137,14 +143,62 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_train)
     # max_train bounds what is broadcast: two numbers a row
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    # copies of a text are one row: they would pass off its words as signs
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic")
+
+
+def _stems(n: int) -> Column:
+    """The beginnings of n letters of longer words."""
+    return F.transform(F.filter("w", lambda x: F.length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
+
+
+def _evidence(counted: DataFrame, base: float) -> DataFrame:
+    """(pattern, g2, odds) of what is seen k of n times on the toxic side, where base is expected."""
+    n, k = F.col("n"), F.col("k")
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    g2 = 2 * (part(k, n * base) + part(n - k, n * (1 - base)))
+    odds = F.log((k + 0.5) / (n - k + 0.5)) - float(np.log(base / (1 - base)))
+    found = counted.filter(k / n >= max(LEAST_SHARE, base)).select("pattern", g2.alias("g2"), odds.alias("odds"))
+    return found.filter((F.col("g2") >= LEAST_G2) & (F.col("odds") > 0))
+
+
+def _contexts(rows: DataFrame, patterns: list[str]) -> DataFrame:
+    """(pattern, n, k): in how many different pairs of neighbours a pattern stands, and how many are toxic.
+
+    Copies of a text repeat its contexts, so that words which only copies spread don't count. A
+    word beginning stays only if several words with it, and nearly all of them, are mostly toxic.
+    """
+    lexicon = Lexicon(dict.fromkeys(patterns, 1.0))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {"pattern": [], "word": [], "around": [], "toxic": []}
+            for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
+                words = ["", *_WORD.findall((text or "").lower()), ""]
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    for pattern in lexicon.matches(word):
+                        for column, value in zip(out.values(), (pattern, word, f"{before} {after}", toxic), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([*((c, pa.string()) for c in ("pattern", "word", "around")), ("toxic", pa.int32())]))
+
+    seen = rows.select("text", F.col("toxic").cast("int")).mapInArrow(scan, "pattern string, word string, around string, toxic int")
+    once = seen.groupBy("pattern", "word", "around").agg(F.min("toxic").alias("toxic"))
+    by_word = once.groupBy("pattern", "word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    bad = F.count(F.when(F.col("k") >= F.col("n") / 2, 1)).alias("bad")
+    counted = by_word.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("words"), bad)
+    return counted.filter(~F.endswith("pattern", F.lit("*")) | ((F.col("bad") >= STEM_WORDS) & (F.col("bad") >= STEM_SHARE * F.col("words"))))
 
 
 def learn_patterns(rows: DataFrame) -> dict[str, float]:
-    """Words and word beginnings that mark toxic rows, with capped log-odds as weights."""
+    """Words and word beginnings that mark toxic rows, with capped log-odds as weights.
+
+    Candidates are found by the rows they stand in, then tested by the contexts they stand in.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)))
-    stems = [F.transform(F.filter("w", lambda x, n=n: F.length(x) > n), lambda x, n=n: F.concat(F.substring(x, 1, n), F.lit("*"))) for n in STEMS]
-    patterns = F.array_distinct(F.concat("w", *stems))
+    patterns = F.array_distinct(F.concat("w", *map(_stems, STEMS)))
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return {}
@@ -152,28 +206,32 @@ def learn_patterns(rows: DataFrame) -> dict[str, float]:
         rows.filter("text is not null").select("toxic", words.alias("w")).select("toxic", F.explode(patterns).alias("pattern"))
         .groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
     )
-    base, n, k = toxic / total, F.col("n"), F.col("k")
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    g2 = 2 * (part(k, n * base) + part(n - k, n * (1 - base)))
-    odds = F.log((k + 0.5) / (n - k + 0.5)) - float(np.log(base / (1 - base)))
-    best = counted.filter(k / n >= max(LEAST_SHARE, base)).select("pattern", g2.alias("g2"), odds.alias("odds")).filter(F.col("g2") >= LEAST_G2)
-    found = best.orderBy(F.desc("g2"), "pattern").limit(MAX_PATTERNS).collect()
-    return {r["pattern"]: min(1.0, r["odds"] / 4) for r in found if r["odds"] > 0}
+    base = toxic / total
+    best = _evidence(counted, base).orderBy(F.desc("g2"), "pattern").limit(MAX_PATTERNS).collect()
+    kept = _evidence(_contexts(rows, [r["pattern"] for r in best]), base).collect()
+    return {r["pattern"]: min(1.0, r["odds"] / 4) for r in sorted(kept, key=lambda r: (-r["g2"], r["pattern"]))}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton's method, pulled towards ``prior`` where data are few."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     centre, pull = np.append(prior, -3.0), np.append(np.full(len(prior), ridge), 0.01)
+
+    def loss(w: np.ndarray) -> float:
+        z = x1 @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (pull * (w - centre) ** 2).sum() / 2)
+
     w = centre.copy()
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(pull), x1.T @ (y - p) - pull * (w - centre))
-        w += step
-        if np.abs(step).max() < 1e-8:
+        slope = x1.T @ (y - p) - pull * (w - centre)
+        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(pull), slope)
+        # classes that part well make full steps overshoot: halve until the loss falls enough
+        before, t = loss(w), 1.0
+        while loss(w + t * step) > before - 1e-4 * t * float(slope @ step) and t > 1e-10:
+            t /= 2
+        w = w + t * step
+        if np.abs(t * step).max() < 1e-8:
             break
     return w[:-1], float(w[-1])
 
