@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import materialize
+from recscan.llm.shared import materialize, numbered
 
 #: Deleted before texts are compared.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -98,5 +98,5 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, all their columns unchanged; see :func:`exact_groups`."""
     stay = exact_groups(docs, text_col, id_col).filter("kept").select(F.col("_row").alias("_stay_row"))
-    numbered = docs.select(F.monotonically_increasing_id().alias("_stay_row"), F.struct("*").alias("_all"))
-    return numbered.join(stay, "_stay_row", "left_semi").select("_all.*")
+    all_rows = numbered(docs, "_stay_row")
+    return all_rows.join(stay, "_stay_row", "left_semi").select("_all.*")

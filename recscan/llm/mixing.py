@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import materialize
+from recscan.llm.shared import materialize, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of their code points, repeated.
@@ -161,6 +161,6 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: the taken rows of ``docs``, all columns, once per copy, with ``copy`` (0, 1)."""
     taken = mix(docs).filter("copies > 0").select(F.col("_row").alias("_mix_row"), "copies")
-    numbered = docs.select(F.monotonically_increasing_id().alias("_mix_row"), F.struct("*").alias("_all"))
+    all_rows = numbered(docs, "_mix_row")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("_copy")
-    return numbered.join(taken, "_mix_row").select("_all", copy).select("_all.*", F.col("_copy").alias("copy"))
+    return all_rows.join(taken, "_mix_row").select("_all", copy).select("_all.*", F.col("_copy").alias("copy"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where the shared folder is when a local session names none; local masters only.
 LOCAL_SCRATCH = "file:///tmp/checkpoints/recscan"
@@ -48,6 +49,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as two columns: the row's number, called ``name``, and all its columns as _all.
+
+    Numbers are made of partition and place, so they come out alike again only where ``docs`` is
+    read alike again, as files are. Write a DataFrame that is computed anew each time first.
+    """
+    return docs.select(F.monotonically_increasing_id().alias(name), F.struct("*").alias("_all"))
+
+
 def drop_scratch(spark: SparkSession, df_path: str) -> None:
     """Delete a scratch folder that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df_path)

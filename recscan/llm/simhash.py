@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recscan.llm.components import connected_components
-from recscan.llm.shared import materialize, small_batches
+from recscan.llm.shared import materialize, numbered, small_batches
 
 SEED = 42
 #: Node pairs that a task holds at once, and shingles that it hashes at once.
@@ -254,8 +254,8 @@ def trie_links(fps: DataFrame, part_bits: int = 64, budget: int = 3, within: int
         for first in range(0, int(which[-1]) + 1, 1 << width):
             lo, hi = np.searchsorted(which, (first, first + (1 << width)))
             tail = key[lo:hi] & np.uint64((1 << (part_bits - width)) - 1)
-            numbered = ((which[lo:hi] - first).astype(np.uint64) << np.uint64(part_bits - width)) | tail
-            leaves, at, count = np.unique(numbered, return_index=True, return_counts=True)
+            placed = ((which[lo:hi] - first).astype(np.uint64) << np.uint64(part_bits - width)) | tail
+            leaves, at, count = np.unique(placed, return_index=True, return_counts=True)
             forest = Forest(hi - lo)
             for i, j in walk_trie(leaves, part_bits, width, budget):
                 for a, b in _rows_of(i, j, at, count):
@@ -346,10 +346,10 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Of each group of linked rows the one with the smallest id (null last, then the first row of
     the input) stays; rows in no link stay. Null and empty texts are never near duplicates.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_all"))
-    rows = numbered.select("_row", F.col(f"_all.{id_col}").alias("id"), F.col(f"_all.{text_col}").alias(text_col))
+    all_rows = numbered(docs, "_row")
+    rows = all_rows.select("_row", F.col(f"_all.{id_col}").alias("id"), F.col(f"_all.{text_col}").alias(text_col))
     found = connected_components(materialize(near_links(rows.select("_row", text_col), text_col, k, similar), "links"))
     known = materialize(found.join(rows.select("_row", "id"), found["node"] == F.col("_row")).select("_row", "id", "component"), "members")
     best = known.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "_row")).alias("best"))
     out = known.join(best, "component").filter(F.col("_row") != F.col("best._row")).select("_row")
-    return numbered.join(out, "_row", "left_anti").select("_all.*")
+    return all_rows.join(out, "_row", "left_anti").select("_all.*")
