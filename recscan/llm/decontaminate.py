@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import materialize
+from recscan.llm.shared import materialize, numbered
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the least similarity differs in 9.7 of 64 bits on average.
 RADIUS, BLOCKS = 15, 4
 _WIDTH = 64 // BLOCKS
+#: Row numbers of documents to hash again are broadcast up to so many (some 30 MB), else joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: One bit of each 16-bit lane: four counters add up in one long.
 _LANES = 0x0001000100010001
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -55,8 +57,8 @@ def simhash(hashes: Column) -> Column:
             acc = acc.bitwiseOR(F.when(2 * count > F.size(hashes), one).otherwise(F.lit(0).cast("long")))
         return acc
 
-    numbered = F.arrays_zip(lanes.alias("lane"), F.sequence(F.lit(0), F.lit(15)).alias("j"))
-    return F.aggregate(numbered, F.lit(0).cast("long"), lambda acc, x: bits(acc, x["lane"], x["j"]))
+    lane_at = F.arrays_zip(lanes.alias("lane"), F.sequence(F.lit(0), F.lit(15)).alias("j"))
+    return F.aggregate(lane_at, F.lit(0).cast("long"), lambda acc, x: bits(acc, x["lane"], x["j"]))
 
 
 def blocks(fp: Column) -> Column:
@@ -87,7 +89,7 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similar: float, radius:
 
     ``docs``: _row, text; ``items``: item_id, w (word hashes).
     """
-    items = items.select("item_id", shingles(F.col("w"), k).alias("item")).withColumn("n", F.size("item"))
+    items = items.select(F.monotonically_increasing_id().alias("_item"), "item_id", shingles(F.col("w"), k).alias("item")).withColumn("n", F.size("item"))
     items = materialize(items.withColumn("item_fp", simhash(F.col("item"))), "items")
 
     # the smallest hashes of an item; a doc shorter than the item has to share as much of it
@@ -103,22 +105,27 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similar: float, radius:
     starts = F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("n") + 1), F.greatest(F.lit(0), F.least("p", F.col("all") - F.col("n"))))
     spans = materialize(hits.select("_row", "n", F.explode(starts).alias("s")).distinct(), "spans")
 
-    rows = spans.select("_row").distinct()
-    again = docs.join(rows, "_row", "left_semi").select("_row", word_hashes(F.col("text")).alias("w")).select("_row", shingles(F.col("w"), k).alias("sh"))
-    windows = spans.join(again, "_row").select("_row", "n", "s", F.slice("sh", F.col("s") + 1, F.col("n")).alias("window"))
-    windows = windows.withColumn("fp", simhash(F.col("window")))
+    # documents with spans are hashed once more; all others stay unread
+    rows = materialize(spans.select("_row").distinct(), "rows")
+    few = rows.count() <= BROADCAST_ROWS
+    again = docs.join(F.broadcast(rows) if few else rows, "_row", "left_semi").select("_row", word_hashes(F.col("text")).alias("w"))
+    held = materialize(again.select("_row", shingles(F.col("w"), k).alias("sh")), "held")
+    window = F.slice("sh", F.col("s") + 1, F.col("n")).alias("window")
+    windows = spans.join(held, "_row").select("_row", "n", "s", window).select("_row", "n", "s", simhash(F.col("window")).alias("fp"))
 
     masks = F.explode(F.lit(near_values(radius)).cast("array<bigint>")).alias("mask")
-    index = items.select("*", F.explode(blocks(F.col("item_fp"))).alias("b")).select("*", masks)
-    index = index.select("item_id", "n", "item", "item_fp", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"))
-    probes = windows.select("*", F.explode(blocks(F.col("fp"))).alias("b")).select("*", "b.block", "b.value").drop("b")
-    near = probes.join(index, ["n", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    # a pair is found once for each block that agrees: the lowest such block is kept
+    index = items.select("_item", "n", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("b")).select("*", masks)
+    # written, so that Spark knows its size when it plans the join
+    index = materialize(index.select("_item", "n", "item_fp", "b.block", F.col("b.value").bitwiseXOR(F.col("mask")).alias("value")), "index")
+    probes = windows.select("*", F.explode(blocks(F.col("fp"))).alias("b")).select("_row", "n", "s", "fp", "b.block", "b.value")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    near = probes.join(index, ["n", "block", "value"]).filter(F.bit_count(apart) <= radius)
+    # a pair is found once for each block that agrees: the lowest such block is kept
     agrees = [F.bit_count(F.shiftrightunsigned(apart, _WIDTH * b).bitwiseAND(F.lit((1 << _WIDTH) - 1))) <= radius // BLOCKS for b in range(BLOCKS)]
-    lowest = F.coalesce(*(F.when(x, b) for b, x in enumerate(agrees)))
-    once = near.filter(F.col("block") == lowest)
-    return once.select("_row", "item_id", similarity(F.col("window"), F.col("item")).alias("similarity")).filter(F.col("similarity") >= similar)
+    once = near.filter(F.col("block") == F.coalesce(*(F.when(x, b) for b, x in enumerate(agrees))))
+    pairs = materialize(once.select("_row", "n", "s", "_item"), "pairs")
+    both = pairs.join(held, "_row").select("_row", "_item", window).join(items.select("_item", "item_id", "item"), "_item")
+    return both.select("_row", "item_id", similarity(F.col("window"), F.col("item")).alias("similarity")).filter(F.col("similarity") >= similar)
 
 
 def contamination(
@@ -135,23 +142,23 @@ def contamination(
 
     Texts stay where they are: only hashes that are an anchor of some item leave the scan.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("w")).filter(F.size("w") > 0).dropDuplicates()
     size = F.least(F.size("w"), F.lit(words))
     found = None
     # at most ``words`` values, one pass each; ordinarily one
     for k in sorted(r[0] for r in items.select(size).distinct().collect()):
-        part = _matches(numbered.select("_row", "text"), items.filter(size == k), k, similar, radius)
+        part = _matches(rows.select("_row", "text"), items.filter(size == k), k, similar, radius)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return numbered.select(
+        return rows.select(
             "_row", F.col("_id").alias(id_col), F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_items"),
             F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("double").alias("similarity"),
         )
     pairs = found.groupBy("_row", "item_id").agg(F.max("similarity").alias("similarity"))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("item_id").alias("i"))).alias("best")
     verdict = materialize(pairs.groupBy("_row").agg(F.count(F.lit(1)).alias("n_items"), best), "leaks")
-    return numbered.drop("text").join(verdict, "_row", "left").select(
+    return rows.drop("text").join(verdict, "_row", "left").select(
         "_row", F.col("_id").alias(id_col), F.col("best").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.col("best.i").alias("item_id"), (-F.col("best.s")).alias("similarity"),
     )
@@ -160,5 +167,5 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns unchanged."""
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("_row").alias("_bad_row"))
-    numbered = docs.select(F.monotonically_increasing_id().alias("_bad_row"), F.struct("*").alias("_all"))
-    return numbered.join(bad, "_bad_row", "left_anti").select("_all.*")
+    all_rows = numbered(docs, "_bad_row")
+    return all_rows.join(bad, "_bad_row", "left_anti").select("_all.*")
