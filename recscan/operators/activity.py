@@ -89,48 +89,53 @@ def station_profile(frames: DataFrame, by: str = "profile_key", share: float = C
     return totals.join(pooled("rgb_size", "rgb"), by).join(pooled("depth_size", "depth"), by)
 
 
-def baselines(frames: DataFrame, config: ScanConfig = CONFIG, profile: DataFrame | None = None) -> DataFrame:
-    """One row per recording: rgb_median, rgb_threshold, onset, offset, has_depth, n.
+# ---- masks --------------------------------------------------------------------------------
 
-    With ``profile`` (source_key and the columns of station_profile) its medians and MADs hold.
-    """
-    own = frames.groupBy("source_key").agg(
-        F.count(F.lit(1)).alias("n"), (F.avg(F.when(~keyframe(), F.col("depth_size"))) > 1.0).alias("has_depth")
-    )
-    if profile is None:
-        rgb = idle_baseline(frames, "rgb_size", k=config.rgb_k).select("source_key", F.col("median").alias("rgb_median"), F.col("mad").alias("rgb_mad"))
-        depth = idle_baseline(frames, "depth_size").select("source_key", F.col("median").alias("depth_median"), F.col("mad").alias("depth_mad"))
-        own = own.join(rgb, "source_key", "left").join(depth, "source_key", "left").na.fill(0.0, ["rgb_median", "rgb_mad", "depth_median", "depth_mad"])
-    else:
-        own = own.join(profile.select("source_key", "rgb_median", "rgb_mad", "depth_median", "depth_mad"), "source_key")
-    sigma = F.col("depth_mad") * config.mad_scale
-    return own.select(
-        "source_key", "n", F.coalesce("has_depth", F.lit(False)).alias("has_depth"), "rgb_median", "rgb_mad", "depth_median", "depth_mad",
-        (F.col("rgb_median") + config.rgb_k * F.col("rgb_mad")).alias("rgb_threshold"),
-        (F.col("depth_median") + config.depth_onset_k * sigma).alias("onset"), (F.col("depth_median") + config.depth_offset_k * sigma).alias("offset"),
-    )
 
+def _own_baseline(frames: DataFrame, name: str, share: float) -> DataFrame:
+    """frames with {name}_median and {name}_mad of their recording's lowest inter-frame sizes.
 
-# ---- masks --------------------------------------------------------------------------------
+    Windows of one partitioning instead of an aggregate and a join: frames are shuffled once.
+    """
+    w, size = Window.partitionBy("source_key"), F.col(f"{name}_size").cast("double")
+    inter = F.count(F.when(~F.col("kf"), 1)).over(w)
+    low = ~F.col("kf") & (F.row_number().over(w.orderBy("kf", f"{name}_size")) <= F.greatest(F.lit(1), F.ceil(inter * share)))
+    marked = frames.withColumn("_low", F.when(low, size))
+    median = marked.withColumn(f"{name}_median", F.percentile("_low", F.lit(0.5)).over(w))
+    return median.withColumn(f"{name}_mad", F.percentile(F.abs(F.col("_low") - F.col(f"{name}_median")), F.lit(0.5)).over(w)).drop("_low")
 
 
 def activity_masks(frames: DataFrame, config: ScanConfig = CONFIG, profile: DataFrame | None = None) -> DataFrame:
-    """Frames with kf, rgb_active and depth_active.
+    """Frames with kf, n (frames of the recording), has_depth, baselines, rgb_active and depth_active.
 
+    With ``profile`` (source_key and the columns of station_profile) its medians and MADs hold.
     The depth mask is a hysteresis: on above onset, off below offset, else as before; keyframes
     hold. As onset is never below offset, it is the last decisive frame's signal.
     """
-    base = baselines(frames, config, profile)
-    w = Window.partitionBy("source_key").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    joined = frames.withColumn("kf", keyframe(every=config.keyframe_every)).join(base, "source_key")
-    signal = F.when(F.col("kf"), None).when(F.col("depth_size") > F.col("onset"), 1).when(F.col("depth_size") < F.col("offset"), 0)
-    return joined.withColumn("rgb_active", ~F.col("kf") & (F.col("rgb_size") > F.col("rgb_threshold"))).withColumn(
-        "depth_active", F.col("has_depth") & (F.coalesce(F.last(signal, ignorenulls=True).over(w), F.lit(0)) == 1)
-    )
+    w = Window.partitionBy("source_key")
+    kf = keyframe(every=config.keyframe_every)
+    marked = frames.withColumns({"kf": kf, "n": F.count(F.lit(1)).over(w), "has_depth": F.coalesce(F.avg(F.when(~kf, F.col("depth_size"))).over(w) > 1.0, F.lit(False))})
+    if profile is None:
+        for name in ("rgb", "depth"):
+            marked = _own_baseline(marked, name, config.idle_share)
+        marked = marked.na.fill(0.0, ["rgb_median", "rgb_mad", "depth_median", "depth_mad"])
+    else:
+        marked = marked.join(profile.select("source_key", "rgb_median", "rgb_mad", "depth_median", "depth_mad"), "source_key")
+    sigma = F.col("depth_mad") * config.mad_scale
+    onset, offset = F.col("depth_median") + config.depth_onset_k * sigma, F.col("depth_median") + config.depth_offset_k * sigma
+    signal = F.when(F.col("kf"), None).when(F.col("depth_size") > onset, 1).when(F.col("depth_size") < offset, 0)
+    upto = w.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumns({
+        "rgb_active": ~F.col("kf") & (F.col("rgb_size") > F.col("rgb_median") + config.rgb_k * F.col("rgb_mad")),
+        "depth_active": F.col("has_depth") & (F.coalesce(F.last(signal, ignorenulls=True).over(upto), F.lit(0)) == 1),
+    })
 
 
 def window_stats(masked: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
-    """One row per recording and sliding window, short ones at the end too."""
+    """One row per recording and sliding window, short ones at the end too.
+
+    ``marks`` holds the window's frames, for :func:`fused_mask`; drop it to keep the statistics.
+    """
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("idx") - config.window) / config.stride) + 1)
     placed = masked.select(
         "source_key", "idx", "n", "kf", "rgb_size", "depth_size", "rgb_active", "depth_active", "rgb_median", "has_depth",
@@ -144,7 +149,7 @@ def window_stats(masked: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
         F.max(F.when(p, F.col("rgb_size"))).alias("max_size"),
         F.sort_array(F.collect_list(F.when(p, F.col("rgb_size")))).alias("sizes"),
         # at most a window's frames
-        F.sort_array(F.collect_list(F.struct("idx", "kf", "rgb_active", "depth_active"))).alias("marks"),
+        F.sort_array(F.collect_list(F.struct("idx", "kf", "rgb_active", "depth_active", "rgb_size", "depth_size"))).alias("marks"),
         *_sums("rgb_size", "depth_size"),
     )
     corr = F.when(F.col("has_depth") & (F.col("p") >= 10), safe_corr(*map(F.col, ("_n", "_sx", "_sy", "_sxx", "_syy", "_sxy")))).otherwise(0.0)
@@ -171,17 +176,20 @@ def window_stats(masked: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
         F.aggregate("marks", zero, step, lambda acc: acc["bursts"]).cast("long").alias("burst_count"),
         F.when(F.col("has_depth") & (F.col("_n") > 0) & (F.col("_sy") > 0), F.sqrt(var_d) / mean_d).otherwise(0.0).alias("depth_cv"),
         _ratio(F.col("depth_p"), F.col("p")).alias("depth_fraction"), _ratio(F.col("rgb_p"), F.col("p")).alias("rgb_fraction"),
-        F.col("corr").alias("correlation"), F.col("ego").alias("is_ego"),
+        F.col("corr").alias("correlation"), F.col("ego").alias("is_ego"), "n", "marks",
     )
 
 
-def fused_mask(masked: DataFrame, windows: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
-    """Frames with active: depth, or rgb outside camera motion, by the one window a frame looks up."""
+def fused_mask(windows: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
+    """Frames with active: depth, or rgb outside camera motion, by the one window a frame looks up.
+
+    That window always holds the frame, so frames come out of their windows without a join.
+    """
     last = F.floor((F.col("n") - 1) / config.stride)
-    looked = F.least(F.floor(F.greatest(F.col("idx") - config.window // 2, F.lit(0)) / config.stride), last)
-    ego = windows.select("source_key", "window_idx", "is_ego")
-    joined = masked.withColumn("window_idx", looked).join(ego, ["source_key", "window_idx"], "left").drop("window_idx")
-    return joined.withColumn("active", F.col("depth_active") | (F.col("rgb_active") & ~F.coalesce("is_ego", F.lit(False)))).drop("is_ego")
+    looked = lambda m: F.least(F.floor(F.greatest(m["idx"] - config.window // 2, F.lit(0)) / config.stride), last)
+    own = F.explode(F.filter("marks", lambda m: looked(m) == F.col("window_idx"))).alias("m")
+    rows = windows.select("source_key", "n", "is_ego", own).select("source_key", "n", "is_ego", "m.*")
+    return rows.withColumn("active", F.col("depth_active") | (F.col("rgb_active") & ~F.col("is_ego"))).drop("is_ego")
 
 
 def runs(df: DataFrame, flag: str, by: str = "source_key", order: str = "idx") -> DataFrame:
@@ -208,21 +216,25 @@ def episode_features(fused: DataFrame, windows: DataFrame, config: ScanConfig =
     third = F.col("idx") >= F.floor(F.col("n") * 2 / 3)
     share = lambda hit, of: F.coalesce(F.count(F.when(hit, 1)) / F.nullif(F.count(F.when(of, 1)), F.lit(0)), F.lit(0.0))
     mean, sd = F.avg(F.when(p, F.col("depth_size"))), F.stddev_samp(F.when(p, F.col("depth_size")))
-    per_frame = fused.groupBy("source_key").agg(
-        F.count(F.lit(1)).alias("total_frames"), F.count(F.when(p, 1)).alias("p"),
+    w = Window.partitionBy("source_key")
+    in_order = w.orderBy("idx")
+    begin = F.col("active") & ~F.coalesce(F.lag("active").over(in_order), F.lit(False))
+    placed = fused.withColumns({"_begin": F.when(begin, F.col("idx")), "_rank": F.row_number().over(w.orderBy("kf", "rgb_size")) - 1, "_p": F.count(F.when(p, 1)).over(w)})
+    since = F.col("idx") - F.max("_begin").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + 1
+    at95 = (F.col("_p").cast("float") * F.lit(0.95).cast("float")).cast("long")
+    per_frame = placed.withColumn("_since", since).groupBy("source_key").agg(
+        F.count(F.lit(1)).alias("total_frames"), F.max("_p").alias("_p"),
         share(p & F.col("active"), p).alias("active_fraction"),
         share(p & F.col("depth_active"), p).alias("depth_active_fraction"),
         share(p & third & F.col("active"), p & third).alias("final_third"),
         F.coalesce(F.when(mean > 0, sd / mean), F.lit(0.0)).alias("depth_cv"),
+        # a run is a burst once it is long enough
+        F.count(F.when(F.col("active") & (F.col("_since") == config.burst_min), 1)).alias("burst_count"),
+        F.max(F.when(p & (F.col("_rank") == F.floor(F.col("_p") / 2)), F.col("rgb_size"))).alias("_p50"),
+        F.max(F.when(p & (F.col("_rank") == at95), F.col("rgb_size"))).alias("_p95"),
     )
-    w = Window.partitionBy("source_key")
-    ranked = fused.filter(p).select("source_key", "rgb_size", (F.row_number().over(w.orderBy("rgb_size")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("m"))
-    at95 = (F.col("m").cast("float") * F.lit(0.95).cast("float")).cast("long")
-    picked = ranked.groupBy("source_key").agg(
-        F.max(F.when(F.col("r") == F.floor(F.col("m") / 2), F.col("rgb_size"))).alias("p50"),
-        F.max(F.when(F.col("r") == at95, F.col("rgb_size"))).alias("p95"), F.max("m").alias("m"),
-    )
-    ratio = picked.select("source_key", F.when(F.col("m") >= 2, _ratio(F.col("p95"), F.col("p50"), 1.0)).otherwise(1.0).alias("p95_p50"))
+    ratio = F.when(F.col("_p") >= 2, _ratio(F.col("_p95"), F.col("_p50"), 1.0)).otherwise(1.0)
+    per_frame = per_frame.withColumn("p95_p50", ratio)
     hit = F.col("active_fraction") > config.active_window
     per_window = windows.groupBy("source_key").agg(
         F.count(F.lit(1)).alias("n_windows"), F.min(F.when(hit, F.col("window_idx"))).alias("first_active_window"), F.max(F.when(hit, F.col("window_idx"))).alias("last_active_window"),
@@ -230,7 +242,7 @@ def episode_features(fused: DataFrame, windows: DataFrame, config: ScanConfig =
         F.greatest(F.max("depth_cv"), F.lit(0.0)).alias("window_depth_cv_max"), share(F.col("is_ego"), F.lit(True)).alias("ego_window_fraction"),
         F.min_by(F.struct("start_frame", "end_frame", "active_fraction"), F.when(F.col("active_fraction") > 0.5, F.col("window_idx"))).alias("sustained"),
     )
-    joined = per_frame.join(count_bursts(fused, "active", min_len=config.burst_min), "source_key").join(ratio, "source_key", "left").join(per_window, "source_key")
+    joined = per_frame.join(per_window, "source_key")
     return joined.select(
         "source_key", "total_frames", "active_fraction", "burst_count", F.coalesce("p95_p50", F.lit(1.0)).alias("p95_p50"),
         "first_active_window", "last_active_window",
@@ -300,10 +312,9 @@ def analyze(features: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def scan(frames: DataFrame, config: ScanConfig = CONFIG, profile: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(fused frames, windows): masks, windows and their fusion in one lazy plan."""
-    masked = activity_masks(frames.repartition("source_key"), config, profile)
-    windows = window_stats(masked, config)
-    return fused_mask(masked, windows, config), windows
+    """(fused frames, windows): masks, windows and their fusion in one lazy plan, with one shuffle."""
+    windows = window_stats(activity_masks(frames, config, profile), config)
+    return fused_mask(windows, config), windows.drop("n", "marks")
 
 
 def segments(fused: DataFrame, min_gap: int = 300, min_duration: int = 60, pad: int = 30, grid: int = 30) -> DataFrame:
