@@ -24,6 +24,8 @@ from recscan.llm.shared import small_batches
 
 #: About so many rows of each language, taken by hashed id, are learned from; MAX_TRAIN in all.
 PER_LANGUAGE, MAX_TRAIN = 1_500, 30_000
+#: So many of the most frequent languages are learned at most.
+MAX_LANGUAGES = 500
 #: Hashed features for n-grams of 1, 2 and 3 characters.
 BITS, GRAMS = 13, 3
 UNDETERMINED = "und"
@@ -95,11 +97,18 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_train:
 
     Each language gives the rows whose hashed id falls below its share, about ``per_language``
     of them, so that frequent languages don't crowd out others; ``max_train`` bounds the whole.
+    Ids are drawn first, so that no text moves but those drawn.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = known.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share"))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # one number for each of the most frequent languages
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return known.select("text", "lang").limit(0)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return known.join(share, "lang").filter(chance < F.col("share")).select("text", "lang").limit(max_train)
+    ids = known.filter(chance < share[F.col("lang")]).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).distinct()
+    # max_train bounds what is broadcast: a number a row
+    return known.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
 
 
 def _duel(rows: DataFrame, first: str, second: str) -> Duel:
