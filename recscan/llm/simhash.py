@@ -5,7 +5,9 @@ leaves of a binary trie; pairs of nodes are walked down together, differing bits
 pair that exceeds the budget is dropped with everything below it. Since a budget of k errors
 leaves one of k + 1 blocks of bits untouched, the trie is built once for each block, with that
 block first and equal: so the walk starts from nodes that a block's value names, and Spark deals
-those out to tasks. What a task finds it returns as a spanning forest, never as all pairs.
+those out to tasks. What a task finds it returns as a spanning forest, never as all pairs. Where
+pairs must still be verified, a forest of them is only the first pass: a second one verifies every
+pair that joins two components within the tasks, and returns a forest of what it accepts.
 """
 
 from __future__ import annotations
@@ -76,16 +78,24 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > len(h), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, text_col: str, cols: list[str], k: int, words: int = 1) -> DataFrame:
-    """``cols`` of ``docs`` and fp, the fingerprint in big-endian bytes. No word: all bits zero."""
+def fingerprints(docs: DataFrame, text_col: str, cols: list[str], k: int, words: int = 1, digests: bool = False) -> DataFrame:
+    """``cols`` of ``docs`` and fp, the fingerprint in big-endian bytes. No word: all bits zero.
+
+    ``digests`` adds digest, 128 bits that are equal where the sets of shingles are.
+    """
     small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(shingle_hashes(t, k), words).astype(">u8").tobytes() for t in b["_text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in cols), pa.array(fp, pa.binary())], [*cols, "fp"])
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols), "fp binary"])
+            hashes = [shingle_hashes(t, k) for t in b["_text"].to_pylist()]
+            fp = [fingerprint(h, words).astype(">u8").tobytes() for h in hashes]
+            made = [pa.array(fp, pa.binary())]
+            if digests:
+                made.append(pa.array([xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in cols), *made], [*cols, *names])
+
+    names = ["fp", "digest"][: 1 + digests]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols), *(f"{c} binary" for c in names)])
     return docs.select(*cols, F.col(text_col).alias("_text")).mapInArrow(scan, schema)
 
 
@@ -212,60 +222,80 @@ def trie_links(fps: DataFrame, part_bits: int = 64, budget: int = 3, within: int
     Each fingerprint goes to budget + 1 tries per part. A block value that more than ``hot``
     fingerprints share is cut into slots, and pairs of slots are walked by different tasks.
     """
+    check = F.substring("fp", 1, CHECK_BITS // 8)
+    dealt_out = _deal(fps.select("id", "fp", check.alias("check")), part_bits, budget, hot, ["check"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, which = _gathered(batches)
+        if rows is None:
+            return
+        ids, key = rows["id"].to_numpy(), rows["key"].to_numpy().view(np.uint64)
+        check = _parts(rows["check"].to_pylist(), 64)
+        for lo, hi, pairs in _walks(which, key, part_bits, budget):
+            forest = Forest(hi - lo)
+            for a, b in pairs:
+                far = np.bitwise_count(check[a] ^ check[b]).sum(axis=1, dtype=np.int64)
+                near = slice(None) if within is None else far <= within
+                forest.add(a[near] - lo, b[near] - lo, far[near])
+            if len(forest.a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + forest.a]), pa.array(ids[lo + forest.b]), pa.array(forest.w)], ["a", "b", "bits"])
+
+    return dealt_out.mapInArrow(join, "a long, b long, bits long")
+
+
+def _deal(fps: DataFrame, part_bits: int, budget: int, hot: int, cols: list[str]) -> DataFrame:
+    """Rows of ``fps`` (id, fp, ``cols``) once for each trie and slot: bucket, lo, hi, slot, key, id, ``cols``."""
     blocks, width = budget + 1, part_bits // (budget + 1)
+    names = ["bucket", "key", "id", *cols]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            fp = b["fp"].to_pylist()
-            parts, check = _parts(fp, part_bits), pa.array([x[: CHECK_BITS // 8] for x in fp], pa.binary())
+            parts = _parts(b["fp"].to_pylist(), part_bits)
             for p in range(parts.shape[1]):
                 for k in range(blocks):
                     key = _rotated(parts[:, p], part_bits, k * width, width)
                     bucket = (key >> np.uint64(part_bits - width)).astype(np.int64) + ((p * blocks + k) << width)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key.view(np.int64)), b["id"], check], ["bucket", "key", "id", "check"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key.view(np.int64)), b["id"], *(b[c] for c in cols)], names)
 
-    dealt = fps.select("id", "fp").mapInArrow(spread, "bucket long, key long, id long, check binary")
+    schema = ", ".join(["bucket long, key long, id long", *(f"{c} {fps.schema[c].dataType.simpleString()}" for c in cols)])
+    dealt = fps.select("id", "fp", *cols).mapInArrow(spread, schema)
     sizes = materialize(dealt.groupBy("bucket").count().filter(F.col("count") > hot), "hot")
     one = F.lit(0).cast("long")
     if sizes.isEmpty():
-        tasks = dealt.withColumns({"lo": one, "hi": one})
+        tasks = dealt.withColumns({"lo": one, "hi": one, "slot": one})
     else:
         slotted = dealt.join(sizes, "bucket", "left").withColumn("slots", F.ceil(F.coalesce("count", F.lit(1)) / hot).cast("long"))
         slot = F.pmod(F.xxhash64("key", "id"), F.col("slots"))
         # a row meets the rows of every slot, in the task of that pair of slots
         pairs = slotted.select("*", slot.alias("slot"), F.explode(F.sequence(one, F.col("slots") - 1)).alias("other"))
         tasks = pairs.withColumns({"lo": F.least("slot", "other"), "hi": F.greatest("slot", "other")})
-    dealt_out = tasks.select("bucket", "lo", "hi", "key", "id", "check").repartition("bucket", "lo", "hi")
+    return tasks.select("bucket", "lo", "hi", "slot", "key", "id", *cols).repartition("bucket", "lo", "hi")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = [b for b in batches if b.num_rows]
-        if not full:
-            return
-        rows = pa.Table.from_batches(full)
-        ids, key = rows["id"].to_numpy(), rows["key"].to_numpy().view(np.uint64)
-        check = _parts(rows["check"].to_pylist(), 64)
-        _, which = np.unique(np.stack([rows[c].to_numpy() for c in ("bucket", "lo", "hi")], axis=1), axis=0, return_inverse=True)
-        which = which.ravel()
-        order = np.lexsort((ids, key, which))
-        ids, key, check, which = ids[order], key[order], check[order], which[order]
-        # a task's number stands in the key where its block value was, so that one walk serves many
-        for first in range(0, int(which[-1]) + 1, 1 << width):
-            lo, hi = np.searchsorted(which, (first, first + (1 << width)))
-            tail = key[lo:hi] & np.uint64((1 << (part_bits - width)) - 1)
-            placed = ((which[lo:hi] - first).astype(np.uint64) << np.uint64(part_bits - width)) | tail
-            leaves, at, count = np.unique(placed, return_index=True, return_counts=True)
-            forest = Forest(hi - lo)
-            for i, j in walk_trie(leaves, part_bits, width, budget):
-                for a, b in _rows_of(i, j, at, count):
-                    far = np.bitwise_count(check[lo + a] ^ check[lo + b]).sum(axis=1, dtype=np.int64)
-                    near = slice(None) if within is None else far <= within
-                    forest.add(a[near], b[near], far[near])
-            if len(forest.a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + forest.a]), pa.array(ids[lo + forest.b]), pa.array(forest.w)], ["a", "b", "bits"])
 
-    return dealt_out.mapInArrow(join, "a long, b long, bits long")
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, np.ndarray]:
+    """The dealt rows of a task in the order that _walks wants, and the number of each row's walk."""
+    full = [b for b in batches if b.num_rows]
+    if not full:
+        return None, np.empty(0, np.int64)
+    rows = pa.Table.from_batches(full)
+    _, which = np.unique(np.stack([rows[c].to_numpy() for c in ("bucket", "lo", "hi")], axis=1), axis=0, return_inverse=True)
+    which = which.ravel()
+    order = np.lexsort((rows["id"].to_numpy(), rows["key"].to_numpy().view(np.uint64), which))
+    return rows.take(pa.array(order)), which[order]
+
+
+def _walks(which: np.ndarray, key: np.ndarray, part_bits: int, budget: int) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Slices lo, hi of a task's rows, each with the pairs of its rows that are within the budget."""
+    width = part_bits // (budget + 1)
+    # a task's number stands in the key where its block value was, so that one walk serves many
+    for first in range(0, int(which[-1]) + 1, 1 << width):
+        lo, hi = np.searchsorted(which, (first, first + (1 << width)))
+        tail = key[lo:hi] & np.uint64((1 << (part_bits - width)) - 1)
+        placed = ((which[lo:hi] - first).astype(np.uint64) << np.uint64(part_bits - width)) | tail
+        leaves, at, count = np.unique(placed, return_index=True, return_counts=True)
+        yield lo, hi, ((lo + a, lo + b) for i, j in walk_trie(leaves, part_bits, width, budget) for a, b in _rows_of(i, j, at, count))
 
 
 def _rows_of(i: np.ndarray, j: np.ndarray, at: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -315,19 +345,126 @@ WIDE, PART_BITS, PART_BUDGET = 4, 32, 3
 CHECK_WITHIN = 36
 
 
+def _own(x: np.ndarray, trie: np.ndarray) -> np.ndarray:
+    """Whether ``trie`` is the first that joins a pair whose parts differ in the bits ``x``: each pair has one."""
+    blocks, width = PART_BUDGET + 1, PART_BITS // (PART_BUDGET + 1)
+    part = (np.bitwise_count(x) <= PART_BUDGET).argmax(axis=1)
+    shifts = np.array([PART_BITS - width * (k + 1) for k in range(blocks)], np.uint64)
+    same = (x[np.arange(len(x)), part][:, None] >> shifts) & np.uint64((1 << width) - 1) == 0
+    return part * blocks + same.argmax(axis=1) == trie
+
+
+def _open_pairs(rows: pa.Table, which: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates between different ``comp``, in all tasks each once."""
+    key, full = rows["key"].to_numpy().view(np.uint64), _parts(rows["full"].to_pylist(), PART_BITS)
+    slot, lo, hi = (rows[c].to_numpy() for c in ("slot", "lo", "hi"))
+    trie = rows["bucket"].to_numpy() >> (PART_BITS // (PART_BUDGET + 1))
+    for _, _, pairs in _walks(which, key, PART_BITS, PART_BUDGET):
+        for a, b in pairs:
+            keep = (comp[a] != comp[b]) & (np.minimum(slot[a], slot[b]) == lo[a]) & (np.maximum(slot[a], slot[b]) == hi[a])
+            a, b = a[keep], b[keep]
+            x = full[a] ^ full[b]
+            far = np.bitwise_count(x[:, : CHECK_BITS // PART_BITS]).sum(axis=1, dtype=np.int64)
+            keep = (far <= CHECK_WITHIN) & _own(x, trie[a])
+            if keep.any():
+                yield a[keep], b[keep]
+
+
+class Sets:
+    """Sets of a task's rows, to verify pairs of them, and what the accepted links join so far."""
+
+    def __init__(self, sets: pa.Array, comp: np.ndarray, similar: float) -> None:
+        values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+        distinct, self.items = np.unique(values, return_inverse=True)
+        self.start, self.size, self.similar = ends[:-1], np.diff(ends), similar
+        self.seen = np.zeros(len(distinct), np.int8)
+        names, self.comp = np.unique(comp, return_inverse=True)
+        self.label = np.arange(len(names))
+
+    def common(self, a: int, b: np.ndarray) -> np.ndarray:
+        """Number of items that the set of a shares with each of b."""
+        own = self.items[self.start[a] : self.start[a] + self.size[a]]
+        self.seen[own] = 1
+        ends = np.cumsum(self.size[b])
+        found, first = np.empty(len(b), np.int64), 0
+        while first < len(b):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + FRONTIER)))
+            n, at = self.size[b[first:last]], ends[first:last] - self.size[b[first:last]] - done
+            index = np.arange(n.sum()) + np.repeat(self.start[b[first:last]] - at, n)
+            found[first:last] = np.add.reduceat(self.seen[self.items[index]], at, dtype=np.int64)
+            first = last
+        self.seen[own] = 0
+        return found
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Those of the pairs that are similar enough and join what nothing accepted joined before."""
+        x, y = self.size[a], self.size[b]
+        keep = np.minimum(x, y) / np.maximum(x, y) >= self.similar  # no pair can be more similar
+        a, b = a[keep], b[keep]
+        order = np.argsort(a, kind="stable")
+        firsts, at = np.unique(a[order], return_index=True)
+        for one, others in zip(firsts.tolist(), np.split(b[order], at[1:]), strict=True):
+            others = others[self.label[self.comp[others]] != self.label[self.comp[one]]]
+            if not len(others):
+                continue
+            common = self.common(one, others)
+            for other in others[common / (self.size[one] + self.size[others] - common) >= self.similar].tolist():
+                mine, its = self.label[self.comp[one]], self.label[self.comp[other]]
+                if mine != its:
+                    self.label[self.label == its] = mine
+                    yield one, other
+
+
+def open_links(nodes: DataFrame, sets: DataFrame, similar: float, hot: int = HOT // 4) -> DataFrame:
+    """Links (a, b) that join what ``nodes`` (id, fp, comp) leave apart: all candidates between
+    different comp are verified on ``sets`` (id, set), in the task of the trie they belong to.
+
+    Sets go only to the tries in which their row has such a candidate, and what a task accepts it
+    returns as a forest. Pairs that an accepted link of the task already joins are not looked at.
+    """
+    dealt = _deal(nodes.select("id", "fp", F.col("fp").alias("full"), "comp"), PART_BITS, PART_BUDGET, hot, ["full", "comp"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, which = _gathered(batches)
+        if rows is None:
+            return
+        met = np.zeros(rows.num_rows, bool)
+        for a, b in _open_pairs(rows, which, rows["comp"].to_numpy()):
+            met[a] = met[b] = True
+        yield from rows.filter(pa.array(met)).to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, which = _gathered(batches)
+        if rows is None:
+            return
+        ids, comp = rows["id"].to_numpy(), rows["comp"].to_numpy()
+        known = Sets(rows["set"].combine_chunks(), comp, similar)
+        for a, b in _open_pairs(rows, which, comp):
+            found = list(known.links(a, b))
+            if found:
+                left, right = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], ["a", "b"])
+
+    met = materialize(dealt.mapInArrow(members, dealt.schema), "contested")
+    return met.join(sets, "id").select(*dealt.columns, "set").repartition("bucket", "lo", "hi").mapInArrow(verify, "a long, b long")
+
+
 def near_links(docs: DataFrame, text_col: str = "text", k: int = NEAR_WORDS, similar: float = NEAR_SIMILARITY) -> DataFrame:
     """Verified links (a, b) between rows of ``docs`` (_row long, text), enough for the components.
 
-    Candidates come from the tries of all parts of a wide fingerprint, and from equal ones; each
-    is verified by the Jaccard similarity of the sets of k-word shingles. Only texts in some
-    candidate are read again, and only as hashes. Texts without a word link to nothing.
+    Candidates come from the tries of all parts of a wide fingerprint; each that matters is
+    verified by the Jaccard similarity of the sets of k-word shingles, equal sets being one node.
+    A forest of candidates is verified first, so that large groups are joined by few links; then
+    all candidates between the components so far. Only texts in some candidate are read again,
+    and only as hashes. Texts without a word link to nothing.
     """
     wordy = docs.filter(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]")) > 0).select("_row", text_col)
-    hashed = materialize(fingerprints(wordy, text_col, ["_row"], k, WIDE), "fingerprints")
-    nodes = materialize(hashed.groupBy("fp").agg(F.min("_row").alias("id")), "nodes")
-    equal = hashed.join(nodes, "fp").filter("_row <> id").select(F.col("id").alias("a"), F.col("_row").alias("b"))
-    close = trie_links(nodes, PART_BITS, PART_BUDGET, CHECK_WITHIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(close.union(equal).distinct(), "candidates")
+    hashed = materialize(fingerprints(wordy, text_col, ["_row"], k, WIDE, digests=True), "fingerprints")
+    nodes = materialize(hashed.groupBy("fp", "digest").agg(F.min("_row").alias("id")), "nodes")
+    equal = hashed.join(nodes, ["fp", "digest"]).filter("_row <> id").select(F.col("id").alias("a"), F.col("_row").alias("b"))
+    close = trie_links(nodes.select("id", "fp"), PART_BITS, PART_BUDGET, CHECK_WITHIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(close.distinct(), "candidates")
 
     words = F.filter(F.split(F.translate(text_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     rows = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
@@ -337,7 +474,13 @@ def near_links(docs: DataFrame, text_col: str = "text", k: int = NEAR_WORDS, sim
     sets = materialize(read.select("_row", F.array_distinct(F.when(few, F.array(F.xxhash64("w"))).otherwise(several)).alias("set")), "sets")
     both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("_row").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common / (F.size("x") + F.size("y") - common) >= similar).select("a", "b")
+    first = materialize(both.filter(common / (F.size("x") + F.size("y") - common) >= similar).select("a", "b"), "accepted")
+
+    # a row in any candidate is in the forest of its trie too, so rows without a set have none
+    comps = connected_components(first).withColumnRenamed("node", "id")
+    left = nodes.join(sets.select(F.col("_row").alias("id")), "id").join(comps, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("comp"))
+    found = open_links(materialize(left, "open"), sets.withColumnRenamed("_row", "id"), similar)
+    return first.union(found).union(equal)
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = NEAR_WORDS, similar: float = NEAR_SIMILARITY) -> DataFrame:

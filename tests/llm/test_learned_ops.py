@@ -131,6 +131,29 @@ def test_near_dedup_against_brute_force(spark):
     assert simhash.near_dedup(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [simhash.HOT // 4, 20])
+def test_near_dedup_verifies_all_candidates_of_a_template(spark, hot, monkeypatch):
+    monkeypatch.setattr(simhash.open_links, "__defaults__", (hot,))
+    rng = random.Random(11)
+    template = story(rng, 400).split(" ")
+    fill = lambda n: [f"own{rng.randrange(10**9)}" for _ in range(n)]
+    # 343 of 400 words shared: similarity 0.74; the two of a planted pair share 20 words more: 0.82
+    texts = [" ".join(template[:343] + fill(57)) for _ in range(240)]
+    for _ in range(40):
+        own = fill(20)
+        texts += [" ".join(template[:343] + own + fill(37)) for _ in range(2)]
+    rng.shuffle(texts)
+    sets = [set(grams(t, 5)) for t in texts]
+    fps = [int.from_bytes(simhash.fingerprint(np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams(t, 5)], np.uint64), 4).astype(">u8").tobytes()) for t in texts]
+    parts = [[f >> 32 * i & 0xFFFFFFFF for i in range(8)] for f in fps]
+    similar = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    asked = lambda a, b: ((fps[a] ^ fps[b]) >> 128).bit_count() <= simhash.CHECK_WITHIN and any((x ^ y).bit_count() <= 3 for x, y in zip(parts[a], parts[b]))
+    found = [p for p in similar if asked(*p)]
+    assert len(similar) == 40 and len(found) >= 34
+    comp = components_of(len(texts), found)
+    assert {r["doc_id"] for r in simhash.near_dedup(docs(spark, texts)).collect()} == {i for i, c in enumerate(comp) if i == c}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300), (None, 3)]
     e = spark.createDataFrame(pairs, "a long, b long")
