@@ -78,23 +78,26 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > len(h), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, text_col: str, cols: list[str], k: int, words: int = 1, digests: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str, cols: list[str], k: int, words: int = 1, as_sets: bool = False) -> DataFrame:
     """``cols`` of ``docs`` and fp, the fingerprint in big-endian bytes. No word: all bits zero.
 
-    ``digests`` adds digest, 128 bits that are equal where the sets of shingles are.
+    ``as_sets`` counts each shingle of a text once, and adds digest, 128 bits that are equal where
+    the sets of shingles are.
     """
     small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(t, k) for t in b["_text"].to_pylist()]
+            if as_sets:
+                hashes = [np.unique(h) for h in hashes]
             fp = [fingerprint(h, words).astype(">u8").tobytes() for h in hashes]
             made = [pa.array(fp, pa.binary())]
-            if digests:
-                made.append(pa.array([xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes], pa.binary()))
+            if as_sets:
+                made.append(pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary()))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in cols), *made], [*cols, *names])
 
-    names = ["fp", "digest"][: 1 + digests]
+    names = ["fp", "digest"][: 1 + as_sets]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols), *(f"{c} binary" for c in names)])
     return docs.select(*cols, F.col(text_col).alias("_text")).mapInArrow(scan, schema)
 
@@ -453,14 +456,14 @@ def open_links(nodes: DataFrame, sets: DataFrame, similar: float, hot: int = HOT
 def near_links(docs: DataFrame, text_col: str = "text", k: int = NEAR_WORDS, similar: float = NEAR_SIMILARITY) -> DataFrame:
     """Verified links (a, b) between rows of ``docs`` (_row long, text), enough for the components.
 
-    Candidates come from the tries of all parts of a wide fingerprint; each that matters is
+    Candidates come from the tries of all parts of a wide fingerprint of the set of shingles; each that matters is
     verified by the Jaccard similarity of the sets of k-word shingles, equal sets being one node.
     A forest of candidates is verified first, so that large groups are joined by few links; then
     all candidates between the components so far. Only texts in some candidate are read again,
     and only as hashes. Texts without a word link to nothing.
     """
     wordy = docs.filter(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]")) > 0).select("_row", text_col)
-    hashed = materialize(fingerprints(wordy, text_col, ["_row"], k, WIDE, digests=True), "fingerprints")
+    hashed = materialize(fingerprints(wordy, text_col, ["_row"], k, WIDE, as_sets=True), "fingerprints")
     nodes = materialize(hashed.groupBy("fp", "digest").agg(F.min("_row").alias("id")), "nodes")
     equal = hashed.join(nodes, ["fp", "digest"]).filter("_row <> id").select(F.col("id").alias("a"), F.col("_row").alias("b"))
     close = trie_links(nodes.select("id", "fp"), PART_BITS, PART_BUDGET, CHECK_WITHIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

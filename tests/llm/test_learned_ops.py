@@ -154,6 +154,17 @@ def test_near_dedup_verifies_all_candidates_of_a_template(spark, hot, monkeypatc
     assert {r["doc_id"] for r in simhash.near_dedup(docs(spark, texts)).collect()} == {i for i, c in enumerate(comp) if i == c}
 
 
+def test_near_dedup_does_not_depend_on_repeats(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(40):
+        body, line = story(rng, 290), " ".join(f"r{i}x{j}" for j in range(10))
+        texts += [" ".join([body, *[line] * n]) for n in (2, 30)]
+    assert all(set(grams(a, 5)) == set(grams(b, 5)) for a, b in zip(texts[::2], texts[1::2]))
+    texts += [t + f" end{i}" for i, t in enumerate(texts[:20])]
+    assert {r["doc_id"] for r in simhash.near_dedup(docs(spark, texts)).collect()} == set(range(0, 80, 2))
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300), (None, 3)]
     e = spark.createDataFrame(pairs, "a long, b long")
