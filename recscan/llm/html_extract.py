@@ -29,7 +29,9 @@ _TOKEN = re.compile(
     r"|<[a-zA-Z][^<>]*\Z",  # a tag that the end of the page cuts off
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b|aria-hidden\s*=\s*[\"']?(true)", re.IGNORECASE)
+#: One attribute: its name and its value, if any; what stands in a value is no name.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 
 #: Tags within a block; white space is what they add at most.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -61,10 +63,12 @@ class Block(NamedTuple):
 def _says(tag: str, attrs: str) -> int:
     """1, -1 or 0: whether an element holds content, boilerplate, or does not say."""
     words: set[str] = set()
-    for name, value, hidden, aria in _ATTR.findall(attrs):
-        if hidden or aria:
+    for name, value in _ATTR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
             return -1
-        words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value.strip("\"'")).lower()))
+        if name in ("class", "id", "role"):
+            words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
     if tag in BOILER_TAGS or words & BOILER_WORDS:
         return -1
     return int(tag in CONTENT_TAGS or bool(words & CONTENT_WORDS))

@@ -246,6 +246,15 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "attrs, shown",
+    [('style="overflow:hidden"', True), ('title="A hidden gem"', True), ('aria-hidden="false"', True), ("data-x=hidden", True), ('title="class=footer"', True), ('style="x-display:none"', True),
+     ("hidden", False), ('HIDDEN=""', False), ("class=x hidden", False), ("aria-hidden=true", False), ('aria-hidden = "TRUE"', False), ('style="color:red; display : none"', False), ("class='footer'", False)],
+)
+def test_only_attributes_hide(attrs, shown):
+    assert html_extract.main_text(f"<p>{LONG}</p><div {attrs}><p>{LONG} More.</p></div>") == (f"{LONG}\n{LONG} More." if shown else LONG)
+
+
 def test_articles_come_out_whole(spark, sf):
     pages = queries.table(spark, sf, "pages")
     got = {r["page_id"]: r for r in queries.op4_html(spark, sf).collect()}
