@@ -1,25 +1,28 @@
 """Main text of web pages by a minimum cut over their blocks.
 
-A page is cut into blocks of text. A linear classifier gives each block a log-odds of being
-content, which becomes its capacity to one terminal; neighbours in the page and blocks under one
-parent are tied by smoothness edges. The minimum cut, found by maximum flow, labels all blocks at
-once: those on the source's side are the main text.
+A page is cut into blocks of text. A classifier, fitted to a bounded sample of pages whose markup
+names the article, gives each block a log-odds of being content from its text alone, which becomes
+its capacity to one terminal. Elements whose tag or words say what they hold are seeds, tied to
+the blocks below them. Neighbours in the page, the closer in the document's tree the more, and
+blocks under one parent are tied as well. The minimum cut through terminals and smoothness edges,
+found by maximum flow, labels all blocks at once: those on the source's side are the main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import small_batches
+from recscan.llm.shared import fit_logistic, small_batches
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
@@ -38,15 +41,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A second one of these ends the first, if that is the innermost open element.
 REPEATS = frozenset("p li dt dd tr td th option".split())
-#: What an element says of all text below it, unless one further in says otherwise.
+# What elements and the words of their class, id and role say of the text below them.
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILER_TAGS = frozenset("nav footer aside form head menu dialog header".split())
 CONTENT_WORDS = frozenset("article main content post entry story articlebody maincontent".split())
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus "
-    "footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted "
-    "related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus "
+    "form login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted "
+    "related search share sharing signup social sponsor sponsored subscribe toolbar".split()
 )
+#: Words that often only describe a part of the article, or its layout: they weigh half as much.
+LAYOUT_WORDS = frozenset("header footer sidebar banner widget".split())
+TAG_SAYS, WORD_SAYS, LAYOUT_SAYS, HIDDEN_SAYS = 2, 2, 1, 4
 
 # ---- blocks -------------------------------------------------------------------------------
 
@@ -54,38 +60,44 @@ BOILER_WORDS = frozenset(
 class Block(NamedTuple):
     text: str
     tag: str
-    side: int  # 1 below a content element, -1 below boilerplate, 0 neither
+    says: int  # evidence of the nearest element that says anything: content above 0, boilerplate below
+    seed: int  # number of that element
     linked: int  # characters within links
     parent: int  # number of the element that holds the block's element
+    steps: int  # way through the tree from the block before
 
 
 @lru_cache(maxsize=4096)
 def _says(tag: str, attrs: str) -> int:
-    """1, -1 or 0: whether an element holds content, boilerplate, or does not say."""
+    """The evidence of one element: its tag and its words add up, so that none of them has a veto."""
     words: set[str] = set()
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
-            return -1
+            return -HIDDEN_SAYS
         if name in ("class", "id", "role"):
             words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    if tag in BOILER_TAGS or words & BOILER_WORDS:
-        return -1
-    return int(tag in CONTENT_TAGS or bool(words & CONTENT_WORDS))
+    said = TAG_SAYS * ((tag in CONTENT_TAGS) - (tag in BOILER_TAGS)) + LAYOUT_SAYS * bool(words & CONTENT_WORDS)
+    return said - (WORD_SAYS if words & BOILER_WORDS else LAYOUT_SAYS if words & LAYOUT_WORDS else 0)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a whole page in order: text with references decoded and spaces made one."""
     found: list[Block] = []
-    opened: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, what holds here, number
+    opened: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, what holds here, who says so, number
+    open_tags = Counter()
     pieces: list[str] = []
     count = links = linked = at = 0
+    last = lowest = 1  # depth of the block before, and the least depth since
 
     def end_block() -> None:
-        nonlocal linked
+        nonlocal linked, last, lowest
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            found.append(Block(text, opened[-1][0], opened[-1][1], min(linked, len(text)), opened[-2][2] if len(opened) > 1 else 0))
+            depth = len(opened)
+            tag, says, seed, _ = opened[-1]
+            found.append(Block(text, tag, says, seed, min(linked, len(text)), opened[-2][3] if depth > 1 else 0, last + depth - 2 * min(lowest, depth)))
+            last = lowest = depth
         pieces.clear()
         linked = 0
 
@@ -106,135 +118,212 @@ def blocks(page: str) -> list[Block]:
             continue
         end_block()
         if m["close"]:
-            if any(tag == t for t, _, _ in opened):
-                while opened.pop()[0] != tag:
-                    pass
+            while open_tags[tag]:
+                ended = opened.pop()[0]
+                open_tags[ended] -= 1
+                if ended == tag:
+                    break
             links = 0
         elif tag not in VOID:
             if opened[-1][0] == tag and tag in REPEATS or opened[-1][0] == "p":
-                opened.pop()
+                open_tags[opened.pop()[0]] -= 1
+            lowest = min(lowest, len(opened))
             says = _says(tag, m["attrs"])
-            inside = opened[-1][1]
-            if tag == "header" and inside == 1:
-                says = 0  # the heading of an article, not of the page
+            _, inside, seed, _ = opened[-1]
+            if tag == "header" and inside > 0:
+                says += TAG_SAYS  # the heading of an article, not of the page
             count += 1
-            opened.append((tag, says or inside, count))
+            open_tags[tag] += 1
+            opened.append((tag, says, count, count) if says else (tag, inside, seed, count))
+        lowest = min(lowest, len(opened))
     pieces.append(page[at:])
     end_block()
     return found
 
 
-# ---- costs and the cut --------------------------------------------------------------------
+# ---- the classifier -----------------------------------------------------------------------
 
-#: Log-odds of content; capacities are these in thousandths.
-BIAS, SIDE, LINKS, PER_WORD, MOST_WORDS, SENTENCE = -1.0, 7.0, -4.0, 0.1, 40, 0.5
-TAGS = {"p": 1.0, "h1": 1.5, "h2": 1.0, "h3": 1.0, "blockquote": 0.5, "pre": 0.5, "li": -0.3, "td": -0.3}
-#: Smoothness: of neighbours in the page, and more if one parent holds both.
-NEAR, SAME_PARENT = 0.6, 0.6
+#: At most so many pages, those with the smallest hashed ids, are fitted to.
+FIT_PAGES = 2_000
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 caption dt".split())
+ITEMS = frozenset("li td th dd option".split())
+#: Weights before fitting: constant, size (doublings of words), share of links, end of a sentence, heading, item.
+PRIOR = np.array([-2.0, 0.7, -3.0, 0.7, 0.8, -0.5])
+#: How far the classifier may go either way.
+TEXT_MOST = 3.0
+_SIZES, _SHARES = 8, 5
 
 
-def log_odds(b: Block) -> float:
-    n = b.text.count(" ") + 1
-    return BIAS + SIDE * b.side + LINKS * b.linked / len(b.text) + PER_WORD * min(n, MOST_WORDS) + TAGS.get(b.tag, 0.0) + SENTENCE * (b.text[-1] in ".!?")
+def cell(b: Block) -> int:
+    """The text features of a block as one number below 8 x 5 x 2 x 3, so that samples can be counted."""
+    size = min(_SIZES - 1, (b.text.count(" ") + 1).bit_length() - 1)
+    share = round(4 * b.linked / len(b.text))
+    kind = 1 if b.tag in HEADINGS else 2 if b.tag in ITEMS else 0
+    return ((size * _SHARES + share) * 2 + (b.text[-1] in ".!?…。！？")) * 3 + kind
 
 
-def min_cut(unary: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
-    """Labels of a minimum cut: node i pays |unary[i]| against its sign, an edge pays if cut.
+def _features(cells: np.ndarray) -> np.ndarray:
+    rest, kind = np.divmod(cells, 3)
+    rest, sentence = np.divmod(rest, 2)
+    size, share = np.divmod(rest, _SHARES)
+    return np.stack([np.ones(len(cells)), size, share / 4, sentence, kind == 1, kind == 2], axis=1).astype(float)
+
+
+def cell_odds(weights: np.ndarray) -> list[float]:
+    """The bounded log-odds of content of every cell."""
+    return np.clip(_features(np.arange(_SIZES * _SHARES * 6)) @ weights, -TEXT_MOST, TEXT_MOST).tolist()
 
-    A node whose capacity outweighs all its edges keeps its sign, exactly; it is taken out and
-    its edges become capacities of its neighbours. What stays is solved by maximum flow. Of equal
-    cuts the one with the fewest content blocks is taken.
+
+def fit_blocks(pages: DataFrame, max_pages: int = FIT_PAGES) -> np.ndarray:
+    """Weights of the text classifier, from at most ``max_pages`` pages.
+
+    Pages on which an element says that it holds the article teach: blocks below it are content, all
+    others are not. Only counts of cells come to the driver, two for each. Pages without an id are
+    not drawn; without a page that teaches the weights are PRIOR.
     """
-    unary, near = list(unary), [{} for _ in unary]
-    for (i, j), w in edges.items():
-        near[i][j] = near[j][i] = near[i].get(j, 0) + w
-    label: list[bool | None] = [None] * len(unary)
-    todo = deque(range(len(unary)))
-    while todo:
-        i = todo.popleft()
-        if label[i] is None and abs(unary[i]) > sum(near[i].values()):
-            label[i] = unary[i] > 0
-            for j, w in near[i].items():
-                unary[j] += w if label[i] else -w
-                del near[j][i]
-                todo.append(j)
-            near[i] = {}
-    left = [i for i, x in enumerate(label) if x is None]
-    if left:
-        source = _source_side(left, unary, near)
-        for i in left:
-            label[i] = i in source
-    return label
-
-
-def _source_side(nodes: list[int], unary: list[int], near: list[dict[int, int]]) -> set[int]:
-    """Nodes that the source still reaches after a maximum flow (Dinic's blocking flows)."""
-    s, t = -1, -2
-    cap: dict[int, dict[int, int]] = {i: dict(near[i]) for i in nodes} | {s: {}, t: {}}
-    for i in nodes:
-        a, b = (s, i) if unary[i] > 0 else (i, t)
-        cap[a][b] = abs(unary[i])
-        cap[b].setdefault(a, 0)
-    while True:
-        level, queue = {s: 0}, deque([s])
-        while queue:
-            u = queue.popleft()
-            for v, c in cap[u].items():
-                if c and v not in level:
-                    level[v] = level[u] + 1
-                    queue.append(v)
-        if t not in level:
-            return set(level)
-        ahead = {u: [v for v in cap[u] if level.get(v) == level[u] + 1] for u in level}
-        path = [s]
-        while path:
-            u = path[-1]
-            if u == t:
-                arcs = list(zip(path, path[1:], strict=False))
-                flow = min(cap[a][b] for a, b in arcs)
-                for a, b in arcs:
-                    cap[a][b] -= flow
-                    cap[b][a] = cap[b].get(a, 0) + flow
-                del path[next(k for k, (a, b) in enumerate(arcs) if not cap[a][b]) + 1 :]
-                continue
-            while ahead[u] and not cap[u][ahead[u][-1]]:
-                ahead[u].pop()
-            if ahead[u]:
-                path.append(ahead[u][-1])
-            else:  # nothing more gets through here
-                path.pop()
-                if path:
-                    ahead[path[-1]].pop()
-
-
-def main_text(page: str | None) -> str:
-    """The content blocks of a page, one line each; empty for null, empty or contentless pages."""
-    found = blocks(page or "")
-    unary = [round(1000 * log_odds(b)) for b in found]
+    small_batches(pages.sparkSession)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    drawn = pages.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page in batch["html"].to_pylist():
+                found = blocks(page or "")
+                if any(b.says >= TAG_SAYS for b in found):
+                    rows += [(cell(b), b.says > 0) for b in found]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([y for _, y in rows], pa.bool_())], ["cell", "content"])
+
+    # max_pages bounds what is broadcast: an id a row
+    sample = pages.select(F.col("page_id").cast(kind), "html").join(F.broadcast(drawn), "page_id", "left_semi").select("html")
+    counts = sample.mapInArrow(scan, "cell int, content boolean").groupBy("cell", "content").count().collect()
+    if not counts:
+        return PRIOR
+    counts.sort(key=lambda r: (r["cell"], r["content"]))
+    x, y, n = _features(np.array([r["cell"] for r in counts])), np.array([float(r["content"]) for r in counts]), np.array([float(r["count"]) for r in counts])
+    return fit_logistic(x, y, PRIOR, np.full(len(PRIOR), 1.0), n)
+
+
+# ---- the cut ------------------------------------------------------------------------------
+
+#: Smoothness: of neighbours two steps apart in the tree, and more if one parent holds both;
+#: of a block and its seed for a unit of evidence that it is content, or that it is not.
+NEAR, SAME_PARENT, FOR_CONTENT, AGAINST = 1.2, 0.8, 1.6, 4.0
+
+
+def capacities(found: list[Block], odds: list[float]) -> tuple[list[int], dict[tuple[int, int], int]]:
+    """Terminal capacities (above 0 to the source, for content) and smoothness edges of a page.
+
+    Blocks come first, then the seeds, whose capacity outweighs all their edges. Capacities are
+    thousandths.
+    """
+    unary = [round(1000 * odds[cell(b)]) for b in found]
     edges: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
+    seeds: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            edges[i - 1, i] = round(1000 * NEAR)
+            edges[i - 1, i] = round(1000 * NEAR * 2 / max(2, b.steps))
         j = last.get(b.parent)
         if j is not None:
             edges[j, i] = edges.get((j, i), 0) + round(1000 * SAME_PARENT / (i - j))
         last[b.parent] = i
-    return "\n".join(b.text for b, keep in zip(found, min_cut(unary, edges), strict=True) if keep)
+        if b.says:
+            if b.seed not in seeds:
+                seeds[b.seed] = len(unary)
+                unary.append(1 if b.says > 0 else -1)
+            k = seeds[b.seed]
+            edges[i, k] = round(1000 * (FOR_CONTENT if b.says > 0 else AGAINST) * abs(b.says))
+            unary[k] += edges[i, k] if b.says > 0 else -edges[i, k]
+    return unary, edges
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [main_text(h) for h in b["html"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+def min_cut(unary: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
+    """Labels of a minimum cut: node i pays |unary[i]| against its sign, an edge pays if cut.
 
+    A maximum flow runs from the nodes above 0 to those below, by blocking flows along shortest
+    paths; what the source still reaches is content. Of equal cuts the one with the fewest content
+    blocks is taken.
+    """
+    source, sink = [max(u, 0) for u in unary], [max(-u, 0) for u in unary]
+    arcs: list[list[int]] = [[] for _ in unary]
+    to: list[int] = []
+    left: list[int] = []
+    for (i, j), w in edges.items():
+        # paths of one edge are filled at once
+        flow = min(source[i], sink[j], w) - min(source[j], sink[i], w)
+        a, b, sent = (i, j, flow) if flow >= 0 else (j, i, -flow)
+        source[a] -= sent
+        sink[b] -= sent
+        arcs[i].append(len(to))
+        arcs[j].append(len(to) + 1)
+        to += (j, i)
+        left += (w - flow, w + flow)
+    while True:
+        level = [0 if s else -1 for s in source]
+        queue = [i for i, s in enumerate(source) if s]
+        drained = False
+        for u in queue:
+            drained = drained or sink[u] > 0
+            for e in arcs[u]:
+                if left[e] and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if not drained:
+            return [x >= 0 for x in level]
+        ahead = [[e for e in arcs[u] if level[to[e]] == level[u] + 1] if level[u] >= 0 else [] for u in range(len(unary))]
+        for start in range(len(unary)):
+            path: list[int] = []
+            u = start
+            while source[start]:
+                if sink[u]:
+                    sent = min(source[start], sink[u], *(left[e] for e in path))
+                    source[start] -= sent
+                    sink[u] -= sent
+                    for e in path:
+                        left[e] -= sent
+                        left[e ^ 1] += sent
+                    full = next((k for k, e in enumerate(path) if not left[e]), len(path))
+                    del path[full:]
+                    u = to[path[-1]] if path else start
+                    continue
+                while ahead[u] and not left[ahead[u][-1]]:
+                    ahead[u].pop()
+                if ahead[u]:
+                    path.append(ahead[u][-1])
+                    u = to[path[-1]]
+                elif path:  # nothing more gets through here
+                    path.pop()
+                    u = to[path[-1]] if path else start
+                    ahead[u].pop()
+                else:
+                    break
+
+
+_PRIOR_ODDS = cell_odds(PRIOR)
+
+
+def main_text(page: str | None, odds: list[float] = _PRIOR_ODDS) -> str:
+    """The content blocks of a page, one line each; empty for null, empty or contentless pages."""
+    found = blocks(page or "")
+    # the labels of the seeds come behind those of the blocks
+    return "\n".join(b.text for b, keep in zip(found, min_cut(*capacities(found, odds)), strict=False) if keep)
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+
+def extract_pages(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points of text).
 
-    Nulls in page_id and url stay; a null html gives an empty text. Other columns are not read.
-    One pass, no shuffle.
+    ``weights`` are those of :func:`fit_blocks`, fitted to ``pages`` unless given. Nulls in page_id
+    and url stay; a null html gives an empty text; repeated rows stay, an empty table gives no row.
+    Other columns are not read. One pass, no shuffle.
     """
+    odds = cell_odds(fit_blocks(pages) if weights is None else weights)
     small_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return pages.select("page_id", "url", F.col("html")).mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [main_text(h, odds) for h in b["html"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

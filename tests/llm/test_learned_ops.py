@@ -237,6 +237,12 @@ PAGES = [
     (f'<html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></ul></nav><article><h1>A &amp; B</h1><p>{LONG}<p>Two\n  lines&nbsp;x<br>y<div class="ad">Buy!</div><section id="comments"><p>{LONG}</p></section></article><footer>&copy; me</footer>', f"A & B\n{LONG}\nTwo lines x y"),
     (f'<body><div class="header">Top</div><div class="cookie-notice">We use cookies on this site and ask you to agree.</div><div class="content"><p>{LONG}</p><p>{LONG}</p><form>Name <input></form></div><div class="sidebar"><p>Links</div>', f"{LONG}\n{LONG}"),
     (f"<p>{LONG}</p><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", LONG),
+    (f'<main class="content has-sidebar"><p>{LONG}</p><p>{LONG}</p></main><div class="sidebar"><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+    (f'<article><div class="entry-header"><h1>A title</h1></div><p>{LONG}</p></article>', f"A title\n{LONG}"),
+    (f'<article><header><h1>A title</h1><p>By me</p></header><p>{LONG}</p><p>Short.</p></article>', f"A title\nBy me\n{LONG}\nShort."),
+    (f'<article class="post"><p>{LONG}</p><div class="post-comments"><p>{LONG}</p><p>{LONG}</p></div></article>', LONG),
+    (f'<article><p>{LONG}</p><aside><p>{LONG}</p></aside><ul><li>one</li><li><a href="x">two</a></li></ul></article>', f"{LONG}\none\ntwo"),
+    (f"<div><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div>", f"{LONG}\nYes.\n{LONG}"),
     ("", ""), (None, ""), ("<article>just text &am", "just text &am"), ("<article><p>cut <b", "cut"), ("<nav>only menu</nav>", ""), ("<!-- <article>x</article> -->", ""),
 ]
 
@@ -267,9 +273,41 @@ def test_articles_come_out_whole(spark, sf):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want) and got[r["page_id"]]["url"] == r["url"]
 
 
+def test_edges_change_labels_of_real_pages(spark, sf):
+    odds = html_extract.cell_odds(html_extract.fit_blocks(queries.table(spark, sf, "pages")))
+    pages = queries.table(spark, sf, "pages").collect()
+    changed = 0
+    for r in pages:
+        found = html_extract.blocks(r["html"] or "")
+        unary, edges = html_extract.capacities(found, odds)
+        changed += html_extract.min_cut(unary, edges)[: len(found)] != html_extract.min_cut(unary, {})[: len(found)]
+    assert changed > len(pages) / 2
+
+
+def test_classifier_is_fitted_to_marked_pages_only(spark):
+    page = "<article>" + f"<p>{LONG}</p>" * 9 + "</article><nav>" + "<li><a href=x>Link</a></li>" * 9 + "</nav>"
+    make = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string, cell long")
+    w = html_extract.fit_blocks(make([(i, None, page, 1) for i in range(20)] + [(None, None, page, 1), (90, None, None, 1)]))
+    odds = html_extract.cell_odds(w)
+    by_text = {b.tag: odds[html_extract.cell(b)] for b in html_extract.blocks(page)}
+    assert by_text["p"] > 0 > by_text["li"]
+    for rows in ([], [(1, None, f"<div>{LONG}</div>", 1)], [(None, None, page, 1)]):
+        assert (html_extract.fit_blocks(make(rows)) == html_extract.PRIOR).all()
+
+
+def test_pages_with_nulls_repeats_and_no_rows(spark):
+    rows = [(1, "u", f"<article><p>{LONG}"), (1, "u", f"<article><p>{LONG}"), (None, None, None), (2, None, "")]
+    pages = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = [tuple(r) for r in html_extract.extract_pages(pages).collect()]
+    assert got == [(1, "u", LONG, len(LONG))] * 2 + [(None, None, "", 0), (2, None, "", 0)]
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_long_pages_stay_fast():
     page = "<article>" + "<p>some words here</p>" * 20_000 + "<div>" * 3000 + "x"
     assert html_extract.main_text(page).count("\n") == 20_000
+    assert html_extract.main_text("<div><p>a b c d</p><ul><li>x</li></ul>" * 10_000) is not None
+    assert html_extract.main_text("<article>" + "<p>w</p><div><a href=x>y z</a></div>" * 20_000).count("\n") == 39_999
 
 
 # ---- learned operators --------------------------------------------------------------------
