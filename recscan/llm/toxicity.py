@@ -1,17 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words of a clause are mapped to symbols: insult, threat, target, negation, report. Four small
-transducers read the symbols and are composed into one; it says in which context each insult or
-threat of a clause stands - aimed at someone, negated, reported - and how much it weighs there.
-Insult patterns (words and word beginnings) and the weights of contexts are learned from labels;
-the closed word classes are fixed values. A document's score is the logistic of its clauses.
+Words of a clause become symbols of a tape. Five weighted transducers read it one after the other,
+each what the one before wrote: the first marks insults (learned words, word beginnings and
+phrases), the second threats (a violent or intended act and whom it is aimed at), the third the
+insults aimed at someone, the fourth what is negated, the fifth what is reported speech. Each adds
+weights; some guess what is still to come, and only paths whose guesses come true count. The best
+path of their composition says in which context each hit of a clause stands, and the clause's
+weight. Insult patterns and the weights of contexts are learned from labels; closed word classes
+are fixed values. A document's score is the logistic of its clauses' hits.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,114 +21,226 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import small_batches
+from recscan.llm.shared import fit_logistic, small_batches
 
 #: At most so many labelled rows, those with the smallest hashed ids, are learned from.
 MAX_TRAIN = 20_000
-#: At most so many patterns; a pattern needs this log-likelihood ratio and this share of toxic rows.
-MAX_PATTERNS, LEAST_G2, LEAST_SHARE = 4_000, 20.0, 0.5
-#: Lengths of the word beginnings that are patterns, besides whole words.
-STEMS = (4, 5, 6, 7, 8)
+#: A pattern needs this log-likelihood ratio (a phrase more, as there are more of them) and this share of toxic rows.
+LEAST_G2, LEAST_G2_PHRASE, LEAST_SHARE = 20.0, 40.0, 0.5
+#: Lengths of the word beginnings that are patterns, besides whole words, and of phrases in words.
+STEMS, PHRASES = (4, 5, 6, 7, 8), (2, 3)
 #: A beginning is a pattern if at least so many words with it, and this share of them, are mostly toxic.
 STEM_WORDS, STEM_SHARE = 3, 0.8
 THRESHOLD = 0.3
 
 # Closed word classes of the grammar, in English, German, French and Spanish.
-THREATS = frozenset("kill murder hurt destroy strangle töten umbringen vernichten tuer détruire frapper matar destruir golpear".split())
-TARGETS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu toi te ton ta vous votre tú tu ti te usted ustedes vosotros".split())
-NEGATIONS = frozenset("not no never isn't aren't don't nicht kein keine nie niemals pas jamais ne nunca jamás".split())
+# Violent acts, in the forms that stand in threats.
+ACTS = frozenset(
+    "kill kills killed killing murder murders murdered murdering hurt hurts hurting destroy destroys destroying strangle strangles strangling stab stabs stabbing "
+    "shoot shoots shooting beat beats beating burn burns burning töte töten umbringen vernichte vernichten erschieße erschießen schlage schlagen "
+    "tuer tue tuerai tuons détruire frapper frappe frapperai matar mato mataré destruir golpear golpeo golpearé".split()
+)
+# Acts that threaten only where someone intends them.
+MILD_ACTS = frozenset("find get catch hunt break come finde finden kriege kriegen hole holen trouver trouverai attraper encontrar encontraré pillar".split())
+INTENTIONS = frozenset("will gonna going shall want wanna i'll we'll werde werden wollen vais allons veux voulons voy vamos quiero queremos".split())
+TARGETS = frozenset("you your yours yourself u ur du dein deine deiner ihr euer tu toi ton ta tes vous votre tú tus usted ustedes vosotros".split())
+# Words for a target that stand before the verb as well.
+OBJECTS = frozenset("dich dir euch te ti os".split())
+NEGATIONS = frozenset("not no never isn't aren't don't won't nicht kein keine nie niemals pas jamais ne nunca jamás".split())
 REPORTS = frozenset("said says claimed quoted wrote called according sagte sagt schrieb laut dit disait écrit selon dijo dice escribió según".split())
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
-_CLASSES = ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
-#: A negation reaches so many words on.
-REACH = 3
+OTHER, ACT, MILD_ACT, INTENTION, TARGET, OBJECT, NEGATION, REPORT = range(8)
+_CLASSES = ((ACTS, ACT), (MILD_ACTS, MILD_ACT), (INTENTIONS, INTENTION), (TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATIONS, NEGATION), (REPORTS, REPORT))
+#: A hit on the tape: this bit, and what holds for it.
+HIT, AIMED, NEGATED, REPORTED, THREAT = 16, 1, 2, 4, 8
+#: How many words on an intention, a target, a negation and a report reach.
+INTENTION_REACH, TARGET_REACH, NEGATION_REACH, REPORT_REACH = 4, 5, 3, 12
+#: Weights of arcs: a threat, one with an intention, and what the contexts add.
+THREATENS, INTENDED = 1.5, 0.5
+ADDED = {AIMED: 0.3, NEGATED: -0.7, REPORTED: -0.6}
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_CLAUSE = re.compile(r"[.!?;\n]+")
 
 
 # ---- transducers --------------------------------------------------------------------------
 
 
 class Transducer(NamedTuple):
-    """A finite-state transducer: in a state, on a symbol, to a state, with a flag on hits."""
+    """A weighted transducer: in a state, on a symbol, some arcs (what it writes, to a state, weight)."""
 
-    start: int
-    step: dict[tuple[int, int], int]
-    flag: dict[int, int]  # what a state adds to the context of a hit read in it
+    start: tuple
+    arcs: Callable[[tuple, object], list[tuple[object, tuple, float]]]
+    accepts: Callable[[tuple], bool] = lambda state: True
 
 
-def latch(symbol: int) -> Transducer:
-    """Remembers a symbol until the clause ends."""
-    return Transducer(0, {(s, x): int(s or x == symbol) for s in (0, 1) for x in range(6)}, {0: 0, 1: 1})
+def insults(words: dict[str, float], phrases: dict[tuple[str, ...], float]) -> Transducer:
+    """Reads (class, word or pattern); marks insulting words, and the last word of phrases it guessed at."""
+    begun = {p[:n] for p in phrases for n in range(1, len(p))}
 
+    def arcs(state: tuple, symbol: tuple[int, str]) -> list:
+        kind, word = symbol
+        path = (*state, word)
+        on = [(kind, path, 0.0)] if path in begun else []
+        if state:
+            return on + ([(HIT, (), phrases[path])] if path in phrases else [])
+        return [*on, (HIT, (), words[word]) if word in words else (kind, (), 0.0)]
 
-def within_reach(symbol: int, reach: int) -> Transducer:
-    """Remembers a symbol for the next ``reach`` words."""
-    step = {(s, x): reach if x == symbol else max(0, s - 1) for s in range(reach + 1) for x in range(6)}
-    return Transducer(0, step, {s: int(s > 0) for s in range(reach + 1)})
+    return Transducer((), arcs, lambda state: not state)
 
 
-def compose(*parts: Transducer) -> Transducer:
-    """The product machine; part k adds the bit k to the context."""
-    keys = [sorted(p.flag) for p in parts]
-    number = {s: n for n, s in enumerate(product(*keys))}
-    step = {(n, x): number[tuple(p.step[q, x] for p, q in zip(parts, s, strict=True))] for s, n in number.items() for x in range(6)}
-    flag = {n: sum(p.flag[q] << k for k, (p, q) in enumerate(zip(parts, s, strict=True))) for s, n in number.items()}
-    return Transducer(number[tuple(p.start for p in parts)], step, flag)
+def threats(reach: int = TARGET_REACH, intention_reach: int = INTENTION_REACH) -> Transducer:
+    """Marks acts as threats where a target follows, or an object pronoun precedes, within reach.
+
+    State: words left of an intention, words left in which a guessed target must come, words left of
+    an object pronoun.
+    """
+
+    def arcs(state: tuple, x: int) -> list:
+        intended, owed, seen = state
+        if owed == 1 and x not in (TARGET, OBJECT):
+            return []
+        ahead = (intention_reach if x == INTENTION else max(intended - 1, 0), 0 if x in (TARGET, OBJECT) else max(owed - 1, 0), reach if x == OBJECT else max(seen - 1, 0))
+        plain = (TARGET if x == OBJECT else OTHER if x in (ACT, MILD_ACT, INTENTION) else x, ahead, 0.0)
+        if owed or not (x == ACT or x == MILD_ACT and intended):
+            return [plain]
+        weight = THREATENS + INTENDED * (intended > 0)
+        return [plain, (HIT | THREAT, (ahead[0], 0 if seen else reach, ahead[2]), weight)]
+
+    return Transducer((0, 0, 0), arcs, lambda state: not state[1])
+
+
+def targets(reach: int = TARGET_REACH) -> Transducer:
+    """Marks insults as aimed where a target stands within reach before them, or is guessed to come."""
+
+    def arcs(state: tuple, x: int) -> list:
+        seen, owed = state
+        if owed == 1 and x != TARGET:
+            return []
+        ahead = (reach if x == TARGET else max(seen - 1, 0), 0 if x == TARGET else max(owed - 1, 0))
+        out = [(OTHER if x == TARGET else x, ahead, 0.0)]
+        if x == HIT:
+            aimed = ahead if seen or ahead[1] else (ahead[0], reach)
+            out.append((x | AIMED, aimed, ADDED[AIMED]))
+        return out
+
+    return Transducer((0, 0), arcs, lambda state: not state[1])
+
+
+def within(symbol: int, reach: int, flag: int) -> Transducer:
+    """Adds ``flag`` and its weight to hits within ``reach`` words behind ``symbol``."""
+
+    def arcs(state: tuple, x: int) -> list:
+        (near,) = state
+        ahead = (reach if x == symbol else max(near - 1, 0),)
+        hit = x & HIT and near
+        return [(x | flag if hit else OTHER if x == symbol else x, ahead, ADDED[flag] if hit else 0.0)]
+
+    return Transducer((0,), arcs)
+
+
+class Cascade:
+    """The composition of transducers, each reading what the one before writes; built as it is walked."""
+
+    def __init__(self, *parts: Transducer) -> None:
+        self.parts, self.start = parts, tuple(p.start for p in parts)
+        self.known: dict[tuple, list] = {}
+
+    def arcs(self, state: tuple, symbol: object) -> list[tuple[int, tuple, float]]:
+        found = self.known.get((state, symbol))
+        if found is None:
+            found = [(symbol, (), 0.0)]
+            for part, s in zip(self.parts, state, strict=True):
+                found = [(z, (*done, t), w + v) for y, done, w in found for z, t, v in part.arcs(s, y)]
+            self.known[state, symbol] = found
+        return found
+
+    def best(self, tape: list) -> tuple[float, list[tuple[int, float]]]:
+        """Weight of the best path over a tape, and its hits with their arcs' weights; ties go to the first found."""
+        front: dict[tuple, tuple[float, tuple | None]] = {self.start: (0.0, None)}
+        for symbol in tape:
+            new: dict[tuple, tuple[float, tuple | None]] = {}
+            for state, (weight, hits) in front.items():
+                for x, to, w in self.arcs(state, symbol):
+                    if to not in new or new[to][0] < weight + w:
+                        new[to] = (weight + w, (hits, x, w) if x & HIT else hits)
+            front = new
+        ends = [v for state, v in front.items() if all(p.accepts(s) for p, s in zip(self.parts, state, strict=True))]
+        weight, link = max(ends, key=lambda v: v[0])
+        found = []
+        while link is not None:
+            link, x, w = link
+            found.append((x, w))
+        return weight, found[::-1]
+
+
+#: Features of a document: weight of hits in each context (all flags of a mark), and of the strongest clause.
+CONTEXTS = 16
+FEATURES = CONTEXTS + 1
+
+
+def _added(context: int) -> float:
+    return sum(w for flag, w in ADDED.items() if context & flag)
 
 
-GRAMMAR = compose(latch(TARGET), within_reach(NEGATION, REACH), latch(REPORT))
-#: Features of a document: weight of hits in each context, of threats aimed at someone, and of the strongest clause.
-CONTEXTS = 8
-FEATURES = CONTEXTS + 2
 #: Weights before learning: a hit counts, more if aimed, less if negated or reported.
-PRIOR = np.array([(1.0 if not c & 4 else 0.4) * (1.0 if not c & 2 else 0.3) * (1.3 if c & 1 else 1.0) for c in range(CONTEXTS)] + [1.5, 1.0])
+PRIOR = np.array([max(0.1, 1.0 + _added(c)) for c in range(CONTEXTS)] + [1.0])
+BIAS = -3.0
 
 
 class Lexicon:
-    """Learned insult patterns with their weights, and the closed classes."""
+    """Learned insult patterns with their weights, the closed classes, and the machine composed for them."""
 
     def __init__(self, patterns: dict[str, float]) -> None:
-        self.words = {p: w for p, w in patterns.items() if not p.endswith("*")}
+        self.words = {p: w for p, w in patterns.items() if " " not in p and not p.endswith("*")}
         self.stems = {p[:-1]: w for p, w in patterns.items() if p.endswith("*")}
+        self.phrases = {tuple(p.split(" ")): w for p, w in patterns.items() if " " in p}
         self.classes = {w: c for words, c in _CLASSES for w in words}
-        self.hits = frozenset(self.words) | THREATS
+        self.hits = frozenset(self.words) | ACTS
         self.heads = frozenset(s[: STEMS[0]] for s in self.stems)
-
-    def weight(self, word: str) -> float:
-        return max(self.words.get(word, 0.0), max((self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n), default=0.0))
-
-    def matches(self, word: str) -> list[str]:
-        stems = [f"{word[:n]}*" for n in STEMS if len(word) > n and word[:n] in self.stems] if word[: STEMS[0]] in self.heads else []
-        return [word, *stems] if word in self.words else stems
+        self.firsts = {p[:2] for p in self.phrases}
+        self.named = {w for p in self.phrases for w in p}
+        self.machine = Cascade(
+            insults(self.words | {f"{s}*": w for s, w in self.stems.items()}, self.phrases), threats(), targets(),
+            within(NEGATION, NEGATION_REACH, NEGATED), within(REPORT, REPORT_REACH, REPORTED),
+        )
+
+    def symbol(self, word: str) -> tuple[int, str]:
+        """The class of a word and, if the insult transducer knows it, the word or its heaviest pattern."""
+        kind = self.classes.get(word, OTHER)
+        if word in self.words or word in self.named:
+            return kind, word
+        stems = [word[:n] for n in STEMS if len(word) > n and word[:n] in self.stems] if word[: STEMS[0]] in self.heads else []
+        return (kind, max(stems, key=lambda s: (self.stems[s], s)) + "*") if stems else (kind, "")
+
+    def matches(self, words: list[str]) -> Iterator[tuple[str, int, int]]:
+        """(pattern, start, end) of all patterns in a list of words."""
+        for i, word in enumerate(words):
+            if word in self.words:
+                yield word, i, i + 1
+            if word[: STEMS[0]] in self.heads:
+                yield from ((f"{word[:n]}*", i, i + 1) for n in STEMS if len(word) > n and word[:n] in self.stems)
+            if tuple(words[i : i + 2]) in self.firsts:
+                yield from ((" ".join(p), i, i + n) for n in PHRASES if (p := tuple(words[i : i + n])) in self.phrases)
 
     def features(self, text: str | None) -> np.ndarray:
         """The features of a whole text; a text without any hit costs only its set of words."""
         out = np.zeros(FEATURES)
         low = (text or "").lower()
         seen = set(_WORD.findall(low))
-        if self.hits.isdisjoint(seen) and not any(w[: STEMS[0]] in self.heads for w in seen):
+        hit = not self.hits.isdisjoint(seen) or any(w[: STEMS[0]] in self.heads for w in seen)
+        threat = not (MILD_ACTS.isdisjoint(seen) or INTENTIONS.isdisjoint(seen))
+        if not hit and not threat and self.named.isdisjoint(seen):
             return out
         for clause in _CLAUSE.split(low):
-            words = _WORD.findall(clause)
-            weights = [self.weight(w) for w in words]
-            if not any(weights) and THREATS.isdisjoint(words):
+            tape = [self.symbol(w) for w in _WORD.findall(clause)]
+            if not any(word or kind in (ACT, MILD_ACT) for kind, word in tape):
                 continue
-            symbols = [INSULT if k else self.classes.get(w, OTHER) for w, k in zip(words, weights, strict=True)]
-            # a target behind the hit counts as well as one before it
-            aimed = TARGET in symbols
-            state, strongest = GRAMMAR.start, 0.0
-            for symbol, k in zip(symbols, weights, strict=True):
-                state = GRAMMAR.step[state, symbol]
-                context = GRAMMAR.flag[state] | aimed
-                if symbol == INSULT:
-                    out[context] += k
-                    strongest = max(strongest, k * PRIOR[context])
-                elif symbol == THREAT and aimed and not context & 6:
-                    out[CONTEXTS] += 1.0
-            out[CONTEXTS + 1] = max(out[CONTEXTS + 1], strongest)
+            weight, hits = self.machine.best(tape)
+            for mark, w in hits:
+                context = mark & (CONTEXTS - 1)
+                out[context] += w - _added(context)
+            out[CONTEXTS] = max(out[CONTEXTS], weight)
         return out
 
 
@@ -149,7 +263,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
 def _stems(n: int) -> Column:
     """The beginnings of n letters of longer words."""
-    return F.transform(F.filter("w", lambda x: F.length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
+    return F.transform(F.filter(F.array_distinct("w"), lambda x: F.length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
+
+
+def _phrases(n: int) -> Column:
+    """The phrases of n words."""
+    none = F.array().cast("array<string>")
+    return F.when(F.size("w") < n, none).otherwise(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.concat_ws(" ", *(F.get("w", i + k) for k in range(n)))))
 
 
 def _evidence(counted: DataFrame, base: float) -> DataFrame:
@@ -162,7 +282,8 @@ def _evidence(counted: DataFrame, base: float) -> DataFrame:
     g2 = 2 * (part(k, n * base) + part(n - k, n * (1 - base)))
     odds = F.log((k + 0.5) / (n - k + 0.5)) - float(np.log(base / (1 - base)))
     found = counted.filter(k / n >= max(LEAST_SHARE, base)).select("pattern", g2.alias("g2"), odds.alias("odds"))
-    return found.filter((F.col("g2") >= LEAST_G2) & (F.col("odds") > 0))
+    least = F.when(F.contains("pattern", F.lit(" ")), LEAST_G2_PHRASE).otherwise(LEAST_G2)
+    return found.filter((F.col("g2") >= least) & (F.col("odds") > 0))
 
 
 def _contexts(rows: DataFrame, patterns: list[str]) -> DataFrame:
@@ -177,11 +298,11 @@ def _contexts(rows: DataFrame, patterns: list[str]) -> DataFrame:
         for b in batches:
             out: dict[str, list] = {"pattern": [], "word": [], "around": [], "toxic": []}
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                words = ["", *_WORD.findall((text or "").lower()), ""]
-                for before, word, after in zip(words, words[1:], words[2:], strict=False):
-                    for pattern in lexicon.matches(word):
-                        for column, value in zip(out.values(), (pattern, word, f"{before} {after}", toxic), strict=True):
-                            column.append(value)
+                words = _WORD.findall((text or "").lower())
+                for pattern, i, j in lexicon.matches(words):
+                    around = " ".join(("", *words)[i : i + 1] + (*words, "")[j : j + 1])
+                    for column, value in zip(out.values(), (pattern, " ".join(words[i:j]), around, toxic), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_pydict(out, pa.schema([*((c, pa.string()) for c in ("pattern", "word", "around")), ("toxic", pa.int32())]))
 
     seen = rows.select("text", F.col("toxic").cast("int")).mapInArrow(scan, "pattern string, word string, around string, toxic int")
@@ -193,12 +314,14 @@ def _contexts(rows: DataFrame, patterns: list[str]) -> DataFrame:
 
 
 def learn_patterns(rows: DataFrame) -> dict[str, float]:
-    """Words and word beginnings that mark toxic rows, with capped log-odds as weights.
+    """Words, word beginnings and phrases that mark toxic rows, with capped log-odds as weights.
 
-    Candidates are found by the rows they stand in, then tested by the contexts they stand in.
+    Candidates are found by the rows they stand in, then tested by the contexts they stand in. A
+    phrase with a word that is a pattern is none. What comes to the driver is bounded by the
+    sample: a pattern stands in at least five of its toxic rows.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)))
-    patterns = F.array_distinct(F.concat("w", *map(_stems, STEMS)))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0))
+    patterns = F.array_distinct(F.concat("w", *map(_stems, STEMS), *map(_phrases, PHRASES)))
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return {}
@@ -207,35 +330,13 @@ def learn_patterns(rows: DataFrame) -> dict[str, float]:
         .groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
     )
     base = toxic / total
-    best = _evidence(counted, base).orderBy(F.desc("g2"), "pattern").limit(MAX_PATTERNS).collect()
-    kept = _evidence(_contexts(rows, [r["pattern"] for r in best]), base).collect()
+    best = [r["pattern"] for r in _evidence(counted, base).collect()]
+    single = Lexicon({p: 1.0 for p in best if " " not in p})
+    best = [p for p in best if " " not in p or not any(single.symbol(w)[1] for w in p.split(" "))]
+    kept = _evidence(_contexts(rows, best), base).collect()
     return {r["pattern"]: min(1.0, r["odds"] / 4) for r in sorted(kept, key=lambda r: (-r["g2"], r["pattern"]))}
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method, pulled towards ``prior`` where data are few."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    centre, pull = np.append(prior, -3.0), np.append(np.full(len(prior), ridge), 0.01)
-
-    def loss(w: np.ndarray) -> float:
-        z = x1 @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + (pull * (w - centre) ** 2).sum() / 2)
-
-    w = centre.copy()
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        slope = x1.T @ (y - p) - pull * (w - centre)
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(pull), slope)
-        # classes that part well make full steps overshoot: halve until the loss falls enough
-        before, t = loss(w), 1.0
-        while loss(w + t * step) > before - 1e-4 * t * float(slope @ step) and t > 1e-10:
-            t /= 2
-        w = w + t * step
-        if np.abs(t * step).max() < 1e-8:
-            break
-    return w[:-1], float(w[-1])
-
-
 class Model(NamedTuple):
     patterns: dict[str, float]
     weights: np.ndarray
@@ -258,8 +359,21 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     scanned = rows.select("text", F.col("toxic").cast("int")).mapInArrow(scan, "x array<double>, y int").collect()
     x = np.array([r["x"] for r in scanned], float).reshape(-1, FEATURES)
     y = np.array([r["y"] for r in scanned], float)
-    weights, bias = fit_weights(x, y, PRIOR) if len(set(y)) == 2 else (PRIOR, -3.0)
-    return Model(patterns, weights, bias)
+    return Model(patterns, *fit_contexts(x, y))
+
+
+def fit_contexts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the features and a bias, pulled towards the priors; those alone without both labels."""
+    if len(set(y)) < 2:
+        return PRIOR, BIAS
+    w = fit_logistic(np.hstack([x, np.ones((len(x), 1))]), y, np.append(PRIOR, BIAS), np.append(np.ones(FEATURES), 0.01))
+    return w[:-1], float(w[-1])
+
+
+def scores(lexicon: Lexicon, model: Model, texts: list[str | None]) -> np.ndarray:
+    """The scores of some whole texts."""
+    x = np.array([lexicon.features(t) for t in texts]).reshape(-1, FEATURES)
+    return 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -274,23 +388,26 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", id_col
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.patterns)
         for b in batches:
-            x = np.array([lexicon.features(t) for t in b["text"].to_pylist()]).reshape(-1, FEATURES)
-            score = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
+            score = scores(lexicon, model, b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["id", "score", "predicted"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, all columns unchanged."""
+    """The rows of ``docs`` whose score is below THRESHOLD, all columns unchanged.
+
+    Rows with a null or empty text, repeated rows and those with a null id are judged like any
+    other, each for itself; an empty table stays empty. Only the text is looked at, whatever other
+    columns there are.
+    """
     small_batches(docs.sparkSession)
     schema = docs.schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.patterns)
         for b in batches:
-            x = np.array([lexicon.features(t) for t in b["text"].to_pylist()]).reshape(-1, FEATURES)
-            score = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
+            score = scores(lexicon, model, b["text"].to_pylist())
             yield b.filter(pa.array(score < THRESHOLD))
 
     return docs.mapInArrow(scan, schema)

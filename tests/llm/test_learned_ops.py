@@ -342,34 +342,88 @@ def test_profile_is_a_unit_vector():
 
 
 def test_toxicity_on_held_out_rows(spark, sf):
-    sf = sf.replace("sf0.001", "sf0.01")
+    sf = sf.replace("sf0.001", "sf0.1")  # the insults of some languages are too rare in smaller data to be learned
     truth = {r["doc_id"]: r["toxic"] for r in queries.table(spark, sf, "labels").collect()}
     got = queries.op7_toxicity(spark, sf).collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == held(r["doc_id"]) for r in got)
     out = [r for r in got if r["held_out"] and r["doc_id"] in truth]
-    clean = [r["predicted"] for r in out if not truth[r["doc_id"]]]
-    toxic = [r["score"] for r in out if truth[r["doc_id"]]]
-    assert sum(clean) / len(clean) <= 0.02 and np.mean(toxic) > 0.5
+    caught = sum(truth[r["doc_id"]] for r in out if r["predicted"])
+    recall, precision = caught / sum(truth[r["doc_id"]] for r in out), caught / sum(r["predicted"] for r in out)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
 
 
-def test_grammar_contexts():
-    lex = toxicity.Lexicon({"moron": 1.0, "glorp*": 1.0})
-    at = lambda t: np.flatnonzero(lex.features(t)[: toxicity.CONTEXTS]).tolist()
-    assert at("a moron.") == [0] and at("you moron") == [1] and at("moron, you") == [1]
-    assert at("not a moron") == [2] and at("never you moron") == [3] and at("not at all as it was a moron") == [0]
-    assert at("she said moron") == [4] and at("glorpify it") == [0] and at("glorp") == []
-    assert lex.features("i will kill you")[toxicity.CONTEXTS] == 1 and lex.features("kill time")[toxicity.CONTEXTS] == 0
-    assert not lex.features(None).any() and not lex.features("clean words").any()
+LEXICON = toxicity.Lexicon({"moron": 1.0, "glorp*": 1.0, "piece of junk": 0.8})
 
 
-def test_composed_machine_equals_its_parts():
-    parts = (toxicity.latch(toxicity.TARGET), toxicity.within_reach(toxicity.NEGATION, 2))
-    both = toxicity.compose(*parts)
-    for word in itertools.product(range(6), repeat=4):
-        s, (a, b) = both.start, (parts[0].start, parts[1].start)
-        for x in word:
-            s, a, b = both.step[s, x], parts[0].step[a, x], parts[1].step[b, x]
-        assert both.flag[s] == parts[0].flag[a] + 2 * parts[1].flag[b]
+@pytest.mark.parametrize(
+    "text, contexts",
+    [("a moron.", [0]), ("you moron", [1]), ("moron, you", [1]), ("a moron who sees that nobody at all likes you", [0]), ("not a moron", [2]), ("never you moron", [3]),
+     ("not at all as it was a moron", [0]), ("she said moron", [4]), ("she said: you are a moron", [5]), ("she said it. moron", [0]), ("glorpify it", [0]), ("glorp", []),
+     ("what a piece of junk", [0]), ("piece of junk you are", [1]), ("piece of cake", []), ("i will kill you", [8]), ("kill time", []), ("you kill me", []),
+     ("he killed her and threatens to shoot you", [8]), ("ich werde dich töten", [8]), ("we are going to find you", [8]), ("we will find out", []), ("you will find it", []),
+     ("i won't hurt you", [10]), ("he said i will kill you", [12]), ("moron i will kill you", [1, 8]), (None, []), ("clean words", [])],
+)
+def test_grammar_contexts(text, contexts):
+    assert np.flatnonzero(LEXICON.features(text)[: toxicity.CONTEXTS]).tolist() == contexts
+
+
+def test_each_transducer_changes_a_score():
+    model = toxicity.Model({}, toxicity.PRIOR, toxicity.BIAS)
+    score = lambda *texts: toxicity.scores(LEXICON, model, list(texts)).tolist()
+    clean, insult, aimed, negated, reported, threat, intended = score("fine", "a moron", "you moron", "not you moron", "he said you moron", "kill you", "i will kill you")
+    assert clean < negated < insult < aimed and reported < aimed and clean < threat < intended and insult > 0.2
+
+
+def test_best_path_of_the_cascade_against_all_paths():
+    rng = random.Random(13)
+    parts = LEXICON.machine.parts
+
+    def written(part, tape):
+        """All tapes that one transducer alone writes for a tape, with their weights."""
+        front = [((), part.start, 0.0)]
+        for x in tape:
+            front = [((*out, z), t, w + v) for out, s, w in front for z, t, v in part.arcs(s, x)]
+        return [(out, w) for out, s, w in front if part.accepts(s)]
+
+    words = "moron piece of junk kill find will you dich not said a".split()
+    for _ in range(300):
+        tape = [LEXICON.symbol(rng.choice(words)) for _ in range(rng.randint(0, 7))]
+        tapes = [(tuple(tape), 0.0)]
+        for part in parts:
+            tapes = [(out, w + v) for y, w in tapes for out, v in written(part, y)]
+        weight, hits = LEXICON.machine.best(tape)
+        assert weight == pytest.approx(max(w for _, w in tapes)) and sum(w for _, w in hits) == pytest.approx(weight)
+
+
+def test_contexts_decide_where_words_do_not():
+    rng = random.Random(14)
+    say = lambda forms: f"{rng.choice(forms)} {rng.choice('lake house tree'.split())}"
+    rows = [(say(["you moron", "you are a moron", "moron by the"]), 1) for _ in range(120)]
+    rows += [(say(["not a moron near the", "never a moron or", "he said moron to the", "she wrote moron on the"]), 0) for _ in range(240)]
+    rng.shuffle(rows)
+    x, y = np.array([LEXICON.features(t) for t, _ in rows]), np.array([k for _, k in rows], float)
+    merged = x.copy()
+    merged[:, : toxicity.CONTEXTS] = 0
+    merged[:, 0] = x[:, : toxicity.CONTEXTS].sum(axis=1)
+    merged[:, -1] = merged[:, 0]
+    right = []
+    for z in (x, merged):
+        w, b = toxicity.fit_contexts(z[:200], y[:200])
+        right.append((((z[200:] @ w + b) > 0) == y[200:]).mean())
+    assert right[0] == 1.0 and right[1] < 0.8
+
+
+def test_words_beginnings_and_phrases_are_learned(spark):
+    rng = random.Random(15)
+    fill = lambda n: " ".join(rng.choice([f"w{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]) for _ in range(n))
+    bad = lambda i: ["blargh", f"snork{'abcde'[i % 5]}x", "bag of salt"][i % 3]
+    rows = [(i, f"{fill(20)} {bad(i)} {fill(9)}" if i % 4 == 0 else f"{fill(10)} {rng.choice(['bag', 'of', 'salt', 'of salt'])} {fill(20)}") for i in range(900)]
+    d = spark.createDataFrame([(i, t, None, None, 1) for i, t in rows], DOC)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, labels)
+    assert "blargh" in model.patterns and "bag of salt" in model.patterns and any(p.startswith("snork") and p.endswith("*") for p in model.patterns)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(d, model).collect()}
+    assert all(got[i] == int(i % 4 == 0) for i, _ in rows if held(i))
 
 
 def test_toxicity_without_labels(spark):
@@ -377,6 +431,8 @@ def test_toxicity_without_labels(spark):
     m = toxicity.train(d, spark.createDataFrame([(0, 1, 0), (None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int"))
     assert not m.patterns and [r["predicted"] for r in toxicity.score_toxicity(d, m).collect()] == [0, 0]
     assert toxicity.keep_civil(d, m).count() == 2 and toxicity.score_toxicity(d.limit(0), m).count() == 0
+    odd = spark.createDataFrame([(None, "i will kill you", 1.0), (None, None, 2.0), (3, "", None), (3, "", None)], "doc_id long, text string, score double")
+    assert [tuple(r) for r in toxicity.keep_civil(odd, m).collect()] == [(None, None, 2.0), (3, "", None), (3, "", None)]
 
 
 # ---- pipeline -----------------------------------------------------------------------------
