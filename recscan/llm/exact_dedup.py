@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import materialize, numbered
+from recscan.llm.shared import join_groups, materialize, numbered, settled
 
 #: Deleted before texts are compared.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -80,12 +80,12 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     input: of repeated rows exactly one stays. Null and empty texts are equal to each other. An
     empty table gives an empty result. Other columns of ``docs`` are not read.
 
-    A hot group costs one partial aggregate per task, and a join that Spark can split.
+    A hot group costs one partial aggregate per task; its rows are not brought together.
     """
     keyed = verified_keys(recipes(docs, text_col, id_col))
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), "_id", "_row"))
-    groups = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
-    return keyed.join(groups, "_key").select(
+    groups = materialize(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best")), "groups")
+    return join_groups(keyed, groups, ["_key"], "group_size").select(
         "_row",
         F.col("_id").alias(id_col),
         F.col("_best._id").alias("keep_id"),
@@ -97,6 +97,7 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, all their columns unchanged; see :func:`exact_groups`."""
+    docs = settled(docs, "docs")
     stay = exact_groups(docs, text_col, id_col).filter("kept").select(F.col("_row").alias("_stay_row"))
     all_rows = numbered(docs, "_stay_row")
     return all_rows.join(stay, "_stay_row", "left_semi").select("_all.*")

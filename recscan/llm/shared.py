@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +16,10 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "file:///tmp/checkpoints/recscan"
 #: Rows of an Arrow batch; with long texts the default of 10,000 would fill a worker's memory.
 ARROW_ROWS = 256
+#: Keys that more rows than this share are joined apart from the others.
+HOT_ROWS = 1_000
+#: Tables of up to so many narrow rows (some 30 MB) are broadcast, larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,27 +46,79 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/recscan/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the scratch tables that are not deleted yet, in the order they were written.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage and lets a result be used twice without computing it twice; the copy
-    survives the loss of any executor.
+    survives the loss of any executor. It is deleted by :func:`scratch`, or by hand.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the scratch tables written within, but for those whose paths are put into the list.
+
+    What is lazy and reads them must be written, or done with, before the end.
+    """
+    mark, kept = len(_written), []
+    yield kept
+    for path in [p for p in _written[mark:] if p not in kept]:
+        drop_scratch(spark, path)
+        _written.remove(path)
+
+
+#: What the plan of a table that is only read, and cut to some columns or rows, is made of.
+_READS = re.compile(r"(?:\*\(\d+\) )?(?:Scan|FileScan|Project|Filter|ColumnarToRow|AdaptiveSparkPlan)\b")
+
+
+def settled(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` such that each reading numbers its rows alike: as it is if it only reads files, else written."""
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        docs.explain("simple")
+    lines = [x.lstrip(" :+-") for x in said.getvalue().split("\n")[1:] if x.strip()]
+    same = all(_READS.match(x) for x in lines) and not re.search(r"\brand|uuid|monotonically|ExistingRDD|LocalTable", said.getvalue())
+    return docs if same else materialize(docs, name)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` as two columns: the row's number, called ``name``, and all its columns as _all.
 
-    Numbers are made of partition and place, so they come out alike again only where ``docs`` is
-    read alike again, as files are. Write a DataFrame that is computed anew each time first.
+    Numbers are made of partition and place, so ``docs`` must be :func:`settled`.
     """
     return docs.select(F.monotonically_increasing_id().alias(name), F.struct("*").alias("_all"))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with their group, of which there is one per key, whatever its number of rows.
+
+    ``size`` is the column of ``groups`` with that number. Rows of groups above ``hot`` rows stay where
+    they are: those groups, one row for each, are broadcast, or if there are over BROADCAST_ROWS of
+    them dealt out with their rows to slots of ``hot`` rows. Both inputs should be written tables.
+    """
+    hot = HOT_ROWS if hot is None else hot
+    large = materialize(groups.filter(F.col(size) > hot), "hot_groups")
+    n = large.count()
+    if not n:
+        return rows.join(groups, keys)
+    cold = groups.filter(F.col(size) <= hot)
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(cold, keys).unionByName(rows.join(F.broadcast(large), keys))
+    slots = large.select(*keys, F.ceil(F.col(size) / hot).alias("_slots"))
+    dealt = rows.join(slots, keys, "left").withColumn("_slot", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_slots", F.lit(1).cast("long")))).drop("_slots")
+    spread = groups.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col(size) / hot)).cast("long") - 1)))
+    return dealt.join(spread, [*keys, "_slot"]).drop("_slot")
+
+
 def drop_scratch(spark: SparkSession, df_path: str) -> None:
     """Delete a scratch folder that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df_path)

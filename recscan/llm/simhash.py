@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recscan.llm.components import connected_components
-from recscan.llm.shared import materialize, numbered, small_batches
+from recscan.llm.shared import join_groups, materialize, numbered, settled, small_batches
 
 SEED = 42
 #: Node pairs that a task holds at once, and shingles that it hashes at once.
 FRONTIER, HASHES = 1 << 19, 1 << 16
 #: A block value shared by more fingerprints than this is dealt to several tasks, by pairs of slots.
 HOT = 8192
+#: Rows, and members of sets, that a task of the join gets on average at most; more tasks are made for more.
+TASK_ROWS, TASK_MEMBERS = 1 << 19, 1 << 23
 #: So many leading bits of a fingerprint go along to the tries, to test pairs there.
 CHECK_BITS = 128
 
@@ -214,7 +216,7 @@ def _parts(fp: list[bytes], part_bits: int) -> np.ndarray:
     return np.frombuffer(b"".join(fp), f">u{part_bits // 8}").reshape(len(fp), -1).astype(np.uint64)
 
 
-def trie_links(fps: DataFrame, part_bits: int = 64, budget: int = 3, within: int | None = None, hot: int = HOT) -> DataFrame:
+def trie_links(fps: DataFrame, part_bits: int = 64, budget: int = 3, within: int | None = None, hot: int = HOT, words: int = 1) -> DataFrame:
     """Links (a, b, bits) between rows of ``fps`` (id long, fp binary, distinct in both).
 
     Two rows are linked if some part of ``part_bits`` bits of their fingerprints differs in at
@@ -222,11 +224,11 @@ def trie_links(fps: DataFrame, part_bits: int = 64, budget: int = 3, within: int
     The result has, for each task, links that connect what its pairs connect, the closest first:
     the components are exact, and a task returns fewer links than it has rows.
 
-    Each fingerprint goes to budget + 1 tries per part. A block value that more than ``hot``
+    Fingerprints are ``words`` times 64 bits. Each goes to budget + 1 tries per part. A block value that more than ``hot``
     fingerprints share is cut into slots, and pairs of slots are walked by different tasks.
     """
     check = F.substring("fp", 1, CHECK_BITS // 8)
-    dealt_out = _deal(fps.select("id", "fp", check.alias("check")), part_bits, budget, hot, ["check"])
+    dealt_out = _deal(fps.select("id", "fp", check.alias("check")), part_bits, budget, hot, ["check"], 64 * words // part_bits)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, which = _gathered(batches)
@@ -246,8 +248,11 @@ def trie_links(fps: DataFrame, part_bits: int = 64, budget: int = 3, within: int
     return dealt_out.mapInArrow(join, "a long, b long, bits long")
 
 
-def _deal(fps: DataFrame, part_bits: int, budget: int, hot: int, cols: list[str]) -> DataFrame:
-    """Rows of ``fps`` (id, fp, ``cols``) once for each trie and slot: bucket, lo, hi, slot, key, id, ``cols``."""
+def _deal(fps: DataFrame, part_bits: int, budget: int, hot: int, cols: list[str], fps_parts: int) -> DataFrame:
+    """Rows of ``fps`` (id, fp, ``cols``) once for each trie and slot: bucket, lo, hi, slot, key, id, ``cols``.
+
+    ``fps_parts`` is the number of parts in a fingerprint.
+    """
     blocks, width = budget + 1, part_bits // (budget + 1)
     names = ["bucket", "key", "id", *cols]
 
@@ -266,7 +271,10 @@ def _deal(fps: DataFrame, part_bits: int, budget: int, hot: int, cols: list[str]
     dealt = fps.select("id", "fp", *cols).mapInArrow(spread, schema)
     sizes = materialize(dealt.groupBy("bucket").count().filter(F.col("count") > hot), "hot")
     one = F.lit(0).cast("long")
-    if sizes.isEmpty():
+    # the numbers of rows and of what hot blocks add to them are known, so tasks stay of one size
+    more = sizes.agg(F.sum(F.col("count") * (F.ceil(F.col("count") / hot) - 1))).first()[0] or 0
+    total = fps.count() * blocks * fps_parts + int(more)
+    if not more:
         tasks = dealt.withColumns({"lo": one, "hi": one, "slot": one})
     else:
         slotted = dealt.join(sizes, "bucket", "left").withColumn("slots", F.ceil(F.coalesce("count", F.lit(1)) / hot).cast("long"))
@@ -274,7 +282,12 @@ def _deal(fps: DataFrame, part_bits: int, budget: int, hot: int, cols: list[str]
         # a row meets the rows of every slot, in the task of that pair of slots
         pairs = slotted.select("*", slot.alias("slot"), F.explode(F.sequence(one, F.col("slots") - 1)).alias("other"))
         tasks = pairs.withColumns({"lo": F.least("slot", "other"), "hi": F.greatest("slot", "other")})
-    return tasks.select("bucket", "lo", "hi", "slot", "key", "id", *cols).repartition("bucket", "lo", "hi")
+    return tasks.select("bucket", "lo", "hi", "slot", "key", "id", *cols).repartition(tasks_for(fps, total, TASK_ROWS), "bucket", "lo", "hi")
+
+
+def tasks_for(df: DataFrame, total: int, each: int) -> int:
+    """Number of tasks so that each has about ``each`` of ``total``, and at least the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, np.ndarray]:
@@ -331,11 +344,11 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     it has none. Other columns are not read; an empty table gives no row.
     """
     hashed = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), text_col), text_col, ["id"], k), "fingerprints")
-    nodes = hashed.groupBy("fp").agg(F.min("id").alias("id"))
-    links = trie_links(materialize(nodes.filter("id is not null"), "nodes"), 64, budget)
+    nodes = materialize(hashed.groupBy("fp").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n")), "nodes")
+    links = trie_links(nodes.filter("_first is not null").select(F.col("_first").alias("id"), "fp"), 64, budget)
     found = connected_components(materialize(links, "links"))
-    named = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return hashed.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    named = nodes.join(found.withColumnRenamed("node", "_first"), "_first", "left").select("fp", "_n", F.coalesce("component", "_first").alias("component_id"))
+    return join_groups(hashed, materialize(named, "named"), ["fp"], "_n").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 # ---- near-dedup on word shingles ------------------------------------------------------------
@@ -426,7 +439,7 @@ def open_links(nodes: DataFrame, sets: DataFrame, similar: float, hot: int = HOT
     Sets go only to the tries in which their row has such a candidate, and what a task accepts it
     returns as a forest. Pairs that an accepted link of the task already joins are not looked at.
     """
-    dealt = _deal(nodes.select("id", "fp", F.col("fp").alias("full"), "comp"), PART_BITS, PART_BUDGET, hot, ["full", "comp"])
+    dealt = _deal(nodes.select("id", "fp", F.col("fp").alias("full"), "comp"), PART_BITS, PART_BUDGET, hot, ["full", "comp"], 64 * WIDE // PART_BITS)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, which = _gathered(batches)
@@ -450,7 +463,8 @@ def open_links(nodes: DataFrame, sets: DataFrame, similar: float, hot: int = HOT
                 yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], ["a", "b"])
 
     met = materialize(dealt.mapInArrow(members, dealt.schema), "contested")
-    return met.join(sets, "id").select(*dealt.columns, "set").repartition("bucket", "lo", "hi").mapInArrow(verify, "a long, b long")
+    total = met.join(sets.select("id", F.size("set").alias("n")), "id").agg(F.sum("n")).first()[0] or 0
+    return met.join(sets, "id").select(*dealt.columns, "set").repartition(tasks_for(met, total, TASK_MEMBERS), "bucket", "lo", "hi").mapInArrow(verify, "a long, b long")
 
 
 def near_links(docs: DataFrame, text_col: str = "text", k: int = NEAR_WORDS, similar: float = NEAR_SIMILARITY) -> DataFrame:
@@ -464,9 +478,9 @@ def near_links(docs: DataFrame, text_col: str = "text", k: int = NEAR_WORDS, sim
     """
     wordy = docs.filter(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]")) > 0).select("_row", text_col)
     hashed = materialize(fingerprints(wordy, text_col, ["_row"], k, WIDE, as_sets=True), "fingerprints")
-    nodes = materialize(hashed.groupBy("fp", "digest").agg(F.min("_row").alias("id")), "nodes")
-    equal = hashed.join(nodes, ["fp", "digest"]).filter("_row <> id").select(F.col("id").alias("a"), F.col("_row").alias("b"))
-    close = trie_links(nodes.select("id", "fp"), PART_BITS, PART_BUDGET, CHECK_WITHIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    nodes = materialize(hashed.groupBy("fp", "digest").agg(F.min("_row").alias("id"), F.count(F.lit(1)).alias("_n")), "nodes")
+    equal = join_groups(hashed, nodes.filter("_n > 1"), ["fp", "digest"], "_n").filter("_row <> id").select(F.col("id").alias("a"), F.col("_row").alias("b"))
+    close = trie_links(nodes.select("id", "fp"), PART_BITS, PART_BUDGET, CHECK_WITHIN, words=WIDE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(close.distinct(), "candidates")
 
     words = F.filter(F.split(F.translate(text_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -492,7 +506,7 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Of each group of linked rows the one with the smallest id (null last, then the first row of
     the input) stays; rows in no link stay. Null and empty texts are never near duplicates.
     """
-    all_rows = numbered(docs, "_row")
+    all_rows = numbered(settled(docs, "docs"), "_row")
     rows = all_rows.select("_row", F.col(f"_all.{id_col}").alias("id"), F.col(f"_all.{text_col}").alias(text_col))
     found = connected_components(materialize(near_links(rows.select("_row", text_col), text_col, k, similar), "links"))
     known = materialize(found.join(rows.select("_row", "id"), found["node"] == F.col("_row")).select("_row", "id", "component"), "members")

@@ -64,7 +64,7 @@ def bend(rng, text, n):
 @pytest.mark.parametrize("hot", [simhash.HOT, 3])
 def test_simhash_components_against_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", hot)
-    monkeypatch.setattr(simhash.trie_links, "__defaults__", (64, 3, None, hot))
+    monkeypatch.setattr(simhash.trie_links, "__defaults__", (64, 3, None, hot, 1))
     rng = random.Random(1)
     base = [story(rng) for _ in range(8)]
     texts = [None, "", " \n", "one", "One", "one two", "Ünï ß İ", *base, *(bend(rng, b, n) for b in base for n in (1, 1, 2, 3)), *[base[0]] * 12, "x y z " * 3000]
