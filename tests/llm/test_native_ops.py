@@ -146,9 +146,64 @@ def test_contamination_against_brute_force(spark):
 
 
 def test_native_simhash_equals_bits(spark):
-    hashes = [random.Random(5).getrandbits(64) - 2**63 for _ in range(41)]
-    fp = spark.createDataFrame([(hashes,)], "h array<long>").select(decontaminate.simhash(F.col("h"))).first()[0]
-    assert fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hashes) > 41)
+    rng = random.Random(5)
+    rows = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (0, 1, 41, 33_000)] + [[-1] * 40_000, [-1] * 32_767, [2**62] * 100_000]
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(rows)], "i int, h array<long>").select("i", decontaminate.simhash(F.col("h"))).collect()
+    for i, fp in got:
+        assert fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in rows[i]) > len(rows[i]))
+
+
+def test_similarity_of_multisets(spark):
+    rng = random.Random(8)
+    rows = [([rng.randint(-3, 3) for _ in range(rng.randint(0, 9))], [rng.randint(-3, 3) for _ in range(rng.randint(0, 9))]) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontaminate.shared_count(F.col("a"), F.col("b"))).collect()
+    assert all(n == sum((Counter(a) & Counter(b)).values()) for a, b, n in got)
+
+
+def test_recall_at_the_shipped_radius(spark):
+    """Random windows around the least similarity: what the radius loses is measured against brute force."""
+    rng = random.Random(21)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [say(rng.choice([15, 25, 40, 57])) for _ in range(40)]
+    texts, truth = [], []
+    for i, item in enumerate(items):
+        for _ in range(15):
+            w = list(item)
+            for _ in range(rng.randint(0, 1 + len(item) // 40)):
+                w[rng.randrange(len(w))] = "changed"
+            a, b = shingles(item, 5), shingles(w, 5)
+            n = sum((a & b).values())
+            texts.append(" ".join(say(30) + w + say(30)))
+            truth.append((i, n / (sum(a.values()) + sum(b.values()) - n)))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.contamination(docs(spark, texts), bench).filter("contaminated").collect()}
+    same, close = [], []
+    for d, (i, sim) in enumerate(truth):
+        if sim == 1:
+            same.append(got.get(d) == i)
+        elif sim >= 0.8:
+            close.append(got.get(d) == i)
+        else:
+            assert d not in got
+    assert all(same) and len(close) > 60 and sum(close) / len(close) >= 0.94, sum(close) / len(close)
+
+
+def test_long_items_are_found(spark):
+    rng = random.Random(22)
+    long = [f"w{rng.randrange(10**7)}" for _ in range(100_000)]
+    middle = [f"v{rng.randrange(10**7)}" for _ in range(700)]
+    off = ["x"] * 7 + middle[:]
+    for at in range(10, 700, 27):
+        off[at + 7] = f"new{at}"
+    texts = ["before it " * 77 + " ".join(long) + " and after", " ".join(long[:50_000]), " ".join(off), " ".join(middle[:400]), "clean"]
+    bench = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(middle)), (2, "ho " * 40_000)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs(spark, texts), bench).collect()}
+    a, b = shingles(middle, 5), shingles(off[7:], 5)
+    n = sum((a & b).values())
+    assert n / (len(a) * 2 - n) < 0.8 and [got[i]["item_id"] for i in range(5)] == [0, None, None, None, None]
+    near = " ".join(off[:120] + middle[113:])
+    got = decontaminate.contamination(docs(spark, [near]), bench).first()
+    assert got["item_id"] == 1 and got["similarity"] >= 0.8
 
 
 def test_multi_index_finds_all_within_the_radius():
