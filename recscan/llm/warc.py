@@ -5,9 +5,10 @@ a metadata record. Request and metadata name the response in ``WARC-Concurrent-T
 :func:`assemble` joins the three by it and gives one nested row per capture.
 
 Archives are gzip files written by Spark's text writer: a record is one string, and the writer's
-separator is the CRLF CRLF that ends a WARC record. Reading splits at the version line that opens
-every record and joins what a payload's own version lines split, by ``Content-Length``. So both
-ways go through Spark's file systems, records stream, and no file is held in memory.
+separator is the CRLF CRLF that ends a WARC record. Reading splits at what opens the version line
+of every record, of any WARC 1 version, and joins what a payload's own such lines split, by
+``Content-Length``. So both ways go through Spark's file systems, records stream, and no file is
+held in memory.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import small_batches
+from recscan.llm.shared import BROADCAST_ROWS, join_groups, materialize, settled, small_batches
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1\r\n"
+#: Opens a record of any version that is read.
+OPENS = "WARC/1."
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_MIN = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,25 +39,24 @@ def plan_captures(pages: DataFrame, min_bytes: int = REVISIT_MIN) -> DataFrame:
     Of the rows with equal payloads of at least ``min_bytes`` bytes the one with the largest
     page_id is the response (of repeated rows the last one), the others revisit it. A null html
     is an empty payload; a null page_id counts as the smallest.
+
+    Texts stay where they are: of each page an id, a digest and a length are written, groups are
+    found on those, and only what revisits say comes back to the pages.
     """
+    pages = settled(pages, "pages")
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(
-        "page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.sha1(html.cast("binary")).alias("_digest"),
-        F.octet_length(html).cast("long").alias("_bytes"),
-    )
-    large = F.col("_bytes") >= min_bytes
-    last = F.max(F.struct("page_id", "_row"))
-    keep = rows.filter(large).groupBy("_digest", "_bytes").agg(last.alias("_keep"))
-    joined = rows.join(keep, ["_digest", "_bytes"], "left")
-    again = F.col("_keep").isNotNull() & (F.col("_keep._row") != F.col("_row"))
-    return joined.select(
-        "page_id", "url", "html", "_row", "_digest", "_bytes",
-        F.when(again, "revisit").otherwise("response").alias("_type"),
-        F.when(again, F.col("_keep._row")).alias("_refers_row"),
-        F.when(again, F.col("_keep.page_id")).alias("_refers_id"),
+    own = pages.select(
+        "page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("_row"),
+        F.sha1(html.cast("binary")).alias("_digest"), F.octet_length(html).cast("long").alias("_bytes"),
     )
+    narrow = materialize(own.filter(F.col("_bytes") >= min_bytes).select("page_id", "_row", "_digest", "_bytes"), "payloads")
+    last = F.max(F.struct("page_id", "_row")).alias("_keep")
+    keep = materialize(narrow.groupBy("_digest", "_bytes").agg(last, F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared_payloads")
+    again = join_groups(narrow, keep, ["_digest", "_bytes"], "_n").filter(F.col("_keep._row") != F.col("_row"))
+    again = materialize(again.select("_row", F.col("_keep._row").alias("_refers_row"), F.col("_keep.page_id").alias("_refers_id")), "revisits")
+    joined = own.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "_row", "left")
+    kind = F.when(F.col("_refers_row").isNotNull(), "revisit").otherwise("response")
+    return joined.select("page_id", "url", "html", "_row", "_digest", "_bytes", kind.alias("_type"), "_refers_row", "_refers_id")
 
 
 def _record(kind: Column, record_id: Column, fields: list[tuple[str, Column]], mime: str, block: Column) -> Column:
@@ -113,13 +115,13 @@ def _parse(head: bytes, block: bytes) -> dict:
     for line in head.split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if colon:
-            named[name.strip().lower().decode()] = value.strip().decode()
+            named[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
     http, payload, fields = None, None, None
     if named.get("content-type", "").startswith("application/http"):
         first, _, payload = block.partition(b"\r\n\r\n")
         http = first.decode("utf-8", "replace")
     elif named.get("content-type") == "application/warc-fields":
-        fields = [(a.decode(), b.strip().decode()) for a, c, b in (x.partition(b":") for x in block.split(b"\r\n")) if c]
+        fields = [(a.decode("utf-8", "replace"), b.strip().decode("utf-8", "replace")) for a, c, b in (x.partition(b":") for x in block.split(b"\r\n")) if c]
     else:
         payload = block
     stored = named.get("warc-type") in ("response", "resource", "conversion")
@@ -132,38 +134,47 @@ def _parse(head: bytes, block: bytes) -> dict:
 
 
 def _records(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Pieces between version lines, in file order, to records; cut off what follows Content-Length."""
-    held, file = b"", None
+    """Pieces between openings, in file order, to records; cut off what follows Content-Length."""
+    held: list[bytes] = []
+    have, need, file = 0, None, None  # bytes held, bytes that the record has, if its head is complete
     for batch in batches:
         out = []
         for piece, path in zip(batch["value"].to_pylist(), batch["file"].to_pylist(), strict=True):
             if path != file:
-                if held.strip():
+                if b"".join(held).strip():
                     raise ValueError(f"{file} ends within a record")
-                held, file = b"", path
-            # what was held is an unfinished record: the payload had the version line in it
-            held = held + VERSION.encode() + piece if held else piece
-            head, blank, rest = held.partition(b"\r\n\r\n")
-            length = next((int(x[15:]) for x in head.split(b"\r\n") if x[:15].lower() == b"content-length:"), None)
-            if blank and length is not None and len(rest) >= length:
-                out.append(_parse(head, rest[:length]))
-                held = b""
+                held, have, need, file = [], 0, None, path
+            if held:  # an unfinished record: what opens one stands in its payload
+                piece = OPENS.encode() + piece
+            elif not piece.strip():
+                continue
+            held.append(piece)
+            have += len(piece)
+            if need is None:
+                head, blank, _ = b"".join(held).partition(b"\r\n\r\n")
+                length = next((int(x[15:]) for x in head.split(b"\r\n") if x[:15].lower() == b"content-length:"), None)
+                if blank and length is not None:
+                    need = len(head) + 4 + length
+            if need is not None and have >= need:
+                head, _, rest = b"".join(held)[:need].partition(b"\r\n\r\n")
+                out.append(_parse(head, rest))
+                held, have, need = [], 0, None
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
-    if held.strip():
+    if b"".join(held).strip():
         raise ValueError(f"{file} ends within a record; are archives gzip files, which Spark does not split?")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the gzip archives in ``path``; see RECORD_SCHEMA.
 
-    A record cut short, as by a truncated file, raises an error. An archive without records gives
+    Records of WARC 1.0 and 1.1 are read. Bytes of a header that are no UTF-8 are replaced. A record cut short, as by a truncated file, raises an error. An archive without records gives
     no row.
     """
     small_batches(spark)
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
     schema = pa.schema([(n, types[t]) for n, t in (x.split() for x in RECORD_SCHEMA.split(", "))])
-    raw = spark.read.option("lineSep", VERSION).text(path)
+    raw = spark.read.option("lineSep", OPENS).text(path)
     lines = raw.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
     return lines.mapInArrow(lambda batches: _records(batches, schema), RECORD_SCHEMA)
 

@@ -1,15 +1,17 @@
 """Exact dedup, chat formatting, decontamination, mixing and WARC on small fixtures."""
 
+import gzip
 import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recscan.llm import chat_format, decontaminate, exact_dedup, mixing, warc
+from recscan.llm import chat_format, decontaminate, exact_dedup, mixing, shared, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -324,3 +326,41 @@ def test_warc_empty_and_truncated(spark, tmp_path):
     (tmp_path / "t" / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort")
     with pytest.raises(Exception, match="within a record"):
         warc.read_warc(spark, f"file://{tmp_path}/t").count()
+
+
+def test_warc_of_other_versions(spark, tmp_path):
+    one = lambda version, n, extra=b"": b"WARC/" + version + b"\r\nWARC-Type: resource\r\nWARC-Record-ID: <r%d>\r\n%bContent-Length: 11\r\n\r\nWARC/1.0\r\n%d\r\n\r\n" % (n, extra, n)
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(one(b"1.0", 1) + one(b"1.1", 2, b"X-Odd: \xff\r\n") + one(b"1.0", 3)))
+    got = warc.read_warc(spark, f"file://{tmp_path}").orderBy("record_id").collect()
+    assert [(r["record_id"], bytes(r["payload"])) for r in got] == [(f"<r{n}>", b"WARC/1.0\r\n%d" % n) for n in (1, 2, 3)]
+
+
+def test_a_payload_full_of_version_lines_stays_fast():
+    pieces = [b"1\r\nWARC-Type: resource\r\nContent-Length: 700000\r\n\r\n"] + [b""] * 99_999 + [b"x" * 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(pieces), pa.array(["f"] * len(pieces))], ["value", "file"])
+    (out,) = warc._records([batch], pa.schema([("payload_bytes", pa.int64())]))
+    assert out["payload_bytes"].to_pylist() == [700_000]
+
+
+def test_hot_groups_are_joined_whole(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, i) for i in range(60) for k in ((0, 1, 2) if i < 20 else (0,))], "k int, v int")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m"))
+    want = sorted((k, i, 60 if k == 0 else 20, 59 if k == 0 else 19) for i in range(60) for k in ((0, 1, 2) if i < 20 else (0,)))
+    for hot, few in ((1000, 10), (30, 10), (7, 10), (7, 1)):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", few)
+        assert sorted(tuple(r) for r in shared.join_groups(rows, groups, ["k"], "n", hot).select("k", "v", "n", "m").collect()) == want
+
+
+def test_settled_and_scratch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).write.parquet(path)
+    read = spark.read.parquet(path)
+    with shared.scratch(spark) as kept:
+        before = len(shared._written)
+        assert shared.settled(read.filter("id > 3").select("id"), "x") is not None and len(shared._written) == before
+        for df in (read.repartition(3), spark.range(5), spark.createDataFrame([(1,)], "rand int"), read.orderBy("id")):
+            assert shared.settled(df, "x").count() == df.count()
+        assert len(shared._written) == before + 4
+        kept.append(shared._written[-1])
+    assert len(shared._written) == before + 1 and spark.read.parquet(kept[0]).count() == 100
+    shared.drop_scratch(spark, shared._written.pop())
