@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import materialize, numbered
+from recscan.llm.shared import BROADCAST_ROWS, materialize, numbered, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of their code points, repeated.
@@ -104,8 +104,9 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
 
     size is the text's number of words (null: 0); target belongs to the row's source; copies is 0,
     1 or 2 and taken = copies x size. Documents without words are taken 0 times. Rows with a null
-    source are one source, ordered last. Repeated rows are rounded each for itself. An empty table
-    gives no row.
+    source are one source, ordered last. Repeated rows are rounded each for itself, and so are rows
+    without an id. An empty table gives no row. Reruns agree where ids are not repeated; of equal
+    rows in another order, others may be taken.
 
     Only narrow rows move. A source with a third of all rows has as many buckets as it has
     LEAF_ROWS rows; buckets leave one residual each, and levels are added until one is left.
@@ -122,6 +123,14 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     targets = source_targets(narrow)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.xxhash64("id", "size")
+    # many rows of one id and size, as those without an id, would share a bucket: they are dealt out by row
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("source", "id", "size")]
+    often = narrow.groupBy(*(F.col(c).alias(f"_{c}") for c in ("source", "id", "size"))).count().filter(F.col("count") > LEAF_ROWS / 4).drop("count")
+    often = materialize(often.withColumn("often", F.lit(True)), "often")
+    n = often.count()
+    if n:
+        narrow = narrow.join(F.broadcast(often) if n <= BROADCAST_ROWS else often, same, "left").drop("_source", "_id", "_size")
+        key = F.when(F.col("often"), F.xxhash64("id", "size", "row")).otherwise(key)
     rows = (
         narrow.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("whole", F.floor(rate + _DONE).cast("long"))
@@ -159,8 +168,14 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: the taken rows of ``docs``, all columns, once per copy, with ``copy`` (0, 1)."""
+    """The mix itself: the taken rows of ``docs``, all columns, once per copy, with ``copy`` (0, 1).
+
+    Where ``docs`` has a column of that name, it stays and the number is called copy_1, and so on.
+    Rows are taken as :func:`mix` says; an empty table gives no row.
+    """
+    docs = settled(docs, "docs")
+    name = next(n for n in ("copy", *(f"copy_{i}" for i in range(1, len(docs.columns) + 2))) if n.lower() not in map(str.lower, docs.columns))
     taken = mix(docs).filter("copies > 0").select(F.col("_row").alias("_mix_row"), "copies")
     all_rows = numbered(docs, "_mix_row")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("_copy")
-    return all_rows.join(taken, "_mix_row").select("_all", copy).select("_all.*", F.col("_copy").alias("copy"))
+    return all_rows.join(taken, "_mix_row").select("_all", copy).select("_all.*", F.col("_copy").alias(name))

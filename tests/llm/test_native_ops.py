@@ -273,6 +273,19 @@ def test_mix_meets_its_targets(spark, monkeypatch, leaf, fan):
     assert mixed.columns == ["doc_id", "text", "size", "source", "n_chars", "copy"] and mixed.count() == sum(r["copies"] for r in got)
 
 
+def test_rows_without_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 8)
+    monkeypatch.setattr(mixing, "FAN_IN", 2)
+    d = spark.createDataFrame([(None, "w w w", "a", 1)] * 200 + [(i, "w " * i, "b", 1) for i in range(300)], "doc_id long, text string, source string, copy int")
+    got = mixing.mix(d).collect()
+    assert len(got) == 500
+    for null in (True, False):
+        part = [r for r in got if (r["doc_id"] is None) == null]
+        assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 300
+    mixed = mixing.mixed_documents(d)
+    assert mixed.columns == [*d.columns, "copy_1"] and mixed.count() == sum(r["copies"] for r in mixing.mix(d).collect())
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, ["a"]).limit(0)).count() == 0
     assert [r["taken"] for r in mixing.mix(docs(spark, [None, ""])).collect()] == [0, 0]
