@@ -41,7 +41,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Z0-9])")
+_IBAN = re.compile(r"(?<![A-Z0-9])([A-Z]{2})[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})")
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_LENGTH = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 _PHONE_LOCAL = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 
 
@@ -70,6 +77,25 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches as long as their country's numbers are, with single spaces between characters, that pass mod-97."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        left, at = _IBAN_LENGTH.get(m[1], 0) - 4, m.end()
+        if left < 0 or m.start() < free:
+            continue
+        while left:
+            skip = text[at : at + 1] == " "
+            c = text[at + skip : at + skip + 1]
+            if not ("A" <= c <= "Z" or "0" <= c <= "9"):
+                break
+            at, left = at + skip + 1, left - 1
+        c = text[at : at + 1]
+        if not left and not ("A" <= c <= "Z" or "0" <= c <= "9") and mod97(text[m.start() : at].replace(" ", "")):
+            free = at
+            yield m.start(), at
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -87,7 +113,7 @@ PROPOSE: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
     "ip": _propose(_IP, _is_ip),
     "card": _propose(_CARD, lambda s: 13 <= len(d := _digits(s)) <= 19 and luhn(d)),
     "phone": _propose(_PHONE, lambda s: 9 <= len(_digits(s)) <= 15),
-    "iban": _propose(_IBAN, lambda s: 15 <= len(x := s.replace(" ", "")) <= 34 and mod97(x)),
+    "iban": _ibans,
     "phone_local": _propose(_PHONE_LOCAL, lambda s: True),
 }
 _WORDS = {k: re.compile(rf"\b(?:{'|'.join(map(re.escape, v))})\b", re.IGNORECASE) for k, v in CONTEXT_WORDS.items()}
