@@ -18,14 +18,11 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recscan.llm.shared import small_batches
 
 #: About so many rows of each language, taken by hashed id, are learned from; MAX_TRAIN in all.
 PER_LANGUAGE, MAX_TRAIN = 1_500, 30_000
-#: So many of the most frequent languages are learned at most.
-MAX_LANGUAGES = 500
 #: Hashed features for n-grams of 1, 2 and 3 characters.
 BITS, GRAMS = 13, 3
 UNDETERMINED = "und"
@@ -48,6 +45,12 @@ def family(lang: str) -> str:
     return _FAMILY_OF.get(lang.lower().split("-")[0].split("_")[0], lang)
 
 
+def family_col(lang: str) -> Column:
+    """As :func:`family`, for a column."""
+    known = F.create_map(*[F.lit(x) for pair in _FAMILY_OF.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.split(F.lower(lang), "[-_]")[0]), F.col(lang))
+
+
 def held_out(doc_id: Column) -> Column:
     """True where the crc32 of the id as text leaves 2 when divided by 4; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -100,8 +103,8 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_train:
     Ids are drawn first, so that no text moves but those drawn.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # one number for each of the most frequent languages
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    # one number for each language
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return known.select("text", "lang").limit(0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
@@ -131,9 +134,8 @@ def train(docs: DataFrame) -> Model:
             )
 
     vector = F.udf(lambda at, value: SparseVector(1 << BITS, at, value), VectorUDT())
-    kin = F.udf(family, T.StringType())
     rows = training_rows(docs).mapInArrow(scan, "lang string, at array<int>, value array<double>")
-    rows = rows.select("lang", kin("lang").alias("family"), vector("at", "value").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.select("lang", family_col("lang").alias("family"), vector("at", "value").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # one row per language
         families: dict[str, list[str]] = {}

@@ -216,7 +216,16 @@ def test_checksums_and_context():
     assert [s[0] for s in pii.find_pii("my phone: (988) 555-2485")] == ["phone_local"] and not pii.find_pii("part (988) 555-2485")
     (card,), (beside,) = pii.find_pii("4111111111111111"), pii.find_pii("visa 4111111111111111")
     assert beside[3] > card[3]
-    assert [s[0] for s in pii.find_pii("IBAN GB82 WEST 1234 5698 7654 32.")] == ["iban"]
+    for text, found in (("IBAN GB82 WEST 1234 5698 7654 32.", "GB82 WEST 1234 5698 7654 32"), ("IBAN GB82 WEST 1234 5698 7654 32 IS MY IBAN", "GB82 WEST 1234 5698 7654 32"),
+                        ("IBAN GB82WEST12345698765432 OK", "GB82WEST12345698765432"), ("XGB82WEST12345698765432", None), ("GB82WEST123456987654321", None), ("ZZ82WEST12345698765432", None)):
+        assert [text[s[1] : s[2]] for s in pii.find_pii(text) if s[0] == "iban"] == ([found] if found else [])
+
+
+def test_pii_of_no_rows_repeats_and_nulls(spark):
+    d = spark.createDataFrame([(None, "a@b.c", 1), (1, None, 2), (2, "a@b.c", 3), (2, "a@b.c", 3)], "doc_id long, text string, spans int")
+    got = pii.pii_spans(d)
+    assert got.columns == ["doc_id", "pii", "base_sha256", "spans"] and [(r["doc_id"], r["spans"]) for r in got.collect()] == [(None, "email:0:5"), (1, ""), (2, "email:0:5"), (2, "email:0:5")]
+    assert pii.pii_spans(d.limit(0)).count() == 0
 
 
 # ---- HTML ---------------------------------------------------------------------------------
@@ -336,6 +345,12 @@ def test_language_edge_cases(spark):
     assert language_id.train(d.withColumn("lang", F.lit("xx"))).families == {"xx": ["xx"]}
 
 
+def test_families_of_codes(spark):
+    codes = ["en", "EN-us", "pt_BR", "xx", "xx-YY", ""]
+    got = spark.createDataFrame([(c,) for c in codes], "lang string").select("lang", language_id.family_col("lang")).collect()
+    assert [r[1] for r in got] == [language_id.family(c) for c in codes] == ["germanic", "germanic", "romance", "xx", "xx-YY", ""]
+
+
 def test_profile_is_a_unit_vector():
     x = language_id.profile("Hello, wörld 42")
     assert np.linalg.norm(x) == pytest.approx(1) and language_id.profile("42") is None
