@@ -63,6 +63,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def last_written() -> str:
+    """Path of the table that :func:`materialize` wrote last."""
+    return _written[-1]
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes the scratch tables written within, but for those whose paths are put into the list.

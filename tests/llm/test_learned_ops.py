@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recscan.llm import components, html_extract, language_id, pii, queries, simhash, toxicity
+from recscan.llm import components, html_extract, language_id, pii, queries, shared, simhash, toxicity
+from tests.llm.test_native_ops import targets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -453,15 +454,96 @@ def test_toxicity_without_labels(spark):
 # ---- pipeline -----------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, sf):
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage on what the one before kept: copies, similar texts, leaks and targets, each found again by plain code."""
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact_dedup", "near_dedup", "decontaminate", "mixing"]
-    out = corpus_pipeline.run(spark, sf).collect()
-    source = {r["doc_id"]: r for r in queries.table(spark, sf, "documents").collect()}
+    steps, d = [], queries.table(spark, sf, "documents")
+    columns = d.columns
+    for name in names:
+        steps.append({r["doc_id"]: r for r in d.collect()})
+        d = shared.materialize(stage(name)(spark, d, sf), name)
+        assert d.columns == columns + ["copy"] * (name == "mixing")
+    rows = d.collect()
+    civil, unique, apart, clean = steps[1:]
+    model = toxicity.train(queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels"))
+    ids = sorted(steps[0])
+    judged = toxicity.scores(toxicity.Lexicon(model.patterns), model, [steps[0][i]["text"] for i in ids])
+    assert set(civil) == {i for i, p in zip(ids, judged) if p < 0.3}
+    groups = defaultdict(list)
+    for i, r in civil.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")].append((-len(r["text"] or ""), i))
+    assert set(unique) == {min(g)[1] for g in groups.values()}
+    order = sorted(unique)
+    sets = {i: set(grams(unique[i]["text"], 5)) for i in order}
+    links = [(a, b) for a, b in itertools.combinations(order, 2) if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    comp = components_of(len(order), [(order.index(a), order.index(b)) for a, b in links])
+    want = {i for k, i in enumerate(order) if comp[k] == k}
+    assert not want - set(apart) and len(set(apart) - want) <= 0.05 * len(links)
+    items = [grams(r["text"], 5) for r in queries.table(spark, sf, "benchmark").collect()]
+    leaks = set()
+    for i, r in apart.items():
+        text = grams(r["text"], 5)
+        for item in items:
+            known = set(item)
+            if len(text) >= len(item) and sum(g in known for g in text) >= 0.8 * len(item):
+                for s in range(len(text) - len(item) + 1):
+                    n = sum((Counter(text[s : s + len(item)]) & Counter(item)).values())
+                    if n / (2 * len(item) - n) >= 0.8:
+                        leaks.add(i)
+                        break
+    assert leaks and not set(clean) & leaks and set(clean) | leaks == set(apart)
+    taken, size = Counter(r["doc_id"] for r in rows), {i: len(WORD.findall(r["text"] or "")) for i, r in clean.items()}
+    assert set(taken) <= set(clean) and max(taken.values()) <= 2
+    sums, got = Counter(), Counter()
+    for i, r in clean.items():
+        sums[r["source"]] += size[i]
+        got[r["source"]] += size[i] * taken[i]
+    for source, target in targets(sums).items():
+        assert abs(got[source] - target) <= max(size.values())
     copies = defaultdict(list)
-    for r in out:
-        assert r["text"] == source[r["doc_id"]]["text"] and r["lang"] == source[r["doc_id"]]["lang"]
+    for r in rows:
+        assert r["text"] == clean[r["doc_id"]]["text"]
         copies[r["doc_id"]].append(r["copy"])
-    assert all(sorted(c) == list(range(len(c))) and len(c) <= 2 for c in copies.values())
-    norm = Counter(re.sub(r"[\x20\x09-\x0D]", "", source[i]["text"] or "") for i in copies)
-    assert max(norm.values()) == 1
+    assert all(sorted(c) == list(range(len(c))) for c in copies.values())
+
+
+def test_pipeline_stages_take_odd_tables(spark, sf):
+    odd = [(None, None, None, None, None, "x"), (None, "", None, None, 0, "x"), (3, "some words here", "en", None, 15, "y"), (3, "some words here", "en", None, 15, "y"), (4, "x " * 30_000, "en", "s", 60_000, None)]
+    d = spark.createDataFrame(odd, DOC + ", _row string").repartition(2)
+    for name, function in corpus_pipeline.STAGES:
+        out = function(spark, d, sf)
+        assert out.columns == d.columns + ["copy"] * (name == "mixing")
+        n = out.count()
+        assert n == {"toxicity": 5, "exact_dedup": 3, "near_dedup": 4, "decontaminate": 5}.get(name, n)
+        assert function(spark, d.limit(0), sf).count() == 0
+
+
+def test_near_dedup_recall_on_the_tables(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, sf, "documents").dropDuplicates(["text"]).collect()}
+    sets = {i: frozenset(grams(t, 5)) for i, t in texts.items()}
+    # the same sets are one node; pairs are found by their rarest shingles
+    by_set = {}
+    for i in sorted(sets):
+        by_set.setdefault(sets[i], i)
+    count = Counter(g for x in by_set for g in x)
+    holders = defaultdict(list)
+    pairs = set()
+    for x, i in by_set.items():
+        few = sorted(x, key=lambda g: (count[g], g))[: len(x) - int(np.ceil(0.8 * len(x))) + 1]
+        for g in few:
+            pairs.update((j, i) for j in holders[g])
+            holders[g].append(i)
+    links = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    order = sorted(by_set.values())
+    at = {i: k for k, i in enumerate(order)}
+    kept = {r["doc_id"] for r in simhash.near_dedup(queries.table(spark, sf, "documents").filter(F.col("doc_id").isin(order))).collect()}
+    comp = components_of(len(order), [(at[a], at[b]) for a, b in links])
+    gone = {i for k, i in enumerate(order) if comp[k] != k}
+    empty = {i for i in order if not sets[i]}
+    assert len(gone) > 0 and len(gone - kept) >= 0.95 * len(gone) and not (set(order) - gone - empty) - kept
