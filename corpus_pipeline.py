@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns
 of ``documents``; the last one returns a row for each copy that the mix takes, numbered by ``copy``.
+
+Every stage takes null ids, texts, languages and sources, empty texts, repeated rows, further columns
+and tables without rows: toxicity and leaks judge each row for itself, a null text as an empty one;
+copies of null and empty texts are copies of one another, near copies they never are; of equal or
+similar rows the one that the stage's operator names stays, exactly one of repeated rows; the mix
+takes rows without words 0 times.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recscan.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
-from recscan.llm.shared import materialize, table
+from recscan.llm.shared import last_written, materialize, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again."""
+    """All stages over ``documents``, each result written and read again; other scratch tables are deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            kept.append(last_written())
     return docs
