@@ -6,6 +6,7 @@ frame is a keyframe. All stages are partitioned by source_key, so one exchange f
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,138 +132,175 @@ def activity_masks(frames: DataFrame, config: ScanConfig = CONFIG, profile: Data
     })
 
 
-def window_stats(masked: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
-    """One row per recording and sliding window, short ones at the end too.
+def tiles(masked: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
+    """One row per recording and tile of ``stride`` frames: its frames, and the window that begins there.
 
-    ``marks`` holds the window's frames, for :func:`fused_mask`; drop it to keep the statistics.
+    A window is some whole tiles, so its statistics are sums over tile rows; no frame is copied. All
+    stages keep the partitioning by recording: frames are shuffled once. ``ego`` says whether the
+    window that the tile's frames look up for their fusion is one of camera motion.
     """
-    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("idx") - config.window) / config.stride) + 1)
-    placed = masked.select(
-        "source_key", "idx", "n", "kf", "rgb_size", "depth_size", "rgb_active", "depth_active", "rgb_median", "has_depth",
-        F.explode(F.sequence(first, F.floor(F.col("idx") / config.stride))).alias("window_idx"),
-    )
-    p = ~F.col("kf")
-    count = lambda c: F.count(F.when(p & c, 1))
-    agg = placed.groupBy("source_key", "window_idx").agg(
+    w = Window.partitionBy("source_key").orderBy("idx")
+    p, off = ~F.col("kf"), F.col("idx") % config.stride
+    either = {"d": F.col("depth_active"), "e": F.col("depth_active") | F.col("rgb_active")}
+    # length of the run of active frames that ends at a frame, for depth alone and for both
+    since = {f"_{k}": F.when(c, F.col("idx") - F.coalesce(F.max(F.when(~c, F.col("idx"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))).otherwise(0) for k, c in either.items()}
+    run = masked.withColumns({**since, "tile": F.floor(F.col("idx") / config.stride), "off": off})
+    count = lambda c: F.count(F.when(c, 1))
+    at, least = config.burst_min - 1, config.burst_min
+    bursts = {}
+    for k in either:
+        r = F.col(f"_{k}")
+        # a window counts a run where it gets long enough; the frames before do not count in its first tile
+        bursts[f"all_{k}"], bursts[f"head_{k}"], bursts[f"open_{k}"] = count(r == least), count((r == least) & (F.col("off") < at)), count((r > least) & (F.col("off") == at))
+    tile = run.groupBy("source_key", "tile").agg(
         F.first("n").alias("n"), F.first("has_depth").alias("has_depth"), F.first("rgb_median").alias("rgb_median"),
-        count(F.lit(True)).alias("p"), count(F.col("rgb_active")).alias("rgb_p"), count(F.col("depth_active")).alias("depth_p"),
-        F.max(F.when(p, F.col("rgb_size"))).alias("max_size"),
-        F.sort_array(F.collect_list(F.when(p, F.col("rgb_size")))).alias("sizes"),
-        # at most a window's frames
-        F.sort_array(F.collect_list(F.struct("idx", "kf", "rgb_active", "depth_active", "rgb_size", "depth_size"))).alias("marks"),
-        *_sums("rgb_size", "depth_size"),
+        count(p).alias("p"), count(p & F.col("rgb_active")).alias("rgb_p"), count(p & F.col("depth_active")).alias("depth_p"), count(p & either["e"]).alias("both_p"),
+        F.max(F.when(p, F.col("rgb_size"))).alias("max_size"), F.collect_list(F.when(p, F.col("rgb_size"))).alias("sizes"), *[c.alias(k) for k, c in bursts.items()],
+        # at most a tile's frames
+        F.collect_list(F.struct("idx", "kf", "rgb_active", "depth_active", "rgb_size", "depth_size")).alias("marks"), *_sums("rgb_size", "depth_size"),
     )
+    ahead = Window.partitionBy("source_key").orderBy("tile")
+    whole = ahead.rowsBetween(0, config.window // config.stride - 1)
+    sums = {c: F.sum(c).over(whole) for c in ("p", "rgb_p", "depth_p", "both_p", "_n", "_sx", "_sy", "_sxx", "_syy", "_sxy")}
+    sums |= {f"bursts_{k}": F.sum(f"all_{k}").over(whole) - F.col(f"head_{k}") + F.col(f"open_{k}") for k in either}
+    sums |= {"max_size": F.max("max_size").over(whole), "sizes": F.sort_array(F.flatten(F.collect_list("sizes").over(whole)))}
+    window = tile.withColumns(sums)
     corr = F.when(F.col("has_depth") & (F.col("p") >= 10), safe_corr(*map(F.col, ("_n", "_sx", "_sy", "_sxx", "_syy", "_sxy")))).otherwise(0.0)
-    agg = agg.withColumn("corr", corr).withColumn("ego", F.col("has_depth") & (F.col("corr") > config.ego_corr))
-    fused = lambda m: m["depth_active"] | (m["rgb_active"] & ~F.col("ego"))
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("bursts"))
+    window = window.withColumn("corr", corr).withColumn("is_ego", F.col("has_depth") & (F.col("corr") > config.ego_corr))
+    # half a window before the frame, or the first one
+    looked = config.window // 2 // config.stride
+    return window.withColumn("ego", F.coalesce(F.lag("is_ego", looked).over(ahead), F.first("is_ego").over(ahead.rowsBetween(Window.unboundedPreceding, 0))))
 
-    def step(acc: Column, m: Column) -> Column:
-        run = F.when(fused(m), acc["run"] + 1).otherwise(0)
-        return F.struct(run.alias("run"), (acc["bursts"] + F.when(run == config.burst_min, 1).otherwise(0)).alias("bursts"))
 
+def window_columns(config: ScanConfig = CONFIG) -> dict[str, Column]:
+    """The statistics of the window that begins at a tile."""
     mean_d = F.col("_sy") / F.col("_n")
     var_d = (F.col("_n") * F.col("_syy") - F.col("_sy") * F.col("_sy")) / (F.col("_n") * F.col("_n"))
     p95 = F.least((F.size("sizes").cast("float") * F.lit(0.95).cast("float")).cast("int"), F.size("sizes") - 1)
     ratio = F.when(F.size("sizes") >= 2, _ratio(F.get("sizes", p95), F.get("sizes", F.floor(F.size("sizes") / 2).cast("int")), 1.0)).otherwise(1.0)
     has_median = (F.col("p") > 0) & (F.col("rgb_median") > 0)
-    start = F.col("window_idx") * config.stride
-    return agg.select(
-        "source_key", "window_idx", start.alias("start_frame"), F.least(start + config.window, "n").alias("end_frame"),
-        _ratio(F.size(F.filter("marks", lambda m: ~m["kf"] & fused(m))), F.col("p")).alias("active_fraction"),
-        F.when(has_median, F.col("_sx") / F.col("rgb_median") / F.col("p")).otherwise(0.0).alias("mean_excess"),
-        F.when(has_median, F.col("max_size") / F.col("rgb_median")).otherwise(0.0).alias("max_excess"),
-        ratio.alias("p95_p50"),
-        F.aggregate("marks", zero, step, lambda acc: acc["bursts"]).cast("long").alias("burst_count"),
-        F.when(F.col("has_depth") & (F.col("_n") > 0) & (F.col("_sy") > 0), F.sqrt(var_d) / mean_d).otherwise(0.0).alias("depth_cv"),
-        _ratio(F.col("depth_p"), F.col("p")).alias("depth_fraction"), _ratio(F.col("rgb_p"), F.col("p")).alias("rgb_fraction"),
-        F.col("corr").alias("correlation"), F.col("ego").alias("is_ego"), "n", "marks",
-    )
+    start = F.col("tile") * config.stride
+    return {
+        "window_idx": F.col("tile"), "start_frame": start, "end_frame": F.least(start + config.window, "n"),
+        "active_fraction": _ratio(F.when(F.col("is_ego"), F.col("depth_p")).otherwise(F.col("both_p")), F.col("p")),
+        "mean_excess": F.when(has_median, F.col("_sx") / F.col("rgb_median") / F.col("p")).otherwise(0.0),
+        "max_excess": F.when(has_median, F.col("max_size") / F.col("rgb_median")).otherwise(0.0), "p95_p50": ratio,
+        "burst_count": F.when(F.col("is_ego"), F.col("bursts_d")).otherwise(F.col("bursts_e")),
+        "depth_cv": F.when(F.col("has_depth") & (F.col("_n") > 0) & (F.col("_sy") > 0), F.sqrt(var_d) / mean_d).otherwise(0.0),
+        "depth_fraction": _ratio(F.col("depth_p"), F.col("p")), "rgb_fraction": _ratio(F.col("rgb_p"), F.col("p")), "correlation": F.col("corr"), "is_ego": F.col("is_ego"),
+    }
 
 
-def fused_mask(windows: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
+def window_stats(tiled: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
+    """One row per recording and sliding window, short ones at the end too."""
+    return tiled.select("source_key", *[c.alias(k) for k, c in window_columns(config).items()])
+
+
+def fused_mask(tiled: DataFrame, *also: Column) -> DataFrame:
     """Frames with active: depth, or rgb outside camera motion, by the one window a frame looks up.
 
-    That window always holds the frame, so frames come out of their windows without a join.
+    ``also`` are columns of the tile, given to its first frame and null for the others.
     """
-    last = F.floor((F.col("n") - 1) / config.stride)
-    looked = lambda m: F.least(F.floor(F.greatest(m["idx"] - config.window // 2, F.lit(0)) / config.stride), last)
-    own = F.explode(F.filter("marks", lambda m: looked(m) == F.col("window_idx"))).alias("m")
-    rows = windows.select("source_key", "n", "is_ego", own).select("source_key", "n", "is_ego", "m.*")
-    return rows.withColumn("active", F.col("depth_active") | (F.col("rgb_active") & ~F.col("is_ego"))).drop("is_ego")
+    first = [F.when(F.col("place") == 0, F.col(f"_also{i}")).alias(f"_also{i}") for i in range(len(also))]
+    rows = tiled.select("source_key", "n", "ego", *[c.alias(f"_also{i}") for i, c in enumerate(also)], F.posexplode("marks").alias("place", "m"))
+    rows = rows.select("source_key", "n", "ego", "m.*", *first)
+    return rows.withColumn("active", F.col("depth_active") | (F.col("rgb_active") & ~F.col("ego"))).drop("ego")
 
 
-def runs(df: DataFrame, flag: str, by: str = "source_key", order: str = "idx") -> DataFrame:
-    """(by, start, end, len) of maximal runs of true flags in order; end is exclusive."""
+def runs(df: DataFrame, flag: str, by: str = "source_key", order: str = "idx", also: Sequence[Column] = ()) -> DataFrame:
+    """(by, start, end, len) of maximal runs of true flags in order; end is exclusive. ``also``: further aggregates."""
     w = Window.partitionBy(by).orderBy(order)
     begin = F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))
-    marked = df.select(by, order, flag, F.sum(begin.cast("int")).over(w).alias("run"))
+    marked = df.withColumn("run", F.sum(begin.cast("int")).over(w))
     return marked.filter(flag).groupBy(by, "run").agg(
-        F.min(order).alias("start"), (F.max(order) + 1).alias("end"), F.count(F.lit(1)).alias("len")
+        F.min(order).alias("start"), (F.max(order) + 1).alias("end"), F.count(F.lit(1)).alias("len"), *also
     )
 
 
 def count_bursts(df: DataFrame, flag: str, by: str = "source_key", order: str = "idx", min_len: int = CONFIG.burst_min) -> DataFrame:
-    found = runs(df, flag, by, order).groupBy(by).agg(F.count(F.when(F.col("len") >= min_len, 1)).alias("burst_count"))
-    return df.select(by).distinct().join(found, by, "left").na.fill(0, ["burst_count"])
+    """(by, burst_count): how many runs get long enough, 0 for keys without any."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    place = df.select(by, order, flag, F.row_number().over(Window.partitionBy(by).orderBy(order)).alias("k"))
+    long_enough = F.col("k") - F.coalesce(F.max(F.when(~F.col(flag), F.col("k"))).over(w), F.lit(0)) == min_len
+    return place.withColumn("hit", F.col(flag) & long_enough).groupBy(by).agg(F.count(F.when(F.col("hit"), 1)).alias("burst_count"))
 
 
 # ---- features and verdicts ----------------------------------------------------------------
 
 
-def episode_features(fused: DataFrame, windows: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
-    """The features of each recording, from its fused frames and its windows."""
+def running_stats(x: Column, name: str) -> list[Column]:
+    """Count, mean, sample deviation, least and greatest of a column, 0 where there are too few rows."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return [
+        F.count(x).alias(f"{name}_count"), zero(F.avg(x)).alias(f"{name}_mean"), zero(F.stddev_samp(x)).alias(f"{name}_std"),
+        zero(F.min(x).cast("double")).alias(f"{name}_min"), zero(F.max(x).cast("double")).alias(f"{name}_max"),
+    ]
+
+
+def stream_stats(frames: DataFrame, by: str = "source_key") -> DataFrame:
+    """Running statistics of the inter-frame sizes of both streams, one row per recording."""
+    inter = lambda c: F.when(~keyframe(), F.col(c))
+    return frames.groupBy(by).agg(*running_stats(inter("rgb_size"), "rgb"), *running_stats(inter("depth_size"), "depth"))
+
+
+def episode_features(tiled: DataFrame, config: ScanConfig = CONFIG) -> DataFrame:
+    """The features of each recording, and the columns of :func:`calibration_extras`, in one aggregate.
+
+    Frames and windows come from the same rows: a window's statistics go with its first frame.
+    """
     p = ~F.col("kf")
-    third = F.col("idx") >= F.floor(F.col("n") * 2 / 3)
+    third, half = F.col("idx") >= F.floor(F.col("n") * 2 / 3), F.col("idx") >= F.floor(F.col("n") / 2)
     share = lambda hit, of: F.coalesce(F.count(F.when(hit, 1)) / F.nullif(F.count(F.when(of, 1)), F.lit(0)), F.lit(0.0))
     mean, sd = F.avg(F.when(p, F.col("depth_size"))), F.stddev_samp(F.when(p, F.col("depth_size")))
     w = Window.partitionBy("source_key")
     in_order = w.orderBy("idx")
-    begin = F.col("active") & ~F.coalesce(F.lag("active").over(in_order), F.lit(False))
-    placed = fused.withColumns({"_begin": F.when(begin, F.col("idx")), "_rank": F.row_number().over(w.orderBy("kf", "rgb_size")) - 1, "_p": F.count(F.when(p, 1)).over(w)})
-    since = F.col("idx") - F.max("_begin").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + 1
+    stats = window_columns(config)
+    also = F.named_struct(*[x for k in ("window_idx", "start_frame", "end_frame", "active_fraction", "depth_cv", "is_ego") for x in (F.lit(k), stats[k])])
+    fused = fused_mask(tiled, also).withColumnRenamed("_also0", "w")
+    since = F.col("idx") - F.coalesce(F.max(F.when(~F.col("active"), F.col("idx"))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))
+    placed = fused.withColumn("_since", since).withColumns({"_rank": F.row_number().over(w.orderBy("kf", "rgb_size")) - 1, "_p": F.count(F.when(p, 1)).over(w)})
     at95 = (F.col("_p").cast("float") * F.lit(0.95).cast("float")).cast("long")
-    per_frame = placed.withColumn("_since", since).groupBy("source_key").agg(
+    seen, hit = F.col("w").isNotNull(), F.col("w.active_fraction") > config.active_window
+    out = placed.groupBy("source_key").agg(
         F.count(F.lit(1)).alias("total_frames"), F.max("_p").alias("_p"),
         share(p & F.col("active"), p).alias("active_fraction"),
         share(p & F.col("depth_active"), p).alias("depth_active_fraction"),
         share(p & third & F.col("active"), p & third).alias("final_third"),
+        share(p & ~half & F.col("active"), p & ~half).alias("first_half"), share(p & half & F.col("active"), p & half).alias("second_half"),
         F.coalesce(F.when(mean > 0, sd / mean), F.lit(0.0)).alias("depth_cv"),
         # a run is a burst once it is long enough
         F.count(F.when(F.col("active") & (F.col("_since") == config.burst_min), 1)).alias("burst_count"),
         F.max(F.when(p & (F.col("_rank") == F.floor(F.col("_p") / 2)), F.col("rgb_size"))).alias("_p50"),
         F.max(F.when(p & (F.col("_rank") == at95), F.col("rgb_size"))).alias("_p95"),
+        F.count(F.when(seen, 1)).alias("n_windows"), F.min(F.when(hit, F.col("w.window_idx"))).alias("first_active_window"), F.max(F.when(hit, F.col("w.window_idx"))).alias("last_active_window"),
+        share(F.col("w.active_fraction") > 0, seen).alias("active_window_fraction"), F.avg("w.depth_cv").alias("window_depth_cv_mean"),
+        F.greatest(F.max("w.depth_cv"), F.lit(0.0)).alias("window_depth_cv_max"), share(F.col("w.is_ego"), seen).alias("ego_window_fraction"),
+        F.min_by(F.struct("w.start_frame", "w.end_frame", "w.active_fraction"), F.when(F.col("w.active_fraction") > 0.5, F.col("w.window_idx"))).alias("sustained"),
+        F.coalesce(F.stddev_samp("w.active_fraction"), F.lit(0.0)).alias("window_activity_std"), *_sums("rgb_size", "depth_size"),
     )
     ratio = F.when(F.col("_p") >= 2, _ratio(F.col("_p95"), F.col("_p50"), 1.0)).otherwise(1.0)
-    per_frame = per_frame.withColumn("p95_p50", ratio)
-    hit = F.col("active_fraction") > config.active_window
-    per_window = windows.groupBy("source_key").agg(
-        F.count(F.lit(1)).alias("n_windows"), F.min(F.when(hit, F.col("window_idx"))).alias("first_active_window"), F.max(F.when(hit, F.col("window_idx"))).alias("last_active_window"),
-        share(F.col("active_fraction") > 0, F.lit(True)).alias("active_window_fraction"), F.avg("depth_cv").alias("window_depth_cv_mean"),
-        F.greatest(F.max("depth_cv"), F.lit(0.0)).alias("window_depth_cv_max"), share(F.col("is_ego"), F.lit(True)).alias("ego_window_fraction"),
-        F.min_by(F.struct("start_frame", "end_frame", "active_fraction"), F.when(F.col("active_fraction") > 0.5, F.col("window_idx"))).alias("sustained"),
-    )
-    joined = per_frame.join(per_window, "source_key")
-    return joined.select(
-        "source_key", "total_frames", "active_fraction", "burst_count", F.coalesce("p95_p50", F.lit(1.0)).alias("p95_p50"),
+    d = [F.col(c).cast("double") for c in ("_n", "_sx", "_sy", "_sxx", "_syy", "_sxy")]
+    return out.select(
+        "source_key", "total_frames", "active_fraction", "burst_count", F.coalesce(ratio, F.lit(1.0)).alias("p95_p50"),
         "first_active_window", "last_active_window",
         F.coalesce("first_active_window", "n_windows").alias("idle_prefix"),
         F.coalesce(F.col("n_windows") - 1 - F.col("last_active_window"), "n_windows").alias("idle_suffix"),
         "final_third", "active_window_fraction", "depth_cv", "depth_active_fraction", "window_depth_cv_mean", "window_depth_cv_max",
-        "ego_window_fraction", "sustained",
+        "ego_window_fraction", "sustained", "window_activity_std", "first_half", "second_half", (F.col("second_half") - F.col("first_half")).alias("half_difference"), safe_corr(*d).alias("correlation"),
     )
 
 
-def calibration_extras(fused: DataFrame, windows: DataFrame) -> DataFrame:
-    """Further columns of a calibration dump: spread of window activity, halves, correlation."""
-    p, half = ~F.col("kf"), F.col("idx") >= F.floor(F.col("n") / 2)
-    part = lambda where: F.coalesce(F.count(F.when(p & where & F.col("active"), 1)) / F.nullif(F.count(F.when(p & where, 1)), F.lit(0)), F.lit(0.0))
-    per_frame = fused.groupBy("source_key").agg(part(~half).alias("first_half"), part(half).alias("second_half"), *_sums("rgb_size", "depth_size"))
-    spread = windows.groupBy("source_key").agg(F.coalesce(F.stddev_samp("active_fraction"), F.lit(0.0)).alias("window_activity_std"))
-    d = [F.col(c).cast("double") for c in ("_n", "_sx", "_sy", "_sxx", "_syy", "_sxy")]
-    return per_frame.join(spread, "source_key").select(
-        "source_key", "window_activity_std", "first_half", "second_half", (F.col("second_half") - F.col("first_half")).alias("half_difference"), safe_corr(*d).alias("correlation")
-    )
+#: Further columns of a calibration dump: spread of window activity, halves, correlation.
+EXTRAS = ["window_activity_std", "first_half", "second_half", "half_difference", "correlation"]
+
+
+def calibration_extras(features: DataFrame) -> DataFrame:
+    return features.select("source_key", *EXTRAS)
+
+
+def baseline_in_doubt(features: DataFrame, with_profile: bool = False, most: float = 0.75) -> DataFrame:
+    """features with baseline_in_doubt: over ``most`` of the frames are active and no profile was used."""
+    return features.withColumn("baseline_in_doubt", F.lit(not with_profile) & (F.col("active_fraction") > most))
 
 
 def activity_score(f: DataFrame) -> Column:
@@ -307,42 +345,43 @@ def analyze(features: DataFrame, recordings: DataFrame) -> DataFrame:
     return f.select(
         "source_key", verdict.alias("verdict"), F.when(accidental, 0.0).otherwise(activity_score(f)).alias("activity_score"),
         F.when(accidental, none).otherwise(keep).alias("reasons_keep"), F.when(accidental, start).otherwise(prune).alias("reasons_prune"),
-        "total_frames", "duration_s", *[x for x in features.columns if x not in ("source_key", "total_frames", "sustained")],
+        "total_frames", "duration_s", *[x for x in features.columns if x not in ("source_key", "total_frames", "sustained", *EXTRAS)],
     )
 
 
-def scan(frames: DataFrame, config: ScanConfig = CONFIG, profile: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(fused frames, windows): masks, windows and their fusion in one lazy plan, with one shuffle."""
-    windows = window_stats(activity_masks(frames, config, profile), config)
-    return fused_mask(windows, config), windows.drop("n", "marks")
+def scan(frames: DataFrame, config: ScanConfig = CONFIG, profile: DataFrame | None = None) -> DataFrame:
+    """Masks, windows and their fusion as tiles: one lazy plan with one shuffle of the frames."""
+    return tiles(activity_masks(frames, config, profile), config)
 
 
-def segments(fused: DataFrame, min_gap: int = 300, min_duration: int = 60, pad: int = 30, grid: int = 30) -> DataFrame:
+def segments(tiled: DataFrame, min_gap: int = 300, min_duration: int = 60, pad: int = 30, grid: int = 30) -> DataFrame:
     """(source_key, start_frame, end_frame, active_frames, total_frames) proposals.
 
     Runs are merged over gaps below ``min_gap``, short ones dropped, the rest padded, snapped to
-    the keyframe grid and merged where they touch. Snapped ends are in order, so each merge looks
-    at the row before; active frames are a difference of prefix sums.
+    the keyframe grid and merged where they touch. Everything is a window over the runs, which stay
+    rows until the last aggregate: a dropped run still gives a segment the frames that its padding
+    covers.
     """
     w = Window.partitionBy("source_key").orderBy("start")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    sizes = fused.groupBy("source_key").agg(F.max("n").alias("n"))
-    found = runs(fused, "active").select("source_key", "start", "end")
+    upto, before, behind = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    found = runs(fused_mask(tiled), "active", also=[F.max("n").alias("n")])
     grouped = found.withColumn("g", F.sum(F.when(F.col("start") - F.lag("end").over(w) < min_gap, 0).otherwise(1)).over(upto))
-    merged = grouped.groupBy("source_key", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).filter(F.col("end") - F.col("start") >= min_duration)
-    snapped = merged.join(sizes, "source_key").select(
-        "source_key",
-        (F.floor(F.greatest(F.col("start") - pad, F.lit(0)) / grid) * grid).alias("start"),
-        F.least(F.floor((F.least(F.col("end") + pad, F.col("n")) + grid - 1) / grid) * grid, F.col("n")).alias("end"),
-    )
-    again = snapped.withColumn("g", F.sum(F.when(F.col("start") <= F.lag("end").over(w), 0).otherwise(1)).over(upto))
-    final = again.groupBy("source_key", "g").agg(F.min("start").alias("start_frame"), F.max("end").alias("end_frame"))
-    # few proposals per recording: each counts its frames through an equi-join on the recording
-    active = fused.filter("active").select("source_key", "idx")
-    inside = final.join(active, "source_key").filter("idx >= start_frame and idx < end_frame").groupBy("source_key", "g").agg(F.count(F.lit(1)).alias("active_frames"))
-    return final.join(inside, ["source_key", "g"], "left").select(
-        "source_key", "start_frame", "end_frame", F.coalesce("active_frames", F.lit(0)).alias("active_frames"), (F.col("end_frame") - F.col("start_frame")).alias("total_frames")
-    )
+    whole = Window.partitionBy("source_key", "g")
+    merged = grouped.withColumns({"gs": F.min("start").over(whole), "ge": F.max("end").over(whole)})
+    kept = F.col("ge") - F.col("gs") >= min_duration
+    snapped = merged.withColumns({
+        "s": F.when(kept, F.floor(F.greatest(F.col("gs") - pad, F.lit(0)) / grid) * grid),
+        "e": F.when(kept, F.least(F.floor((F.least(F.col("ge") + pad, F.col("n")) + grid - 1) / grid) * grid, F.col("n"))),
+    })
+    ended = snapped.withColumns({"ended": F.max("e").over(before), "next": F.min("s").over(behind)})
+    numbered = ended.withColumn("seg", F.sum(F.when(F.col("s") > F.coalesce("ended", F.lit(-1)), 1).otherwise(0)).over(upto))
+    length, joined = F.col("end") - F.col("start"), F.col("next") <= F.col("ended")
+    own = F.when(F.col("s").isNotNull() | joined, length).otherwise(F.greatest(F.lit(0), F.least("end", "ended") - F.col("start")))
+    later = F.when(F.col("s").isNull() & ~F.coalesce(joined, F.lit(False)), F.greatest(F.lit(0), F.col("end") - F.greatest("start", "next")))
+    parts = F.array(F.struct("seg", own.alias("frames"), "s", "e"), F.struct((F.col("seg") + 1).alias("seg"), later.alias("frames"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e")))
+    each = numbered.select("source_key", F.explode(parts).alias("x")).select("source_key", "x.*")
+    out = each.groupBy("source_key", "seg").agg(F.min("s").alias("start_frame"), F.max("e").alias("end_frame"), F.coalesce(F.sum("frames"), F.lit(0)).alias("active_frames"))
+    return out.filter("start_frame is not null").select("source_key", "start_frame", "end_frame", "active_frames", (F.col("end_frame") - F.col("start_frame")).alias("total_frames"))
 
 
 def validate_index(index: DataFrame, recordings: DataFrame, header_bytes: int = 472) -> DataFrame:

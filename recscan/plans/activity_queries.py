@@ -35,28 +35,28 @@ def activity_masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.scan(_frames(spark, d))[1])
+    return rounded(A.window_stats(A.scan(_frames(spark, d))))
 
 
 def fused_mask(spark: SparkSession, d: str) -> DataFrame:
-    return A.scan(_frames(spark, d))[0].select("source_key", "idx", "active")
+    return A.fused_mask(A.scan(_frames(spark, d))).select("source_key", "idx", "active")
 
 
 def bursts(spark: SparkSession, d: str) -> DataFrame:
-    return A.count_bursts(A.scan(_frames(spark, d))[0], "active")
+    return A.count_bursts(A.fused_mask(A.scan(_frames(spark, d))), "active")
 
 
 def episode_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.episode_features(*A.scan(_frames(spark, d))).drop("sustained"))
+    return rounded(A.episode_features(A.scan(_frames(spark, d))).drop("sustained", *A.EXTRAS))
 
 
 def calibration_rows(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.calibration_extras(*A.scan(_frames(spark, d))))
+    return rounded(A.calibration_extras(A.episode_features(A.scan(_frames(spark, d)))))
 
 
 def analyze_verdict(spark: SparkSession, d: str) -> DataFrame:
     rec = fixture(spark, d, "fx_recordings")
-    v = A.analyze(A.episode_features(*A.scan(_frames(spark, d))), rec)
+    v = A.analyze(A.episode_features(A.scan(_frames(spark, d))), rec)
     return rounded(v.select("source_key", "verdict", "activity_score", F.size("reasons_keep").cast("long").alias("n_keep"), F.size("reasons_prune").cast("long").alias("n_prune")))
 
 
@@ -66,22 +66,21 @@ def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def contamination_warning(spark: SparkSession, d: str) -> DataFrame:
     """Recordings whose own baseline is in doubt: over 75 % of frames are active."""
-    f = A.episode_features(*A.scan(_frames(spark, d)))
-    return f.select("source_key", (F.col("active_fraction") > 0.75).alias("baseline_in_doubt"))
+    return A.baseline_in_doubt(A.episode_features(A.scan(_frames(spark, d)))).select("source_key", "baseline_in_doubt")
 
 
 def segments_cli(spark: SparkSession, d: str) -> DataFrame:
-    return A.segments(A.scan(_frames(spark, d))[0])
+    return A.segments(A.scan(_frames(spark, d)))
 
 
 def segments_curation(spark: SparkSession, d: str) -> DataFrame:
-    return A.segments(A.scan(_frames(spark, d))[0], min_gap=30, min_duration=45, pad=15)
+    return A.segments(A.scan(_frames(spark, d)), min_gap=30, min_duration=45, pad=15)
 
 
 def interval_seconds(spark: SparkSession, d: str) -> DataFrame:
     """Proposals in seconds: the start frame's time, and the end frame's or else the whole duration."""
     frames, rec = _frames(spark, d), fixture(spark, d, "fx_recordings").select("source_key", "start_timestamp_us", "duration_us")
-    seg = A.segments(A.scan(frames)[0], min_gap=30, min_duration=45, pad=15).join(rec, "source_key")
+    seg = A.segments(A.scan(frames), min_gap=30, min_duration=45, pad=15).join(rec, "source_key")
     at = frames.select("source_key", "idx", "timestamp_us")
     ends = [("start_frame", "start_s"), ("end_frame", "end_s")]
     for col, name in ends:
@@ -92,6 +91,10 @@ def interval_seconds(spark: SparkSession, d: str) -> DataFrame:
     return rounded(seg.select("source_key", "start_frame", "end_frame", *seconds))
 
 
+def stream_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.stream_stats(_frames(spark, d)))
+
+
 def index_validation(spark: SparkSession, d: str) -> DataFrame:
     v = A.validate_index(fixture(spark, d, "fx_index"), fixture(spark, d, "fx_recordings"))
     return v.withColumns({"errors": F.array_join("errors", "|"), "warnings": F.array_join("warnings", "|")})
@@ -101,7 +104,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         analyze_verdict, idle_baseline, station_profile, activity_masks, window_stats, fused_mask, bursts, episode_features, calibration_rows,
-        verdict_counts, contamination_warning, segments_cli, segments_curation, interval_seconds, index_validation,
+        verdict_counts, contamination_warning, segments_cli, segments_curation, interval_seconds, index_validation, stream_stats,
     )
 }
 
@@ -124,7 +127,7 @@ _BASE = f"""WITH f AS ({_P}),
           FROM hd LEFT JOIN br USING (source_key) LEFT JOIN bd USING (source_key))"""
 _MASKS = f"""{_BASE},
     g AS (SELECT f.*, b.* EXCLUDE (source_key), rgb_median + 3.0 * rgb_mad AS rt, depth_median + 3.0 * (depth_mad * 1.4826) AS onset, depth_median + 2.0 * (depth_mad * 1.4826) AS off FROM f JOIN b USING (source_key)),
-    m AS (SELECT *, NOT kf AND rgb_size > rt AS rgb_active,
+    m AS MATERIALIZED (SELECT *, NOT kf AND rgb_size > rt AS rgb_active,
                  has_depth AND coalesce(last_value(CASE WHEN kf THEN NULL WHEN depth_size > onset THEN 1 WHEN depth_size < off THEN 0 END IGNORE NULLS)
                      OVER (PARTITION BY source_key ORDER BY idx ROWS UNBOUNDED PRECEDING), 0) = 1 AS depth_active FROM g)"""
 _WINDOWS = f"""{_MASKS},
@@ -136,7 +139,7 @@ _WINDOWS = f"""{_MASKS},
                   CASE WHEN min(rgb_size) FILTER (WHERE NOT kf) < max(rgb_size) FILTER (WHERE NOT kf) AND min(depth_size) FILTER (WHERE NOT kf) < max(depth_size) FILTER (WHERE NOT kf)
                        THEN corr(rgb_size, depth_size) FILTER (WHERE NOT kf) ELSE 0 END AS r FROM e GROUP BY source_key, window_idx),
     w2 AS (SELECT *, CASE WHEN has_depth AND p >= 10 THEN r ELSE 0.0 END AS correlation FROM w1),
-    w3 AS (SELECT *, has_depth AND correlation > 0.7 AS is_ego FROM w2),
+    w3 AS MATERIALIZED (SELECT *, has_depth AND correlation > 0.7 AS is_ego FROM w2),
     ef AS (SELECT e.source_key, e.window_idx, e.idx, e.kf, e.depth_active OR (e.rgb_active AND NOT w3.is_ego) AS fu FROM e JOIN w3 USING (source_key, window_idx)),
     er AS (SELECT *, idx - row_number() OVER (PARTITION BY source_key, window_idx, fu ORDER BY idx) AS run FROM ef),
     eb AS (SELECT source_key, window_idx, count(*) AS bursts FROM (SELECT source_key, window_idx, run FROM er WHERE fu GROUP BY source_key, window_idx, run HAVING count(*) >= 5) GROUP BY source_key, window_idx),
@@ -150,7 +153,7 @@ _WINDOWS = f"""{_MASKS},
             FROM w3 JOIN ea USING (source_key, window_idx) LEFT JOIN eb USING (source_key, window_idx))"""
 _FUSED = f"""{_WINDOWS},
     fu AS (SELECT m.*, m.depth_active OR (m.rgb_active AND NOT coalesce(win.is_ego, false)) AS active
-           FROM m LEFT JOIN win ON win.source_key = m.source_key AND win.window_idx = least(greatest(m.idx - 30, 0) // 15, (m.n - 1) // 15)),
+           FROM m LEFT JOIN w3 win ON win.source_key = m.source_key AND win.window_idx = least(greatest(m.idx - 30, 0) // 15, (m.n - 1) // 15)),
     ru AS (SELECT *, idx - row_number() OVER (PARTITION BY source_key, active ORDER BY idx) AS run FROM fu),
     runs AS (SELECT source_key, min(idx) AS s, max(idx) + 1 AS e FROM ru WHERE active GROUP BY source_key, run)"""
 _FEATURES = f"""{_FUSED},
@@ -225,6 +228,9 @@ _ORACLE = {
         SELECT seg.source_key, start_frame, end_frame, round(coalesce(greatest(a.timestamp_us - r.start_timestamp_us, 0) / 1e6, r.duration_us / 1e6), 6) AS start_s,
                round(coalesce(CASE WHEN z.timestamp_us IS NOT NULL THEN greatest(z.timestamp_us - r.start_timestamp_us, 0) / 1e6 END, r.duration_us / 1e6), 6) AS end_s
         FROM seg JOIN {{fx_recordings}} r USING (source_key) LEFT JOIN f a ON a.source_key = seg.source_key AND a.idx = start_frame LEFT JOIN f z ON z.source_key = seg.source_key AND z.idx = end_frame""",
+    "stream_stats": f"""WITH f AS ({_P}) SELECT source_key, """ + ", ".join(
+        f"count({c}_size) FILTER (WHERE NOT kf) AS {c}_count, round(coalesce(avg({c}_size) FILTER (WHERE NOT kf), 0.0), 6) AS {c}_mean, round(coalesce(stddev_samp({c}_size) FILTER (WHERE NOT kf), 0.0), 6) AS {c}_std, "
+        f"coalesce(min({c}_size) FILTER (WHERE NOT kf), 0)::DOUBLE AS {c}_min, coalesce(max({c}_size) FILTER (WHERE NOT kf), 0)::DOUBLE AS {c}_max" for c in ("rgb", "depth")) + " FROM f GROUP BY source_key",
     "index_validation": """
         WITH i AS (SELECT *, lag(file_offset) OVER w AS po, lag(timestamp_us) OVER w AS pt FROM {fx_index} WINDOW w AS (PARTITION BY source_key ORDER BY entry)),
         g AS (SELECT source_key, count(*) AS n,

@@ -36,7 +36,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _proposals(spark: SparkSession, d: str) -> DataFrame:
-    seg = A.segments(A.scan(_frames(spark, d))[0], min_gap=30, min_duration=45, pad=15)
+    seg = A.segments(A.scan(_frames(spark, d)), min_gap=30, min_duration=45, pad=15)
     return seg.select("source_key", (F.col("start_frame") / 30).alias("start_s"), (F.col("end_frame") / 30).alias("end_s"), (F.col("active_frames") / F.col("total_frames")).alias("active_fraction"))
 
 
@@ -358,7 +358,7 @@ def prune_plan(spark: SparkSession, d: str) -> DataFrame:
     k AS (SELECT seg.source_key, start_frame, end_frame, count(*) OVER (PARTITION BY seg.source_key) AS k, row_number() OVER (PARTITION BY seg.source_key ORDER BY start_frame) - 1 AS i, r.total_frames AS n FROM seg JOIN {{fx_recordings}} r USING (source_key))
     SELECT source_key, replace(split_part(source_key, '/', 2), '.rec', '') || '_seg' || lpad(i::VARCHAR, 3, '0') || '.rec' AS filename, start_frame, end_frame FROM k WHERE NOT (k = 1 AND start_frame = 0 AND end_frame = n)""")
 def splice_plan(spark: SparkSession, d: str) -> DataFrame:
-    return C.splice_plan(A.segments(A.scan(_frames(spark, d))[0], min_gap=30, min_duration=45, pad=15), fixture(spark, d, "fx_recordings"))
+    return C.splice_plan(A.segments(A.scan(_frames(spark, d)), min_gap=30, min_duration=45, pad=15), fixture(spark, d, "fx_recordings"))
 
 
 @query(f"WITH {_MANIFEST} SELECT dataset, round(sum(duration_s), 6) AS duration_s, sum(frames)::BIGINT AS frames, count(*) AS episodes FROM mf GROUP BY dataset")

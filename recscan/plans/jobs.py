@@ -47,8 +47,7 @@ def stage(objects: DataFrame, prefix: str = "", include_invalid: bool = False, l
 def calibrate(frames: DataFrame, recordings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(station profiles, feature rows): profiles by camera, or source where no serial is known."""
     keys = recordings.select("source_key", S.profile_key(F.col("camera_serial"), F.col("source_key")).alias("profile_key"))
-    fused, windows = A.scan(frames)
-    rows = A.episode_features(fused, windows).drop("sustained").join(A.calibration_extras(fused, windows), "source_key")
+    rows = A.episode_features(A.scan(frames)).drop("sustained")
     return A.station_profile(frames.join(keys, "source_key")), rows
 
 
@@ -58,7 +57,7 @@ def analyze(frames: DataFrame, recordings: DataFrame, profiles: DataFrame | None
     if profiles is not None:
         keys = recordings.select("source_key", S.profile_key(F.col("camera_serial"), F.col("source_key")).alias("profile_key"))
         mine = keys.join(profiles, "profile_key")
-    return A.analyze(A.episode_features(*A.scan(frames, profile=mine)), recordings).withColumn("used_profile", F.lit(profiles is not None))
+    return A.analyze(A.episode_features(A.scan(frames, profile=mine)), recordings).withColumn("used_profile", F.lit(profiles is not None))
 
 
 def validate(index: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -84,7 +83,7 @@ def qc(frames: DataFrame, index: DataFrame, recordings: DataFrame, with_profiles
 
 def intervals(frames: DataFrame, recordings: DataFrame, samples: DataFrame, min_gap: int = 30, min_duration: int = 45, pad: int = 15, fps: float = 30.0) -> DataFrame:
     """Hand-aware intervals with their ids: activity segments cut with the spans in which hands are seen."""
-    seg = A.segments(A.scan(frames)[0], min_gap, min_duration, pad)
+    seg = A.segments(A.scan(frames), min_gap, min_duration, pad)
     proposals = seg.select("source_key", (F.col("start_frame") / fps).alias("start_s"), (F.col("end_frame") / fps).alias("end_s"), (F.col("active_frames") / F.col("total_frames")).alias("active_fraction"))
     found = P.hand_intervals(recordings.select("source_key", (F.col("duration_us") / 1e6).alias("duration_s")), proposals, samples)
     return found.withColumns({"interval_id": S.interval_id(F.col("source_key"), F.col("start_s"), F.col("end_s")), "analysis_windows": P.analysis_windows(F.col("start_s"), F.col("end_s"))})
