@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recscan.functions import scalars as S
+from recscan.operators.ranks import ranked
 
 # ---- manifests ----------------------------------------------------------------------------
 
@@ -133,8 +134,7 @@ def lerobot_rows(recordings: DataFrame, frames: DataFrame) -> DataFrame:
     its own place, so that no window spans all frames.
     """
     sizes = frames.groupBy("source_key").agg(F.count(F.lit(1)).alias("length"))
-    w = Window.orderBy("source_key")
-    numbered = sizes.select("source_key", (F.row_number().over(w) - 1).alias("episode_index"), (F.sum("length").over(w) - F.col("length")).alias("before"))
+    numbered = ranked(sizes, [F.col("source_key")], "episode_index", "length").withColumnRenamed("length_before", "before").drop("length")
     rows = _steps(frames).join(numbered, "source_key").join(recordings.select("source_key", "start_timestamp_us"), "source_key")
     return rows.select(
         (F.col("before") + F.col("step")).alias("frame_index"), F.col("episode_index").cast("long").alias("episode_index"), F.col("step").cast("long").alias("step"),

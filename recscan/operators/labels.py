@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recscan.functions import scalars as S
+from recscan.operators.ranks import ranked
+from recscan.scratch import drop, written
 
 LOW_CONFIDENCE, SIMILAR = 0.55, 0.82
 _ANSWER = "struct<is_manipulation:string,proposed_task_name:string,short_caption:string,primary_objects:string,confidence:string,reason:string>"
@@ -31,20 +35,38 @@ def parse_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labels, parsed.filter(~good).select("interval_id", "source_key", F.lit("vlm_failure").alias("reason"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = SIMILAR, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _pairs_of(threshold: float, same: bool) -> Callable[[pa.Table], pa.Table]:
+    """Pairs at the threshold within one block, or between the two blocks of a group, by matrix products."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, slot = group["id"].to_numpy(), group["slot"].to_numpy()
+        v = np.array(group["v"].to_pylist(), float).reshape(len(ids), -1)
+        low = np.arange(len(ids)) if same else np.flatnonzero(slot == group["lo"][0].as_py())
+        high = low if same else np.flatnonzero(slot != group["lo"][0].as_py())
+        near = v[low] @ v[high].T
+        i, j = np.nonzero(np.triu(near >= threshold, 1) if same else near >= threshold)
+        a, b = ids[low[i]], ids[high[j]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": near[i, j]})
+
+    return compare
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = SIMILAR, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(a, b, similarity) of all pairs a < b at or above the threshold, exactly.
 
-    Vectors are dealt into blocks of about ``block`` rows, and pairs of blocks are compared by
-    tasks of their own: a vector goes to as many tasks as there are blocks, each bounded. For
-    more vectors than exact comparison allows, candidates from :func:`lsh_pairs` are re-checked.
+    Vectors, all of one length, are dealt into blocks of about ``block`` rows, and pairs of blocks
+    are compared by tasks of their own as matrix products: memory is bounded, but a vector goes to as
+    many tasks as there are blocks. For more vectors than exact comparison allows see :func:`lsh_pairs`.
     """
-    unit = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), _unit(F.col(vec_col)).alias("v"))
+    unit = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _unit(F.col(vec_col)).alias("v"))
     n = max(1, -(-unit.count() // block))
-    spread = unit.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(n))).select("id", "v", "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("other"))
-    keyed = spread.select("id", "v", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"))
-    a, b = (keyed.select("lo", "hi", F.col("id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
-    met = a.join(b, ["lo", "hi"]).filter("a < b")
-    return met.select("a", "b", _dot(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
+    slotted = unit.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(n)))
+    found = slotted.withColumn("lo", F.col("slot")).groupBy("slot").applyInArrow(_pairs_of(threshold, True), "a long, b long, similarity double")
+    if n == 1:
+        return found
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda x: x != F.col("slot")))
+    spread = slotted.withColumn("other", other).select("id", "v", "slot", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"))
+    return found.unionByName(spread.groupBy("lo", "hi").applyInArrow(_pairs_of(threshold, False), "a long, b long, similarity double"))
 
 
 def lsh_pairs(vectors: DataFrame, threshold: float = SIMILAR, tables: int = 8, length: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -74,26 +96,18 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Smallest labels spread along edges, then labels take their label's label, so that long chains
     halve; each round is written, which cuts lineage, and rounds end when no label changed.
     """
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints/recscan" if spark.sparkContext.master.startswith("local") else None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/components/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     e = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).filter("x <> y")
-    both = kept(e.union(e.select("y", "x")).distinct())
-    labels = kept(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("component")))
+    both = written(e.union(e.select("y", "x")).distinct(), "edges")
+    labels = written(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
         mid = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("next"))
-        new = kept(mid.join(jump, "mid").select("id", "old", F.least("mid", "next").alias("component")))
+        new = written(mid.join(jump, "mid").select("id", "old", F.least("mid", "next").alias("component")), "labels")
+        drop(labels)
         labels = new.select("id", "component")
         if new.filter("old <> component").isEmpty():
+            drop(both)
             break
     return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -104,6 +118,11 @@ def canonical_names(labels: DataFrame, cluster: str = "cluster") -> DataFrame:
     return counted.groupBy(cluster).agg(F.min_by("normalized_task_name", F.struct((-F.col("n")).alias("n"), "first")).alias("canonical_task_name"))
 
 
+def distinct_objects(labels: DataFrame, by: str) -> DataFrame:
+    """(by, primary_objects): the objects of each group in order, each once; they are told apart before they are gathered."""
+    return labels.select(by, F.explode("primary_objects").alias("o")).distinct().groupBy(by).agg(F.array_sort(F.collect_list("o")).alias("primary_objects"))
+
+
 def buckets(labels: DataFrame, assignment: DataFrame | None = None, low_confidence: float = LOW_CONFIDENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(buckets, mapping, review) of labels; without an assignment, names are the clusters.
 
@@ -112,12 +131,16 @@ def buckets(labels: DataFrame, assignment: DataFrame | None = None, low_confiden
     """
     acted = labels.filter("is_manipulation")
     keyed = acted.withColumn("cluster", F.col("normalized_task_name")) if assignment is None else acted.join(assignment.select("interval_id", F.col("component").cast("string").alias("cluster")), "interval_id")
-    rows = keyed.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("member_count"), F.array_sort(F.collect_set("normalized_task_name")).alias("source_labels"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("average_confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("primary_objects")))).alias("primary_objects"), F.min("interval_id").alias("first"),
+    sized = keyed.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("member_count"), F.array_sort(F.collect_set("normalized_task_name")).alias("source_labels"),
+        F.avg(F.coalesce("confidence", F.lit(0.0))).alias("average_confidence"), F.min("interval_id").alias("first"),
     ).join(canonical_names(keyed), "cluster")
-    rank = F.row_number().over(Window.orderBy(F.desc("member_count"), "canonical_task_name", "first")) - 1
-    named = rows.withColumn("bucket_id", F.concat(F.lit("bucket_"), F.when(rank < 1000, F.lpad(rank.cast("string"), 3, "0")).otherwise(rank.cast("string"))))
+    order = ranked(sized.select("cluster", "member_count", "canonical_task_name", "first"), [F.desc("member_count"), F.col("canonical_task_name"), F.col("first")], "rank").select("cluster", "rank")
+    number = F.col("rank").cast("string")
+    named = sized.join(order, "cluster").join(distinct_objects(keyed, "cluster"), "cluster", "left").withColumns({
+        "bucket_id": F.concat(F.lit("bucket_"), F.when(F.col("rank") < 1000, F.lpad(number, 3, "0")).otherwise(number)),
+        "primary_objects": F.coalesce("primary_objects", F.array().cast("array<string>")),
+    })
     cols = ["bucket_id", "canonical_task_name", "member_count", "source_labels", "average_confidence", "primary_objects"]
     idle = labels.filter(~F.col("is_manipulation"))
     rest = idle.agg(F.count(F.lit(1)).alias("member_count"), F.avg("confidence").alias("average_confidence")).filter("member_count > 0").select(

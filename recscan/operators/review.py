@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recscan.functions import scalars as S
+from recscan.operators.labels import distinct_objects
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
@@ -88,10 +89,11 @@ def effective_buckets(labels: DataFrame, buckets: DataFrame, mapping: DataFrame,
     maps = upsert(mapping.select("interval_id", "bucket_id"), moved.select("interval_id", "bucket_id"), ["interval_id"])
     fresh = moved.groupBy("bucket_id").agg(F.min_by("_new", "interval_id").alias("_new"))
     seen = labels.select("interval_id", "normalized_task_name", "confidence", "primary_objects")
-    agg = maps.join(seen, "interval_id", "left").groupBy("bucket_id").agg(
+    members = maps.join(seen, "interval_id", "left")
+    agg = members.groupBy("bucket_id").agg(
         F.count(F.lit(1)).alias("member_count"), F.array_sort(F.collect_set(F.nullif("normalized_task_name", F.lit("")))).alias("source_labels"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("primary_objects")))).alias("primary_objects"), F.bround(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("average_confidence"),
-    )
+        F.bround(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("average_confidence"),
+    ).join(distinct_objects(members, "bucket_id"), "bucket_id", "left").withColumn("primary_objects", F.coalesce("primary_objects", F.array().cast("array<string>")))
     known, renamed = buckets.select("bucket_id", F.col("canonical_task_name").alias("_old")), renames.select("bucket_id", F.nullif(F.trim("canonical_task_name"), F.lit("")).alias("_name"))
     name = F.coalesce("_name", "_old", F.nullif(F.trim("_new"), F.lit("")), "bucket_id")
     return agg.join(known, "bucket_id", "left").join(fresh, "bucket_id", "left").join(renamed, "bucket_id", "left").select(

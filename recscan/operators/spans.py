@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recscan.functions import scalars as S
+from recscan.scratch import written
 
 _KEY = "source_key"
 
@@ -59,11 +60,11 @@ def split_long_spans(spans: DataFrame, samples: DataFrame, period_s: float, max_
     """Spans cut at their split points until none is longer than ``max_segment_s``.
 
     Each round cuts every span that is still too long; a cut leaves at least 0.25 s on each side,
-    so that rounds end. Spans are checkpointed, so that plans stay short.
+    so that rounds end. The spans of each round are written, so that plans stay short.
     """
     todo, done = spans.select(_KEY, "start_s", "end_s"), []
     for _ in range(rounds):
-        todo = todo.checkpoint() if spans.sparkSession.sparkContext.getCheckpointDir() else todo
+        todo = written(todo, "spans")
         length = F.col("end_s") - F.col("start_s")
         done.append(todo.filter(length <= max_segment_s))
         longer = todo.filter(length > max_segment_s)
@@ -127,13 +128,19 @@ def frame_ranges(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     """intervals (source_key, id, start_s, end_s) with start_idx, end_idx and error.
 
     ``frames``: source_key, idx, t. The range starts at the first frame not before the start and
-    ends before the first frame after the end.
+    ends before the first frame after the end. Ends of intervals are put among the frames in order
+    of time, and each looks up the least frame behind it: no interval meets all frames.
     """
-    after = frames.join(intervals, _KEY).groupBy("id").agg(
-        F.min(F.when(F.col("t") >= F.col("start_s"), F.col("idx"))).alias("start_idx"),
-        F.coalesce(F.min(F.when(F.col("t") > F.col("end_s"), F.col("idx"))), F.max("idx") + 1).alias("end_idx"),
+    places = frames.select(_KEY, "t", F.lit(1).alias("rank"), F.col("idx").cast("long").alias("idx"), F.lit(None).cast(intervals.schema["id"].dataType).alias("id"))
+    edge = lambda c, rank: intervals.select(_KEY, F.col(c).alias("t"), F.lit(rank).alias("rank"), F.lit(None).cast("long").alias("idx"), "id")
+    # frames at a time lie behind starts and before ends of that time
+    w = Window.partitionBy(_KEY)
+    later = F.min("idx").over(w.orderBy(F.desc("t"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0))
+    found = places.unionByName(edge("start_s", 0)).unionByName(edge("end_s", 2)).withColumns({"later": later, "past": F.max("idx").over(w) + 1}).filter("idx is null")
+    ends = found.groupBy("id").agg(
+        F.max(F.when(F.col("rank") == 0, F.col("later"))).alias("start_idx"), F.max(F.when(F.col("rank") == 2, F.coalesce("later", "past"))).alias("end_idx")
     )
-    joined = intervals.join(after, "id", "left")
+    joined = intervals.join(ends, "id", "left")
     bad = F.when((F.col("start_s") < 0) | F.isnan("start_s") | F.isnan("end_s"), "start must be finite and not negative").when(F.col("end_s") <= F.col("start_s"), "end must be after start")
     empty = F.when(F.col("start_idx").isNull() | (F.col("end_idx") <= F.col("start_idx")), "no frames in range")
     error = F.coalesce(bad, empty)
@@ -143,11 +150,15 @@ def frame_ranges(frames: DataFrame, intervals: DataFrame) -> DataFrame:
 def clip_byte_plan(index: DataFrame, ranges: DataFrame, header_bytes: int = 472) -> DataFrame:
     """Where the frames of each clip lie and land: first_byte, last_byte, frames, index_offset.
 
-    ``index``: source_key, entry, file_offset, block_size.
+    ``index``: source_key, entry, file_offset, block_size. Blocks lie one behind the other, so a
+    clip's bytes follow from its first and its last entry: two lookups, however long it is.
     """
     ok = ranges.filter("error is null").select(_KEY, "id", "start_idx", "end_idx")
-    rows = index.join(ok, _KEY).filter("entry >= start_idx and entry < end_idx")
-    return rows.groupBy(_KEY, "id").agg(
-        F.min("file_offset").alias("first_byte"), F.max(F.col("file_offset") + F.col("block_size")).alias("last_byte"), F.count(F.lit(1)).alias("frames"),
-        (F.lit(header_bytes) + F.max(F.col("file_offset") + F.col("block_size")) - F.min("file_offset")).alias("index_offset"),
+    wanted = ok.select(_KEY, "id", "start_idx", "end_idx", F.explode(F.array("start_idx", F.col("end_idx") - 1)).alias("entry"))
+    rows = wanted.join(index.select(_KEY, "entry", "file_offset", "block_size"), [_KEY, "entry"])
+    first, last = F.col("entry") == F.col("start_idx"), F.col("entry") == F.col("end_idx") - 1
+    found = rows.groupBy(_KEY, "id").agg(
+        F.max(F.when(first, F.col("file_offset"))).alias("first_byte"), F.max(F.when(last, F.col("file_offset") + F.col("block_size"))).alias("last_byte"),
+        F.max(F.col("end_idx") - F.col("start_idx")).alias("frames"),
     )
+    return found.withColumn("index_offset", F.lit(header_bytes) + F.col("last_byte") - F.col("first_byte"))

@@ -14,6 +14,7 @@ from recscan.operators import spans as P
 from recscan.plans.activity_queries import _FUSED, _segments, _VERDICT, _frames, rounded
 from recscan.plans.activity_queries import analyze_verdict as _verdicts
 from recscan.plans.fixtures import duck, fixture
+from recscan.scratch import written
 
 PERIOD = 0.2
 NOW = "timestamp'1999-01-01 00:00:00'"
@@ -82,7 +83,7 @@ _HAND_INTERVALS = f"""{_segments(30, 45, 15)}, {_HANDS},
 @query(_HAND_INTERVALS)
 def hand_intervals(spark: SparkSession, d: str) -> DataFrame:
     rec = fixture(spark, d, "fx_recordings").select("source_key", (F.col("duration_us") / 1e6).alias("duration_s"))
-    return rounded(P.hand_intervals(rec, _proposals(spark, d), _samples(spark, d)))
+    return rounded(P.hand_intervals(rec, written(_proposals(spark, d), "proposals"), _samples(spark, d)))
 
 
 @query("""WITH s AS (SELECT source_key, 0.0::DOUBLE AS start_s, duration_us / 1e6 AS end_s FROM {fx_recordings}),
@@ -97,7 +98,18 @@ def split_points(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.split_points(spans, _samples(spark, d), PERIOD))
 
 
-@query()
+@query("""WITH RECURSIVE p0 AS (SELECT source_key, t_ms / 1000.0::DOUBLE AS b, t_ms / 1000.0::DOUBLE + 0.2 AS e FROM {fx_hand_samples} WHERE n > 0 AND a >= 0.01),
+    r AS (SELECT source_key, 0.0::DOUBLE AS start_s, duration_us / 1e6 AS end_s FROM {fx_recordings}
+          UNION ALL
+          SELECT source_key, unnest([start_s, cut]), unnest([cut, end_s]) FROM (
+              SELECT source_key, start_s, end_s, CASE WHEN at > start_s + 0.25 AND at < end_s - 0.25 THEN at ELSE start_s + (end_s - start_s) / 2 END AS cut FROM (
+                  SELECT source_key, start_s, end_s, arg_max(cur + gap / 2, (gap, -cur)) FILTER (WHERE gap > 0) AS at FROM (
+                      SELECT source_key, start_s, end_s, cur, round(b - cur, 9) AS gap FROM (
+                          SELECT source_key, start_s, end_s, b,
+                                 greatest(start_s, max(e) OVER (PARTITION BY source_key, start_s, end_s ORDER BY e IS NULL, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS cur
+                          FROM (SELECT r.source_key, start_s, end_s, b, e FROM r JOIN p0 USING (source_key) WHERE end_s - start_s > 20 AND least(e, end_s) - greatest(b, start_s) > 0
+                                UNION ALL SELECT source_key, start_s, end_s, end_s, NULL FROM r WHERE end_s - start_s > 20) x) y) z GROUP BY ALL) u) v)
+    SELECT source_key, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s FROM r WHERE end_s - start_s <= 20""")
 def split_long_spans(spark: SparkSession, d: str) -> DataFrame:
     spans = fixture(spark, d, "fx_recordings").select("source_key", F.lit(0.0).alias("start_s"), (F.col("duration_us") / 1e6).alias("end_s"))
     return rounded(P.split_long_spans(spans, _samples(spark, d), PERIOD, 20.0))
@@ -128,8 +140,8 @@ def clip_ranges(spark: SparkSession, d: str) -> DataFrame:
     return _clips(spark, d)
 
 
-@query(f"""{_CLIPS} SELECT cl.source_key, id, min(file_offset) AS first_byte, max(file_offset + block_size) AS last_byte, count(*) AS frames, 472 + max(file_offset + block_size) - min(file_offset) AS index_offset
-    FROM cl JOIN {{fx_index}} x ON x.source_key = cl.source_key AND entry >= start_idx AND entry < end_idx WHERE error IS NULL GROUP BY cl.source_key, id""")
+@query(f"""{_CLIPS} SELECT cl.source_key, id, a.file_offset AS first_byte, z.file_offset + z.block_size AS last_byte, end_idx - start_idx AS frames, 472 + z.file_offset + z.block_size - a.file_offset AS index_offset
+    FROM cl JOIN {{fx_index}} a ON a.source_key = cl.source_key AND a.entry = start_idx JOIN {{fx_index}} z ON z.source_key = cl.source_key AND z.entry = end_idx - 1 WHERE error IS NULL""")
 def clip_byte_plan(spark: SparkSession, d: str) -> DataFrame:
     return P.clip_byte_plan(fixture(spark, d, "fx_index"), _clips(spark, d))
 

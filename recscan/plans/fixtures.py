@@ -46,14 +46,14 @@ SQL: dict[str, str] = {
         SELECT source_key, idx // 6 * 200 AS t_ms, n, CASE WHEN n > 0 THEN (5 + h1 % 100) / 1000.0 ELSE 0.0 END AS a
         FROM (SELECT source_key, idx, h1, CASE WHEN phase IN (1, 4) AND h2 % 10 < 8 THEN 1 + h2 % 2 ELSE 0 END AS n FROM {fx_frames} WHERE idx % 6 = 0) s""",
     "fx_labels": """
-        SELECT 'int_' || p_partkey AS interval_id, 'station' || (p_partkey % 10 % 4) || '/rec_' || (p_partkey % 10) || '.rec' AS source_key,
+        SELECT 'int_' || p_partkey AS interval_id, 'station' || (rec % 4) || '/rec_' || rec || '.rec' AS source_key,
                p_type || '  ' || p_name || '!!' AS proposed_task_name, p_name AS short_caption, (p_partkey * 37 % 101) / 100.0 AS confidence,
                p_size % 5 <> 0 AS is_manipulation, p_partkey AS k
-        FROM {part}""",
+        FROM (SELECT *, 1 + p_partkey % (SELECT count(*) FROM {supplier}) AS rec FROM {part}) p""",
     "fx_intervals": """
-        SELECT 'int_' || p_partkey AS interval_id, 'station' || (p_partkey % 10 % 4) || '/rec_' || (p_partkey % 10) || '.rec' AS source_key,
+        SELECT 'int_' || p_partkey AS interval_id, 'station' || (rec % 4) || '/rec_' || rec || '.rec' AS source_key,
                p_partkey * 13 % 60 + 0.5 AS start_s, p_partkey * 13 % 60 + 0.5 + p_size AS end_s, p_partkey AS k
-        FROM {part}""",
+        FROM (SELECT *, 1 + p_partkey % (SELECT count(*) FROM {supplier}) AS rec FROM {part}) p""",
     "fx_objects": """
         SELECT lower(replace(o_orderpriority, ' ', '-')) || '/' || CASE WHEN o_orderkey % 31 = 0 THEN '.pruned/' ELSE '' END || o_orderkey || '.rec' AS key,
                lower(replace(o_orderpriority, ' ', '-')) AS dataset, o_orderkey || '.rec' AS filename,
@@ -92,4 +92,5 @@ def duck(sql: str) -> str:
     ctes = ", ".join(f"{n} AS ({body.strip()})" for n, body in found.items())
     if not ctes:
         return main
-    return f"WITH {ctes}, {main[5:].lstrip()}" if main[:5].upper() == "WITH " else f"WITH {ctes} {main}"
+    begin = re.match(r"WITH\s+(RECURSIVE\s+)?", main, re.IGNORECASE)
+    return f"{begin[0].rstrip()} {ctes}, {main[begin.end():]}" if begin else f"WITH {ctes} {main}"
