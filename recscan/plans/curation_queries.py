@@ -102,8 +102,8 @@ def split_points(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT source_key, 0.0::DOUBLE AS start_s, duration_us / 1e6 AS end_s FROM {fx_recordings}
           UNION ALL
           SELECT source_key, unnest([start_s, cut]), unnest([cut, end_s]) FROM (
-              SELECT source_key, start_s, end_s, CASE WHEN at > start_s + 0.25 AND at < end_s - 0.25 THEN at ELSE start_s + (end_s - start_s) / 2 END AS cut FROM (
-                  SELECT source_key, start_s, end_s, arg_max(cur + gap / 2, (gap, -cur)) FILTER (WHERE gap > 0) AS at FROM (
+              SELECT source_key, start_s, end_s, CASE WHEN mid > start_s + 0.25 AND mid < end_s - 0.25 THEN mid ELSE start_s + (end_s - start_s) / 2 END AS cut FROM (
+                  SELECT source_key, start_s, end_s, arg_max(cur + gap / 2, (gap, -cur)) FILTER (WHERE gap > 0) AS mid FROM (
                       SELECT source_key, start_s, end_s, cur, round(b - cur, 9) AS gap FROM (
                           SELECT source_key, start_s, end_s, b,
                                  greatest(start_s, max(e) OVER (PARTITION BY source_key, start_s, end_s ORDER BY e IS NULL, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS cur
