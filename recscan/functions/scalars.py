@@ -122,8 +122,20 @@ def codec_name(codec: Column) -> Column:
     return name
 
 
+STREAMABLE = 2
+
+
 def streamable(codec: Column) -> Column:
-    return codec == 2
+    return codec == STREAMABLE
+
+
+def stream_error(codec: Column) -> Column:
+    """Why a video cannot be streamed; null if it can. The text is a fixed value."""
+    return F.when(codec != STREAMABLE, F.format_string(f"rgb_codec=%d is not browser-streamable (need {STREAMABLE} for H.264)", codec))
+
+
+def join_tags(tags_: Column) -> Column:
+    return F.array_join(tags_, ",")
 
 
 def tags(s: Column) -> Column:

@@ -387,7 +387,9 @@ def segments(tiled: DataFrame, min_gap: int = 300, min_duration: int = 60, pad:
 def validate_index(index: DataFrame, recordings: DataFrame, header_bytes: int = 472) -> DataFrame:
     """(source_key, valid, n_errors, n_warnings, errors, warnings) of each recording's index.
 
-    ``index``: source_key, entry, file_offset, timestamp_us; ``recordings``: total_frames.
+    ``index``: source_key, entry, file_offset, timestamp_us; ``recordings``: total_frames and, if
+    read from files, file_errors and file_warnings, which come first. A file with errors is not
+    judged by its entries; one without an index has none. The messages are fixed values.
     """
     w = Window.partitionBy("source_key").orderBy("entry")
     say = lambda when, text: F.when(when, F.format_string(text, F.col("entry")))
@@ -400,9 +402,20 @@ def validate_index(index: DataFrame, recordings: DataFrame, header_bytes: int =
     # only entries at fault are gathered
     said = lambda *cols: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.coalesce(*cols).isNotNull(), F.struct("entry", F.array_compact(F.array(*cols)).alias("m"))))), lambda x: x["m"]))
     found = rows.groupBy("source_key").agg(said("order", "early").alias("errors"), said("time").alias("warnings"), F.count(F.lit(1)).alias("entries"))
-    joined = found.join(recordings.select("source_key", "total_frames"), "source_key")
+    files = [c for c in ("file_errors", "file_warnings") if c in recordings.columns]
+    joined = recordings.select("source_key", "total_frames", *files).join(found, "source_key", "left" if files else "inner")
+    none = F.array().cast("array<string>")
+    at_fault = F.size(F.coalesce("file_errors", none)) > 0 if files else F.lit(False)
     mismatch = F.when(F.col("total_frames") != F.col("entries"), F.format_string("frame count mismatch: footer says %d frames but %d index entries", "total_frames", "entries"))
-    warnings = F.array_compact(F.concat("warnings", F.array(mismatch)))
-    return joined.select(
-        "source_key", (F.size("errors") == 0).alias("valid"), F.size("errors").cast("long").alias("n_errors"), F.size(warnings).cast("long").alias("n_warnings"), "errors", warnings.alias("warnings")
+    errors, warnings = F.coalesce("errors", none), F.array_compact(F.concat(F.coalesce("warnings", none), F.array(mismatch)))
+    if files:
+        errors = F.when(at_fault, F.col("file_errors")).otherwise(errors)
+        warnings = F.when(at_fault, F.coalesce("file_warnings", none)).otherwise(F.concat(F.coalesce("file_warnings", none), warnings))
+    return joined.select("source_key", errors.alias("errors"), warnings.alias("warnings")).select(
+        "source_key", (F.size("errors") == 0).alias("valid"), F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"), "errors", "warnings"
     )
+
+
+def validation_counts(checked: DataFrame) -> DataFrame:
+    """One row: how many files passed, and how many did not."""
+    return checked.agg(F.count(F.when(F.col("valid"), 1)).alias("passed"), F.count(F.when(~F.col("valid"), 1)).alias("failed"), F.sum("n_warnings").alias("warnings"))

@@ -17,7 +17,11 @@ def manifest_add(manifest: DataFrame, episodes: DataFrame) -> DataFrame:
     return manifest.unionByName(fresh.select(*manifest.columns))
 
 
-manifest_restore = manifest_add
+def manifest_restore(manifest: DataFrame, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifest with pruned episodes back in it, audit rows); those already there are left alone."""
+    fresh = episodes.join(manifest.select("filename"), "filename", "left_anti").dropDuplicates(["filename"])
+    audit = fresh.select(F.lit("restore").alias("op"), F.concat(F.lit(".pruned/"), "filename").alias("source"), F.col("filename").alias("destination"))
+    return manifest_add(manifest, episodes), audit
 
 
 def manifest_remove(manifest: DataFrame, names: DataFrame) -> DataFrame:
@@ -62,10 +66,11 @@ def dataset_totals(episodes: DataFrame, by: str = "dataset") -> DataFrame:
 
 
 def next_session(names: DataFrame, dataset: str) -> DataFrame:
-    """One row: the next name {dataset}_NNN after the largest number in use."""
-    number = F.regexp_extract(F.col("session_name"), rf"^{dataset}_(\d+)$", 1).try_cast("int")
-    k = F.coalesce(F.max(number), F.lit(0)) + 1
-    return names.agg(k.alias("k")).select(F.concat(F.lit(f"{dataset}_"), F.when(F.col("k") < 1000, F.lpad(F.col("k").cast("string"), 3, "0")).otherwise(F.col("k").cast("string"))).alias("session_name"))
+    """One row: the next name {dataset}_NNN after the largest number in use; _000 if none is."""
+    rest = F.substring("session_name", len(dataset) + 2, 1000)
+    number = F.when(F.startswith("session_name", F.lit(f"{dataset}_")), F.regexp_extract(rest, r"^(\d+)", 1).try_cast("int"))
+    text = (F.coalesce(F.max(number), F.lit(-1)) + 1).cast("string")
+    return names.agg(text.alias("k")).select(F.concat(F.lit(f"{dataset}_"), F.lpad("k", F.greatest(F.lit(3), F.length("k")), F.lit("0"))).alias("session_name"))
 
 
 # ---- upload state -------------------------------------------------------------------------
@@ -80,6 +85,29 @@ def pending_uploads(objects: DataFrame, uploads: DataFrame, now: Column, settle_
     return objects.filter(ok).join(done, "filename", "left_anti")
 
 
+def oldest_first(pending: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pending files in the order in which they are uploaded."""
+    rows = pending.orderBy("mtime", "key")
+    return rows.limit(limit) if limit else rows
+
+
+def loose_pending(pending: DataFrame, datasets: DataFrame) -> DataFrame:
+    """One row: pending files, and their bytes, that lie in no known dataset."""
+    loose = pending.join(datasets.select("dataset").distinct(), "dataset", "left_anti")
+    return loose.agg(F.count(F.lit(1)).alias("loose_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("loose_size"))
+
+
+def upload_session(uploads: DataFrame, by: str) -> DataFrame:
+    """(by, files, bytes, elapsed_s, wall_s, average_rate) of upload cycles.
+
+    ``uploads``: by, size_bytes, started and ended in seconds. The rate counts the time spent on
+    files, not the time between them.
+    """
+    spent = F.sum(F.col("ended") - F.col("started"))
+    out = uploads.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), spent.alias("elapsed_s"), (F.max("ended") - F.min("started")).alias("wall_s"))
+    return out.withColumn("average_rate", F.when(F.col("elapsed_s") > 0, F.col("bytes") / F.col("elapsed_s")).otherwise(0.0))
+
+
 def dataset_sync_status(objects: DataFrame, pending: DataFrame) -> DataFrame:
     """(dataset, files, total_size, pending_count, pending_size)."""
     kept = objects.filter(~F.array_contains(F.split("key", "/"), ".pruned"))
@@ -95,18 +123,39 @@ def retry_due(uploads: DataFrame, now: Column) -> DataFrame:
     return uploads.filter(~F.col("success")).select("filename", "attempts", wait.alias("delay_s"), (past >= wait).alias("due"))
 
 
-def archive_plan(objects: DataFrame, uploads: DataFrame) -> DataFrame:
-    """(key, action): files that were not uploaded are copied before all are deleted."""
-    done = uploads.filter("success").select("filename", F.lit(True).alias("_up")).dropDuplicates(["filename"])
-    return objects.join(done, "filename", "left").select("key", "size_bytes", F.when(F.col("_up"), "delete").otherwise("copy_and_delete").alias("action"))
-
+def archive_plan(objects: DataFrame, uploads: DataFrame, archived: DataFrame | None = None, stamp: Column | None = None) -> DataFrame:
+    """(key, size_bytes, action, target): files that were not uploaded are copied before all are deleted.
 
-def upload_rates(progress: DataFrame, total: Column | None = None) -> DataFrame:
-    """progress (id, ts_s, bytes so far) with interval and average rates."""
+    ``archived`` has the keys that the archive holds; a file of such a key is copied beside it, under
+    a name with ``stamp``, and under one with its own hash too where that is taken as well.
+    """
+    done = uploads.filter("success").select("filename", F.lit(True).alias("_up")).dropDuplicates(["filename"])
+    rows = objects.join(done, "filename", "left").select("key", "size_bytes", F.when(F.col("_up"), "delete").otherwise("copy_and_delete").alias("action"))
+    if archived is None:
+        return rows.withColumn("target", F.when(F.col("action") == "copy_and_delete", F.col("key")))
+    held = archived.select(F.col("key").alias("_held"), F.lit(True).alias("_taken")).distinct()
+    stem, end = F.regexp_replace("key", r"\.[^./]*$", ""), F.regexp_extract("key", r"(\.[^./]*)$", 1)
+    at = F.date_format(F.current_timestamp() if stamp is None else stamp, "yyyyMMdd_HHmmss")
+    beside = rows.withColumns({"_beside": F.concat(stem, F.lit("_"), at, end), "_further": F.concat(stem, F.lit("_"), at, F.lit("_"), F.substring(F.sha1("key"), 1, 8), end)})
+    first = beside.join(held.withColumnRenamed("_taken", "_first"), F.col("key") == F.col("_held"), "left").drop("_held")
+    both = first.join(held.withColumnRenamed("_taken", "_second"), F.col("_beside") == F.col("_held"), "left").drop("_held")
+    free = F.when(F.col("_first").isNull(), F.col("key")).when(F.col("_second").isNull(), F.col("_beside")).otherwise(F.col("_further"))
+    return both.select("key", "size_bytes", "action", F.when(F.col("action") == "copy_and_delete", free).alias("target"))
+
+
+def upload_rates(progress: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """progress (id, ts_s, bytes so far) with interval and average rates; with ``totals`` (id, total
+    bytes) also percent and eta_s, the time that is left at the average rate.
+    """
     w = Window.partitionBy("id").orderBy("ts_s")
     dt, db = F.col("ts_s") - F.lag("ts_s").over(w), F.col("bytes") - F.lag("bytes").over(w)
     since = F.col("ts_s") - F.min("ts_s").over(Window.partitionBy("id"))
-    return progress.select("id", "ts_s", "bytes", F.when(dt > 0, db / dt).otherwise(0.0).alias("rate"), F.when(since > 0, F.col("bytes") / since).otherwise(0.0).alias("average_rate"))
+    rates = progress.select("id", "ts_s", "bytes", F.when(dt > 0, db / dt).otherwise(0.0).alias("rate"), F.when(since > 0, F.col("bytes") / since).otherwise(0.0).alias("average_rate"))
+    if totals is None:
+        return rates
+    percent = F.when(F.col("total") > 0, F.col("bytes") / F.col("total") * 100).otherwise(0.0)
+    left = F.when(F.col("average_rate") > 0, (F.col("total") - F.col("bytes")) / F.col("average_rate")).otherwise(0.0)
+    return rates.join(totals.select("id", "total"), "id").withColumns({"percent": percent, "eta_s": left}).drop("total")
 
 
 # ---- exports ------------------------------------------------------------------------------
@@ -117,35 +166,123 @@ def _steps(frames: DataFrame) -> DataFrame:
     return frames.withColumns({"step": F.row_number().over(w.orderBy("idx")) - 1, "steps": F.count(F.lit(1)).over(w)})
 
 
+def _intrinsics(camera: str) -> Column:
+    return F.array(*[F.col(f"{camera}.{k}").cast("float") for k in ("fx", "fy", "ppx", "ppy")])
+
+
 def rlds_steps(recordings: DataFrame, frames: DataFrame) -> DataFrame:
-    """One row per step: timestamp, is_first, is_last, is_terminal, with its episode's metadata."""
-    meta = recordings.select("source_key", "session_name", "camera_serial", "start_timestamp_us")
+    """One row per step: timestamp, is_first, is_last, is_terminal, with its episode's metadata.
+
+    Where ``recordings`` has the columns depth, color, rotation and translation, steps have
+    depth_intrinsics, color_intrinsics (fx, fy, ppx, ppy), extrinsic_R and extrinsic_t; where
+    ``frames`` has image or depth, encoded bytes, steps have those.
+    """
+    cameras = [_intrinsics(c).alias(f"{c}_intrinsics") for c in ("depth", "color") if c in recordings.columns]
+    moves = [F.col(c).alias(a) for c, a in (("rotation", "extrinsic_R"), ("translation", "extrinsic_t")) if c in recordings.columns]
+    meta = recordings.select("source_key", "session_name", "camera_serial", "start_timestamp_us", *cameras, *moves)
+    images = [c for c in ("image", "depth") if c in frames.columns]
     last = F.col("step") == F.col("steps") - 1
     return _steps(frames).join(meta, "source_key").select(
         "source_key", "session_name", "camera_serial", "step", S.relative_s(F.col("timestamp_us"), F.col("start_timestamp_us")).alias("timestamp"),
-        (F.col("step") == 0).alias("is_first"), last.alias("is_last"), last.alias("is_terminal"),
+        (F.col("step") == 0).alias("is_first"), last.alias("is_last"), last.alias("is_terminal"), *meta.columns[4:], *images,
     )
 
 
-def lerobot_rows(recordings: DataFrame, frames: DataFrame) -> DataFrame:
+# Names and layout of the two training formats.
+RLDS_VERSION, RLDS_FILE = "1.0.0", "ego_recording-train.tfrecord-{:05d}-of-{:05d}"
+TASK, CHUNK = "ego_recording", 1000
+_TFDS = "tensorflow_datasets.core.features."
+
+
+def _tfds(kind: str, **more) -> dict:
+    return {"pythonClassName": _TFDS + kind, **more}
+
+
+def rlds_features(width: int = 640, height: int = 480) -> dict:
+    """The description of a step and of an episode's metadata."""
+    nested = lambda features: _tfds("features_dict.FeaturesDict", featuresDict={"features": features})
+    image = lambda channels, dtype, form: _tfds("image_feature.Image", image={"shape": {"dimensions": [height, width, channels]}, "dtype": dtype, "encodingFormat": form})
+    tensor = lambda *shape: _tfds("tensor_feature.Tensor", tensor={"shape": {"dimensions": list(shape)}, "dtype": "float32"})
+    scalar = lambda dtype: _tfds("scalar.Scalar", tensor={"shape": {}, "dtype": dtype})
+    text = _tfds("text_feature.Text", text={})
+    seen = nested({
+        "image": image(3, "uint8", "jpeg"), "depth": image(1, "uint16", "png"), "depth_intrinsics": tensor(4), "color_intrinsics": tensor(4), "extrinsic_R": tensor(3, 3), "extrinsic_t": tensor(3),
+    })
+    step = nested({"observation": seen, "timestamp": scalar("float64"), "is_first": scalar("bool"), "is_last": scalar("bool"), "is_terminal": scalar("bool")})
+    meta = {"file_path": text, "session_name": text, "duration_s": scalar("float64"), "dataset_name": text, "dataset_description": text}
+    return nested({"steps": _tfds("dataset_feature.Dataset", sequence={"feature": step}), "episode_metadata": nested(meta)})
+
+
+def rlds_examples(steps: DataFrame, numbered: DataFrame, episodes: int) -> DataFrame:
+    """Steps with the names of the format, and file, that of their episode; ``numbered``: source_key, episode_index."""
+    observed = ("image", "depth", "depth_intrinsics", "color_intrinsics", "extrinsic_R", "extrinsic_t")
+    names = {c: f"steps/observation/{c}" for c in observed if c in steps.columns} | {c: f"steps/{c}" for c in ("is_first", "is_last", "is_terminal")}
+    number = lambda c: F.lpad(c.cast("string"), F.greatest(F.lit(5), F.length(c.cast("string"))), F.lit("0"))
+    prefix = RLDS_FILE.split("{")[0]
+    file = F.concat(F.lit(f"{RLDS_VERSION}/{prefix}"), number(F.col("episode_index")), F.lit("-of-"), number(F.lit(episodes)))
+    return steps.join(numbered.select("source_key", "episode_index"), "source_key").select(
+        file.alias("file"), "step", F.col("timestamp").cast("float").alias("steps/timestamp"), *[F.col(c).alias(n) for c, n in names.items()]
+    )
+
+
+def lerobot_rows(recordings: DataFrame, frames: DataFrame, depth: DataFrame | None = None) -> DataFrame:
     """One row per frame: global frame_index, episode_index, frame in episode, timestamp, task_index.
 
     Episodes are numbered by key; a frame's global index is the length of earlier episodes plus
-    its own place, so that no window spans all frames.
+    its own place, so that no window spans all frames. With ``depth`` (source_key, idx, depth: array
+    of millimetres) rows have observation.depth_mm.
     """
     sizes = frames.groupBy("source_key").agg(F.count(F.lit(1)).alias("length"))
     numbered = ranked(sizes, [F.col("source_key")], "episode_index", "length").withColumnRenamed("length_before", "before").drop("length")
     rows = _steps(frames).join(numbered, "source_key").join(recordings.select("source_key", "start_timestamp_us"), "source_key")
+    seen = []
+    if depth is not None:
+        rows = rows.join(depth.select("source_key", "idx", "depth"), ["source_key", "idx"], "left")
+        seen = [F.transform("depth", lambda x: x.cast("float")).alias("observation.depth_mm")]
     return rows.select(
         (F.col("before") + F.col("step")).alias("frame_index"), F.col("episode_index").cast("long").alias("episode_index"), F.col("step").cast("long").alias("step"),
-        S.relative_s(F.col("timestamp_us"), F.col("start_timestamp_us")).cast("float").alias("timestamp"), F.lit(0).cast("long").alias("task_index"),
+        S.relative_s(F.col("timestamp_us"), F.col("start_timestamp_us")).cast("float").alias("timestamp"), *seen, F.lit(0).cast("long").alias("task_index"),
     )
 
 
-def write_lerobot(rows: DataFrame, path: str) -> None:
-    """data/ by episode, and meta/episodes: parquet and JSON lines."""
-    rows.repartition("episode_index").write.partitionBy("episode_index").parquet(f"{path}/data")
-    rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length")).write.json(f"{path}/meta/episodes")
+def dataset_name(recordings: DataFrame, dataset: str | None = None, name: str | None = None, separate: bool = False) -> DataFrame:
+    """(source_key, dataset_name): the dataset's, else the given name, else the session's, else a default.
+
+    All recordings are one dataset, whose session is that of the first by key; with ``separate`` each
+    is one of its own, and the default is its file's name.
+    """
+    session = F.nullif("session_name", F.lit(""))
+    stem = F.regexp_replace(F.element_at(F.split("source_key", "/"), -1), r"\.[^.]*$", "")
+    given = F.lit(dataset or name).cast("string")
+    if separate:
+        return recordings.select("source_key", F.coalesce(given, session, stem).alias("dataset_name"))
+    # one value
+    first = recordings.agg(F.min_by(F.struct(session.alias("s")), "source_key")["s"]).first()[0]
+    return recordings.select("source_key", F.coalesce(given, F.lit(first).cast("string"), F.lit(TASK)).alias("dataset_name"))
+
+
+def lerobot_episodes(rows: DataFrame) -> DataFrame:
+    """(episode_index, tasks, length) of each episode."""
+    return rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length")).select("episode_index", F.array(F.lit(TASK)).alias("tasks"), "length")
+
+
+def lerobot_info(episodes: int, frames: int, fps: int = 30, width: int = 640, height: int = 480) -> dict:
+    """The description of a dataset."""
+    video = {"video.fps": fps, "video.codec": "av1", "video.pix_fmt": "yuv420p", "video.is_depth_map": False, "has_audio": False}
+    return {
+        "codebase_version": "v3.0", "robot_type": "realsense_d435", "fps": fps, "total_episodes": episodes, "total_frames": frames, "total_tasks": 1, "total_chunks": max(1, -(-episodes // CHUNK)), "chunks_size": CHUNK,
+        "features": {
+            "observation.images.rgb": {"dtype": "video", "shape": [height, width, 3], "names": ["height", "width", "channel"], "video_info": video},
+            "observation.depth_mm": {"dtype": "float32", "shape": [height, width], "names": ["height", "width"]},
+        },
+        "data_path": "data/chunk-{chunk_index:03d}/episode_{episode_index:06d}.parquet", "video_path": "videos/chunk-{chunk_index:03d}/{video_key}_episode_{episode_index:06d}.mp4",
+    }
+
+
+def lerobot_file(episode: Column) -> Column:
+    """Where an episode's rows lie, by chunks of CHUNK episodes."""
+    number = lambda c, n: F.lpad(c.cast("string"), F.greatest(F.lit(n), F.length(c.cast("string"))), F.lit("0"))
+    return F.concat(F.lit("data/chunk-"), number(F.floor(episode / CHUNK), 3), F.lit("/episode_"), number(episode, 6), F.lit(".parquet"))
 
 
 def gap_classes(frames: DataFrame, soft_us: int = 500_000, hard_us: int = 1_000_000, by: str = "source_key") -> DataFrame:

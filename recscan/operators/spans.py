@@ -21,6 +21,11 @@ def present(n: Column, a: Column, least_area: float = 0.01) -> Column:
     return (n > 0) & (a >= least_area)
 
 
+def accepted(score: Column, area: Column, least_score: float = 0.5, least_area: float = 0.01) -> Column:
+    """Whether a detection counts as a hand."""
+    return (score >= least_score) & (area >= least_area)
+
+
 def merge_spans(spans: DataFrame, gap_s: float, by: str = _KEY, inclusive: bool = True) -> DataFrame:
     """Spans joined over gaps of at most (inclusive) or below ``gap_s``."""
     w = Window.partitionBy(by).orderBy("start_s", "end_s")
@@ -147,6 +152,19 @@ def frame_ranges(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     return joined.select(_KEY, "id", "start_s", "end_s", F.when(error.isNull(), F.col("start_idx")).alias("start_idx"), F.when(error.isNull(), F.col("end_idx")).alias("end_idx"), error.alias("error"))
 
 
+def frame_seconds(segments: DataFrame, frames: DataFrame, recordings: DataFrame) -> DataFrame:
+    """segments with start_s and end_s: the time of the start frame and of the end frame, from the
+    recording's start and never below 0; where there is no such frame, its whole duration.
+
+    ``recordings``: source_key, start_timestamp_us, duration_us.
+    """
+    out = segments.join(recordings.select(_KEY, "start_timestamp_us", "duration_us"), _KEY)
+    ends = out.select("*", F.posexplode(F.array("start_frame", "end_frame")).alias("_end", "idx")).join(frames.select(_KEY, "idx", "timestamp_us"), [_KEY, "idx"], "left")
+    after = F.when(F.col("timestamp_us").isNotNull(), F.greatest(F.col("timestamp_us") - F.col("start_timestamp_us"), F.lit(0)) / 1e6)
+    timed = ends.withColumn("_t", F.coalesce(after, F.col("duration_us") / 1e6))
+    return timed.groupBy(*segments.columns).agg(F.max(F.when(F.col("_end") == 0, F.col("_t"))).alias("start_s"), F.max(F.when(F.col("_end") == 1, F.col("_t"))).alias("end_s"))
+
+
 def clip_byte_plan(index: DataFrame, ranges: DataFrame, header_bytes: int = 472) -> DataFrame:
     """Where the frames of each clip lie and land: first_byte, last_byte, frames, index_offset.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recscan.operators import activity as A
+from recscan.operators import spans as P
 from recscan.plans.fixtures import duck, fixture
 
 R = 6  # digits to which computed numbers are compared
@@ -79,16 +80,8 @@ def segments_curation(spark: SparkSession, d: str) -> DataFrame:
 
 def interval_seconds(spark: SparkSession, d: str) -> DataFrame:
     """Proposals in seconds: the start frame's time, and the end frame's or else the whole duration."""
-    frames, rec = _frames(spark, d), fixture(spark, d, "fx_recordings").select("source_key", "start_timestamp_us", "duration_us")
-    seg = A.segments(A.scan(frames), min_gap=30, min_duration=45, pad=15).join(rec, "source_key")
-    at = frames.select("source_key", "idx", "timestamp_us")
-    ends = [("start_frame", "start_s"), ("end_frame", "end_s")]
-    for col, name in ends:
-        seg = seg.join(at.withColumnsRenamed({"idx": col, "timestamp_us": f"{name}_us"}), ["source_key", col], "left")
-    base = F.col("start_timestamp_us")
-    after = lambda c: F.when(c.isNotNull(), F.greatest(c - base, F.lit(0)) / 1e6)
-    seconds = [F.coalesce(after(F.col(f"{n}_us")), F.col("duration_us") / 1e6).alias(n) for _, n in ends]
-    return rounded(seg.select("source_key", "start_frame", "end_frame", *seconds))
+    found = P.frame_seconds(A.segments(A.scan(_frames(spark, d)), min_gap=30, min_duration=45, pad=15), _frames(spark, d), fixture(spark, d, "fx_recordings"))
+    return rounded(found.select("source_key", "start_frame", "end_frame", "start_s", "end_s"))
 
 
 def stream_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -11,10 +11,12 @@ from recscan.operators import catalog as C
 from recscan.operators import labels as L
 from recscan.operators import review as V
 from recscan.operators import spans as P
+from recscan.plans import jobs
 from recscan.plans.activity_queries import _FUSED, _segments, _VERDICT, _frames, rounded
 from recscan.plans.activity_queries import analyze_verdict as _verdicts
 from recscan.plans.fixtures import duck, fixture
 from recscan.scratch import written
+from recscan.streaming import telemetry
 
 PERIOD = 0.2
 NOW = "timestamp'1999-01-01 00:00:00'"
@@ -310,11 +312,27 @@ def effective_buckets(spark: SparkSession, d: str) -> DataFrame:
           UNION ALL SELECT 'label', interval_id, 'low_confidence_or_non_manipulation' FROM lb WHERE confidence < 0.55 OR NOT is_manipulation)
     SELECT stage, identifier, reason, 'rev_' || substr(sha1(stage || '::' || identifier || '::' || reason), 1, 16) AS review_id FROM q""")
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    e, lb = _episodes(spark, d), _labels(spark, d)
-    bad = F.col("validation_status") == "invalid"
-    qc = e.filter(bad | (F.col("episode_status") == "review")).select(F.lit("qc").alias("stage"), F.col("source_key").alias("identifier"), F.when(bad, "invalid_episode").otherwise("needs_human_review").alias("reason"))
-    low = lb.filter((F.col("confidence") < L.LOW_CONFIDENCE) | ~F.col("is_manipulation")).select(F.lit("label").alias("stage"), F.col("interval_id").alias("identifier"), F.lit("low_confidence_or_non_manipulation").alias("reason"))
-    return V.review_queue(qc, low)
+    return V.review_queue(jobs.qc_reviews(_episodes(spark, d)), jobs.label_reviews(_labels(spark, d)))
+
+
+@query(f"""{_HAND_INTERVALS.replace('SELECT source_key, round(start_s, 6)', ', hi AS (SELECT source_key, round(start_s, 6)', 1)}),
+    q AS (SELECT source_key, CASE WHEN rec % 12 = 1 THEN 'interval_export_failed' WHEN source_key NOT IN (SELECT source_key FROM pr) THEN 'no_interval_proposals'
+                 WHEN rec % 12 = 2 THEN 'hand_detection_failed' WHEN source_key NOT IN (SELECT source_key FROM hands) THEN 'no_hands_detected'
+                 WHEN source_key NOT IN (SELECT source_key FROM hi) THEN 'no_hand_activity_overlap' END AS reason FROM {{fx_recordings}})
+    SELECT 'intervals' AS stage, source_key AS identifier, reason, 'rev_' || substr(sha1('intervals::' || source_key || '::' || reason), 1, 16) AS review_id FROM q WHERE reason IS NOT NULL""")
+def interval_reviews(spark: SparkSession, d: str) -> DataFrame:
+    rec = fixture(spark, d, "fx_recordings")
+    return jobs.intervals(_proposals(spark, d), rec, _samples(spark, d), rec.filter("rec % 12 = 1"), rec.filter("rec % 12 = 2"))[1]
+
+
+@query(f"""WITH {_LABELS}, q AS (SELECT interval_id, 'low_confidence_or_non_manipulation' AS reason FROM lb WHERE confidence < 0.55 OR NOT is_manipulation
+    UNION ALL SELECT interval_id, 'missing_storyboard' FROM {{fx_intervals}} WHERE k % 8 = 3)
+    SELECT 'label' AS stage, interval_id AS identifier, reason FROM q""")
+def label_job(spark: SparkSession, d: str) -> DataFrame:
+    """Review rows of the label job: unsure answers, and intervals without a storyboard."""
+    lb, wanted = _labels(spark, d), fixture(spark, d, "fx_intervals")
+    raw = F.to_json(F.struct(F.col("is_manipulation").cast("string").alias("is_manipulation"), "proposed_task_name", "short_caption", "primary_objects", "confidence"))
+    return jobs.label(lb.select("interval_id", "source_key", raw.alias("raw")), wanted=wanted, storyboards=wanted.filter("k % 8 <> 3"))[1].drop("review_id")
 
 
 @query(f"""{_EPISODES} SELECT interval_id, ei.source_key, effective_start_s, effective_end_s, round(effective_end_s - effective_start_s, 6) AS duration_s FROM ei LEFT JOIN ee USING (source_key)
@@ -354,10 +372,11 @@ def manifest_remove(spark: SparkSession, d: str) -> DataFrame:
     return C.manifest_remove(m, m.filter("rec % 9 = 2")).select("filename", "frames")
 
 
-@query(f"WITH {_MANIFEST} SELECT filename, frames FROM mf")
+@query(f"WITH {_MANIFEST} SELECT filename, frames, CASE WHEN rec % 9 = 2 THEN '.pruned/' || filename END AS source FROM mf")
 def manifest_restore(spark: SparkSession, d: str) -> DataFrame:
     m = _manifest(spark, d)
-    return C.manifest_restore(C.manifest_remove(m, m.filter("rec % 9 = 2")), m.filter("rec % 9 in (2, 3)")).select("filename", "frames")
+    restored, audit = C.manifest_restore(C.manifest_remove(m, m.filter("rec % 9 = 2")), m.filter("rec % 9 in (2, 3)"))
+    return restored.select("filename", "frames").join(audit.select(F.col("destination").alias("filename"), "source"), "filename", "left")
 
 
 @query(f"{_VERDICT} SELECT 'prune' AS op, split_part(source_key, '/', 2) AS filename, verdict, round(activity_score, 6) AS activity_score FROM verdict WHERE verdict = 'PRUNE_CONFIDENT' OR verdict = 'PRUNE_SUGGESTED' AND activity_score < 0.4")
@@ -378,11 +397,13 @@ def dataset_totals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.dataset_totals(_manifest(spark, d)))
 
 
-@query(f"WITH {_MANIFEST}, s AS (SELECT 'demo_' || lpad(rec::VARCHAR, 3, '0') AS session_name FROM mf) SELECT 'demo_' || lpad((max(substr(session_name, 6)::BIGINT) + 1)::VARCHAR, greatest(3, length((max(substr(session_name, 6)::BIGINT) + 1)::VARCHAR))::INTEGER, '0') AS session_name FROM s")
+@query(f"""WITH {_MANIFEST}, n AS (SELECT (max(rec) + 1)::VARCHAR AS n FROM mf)
+    SELECT 'demo_' || CASE WHEN length(n) < 3 THEN lpad(n, 3, '0') ELSE n END AS session_name FROM n UNION ALL SELECT 'a.b_000'""")
 def session_names(spark: SparkSession, d: str) -> DataFrame:
+    """The next names of a dataset in use, and of one that is not."""
     number = F.col("rec").cast("string")
-    names = _manifest(spark, d).select(F.concat(F.lit("demo_"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))).alias("session_name"))
-    return C.next_session(names, "demo")
+    names = _manifest(spark, d).select(F.explode(F.array(F.concat(F.lit("demo_"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))), F.lit("axb_007"))).alias("session_name"))
+    return C.next_session(names, "demo").unionByName(C.next_session(names, "a.b"))
 
 
 _PENDING = "pe AS (SELECT key, dataset, o.filename, size_bytes, mtime FROM {fx_objects} o WHERE NOT contains(key, '.pruned/') AND size_bytes >= 1024 AND epoch_us(TIMESTAMP '1999-01-01') - epoch_us(mtime) >= 10000000 AND filename NOT IN (SELECT filename FROM {fx_uploads} WHERE success))"
@@ -409,26 +430,61 @@ def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
     return C.retry_due(fixture(spark, d, "fx_uploads"), F.expr(NOW))
 
 
-@query("SELECT key, size_bytes, CASE WHEN filename IN (SELECT filename FROM {fx_uploads} WHERE success) THEN 'delete' ELSE 'copy_and_delete' END AS action FROM {fx_objects}")
+@query("""SELECT key, size_bytes, CASE WHEN up THEN 'delete' ELSE 'copy_and_delete' END AS action,
+    CASE WHEN NOT up THEN CASE WHEN k % 4 <> 1 THEN key WHEN k % 8 = 1 THEN replace(key, '.rec', '_19990101_000000_' || substr(sha1(key), 1, 8) || '.rec') ELSE replace(key, '.rec', '_19990101_000000.rec') END END AS target
+    FROM (SELECT *, filename IN (SELECT filename FROM {fx_uploads} WHERE success) AS up FROM {fx_objects})""")
 def archive_plan(spark: SparkSession, d: str) -> DataFrame:
-    return C.archive_plan(fixture(spark, d, "fx_objects"), fixture(spark, d, "fx_uploads"))
+    """Every fourth key is taken in the archive, and of every eighth the stamped name as well."""
+    objects = fixture(spark, d, "fx_objects")
+    held = objects.filter("k % 4 = 1").select("key").union(objects.filter("k % 8 = 1").select(F.replace("key", F.lit(".rec"), F.lit("_19990101_000000.rec"))))
+    return C.archive_plan(objects, fixture(spark, d, "fx_uploads"), held, F.expr(NOW))
+
+
+@query(f"WITH {_PENDING} SELECT count(*) AS loose_count, coalesce(sum(size_bytes), 0)::BIGINT AS loose_size FROM pe WHERE dataset NOT IN ('1-urgent', '2-high')")
+def loose_pending(spark: SparkSession, d: str) -> DataFrame:
+    known = fixture(spark, d, "fx_objects").select("dataset").filter("dataset in ('1-urgent', '2-high')")
+    return jobs.upload_status(fixture(spark, d, "fx_objects"), fixture(spark, d, "fx_uploads"), F.expr(NOW), known)["loose"]
+
+
+@query("""SELECT o_orderdate::DATE::VARCHAR AS cycle, count(*) AS files, sum(floor(o_totalprice)::BIGINT)::BIGINT AS bytes, sum(o_orderkey % 7 + 1)::DOUBLE AS elapsed_s,
+    (max(o_orderkey % 1000 + o_orderkey % 7 + 1) - min(o_orderkey % 1000))::DOUBLE AS wall_s, round(sum(floor(o_totalprice)::BIGINT) / sum(o_orderkey % 7 + 1), 6) AS average_rate
+    FROM orders GROUP BY cycle""")
+def upload_sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = fixture(spark, d, "orders").selectExpr(
+        "cast(cast(o_orderdate AS date) AS string) AS cycle", "cast(floor(o_totalprice) AS bigint) AS size_bytes", "cast(o_orderkey % 1000 AS double) AS started",
+        "cast(o_orderkey % 1000 + o_orderkey % 7 + 1 AS double) AS ended",
+    )
+    return rounded(C.upload_session(rows, "cycle"))
 
 
 @query("""WITH p AS (SELECT o_custkey AS id, epoch_us(o_orderdate) / 1e6 AS ts_s, sum(floor(o_totalprice)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate)::BIGINT AS bytes FROM orders),
-    q AS (SELECT DISTINCT * FROM p), r AS (SELECT *, ts_s - lag(ts_s) OVER w AS dt, bytes - lag(bytes) OVER w AS db, ts_s - min(ts_s) OVER (PARTITION BY id) AS since FROM q WINDOW w AS (PARTITION BY id ORDER BY ts_s))
-    SELECT id, ts_s, bytes, round(CASE WHEN dt > 0 THEN db / dt ELSE 0 END, 6) AS rate, round(CASE WHEN since > 0 THEN bytes / since ELSE 0 END, 6) AS average_rate FROM r""")
+    q AS (SELECT DISTINCT * FROM p), r AS (SELECT *, ts_s - lag(ts_s) OVER w AS dt, bytes - lag(bytes) OVER w AS db, ts_s - min(ts_s) OVER (PARTITION BY id) AS since FROM q WINDOW w AS (PARTITION BY id ORDER BY ts_s)),
+    a AS (SELECT *, CASE WHEN since > 0 THEN bytes / since ELSE 0 END AS average_rate, max(bytes) OVER (PARTITION BY id) * 2 AS total FROM r)
+    SELECT id, ts_s, bytes, round(CASE WHEN dt > 0 THEN db / dt ELSE 0 END, 6) AS rate, round(average_rate, 6) AS average_rate, round(bytes / total * 100, 6) AS percent,
+           round(CASE WHEN average_rate > 0 THEN (total - bytes) / average_rate ELSE 0 END, 6) AS eta_s FROM a""")
 def upload_rates(spark: SparkSession, d: str) -> DataFrame:
     p = spark.sql("SELECT DISTINCT o_custkey AS id, unix_micros(cast(o_orderdate AS timestamp)) / 1e6 AS ts_s, sum(cast(floor(o_totalprice) AS bigint)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS bytes FROM {orders}", orders=fixture(spark, d, "orders"))
-    return rounded(C.upload_rates(p))
+    rates = C.upload_rates(p, p.groupBy("id").agg((F.max("bytes") * 2).alias("total")))
+    return rounded(rates)
 
 
 # ---- exports, sessions, small functions ---------------------------------------------------
 
 
-@query("""SELECT f.source_key, session_name, camera_serial, idx AS step, round((timestamp_us - start_timestamp_us) / 1e6, 6) AS timestamp, idx = 0 AS is_first, idx = max(idx) OVER w AS is_last, idx = max(idx) OVER w AS is_terminal
+_CAMERAS = [
+    "named_struct('fx', 600 + rec % 7, 'fy', 601, 'ppx', 320, 'ppy', 240) AS depth", "named_struct('fx', 900, 'fy', 901 + rec % 5, 'ppx', 640, 'ppy', 360) AS color",
+    "array(1f, 0f, 0f, 0f, 1f, 0f, 0f, 0f, 1f) AS rotation", "array(cast(rec % 3 AS float), 0f, 5f) AS translation",
+]
+_TEXT = ("depth_intrinsics", "color_intrinsics", "extrinsic_R", "extrinsic_t")
+
+
+@query("""SELECT f.source_key, session_name, camera_serial, idx AS step, round((timestamp_us - start_timestamp_us) / 1e6, 6) AS timestamp, idx = 0 AS is_first, idx = max(idx) OVER w AS is_last, idx = max(idx) OVER w AS is_terminal,
+    (600 + r.rec % 7) || ',601,320,240' AS depth_intrinsics, '900,' || (901 + r.rec % 5) || ',640,360' AS color_intrinsics, '1,0,0,0,1,0,0,0,1' AS "extrinsic_R", (r.rec % 3) || ',0,5' AS extrinsic_t
     FROM {fx_frames} f JOIN {fx_recordings} r ON r.source_key = f.source_key WINDOW w AS (PARTITION BY f.source_key)""")
 def rlds_steps(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.rlds_steps(fixture(spark, d, "fx_recordings"), fixture(spark, d, "fx_frames"))).withColumn("step", F.col("step").cast("long"))
+    steps = rounded(C.rlds_steps(fixture(spark, d, "fx_recordings").selectExpr("*", *_CAMERAS), fixture(spark, d, "fx_frames")))
+    text = {c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",") for c in _TEXT}
+    return steps.withColumns(text | {"step": F.col("step").cast("long")})
 
 
 @query("""WITH e AS (SELECT source_key, row_number() OVER (ORDER BY source_key) - 1 AS episode_index, sum(total_frames) OVER (ORDER BY source_key) - total_frames AS before, start_timestamp_us FROM {fx_recordings})
@@ -477,16 +533,37 @@ def recording_catalog(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT key, size_bytes FROM {fx_objects} WHERE starts_with(key, '1-urgent') ORDER BY key LIMIT 50")
+@query("SELECT key, size_bytes FROM {fx_objects} WHERE size_bytes >= 1024")
 def stage_selection(spark: SparkSession, d: str) -> DataFrame:
-    """The first 50 objects below a prefix, in order of their keys."""
-    return fixture(spark, d, "fx_objects").filter(F.startswith("key", F.lit("1-urgent"))).orderBy("key").limit(50).select("key", "size_bytes")
+    """All valid objects; prefix and limit are options of the job."""
+    objects = fixture(spark, d, "fx_objects").withColumn("validation_status", F.when(F.col("size_bytes") >= 1024, "valid").otherwise("invalid"))
+    return jobs.stage(objects).select("key", "size_bytes")
 
 
-@query("SELECT device, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS captured, sum(bytes)::BIGINT AS bytes FROM {fx_telemetry} GROUP BY ALL")
+@query("""SELECT device, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS captured, count(*) FILTER (WHERE event_id % 10 <> 0) AS written, sum(CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END)::BIGINT AS dropped,
+    coalesce(sum(bytes) FILTER (WHERE event_id % 10 <> 0), 0)::BIGINT AS bytes, round(count(*) / 86400, 6) AS capture_fps, round(count(*) FILTER (WHERE event_id % 10 <> 0) / 86400, 6) AS write_fps
+    FROM {fx_telemetry} GROUP BY ALL""")
 def capture_rates(spark: SparkSession, d: str) -> DataFrame:
-    t = fixture(spark, d, "fx_telemetry")
-    return t.groupBy("device", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("captured"), F.sum("bytes").alias("bytes")).select("device", F.col("w.start").alias("start"), "captured", "bytes")
+    return rounded(telemetry.capture_rates(_telemetry(spark, d), "1 day"))
+
+
+@query("""SELECT device, count(*) AS captured, count(*) FILTER (WHERE event_id % 10 <> 0) AS written, sum(CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END)::BIGINT AS dropped,
+    coalesce(sum(bytes) FILTER (WHERE event_id % 10 <> 0), 0)::BIGINT AS bytes, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS seconds,
+    round(CASE WHEN max(ts) > min(ts) THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) ELSE 0 END, 6) AS capture_fps,
+    round(CASE WHEN max(ts) > min(ts) THEN count(*) FILTER (WHERE event_id % 10 <> 0) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) ELSE 0 END, 6) AS write_fps FROM {fx_telemetry} GROUP BY device""")
+def recording_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(telemetry.recording_rates(_telemetry(spark, d), ["device"]))
+
+
+def _telemetry(spark: SparkSession, d: str) -> DataFrame:
+    return fixture(spark, d, "fx_telemetry").withColumns({"written": F.col("event_id") % 10 != 0, "dropped": F.when(F.col("event_id") % 17 == 0, 2).otherwise(0)})
+
+
+@query("""SELECT source_key, nullif(session_name, '') AS session_name, total_frames AS frame_count, duration_us / 1e6 AS duration_s, CASE WHEN duration_us > 0 THEN round_even(total_frames / (duration_us / 1e6), 2) END AS fps,
+    nullif(camera_serial, '') AS camera_serial, flags & 1 <> 0 AS has_imu, rgb_codec, rgb_codec = 2 AS video_streamable,
+    CASE WHEN rgb_codec <> 2 THEN 'rgb_codec=' || rgb_codec || ' is not browser-streamable (need 2 for H.264)' END AS video_stream_error FROM {fx_recordings}""")
+def registration(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.registration(fixture(spark, d, "fx_recordings")).drop("recorded_at", "has_depth")
 
 
 ORACLE_SQL = {k: duck(v) for k, v in _ORACLE.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recscan.functions import scalars as S
@@ -11,13 +11,17 @@ from recscan.operators import catalog as C
 from recscan.operators import labels as L
 from recscan.operators import review as V
 from recscan.operators import spans as P
-from recscan.sources.recording import RecordingSource
+from recscan.operators.ranks import ranked
+from recscan.scratch import written
+from recscan.sources import workspace as W
+from recscan.sources.recording import ParquetFileSink, RecordingSource, TFRecordSink
 
 
-def read_recordings(spark: SparkSession, path: str, table: str = "recordings", suffix: str = ".rec") -> DataFrame:
+def read_recordings(spark: SparkSession, path: str, suffix: str, table: str = "recordings", magic: str | None = None) -> DataFrame:
     """A table of the recordings below a path; see :mod:`recscan.sources.recording`."""
     spark.dataSource.register(RecordingSource)
-    return spark.read.format("recording").options(table=table, suffix=suffix).load(path)
+    options = {"table": table, "suffix": suffix} | ({"magic": magic} if magic else {})
+    return spark.read.format("recording").options(**options).load(path)
 
 
 def inventory(recordings: DataFrame, prefix: str = "") -> DataFrame:
@@ -29,7 +33,22 @@ def inventory(recordings: DataFrame, prefix: str = "") -> DataFrame:
         c("source_key").alias("key"), key.alias("relative_key"), S.source_prefix(key).alias("source_prefix"), F.element_at(F.split("source_key", "/"), -1).alias("file_name"),
         "size_bytes", "camera_serial", "session_name", S.recorded_at(c("start_timestamp_us")).alias("recorded_at"), duration.alias("duration_s"), F.coalesce("total_frames", F.lit(0)).alias("frame_count"),
         S.fps(c("total_frames"), duration).alias("fps"), S.has_flag(c("flags"), 0).alias("has_imu"), S.has_flag(c("flags"), 1).alias("has_index"), S.codec_name(c("rgb_codec")).alias("codec"),
-        S.streamable(c("rgb_codec")).alias("video_streamable"), F.when(error.isNull(), "valid").otherwise("invalid").alias("validation_status"), error.alias("validation_error"),
+        S.streamable(c("rgb_codec")).alias("video_streamable"), S.stream_error(c("rgb_codec")).alias("video_stream_error"), F.when(error.isNull(), "valid").otherwise("invalid").alias("validation_status"), error.alias("validation_error"),
+    )
+
+
+def registration(recordings: DataFrame) -> DataFrame:
+    """What a recording is registered with: unknown values are null, cameras are nested."""
+    c = F.col
+    duration = F.coalesce(c("duration_us") / 1e6, F.lit(0.0))
+    rate = S.fps(F.coalesce("total_frames", F.lit(0)), duration)
+    cameras = [F.struct(*[c(f"{d}.{k}").alias(k) for k in ("width", "height", "fx", "fy", "ppx", "ppy", "coeffs")]).alias(d) for d in ("depth", "color") if d in recordings.columns]
+    return recordings.select(
+        "source_key", F.nullif("session_name", F.lit("")).alias("session_name"), F.coalesce("total_frames", F.lit(0)).alias("frame_count"), duration.alias("duration_s"),
+        *([c("color.width").alias("resolution_w"), c("color.height").alias("resolution_h"), F.struct(*cameras).alias("intrinsics")] if len(cameras) == 2 else []),
+        F.when(rate > 0, F.bround(rate, 2)).alias("fps"), *(["size_bytes"] if "size_bytes" in recordings.columns else []), S.recorded_at(c("start_timestamp_us")).alias("recorded_at"),
+        F.nullif("camera_serial", F.lit("")).alias("camera_serial"), F.lit(True).alias("has_depth"), S.has_flag(c("flags"), 0).alias("has_imu"), "rgb_codec",
+        S.streamable(c("rgb_codec")).alias("video_streamable"), S.stream_error(c("rgb_codec")).alias("video_stream_error"),
     )
 
 
@@ -60,15 +79,22 @@ def analyze(frames: DataFrame, recordings: DataFrame, profiles: DataFrame | None
     return A.analyze(A.episode_features(A.scan(frames, profile=mine)), recordings).withColumn("used_profile", F.lit(profiles is not None))
 
 
-def validate(index: DataFrame, recordings: DataFrame) -> DataFrame:
-    return A.validate_index(index, recordings)
+def validate(index: DataFrame, recordings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(result of each file, one row of counts)."""
+    checked = A.validate_index(index, recordings)
+    return checked, A.validation_counts(checked)
+
+
+def reviews(stage: str, rows: DataFrame, reason: str, identifier: str = "source_key") -> DataFrame:
+    """Review rows of one reason."""
+    return rows.select(F.lit(stage).alias("stage"), F.col(identifier).cast("string").alias("identifier"), F.lit(reason).alias("reason"))
 
 
 def qc(frames: DataFrame, index: DataFrame, recordings: DataFrame, with_profiles: bool = True) -> tuple[DataFrame, DataFrame]:
     """(episodes, review rows): profiles, verdicts and index checks to a status for each recording."""
     profiles = calibrate(frames, recordings)[0] if with_profiles else None
     verdicts = analyze(frames, recordings, profiles).select("source_key", "verdict", "activity_score", "reasons_keep", "reasons_prune")
-    checked = validate(index, recordings).select("source_key", F.col("valid").alias("index_valid"))
+    checked = A.validate_index(index, recordings).select("source_key", F.col("valid").alias("index_valid"))
     rows = recordings.select("source_key", "session_name", "camera_serial", (F.col("duration_us") / 1e6).alias("duration_s"), F.col("total_frames").alias("frame_count"))
     valid = F.coalesce("index_valid", F.lit(False))
     joined = rows.join(checked, "source_key", "left").join(verdicts, "source_key", "left")
@@ -76,17 +102,45 @@ def qc(frames: DataFrame, index: DataFrame, recordings: DataFrame, with_profiles
         S.episode_id(F.col("source_key")).alias("episode_id"), *rows.columns, F.when(valid, "valid").otherwise("invalid").alias("validation_status"),
         V.episode_status(valid, F.coalesce("duration_s", F.lit(0.0)), F.col("verdict")).alias("episode_status"), "verdict", "activity_score", "reasons_keep", "reasons_prune",
     )
+    return episodes, V.review_queue(qc_reviews(episodes))
+
+
+def qc_reviews(episodes: DataFrame) -> DataFrame:
+    """Episodes that a person has to look at."""
     invalid = F.col("validation_status") == "invalid"
     said = F.when(invalid, "invalid_episode").otherwise("needs_human_review")
-    return episodes, V.review_queue(episodes.filter(invalid | (F.col("episode_status") == "review")).select(F.lit("qc").alias("stage"), F.col("source_key").alias("identifier"), said.alias("reason")))
+    return episodes.filter(invalid | (F.col("episode_status") == "review")).select(F.lit("qc").alias("stage"), F.col("source_key").alias("identifier"), said.alias("reason"))
 
 
-def intervals(frames: DataFrame, recordings: DataFrame, samples: DataFrame, min_gap: int = 30, min_duration: int = 45, pad: int = 15, fps: float = 30.0) -> DataFrame:
-    """Hand-aware intervals with their ids: activity segments cut with the spans in which hands are seen."""
+def proposals(frames: DataFrame, recordings: DataFrame, min_gap: int = 30, min_duration: int = 45, pad: int = 15) -> DataFrame:
+    """Activity segments with their ends in seconds: a frame's time, or the duration where it has no frame."""
     seg = A.segments(A.scan(frames), min_gap, min_duration, pad)
-    proposals = seg.select("source_key", (F.col("start_frame") / fps).alias("start_s"), (F.col("end_frame") / fps).alias("end_s"), (F.col("active_frames") / F.col("total_frames")).alias("active_fraction"))
-    found = P.hand_intervals(recordings.select("source_key", (F.col("duration_us") / 1e6).alias("duration_s")), proposals, samples)
-    return found.withColumns({"interval_id": S.interval_id(F.col("source_key"), F.col("start_s"), F.col("end_s")), "analysis_windows": P.analysis_windows(F.col("start_s"), F.col("end_s"))})
+    return P.frame_seconds(seg, frames, recordings).withColumn("active_fraction", F.col("active_frames") / F.col("total_frames"))
+
+
+def intervals(
+    proposed: DataFrame, recordings: DataFrame, samples: DataFrame, export_failures: DataFrame | None = None, detection_failures: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(hand-aware intervals with their ids, review rows): activity proposals cut with the spans in which hands are seen.
+
+    ``recordings``: source_key, duration_us of the episodes to work on; failures: source_key. Of a recording
+    the first reason is given: its export failed, nothing was proposed, detection failed, no hand
+    was seen, or hands and activity nowhere met.
+    """
+    rec = recordings.select("source_key", (F.col("duration_us") / 1e6).alias("duration_s"))
+    spans = written(proposed.select("source_key", "start_s", "end_s", "active_fraction"), "proposals")
+    found = P.hand_intervals(rec, spans, samples)
+    out = found.withColumns({"interval_id": S.interval_id(F.col("source_key"), F.col("start_s"), F.col("end_s")), "analysis_windows": P.analysis_windows(F.col("start_s"), F.col("end_s"))})
+    seen = samples.filter(P.present(F.col("n"), F.col("a")))
+    marks = [("no_interval_proposals", spans, False), ("no_hands_detected", seen, False), ("no_hand_activity_overlap", found, False)]
+    marks[:0] = [("interval_export_failed", export_failures, True)] if export_failures is not None else []
+    marks[-2:-2] = [("hand_detection_failed", detection_failures, True)] if detection_failures is not None else []
+    said, rows = F.lit(None).cast("string"), rec.select("source_key")
+    for reason, where, bad in marks:
+        rows = rows.join(where.select("source_key", F.lit(True).alias(reason)).distinct(), "source_key", "left")
+        said = F.coalesce(said, F.when(F.col(reason).isNotNull() if bad else F.col(reason).isNull(), reason))
+    review = rows.select(F.lit("intervals").alias("stage"), F.col("source_key").alias("identifier"), said.alias("reason")).filter("reason is not null")
+    return out, V.review_queue(review)
 
 
 def eligible(episodes: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
@@ -95,12 +149,52 @@ def eligible(episodes: DataFrame, done: DataFrame, limit: int | None = None) ->
     return todo.orderBy("source_key").limit(limit) if limit else todo
 
 
-def label(answers: DataFrame, low_confidence: float = L.LOW_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
-    """(labels, review rows) of model answers."""
+def label(answers: DataFrame, low_confidence: float = L.LOW_CONFIDENCE, wanted: DataFrame | None = None, storyboards: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labels, review rows) of model answers; of ``wanted`` intervals those without one of ``storyboards`` go to review."""
     good, failed = L.parse_answers(answers)
-    unsure = good.filter((F.col("confidence") < low_confidence) | ~F.col("is_manipulation")).select(F.col("interval_id").alias("identifier"), F.lit("low_confidence_or_non_manipulation").alias("reason"))
-    both = unsure.unionByName(failed.select(F.col("interval_id").alias("identifier"), "reason"))
-    return good, V.review_queue(both.withColumn("stage", F.lit("label")))
+    parts = [label_reviews(good, low_confidence), failed.select(F.lit("label").alias("stage"), F.col("interval_id").alias("identifier"), "reason")]
+    if wanted is not None and storyboards is not None:
+        parts.append(reviews("label", wanted.join(storyboards.select("interval_id"), "interval_id", "left_anti"), "missing_storyboard", "interval_id"))
+    return good, V.review_queue(*parts)
+
+
+def label_reviews(labels: DataFrame, low_confidence: float = L.LOW_CONFIDENCE) -> DataFrame:
+    """Labels that a person has to look at."""
+    return reviews("label", labels.filter((F.col("confidence") < low_confidence) | ~F.col("is_manipulation")), "low_confidence_or_non_manipulation", "interval_id")
+
+
+def proxy_reviews(proxies: DataFrame) -> DataFrame:
+    """Review rows of proxies (interval_id, details) that could not be made."""
+    return V.review_queue(reviews("proxies", proxies.filter("details is not null"), "proxy_generation_failed", "interval_id"))
+
+
+def materialize(episodes: DataFrame, intervals_: DataFrame, labels: DataFrame, buckets: DataFrame, mapping: DataFrame, overrides: dict[str, DataFrame], path: str | None = None) -> dict[str, DataFrame]:
+    """The effective tables: machine rows under the review overrides of :func:`workspace.read_overrides`.
+
+    With ``path`` they are written there as JSON lines, each in its order.
+    """
+    effective = {
+        "effective_episodes": V.effective_episodes(episodes, overrides["episodes"]), "effective_intervals": V.effective_intervals(intervals_, overrides["intervals"]),
+        "effective_labels": V.effective_labels(labels, overrides["labels"]),
+    }
+    effective["effective_buckets"] = V.effective_buckets(effective["effective_labels"], buckets, mapping, overrides["renames"], overrides["assignments"])
+    for name, df in effective.items() if path else ():
+        W.write_jsonl(df.orderBy("bucket_id") if name == "effective_buckets" else W.in_order(df, name), f"{path}/{name}.jsonl")
+    return effective
+
+
+def segments(frames: DataFrame, index: DataFrame, recordings: DataFrame, effective: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, byte plan, review rows) of the intervals to export.
+
+    An interval without length, or whose range holds no frame, goes to review.
+    """
+    usable, bad = V.exportable_segments(effective["effective_intervals"], effective["effective_episodes"])
+    usable = written(usable, "segments")
+    wanted = usable.select("source_key", F.col("interval_id").alias("id"), F.col("effective_start_s").alias("start_s"), F.col("effective_end_s").alias("end_s"))
+    ranges, plan = clip(frames, index, recordings, wanted)
+    failed = ranges.filter("error is not null").select(F.col("id").alias("interval_id"), "error")
+    manifest = usable.join(failed, "interval_id", "left_anti").withColumn("segment_path", F.concat(F.lit("segments/"), "interval_id"))
+    return manifest, plan, V.review_queue(bad, reviews("segments", failed, "segment_export_failed", "interval_id"))
 
 
 def cluster(labels: DataFrame, intervals_: DataFrame, episodes: DataFrame, vectors: DataFrame | None = None, threshold: float = L.SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -123,14 +217,83 @@ def clip(frames: DataFrame, index: DataFrame, recordings: DataFrame, wanted: Dat
     return ranges, P.clip_byte_plan(index, ranges)
 
 
-def export_rlds(recordings: DataFrame, frames: DataFrame, path: str) -> None:
-    """Steps as TFRecord files, an episode in one task."""
+def prune(manifest: DataFrame, analysis: DataFrame, threshold: float | None = None, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(manifest that stays, audit rows); with ``log`` the audit is added there."""
+    return _logged(C.manifest_prune(manifest, analysis, threshold), log)
+
+
+def splice(manifest: DataFrame, segs: DataFrame, recordings: DataFrame, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(manifest with recordings replaced by their segments, audit rows)."""
+    return _logged(C.manifest_splice(manifest, C.splice_plan(segs, recordings)), log)
+
+
+def restore(manifest: DataFrame, episodes: DataFrame, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(manifest with pruned episodes back in it, audit rows)."""
+    return _logged(C.manifest_restore(manifest, episodes), log)
+
+
+def _logged(both: tuple[DataFrame, DataFrame], log: str | None) -> tuple[DataFrame, DataFrame]:
+    if log:
+        W.append_audit(both[1], log)
+    return both
+
+
+def dataset_info(manifest: DataFrame) -> DataFrame:
+    """(dataset, episodes, frames, duration_s and their texts) of manifests."""
+    total = C.dataset_totals(manifest)
+    return total.withColumn("duration", S.human_duration(F.col("duration_s")))
+
+
+def upload_status(objects: DataFrame, uploads: DataFrame, now: Column, datasets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """pending files, oldest first; files and bytes by dataset; failed uploads with their delay; files in no dataset."""
+    pending = C.pending_uploads(objects, uploads, now)
+    out = {"pending": C.oldest_first(pending), "datasets": C.dataset_sync_status(objects, pending), "retries": C.retry_due(uploads, now)}
+    return out | ({"loose": C.loose_pending(pending, datasets)} if datasets is not None else {})
+
+
+def _named(path: str, names: DataFrame) -> dict[str, DataFrame]:
+    """Recordings by the folder of their dataset."""
+    return {f"{path}/{r[0]}": names.filter(F.col("dataset_name") == r[0]).select("source_key") for r in names.select("dataset_name").distinct().collect()}  # one value per dataset
+
+
+def export_rlds(recordings: DataFrame, frames: DataFrame, path: str, dataset: str = "ego_recording", description: str = "") -> None:
+    """{path}/{dataset}/1.0.0: a TFRecord file of steps per episode, dataset_info.json and features.json."""
+    spark = recordings.sparkSession
+    spark.dataSource.register(TFRecordSink)
     steps = C.rlds_steps(recordings, frames)
-    steps.repartition("source_key").sortWithinPartitions("source_key", "step").write.format("tfrecord").mode("append").save(path)
+    numbered = ranked(frames.select("source_key").distinct(), [F.col("source_key")], "episode_index")
+    n = numbered.count()
+    rows = C.rlds_examples(steps, numbered, n).repartition("file").sortWithinPartitions("file", "step").drop("step")
+    rows.write.format("tfrecord").option("file", "file").mode("append").save(f"{path}/{dataset}")
+    base = f"{path}/{dataset}/{C.RLDS_VERSION}"
+    splits = {"train": {"name": "train", "num_examples": n}}
+    W.put_json(spark, f"{base}/dataset_info.json", {"name": dataset, "description": description, "version": C.RLDS_VERSION, "splits": splits})
+    W.put_json(spark, f"{base}/features.json", C.rlds_features())
 
 
-def export_lerobot(recordings: DataFrame, frames: DataFrame, path: str) -> None:
-    C.write_lerobot(C.lerobot_rows(recordings, frames), path)
+def export_lerobot(recordings: DataFrame, frames: DataFrame, path: str, depth: DataFrame | None = None, dataset: str | None = None, name: str | None = None, separate: bool = False, fps: int = 30) -> None:
+    """Datasets of frames below ``path``: a Parquet file per episode, info.json, episodes and tasks.
+
+    All recordings go into one dataset, or with ``separate`` each name into one of its own.
+    """
+    spark = recordings.sparkSession
+    spark.dataSource.register(ParquetFileSink)
+    names = C.dataset_name(recordings, dataset, name, separate)
+    for base, keys in _named(path, names).items() if separate else [(path, names.select("source_key"))]:
+        mine = frames.join(keys, "source_key", "left_semi")
+        rows = C.lerobot_rows(recordings, mine, depth).withColumn("file", C.lerobot_file(F.col("episode_index")))
+        rows.repartition("file").sortWithinPartitions("file", "frame_index").drop("step").write.format("parquetfile").option("file", "file").mode("append").save(base)
+        episodes = written(C.lerobot_episodes(rows), "episodes")
+        episodes.orderBy("episode_index").write.json(f"{base}/meta/episodes.jsonl")
+        n, total = episodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        W.put_json(spark, f"{base}/meta/info.json", C.lerobot_info(n, int(total), fps))
+        W.write_jsonl(spark.range(1).select(F.lit(0).alias("task_index"), F.lit(C.TASK).alias("task")), f"{base}/meta/tasks.jsonl")
+
+
+def publish(tables: dict[str, DataFrame], prefix: str) -> None:
+    """Derived tables as JSON lines below a prefix, each under its key."""
+    for relative, df in tables.items():
+        W.write_jsonl(df, f"{prefix.rstrip('/')}/{relative}")
 
 
 def publish_keys(relative: DataFrame, prefix: str) -> DataFrame:

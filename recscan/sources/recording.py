@@ -1,23 +1,29 @@
-"""Recordings as a Spark data source, and training steps as a TFRecord sink.
+"""Recordings as a Spark data source, and episodes as sinks of one file each.
 
 ``spark.dataSource.register(RecordingSource)`` and then
 ``spark.read.format("recording").option("table", "frames").load(path)``. Tables:
 
-* recordings - header and footer of each file, by two range reads;
+* recordings - header and footer of each file, by range reads, and what is wrong with them;
 * index - the index entries of each file;
-* frames - the header of each frame block; payloads are skipped. A file with an index is split
-  into ranges of entries, one without is read in order by one task;
+* frames - the header of each frame block; payloads are skipped. A large file with an index is
+  split into ranges of entries, one without is read in order by one task;
 * imu - the motion samples behind each frame's payload.
 
 ``path`` is a file, or a folder whose files with the extension of option ``suffix`` are taken in
-order. Files are opened through pyarrow's file systems.
+order. Planning only lists them; they are opened in tasks, through pyarrow's file systems. A file is
+accepted by its structure, whatever its first bytes are, unless option ``magic`` names those.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -28,13 +34,15 @@ INDEX = struct.Struct("<QQQ")
 FOOTER = struct.Struct("<IQIQQI")
 IMU = struct.Struct("<Qffffff")
 FRAME_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x46524D45, 0x58444E49, 0x454E4F44
-KEYFRAME_EVERY = 30
+KEYFRAME_EVERY, VERSION = 30, 2
+#: Rows of an Arrow batch that the source gives.
+BATCH_ROWS = 8192
 
 SCHEMAS = {
     "recordings": "source_key string, size_bytes long, magic string, version int, flags long, camera_serial string, session_name string, start_timestamp_us long, "
     "depth struct<scale:float,width:int,height:int,fx:float,fy:float,ppx:float,ppy:float,coeffs:array<float>>, "
     "color struct<width:int,height:int,fx:float,fy:float,ppx:float,ppy:float,coeffs:array<float>>, rotation array<float>, translation array<float>, "
-    "usb_type string, rgb_codec int, depth_codec int, total_frames long, duration_us long, index_offset long, index_entries long, header_error string, footer_error string",
+    "usb_type string, rgb_codec int, depth_codec int, total_frames long, duration_us long, index_offset long, index_entries long, header_error string, footer_error string, file_errors array<string>, file_warnings array<string>",
     "index": "source_key string, entry long, timestamp_us long, file_offset long, frame_number long",
     "frames": "source_key string, idx long, frame_number long, timestamp_us long, rgb_size long, depth_size long, file_offset long, block_size long, imu_sample_count int, is_keyframe boolean",
     "imu": "source_key string, frame_number long, sample int, timestamp_us long, accel array<float>, gyro array<float>",
@@ -46,14 +54,14 @@ def _open(uri: str):
     return system, path
 
 
-def list_files(uri: str, suffix: str) -> list[str]:
-    """The files below a folder in order, or the file itself."""
+def list_files(uri: str, suffix: str) -> list[tuple[str, int]]:
+    """The files below a folder in order, or the file itself, with their sizes."""
     system, path = _open(uri)
     info = system.get_file_info(path)
     if info.type == fs.FileType.File:
-        return [uri] if path.endswith(suffix) else []
+        return [(uri, info.size)] if path.endswith(suffix) else []
     found = system.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted(uri.rstrip("/") + f.path[len(path.rstrip("/")) :] for f in found if f.type == fs.FileType.File and f.path.endswith(suffix))
+    return sorted((uri.rstrip("/") + f.path[len(path.rstrip("/")) :], f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(suffix))
 
 
 def _string(raw: bytes) -> str:
@@ -90,46 +98,87 @@ def read_meta(f, size: int) -> dict:
     return head | parse_footer(f.read(FOOTER.size), size)
 
 
+def check_file(f, size: int, meta: dict, magic: str | None) -> dict:
+    """file_errors and file_warnings: what a validation says of header, footer and first block.
+
+    The messages are fixed values.
+    """
+    if "version" not in meta:
+        return {"file_errors": [f"cannot read file header: {meta['header_error']}"], "file_warnings": []}
+    errors, warnings = [], []
+    if magic is not None and meta["magic"] != magic:
+        errors.append("bad magic bytes")
+    if meta["version"] != VERSION:
+        errors.append(f"unsupported version: {meta['version']}")
+    f.seek(max(0, size - FOOTER.size))
+    raw = f.read(FOOTER.size)
+    index_magic, offset, entries, _, _, end = FOOTER.unpack(raw) if len(raw) == FOOTER.size else (0,) * 6
+    if size < HEADER.size + FOOTER.size:
+        errors.append("file too small for header + footer")
+    elif end != FOOTER_MAGIC:
+        warnings.append("no valid footer \u2014 file may be truncated")
+    else:
+        if index_magic != INDEX_MAGIC:
+            errors.append("bad index magic in footer")
+        if offset < HEADER.size:
+            errors.append(f"index_offset {offset} before end of file header")
+        if offset + entries * INDEX.size > size - FOOTER.size:
+            errors.append("index table overlaps footer")
+        f.seek(HEADER.size)
+        first = f.read(FRAME.size)
+        if len(first) == FRAME.size and FRAME.unpack(first)[0] != FRAME_MAGIC:
+            errors.append("first frame block has bad magic")
+    return {"file_errors": errors, "file_warnings": warnings}
+
+
+@dataclass
 class Part(InputPartition):
-    """A file and a range of index entries; end < 0: read in order, without an index."""
+    """One of ``of`` equal shares of a file's index; the first one reads a file without an index."""
 
-    def __init__(self, uri: str, start: int = 0, end: int = -1) -> None:
-        self.uri, self.start, self.end = uri, start, end
+    uri: str
+    size: int
+    share: int = 0
+    of: int = 1
 
 
 class RecordingReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.table = options["path"], options.get("table", "recordings")
-        self.suffix, self.chunk = options.get("suffix", ".rec"), int(options.get("entriesperpartition", 200_000))
+        if "suffix" not in options and not options["path"].rsplit("/", 1)[-1].count("."):
+            raise ValueError("name the extension of recordings in option suffix")
+        self.suffix, self.magic = options.get("suffix", ""), options.get("magic")
+        self.share_bytes = int(options.get("bytespershare", 4 << 30))
 
     def partitions(self) -> list[Part]:
+        """Shares of files by their sizes, which the listing gives; no file is opened here."""
         files = list_files(self.path, self.suffix)
         if self.table == "recordings":
-            return [Part(u) for u in files]
-        parts = []
-        for uri in files:
-            system, path = _open(uri)
-            size = system.get_file_info(path).size
-            with system.open_input_file(path) as f:
-                n = read_meta(f, size).get("index_entries")
-            if n is None:
-                parts += [Part(uri)] if self.table != "index" else []
-            else:
-                parts += [Part(uri, i, min(i + self.chunk, n)) for i in range(0, n, self.chunk)]
-        return parts
+            return [Part(u, n) for u, n in files]
+        return [Part(u, n, k, of) for u, n in files for of in [max(1, -(-n // self.share_bytes))] for k in range(of)]
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(self.table)
+        rows = self.rows(part)
+        while block := list(islice(rows, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block, strict=True), schema.types, strict=True)], schema=schema)
+
+    def rows(self, part: Part) -> Iterator[tuple]:
         system, path = _open(part.uri)
-        size = system.get_file_info(path).size
         with system.open_input_file(path) as f:
+            meta = read_meta(f, part.size)
+            n = meta.get("index_entries")
+            entries = range(n * part.share // part.of, n * (part.share + 1) // part.of) if n is not None else None
             if self.table == "recordings":
-                meta = read_meta(f, size) | {"source_key": part.uri, "size_bytes": size}
-                yield tuple(meta.get(c.split()[0]) for c in _columns("recordings"))
+                if self.magic is not None and meta.get("magic", self.magic) != self.magic:
+                    meta["header_error"] = f"bad magic bytes: {meta['magic']}"
+                meta |= check_file(f, part.size, meta, self.magic) | {"source_key": part.uri, "size_bytes": part.size}
+                parts = {k: dict(zip(_fields(k), meta[k], strict=True)) for k in ("depth", "color") if k in meta}
+                yield tuple((meta | parts).get(c.split()[0]) for c in _columns("recordings"))
             elif self.table == "index":
-                for i, entry in enumerate(self._entries(f, size, part), part.start):
+                for i, entry in zip(entries or (), _entries(f, meta, entries) if entries else (), strict=True):
                     yield part.uri, i, *entry
             else:
-                for i, at, h in self._blocks(f, size, part):
+                for i, at, h in _blocks(f, part, meta, entries):
                     if self.table == "frames":
                         yield part.uri, i, h[3], h[2], h[4], h[5], at, h[1], h[6], h[3] % KEYFRAME_EVERY == 0
                     else:
@@ -137,31 +186,36 @@ class RecordingReader(DataSourceReader):
                         for k, s in enumerate(IMU.iter_unpack(f.read(h[6] * IMU.size))):
                             yield part.uri, h[3], k, s[0], list(s[1:4]), list(s[4:7])
 
-    def _entries(self, f, size: int, part: Part) -> Iterator[tuple]:
-        f.seek(read_meta(f, size)["index_offset"] + part.start * INDEX.size)
-        return INDEX.iter_unpack(f.read((part.end - part.start) * INDEX.size))
 
-    def _blocks(self, f, size: int, part: Part) -> Iterator[tuple]:
-        """(number, offset, header fields) of frame blocks; stops at the first that is cut off."""
-        if part.end >= 0:
-            places: Iterator = ((i, e[1]) for i, e in enumerate(list(self._entries(f, size, part)), part.start))
-        else:
-            places = self._walk(f, size)
-        for i, at in places:
-            f.seek(at)
-            raw = f.read(FRAME.size)
-            if len(raw) == FRAME.size and (h := FRAME.unpack(raw))[0] == FRAME_MAGIC:
-                yield i, at, h
-
-    def _walk(self, f, size: int) -> Iterator[tuple[int, int]]:
-        at, i = HEADER.size, 0
-        while at + FRAME.size <= size:
-            f.seek(at)
-            h = FRAME.unpack(f.read(FRAME.size))
-            if h[0] != FRAME_MAGIC or at + h[1] > size or h[1] < FRAME.size:
-                return
-            yield i, at
-            at, i = at + h[1], i + 1
+def _entries(f, meta: dict, entries: range) -> Iterator[tuple]:
+    """Index entries, read in pieces."""
+    for first in range(entries.start, entries.stop, BATCH_ROWS):
+        f.seek(meta["index_offset"] + first * INDEX.size)
+        yield from INDEX.iter_unpack(f.read(min(BATCH_ROWS, entries.stop - first) * INDEX.size))
+
+
+def _blocks(f, part: Part, meta: dict, entries: range | None) -> Iterator[tuple]:
+    """(number, offset, header fields) of frame blocks; stops at the first that is cut off."""
+    if entries is not None:
+        places: Iterator = ((i, e[1]) for i, e in zip(entries, _entries(f, meta, entries), strict=True))
+    else:
+        places = _walk(f, part.size) if not part.share else iter(())
+    for i, at in places:
+        f.seek(at)
+        raw = f.read(FRAME.size)
+        if len(raw) == FRAME.size and (h := FRAME.unpack(raw))[0] == FRAME_MAGIC:
+            yield i, at, h
+
+
+def _walk(f, size: int) -> Iterator[tuple[int, int]]:
+    at, i = HEADER.size, 0
+    while at + FRAME.size <= size:
+        f.seek(at)
+        h = FRAME.unpack(f.read(FRAME.size))
+        if h[0] != FRAME_MAGIC or at + h[1] > size or h[1] < FRAME.size:
+            return
+        yield i, at
+        at, i = at + h[1], i + 1
 
 
 def _columns(table: str) -> list[str]:
@@ -176,6 +230,18 @@ def _columns(table: str) -> list[str]:
     return out
 
 
+def _fields(column: str) -> list[str]:
+    """Names of the fields of a struct column of the recordings."""
+    return [f.name for f in next(f for f in arrow_schema("recordings") if f.name == column).type]
+
+
+def arrow_schema(table: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(SCHEMAS[table]))
+
+
 class RecordingSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -188,27 +254,64 @@ class RecordingSource(DataSource):
         return RecordingReader(dict(self.options))
 
 
-# ---- TFRecord sink ------------------------------------------------------------------------
+# ---- episode sinks ------------------------------------------------------------------------
+
+_POLY = 0x82F63B78
+#: Lanes that are worked side by side on long data.
+LANES = 256
 
 
-def _crc_table() -> list[int]:
+def _crc_table() -> np.ndarray:
     """The table of CRC-32C, from its polynomial."""
-    table = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        table.append(n)
-    return table
+    n = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        n = np.where(n & 1, n >> 1 ^ _POLY, n >> 1).astype(np.uint32)
+    return n
 
 
 _CRC = _crc_table()
+_CRC_LIST = _CRC.tolist()
+
+
+def _advance(crc: int, zeros: int) -> int:
+    """The register after so many zero bytes, by squaring the step as a matrix over bits."""
+    matrix = [_CRC_LIST[1 << b & 0xFF] ^ (1 << b) >> 8 for b in range(32)]
+
+    def times(m: list[int], x: int) -> int:
+        out = 0
+        while x:
+            low = x & -x
+            out ^= m[low.bit_length() - 1]
+            x ^= low
+        return out
+
+    while zeros:
+        if zeros & 1:
+            crc = times(matrix, crc)
+        matrix = [times(matrix, x) for x in matrix]
+        zeros >>= 1
+    return crc
+
+
+def crc32c(data: bytes) -> int:
+    crc, whole = 0xFFFFFFFF, len(data) // LANES if len(data) >= 16 * LANES else 0
+    if whole:
+        # lanes of equal length are worked at once, then joined: each moves the others on by its length
+        lanes = np.frombuffer(data, np.uint8, whole * LANES).reshape(LANES, whole).T
+        register = np.zeros(LANES, np.uint32)
+        register[0] = crc
+        for row in lanes:
+            register = _CRC[(register ^ row) & np.uint32(0xFF)] ^ register >> np.uint32(8)
+        crc = int(register[0])
+        for lane in register[1:].tolist():
+            crc = _advance(crc, whole) ^ lane
+    for b in data[whole * LANES :]:
+        crc = _CRC_LIST[(crc ^ b) & 0xFF] ^ crc >> 8
+    return crc ^ 0xFFFFFFFF
 
 
 def masked_crc(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = _CRC[(crc ^ b) & 0xFF] ^ crc >> 8
-    crc ^= 0xFFFFFFFF
+    crc = crc32c(data)
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
@@ -247,28 +350,118 @@ def example(row: dict) -> bytes:
     return _field(1, features)
 
 
-class TFRecordWriter(DataSourceWriter):
-    """One file per task; deal rows out by episode, and sort within, to get an episode per file."""
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of a task: where they were written, and where they belong."""
 
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"].rstrip("/")
+    files: list[tuple[str, str]]
+
+
+class EpisodeWriter(DataSourceWriter):
+    """Rows to files: one per value of the column that option ``file`` names, else one per task.
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    Deal rows out by that column and sort within, so that a file's rows come one behind the other.
+    Files are written under a name of the task's attempt and moved when the job commits, so that a
+    repeated task leaves neither a second nor a cut file.
+    """
+
+    def __init__(self, options: dict, schema, extension: str) -> None:
+        self.path, self.file = options["path"].rstrip("/"), options.get("file")
+        self.schema, self.extension = schema, extension
+        self.rows_each = int(options.get("rowspergroup", 1024))
+
+    def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         system, base = _open(self.path)
-        system.create_dir(base, recursive=True)
-        out = None
-        try:
-            for row in rows:
-                if out is None:
-                    out = system.open_output_stream(f"{base}/part-{context.partitionId():05d}-{context.taskAttemptId()}.tfrecord")
-                out.write(tf_record(example(row.asDict())))
-        finally:
-            if out is not None:
-                out.close()
-        return WriterCommitMessage()
+        name = f"part-{context.partitionId():05d}{self.extension}"
+        done: list[tuple[str, str]] = []
+        out, at = None, None
+        for row in rows:
+            values = row.asDict(recursive=True)
+            target = values.pop(self.file) if self.file else name
+            if out is None or target != at:
+                if out is not None:
+                    out.close()
+                at, path = target, f"{base}/_temporary/{context.taskAttemptId()}-{len(done)}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                done.append((path, f"{base}/{target}"))
+                out = self.open(system, path)
+            out.write(values)
+        if out is not None:
+            out.close()
+        if len({t for _, t in done}) < len(done):
+            raise ValueError(f"rows of a file are not together: sort by {self.file}")
+        return Written(done)
+
+    def commit(self, messages: list) -> None:
+        system, base = _open(self.path)
+        for source, target in (f for m in messages if m is not None for f in m.files):
+            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            system.move(source, target)
+        self._clear(system, base)
+
+    def abort(self, messages: list) -> None:
+        self._clear(*_open(self.path))
+
+    @staticmethod
+    def _clear(system, base: str) -> None:
+        if system.get_file_info(f"{base}/_temporary").type == fs.FileType.Directory:
+            system.delete_dir(f"{base}/_temporary")
+
+    def open(self, system, path: str):
+        raise NotImplementedError
+
+
+class _Records:
+    """A file of tf.train.Examples."""
+
+    def __init__(self, stream) -> None:
+        self.stream = stream
+
+    def write(self, values: dict) -> None:
+        self.stream.write(tf_record(example(values)))
+
+    def close(self) -> None:
+        self.stream.close()
+
+
+class _Table:
+    """A Parquet file, written in groups of rows."""
+
+    def __init__(self, stream, schema: pa.Schema, each: int) -> None:
+        self.stream, self.schema, self.each, self.held = stream, schema, each, []
+        self.parquet = pq.ParquetWriter(stream, schema)
+
+    def write(self, values: dict) -> None:
+        self.held.append(values)
+        if len(self.held) >= self.each:
+            self.flush()
+
+    def flush(self) -> None:
+        self.parquet.write_table(pa.Table.from_pylist(self.held, self.schema))
+        self.held = []
+
+    def close(self) -> None:
+        if self.held:
+            self.flush()
+        self.parquet.close()
+        self.stream.close()
+
+
+class TFRecordWriter(EpisodeWriter):
+    def open(self, system, path: str) -> _Records:
+        return _Records(system.open_output_stream(path))
+
+
+class ParquetFileWriter(EpisodeWriter):
+    def open(self, system, path: str) -> _Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
+        kept = pa.schema([f for f in schema if f.name != self.file])
+        return _Table(system.open_output_stream(path), kept, self.rows_each)
 
 
 class TFRecordSink(DataSource):
@@ -277,4 +470,13 @@ class TFRecordSink(DataSource):
         return "tfrecord"
 
     def writer(self, schema, overwrite: bool) -> TFRecordWriter:
-        return TFRecordWriter(dict(self.options))
+        return TFRecordWriter(dict(self.options), schema, ".tfrecord")
+
+
+class ParquetFileSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "parquetfile"
+
+    def writer(self, schema, overwrite: bool) -> ParquetFileWriter:
+        return ParquetFileWriter(dict(self.options), schema, ".parquet")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +27,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.filter("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+def read_manifests(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Episodes of dataset manifests, one row each, a dataset without episodes too."""
-    m = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    m = spark.read.schema(MANIFEST).option("multiLine", multiline).json(path)
     e = m.select(F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("name", F.lit("")).alias("dataset"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.explode_outer("episodes").alias("e"))
     return e.select("version", "dataset", "tags", "e.*")
 
@@ -38,16 +41,29 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(number(0).alias("start"), number(1).alias("end"), F.coalesce(F.get("p", F.lit(2)), F.lit("manipulation")).alias("label"), "source").filter("start is not null and end is not null")
 
 
-def list_objects(spark: SparkSession, path: str, suffix: str = ".rec") -> DataFrame:
+def list_objects(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(key, size_bytes, mtime) of files below a path; their content is not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
     return found.select(F.col("path").alias("key"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
 
 
-def file_sha256(spark: SparkSession, path: str, suffix: str = ".rec") -> DataFrame:
-    """(key, sha256) of files of up to 2 GiB."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
-    return found.select(F.col("path").alias("key"), F.sha2("content", 256).alias("sha256"))
+def file_sha256(spark: SparkSession, path: str, suffix: str, piece: int = 8 << 20) -> DataFrame:
+    """(key, sha256) of files of any size: each is read in pieces, by the task it falls to."""
+    keys = list_objects(spark, path, suffix).select("key", "size_bytes")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = []
+            for key in b["key"].to_pylist():
+                system, name = fs.FileSystem.from_uri(key)
+                digest = hashlib.sha256()
+                with system.open_input_stream(name) as f:
+                    while block := f.read(piece):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(digests)], ["key", "sha256"])
+
+    return keys.select("key").mapInArrow(scan, "key string, sha256 string")
 
 
 def enrich(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

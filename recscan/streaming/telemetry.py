@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,10 +18,41 @@ def split_sessions(stream: DataFrame, gap: str = "500 milliseconds", late: str =
     return found.select(by, F.col("w.start").alias("start"), F.col("last").alias("end"), "frames", "bytes")
 
 
-def capture_rates(stream: DataFrame, every: str = "1 second", late: str = "10 seconds", by: str = "device") -> DataFrame:
-    """(by, start, captured, bytes) of each tumbling window."""
-    found = stream.withWatermark("ts", late).groupBy(by, F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("captured"), F.sum("bytes").alias("bytes"))
-    return found.select(by, F.col("w.start").alias("start"), "captured", "bytes")
+def _counters(frames: DataFrame) -> list[Column]:
+    """captured, written, dropped and bytes of a group of frames."""
+    stored = F.col("written") if "written" in frames.columns else F.lit(True)
+    lost = F.col("dropped") if "dropped" in frames.columns else F.lit(0)
+    return [
+        F.count(F.lit(1)).alias("captured"), F.count(F.when(stored, 1)).alias("written"), F.coalesce(F.sum(lost), F.lit(0)).alias("dropped"),
+        F.coalesce(F.sum(F.when(stored, F.col("bytes"))), F.lit(0)).alias("bytes"),
+    ]
+
+
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def _per_second(found: DataFrame, seconds: Column) -> DataFrame:
+    rate = lambda c: F.when(seconds > 0, F.col(c) / seconds).otherwise(0.0)
+    return found.withColumns({"capture_fps": rate("captured"), "write_fps": rate("written")})
+
+
+def capture_rates(frames: DataFrame, every: str = "1 second", late: str = "10 seconds", by: str = "device") -> DataFrame:
+    """(by, start, captured, written, dropped, bytes, capture_fps, write_fps) of each tumbling window.
+
+    ``frames``, a stream or a table: by, ts, bytes and, where they are known, written (whether the frame
+    was) and dropped (how many were lost before it); without, all are written and none is lost.
+    """
+    rows = frames.withWatermark("ts", late) if frames.isStreaming else frames
+    found = rows.groupBy(by, F.window("ts", every).alias("w")).agg(*_counters(frames))
+    length = (_micros(F.col("w.end")) - _micros(F.col("w.start"))) / 1e6
+    return _per_second(found, length).select(by, F.col("w.start").alias("start"), "captured", "written", "dropped", "bytes", "capture_fps", "write_fps")
+
+
+def recording_rates(frames: DataFrame, by: list[str]) -> DataFrame:
+    """The counters of each recording from zero, its seconds from the first frame to the last, and rates."""
+    length = ((_micros(F.max("ts")) - _micros(F.min("ts"))) / 1e6).alias("seconds")
+    return _per_second(frames.groupBy(*by).agg(*_counters(frames), length), F.col("seconds"))
 
 
 def stalls(stream: DataFrame, after_ms: int = 1000, late: str = "10 seconds", by: str = "device") -> DataFrame:
@@ -60,10 +91,39 @@ def stalls(stream: DataFrame, after_ms: int = 1000, late: str = "10 seconds", by
     return stream.withWatermark("ts", late).groupBy(by).applyInPandasWithState(watch, f"{by} {kind}, last_ts timestamp, stalled_at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def pending_stream(listing: DataFrame, settle: str = "10 seconds", min_bytes: int = 1024) -> DataFrame:
-    """(key, size_bytes, mtime): each file once, from a stream of listings (key, size_bytes, mtime).
+def pending_stream(listing: DataFrame, settle: str = "10 seconds", min_bytes: int = 1024, late: str = "0 seconds") -> DataFrame:
+    """(key, size_bytes, mtime): each file once, when it has not changed for ``settle``.
 
-    Pruned and tiny files are left out; a file seen again within ``settle`` is not repeated.
+    ``listing`` is a stream of listings: key, size_bytes, mtime and listed, the time of the listing. A file
+    that is old enough in a listing is given at once, a younger one when the time of the listings
+    passes its age, unless one of them shows that it has changed. Pruned and tiny files are left
+    out. State is kept for each file ever given, so that none is repeated.
     """
+    wait = pd.Timedelta(settle)
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        size, changed, given = state.getOption or (0, 0, False)
+        ready = state.hasTimedOut and not given
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("listed")
+            newest = rows.iloc[-1]
+            size, changed = int(newest["size_bytes"]), int(newest["mtime"].value // 1000)
+            ready = not given and newest["listed"] - newest["mtime"] >= wait
+        state.update((size, changed, bool(given or ready)))
+        if not given and not ready:
+            due = changed // 1000 + int(wait.total_seconds() * 1000)
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], size, pd.Timestamp(changed, unit="us"))] if ready else [], columns=["key", "size_bytes", "mtime"])
+
     ok = ~F.array_contains(F.split("key", "/"), ".pruned") & (F.col("size_bytes") >= min_bytes)
-    return listing.filter(ok).withWatermark("mtime", settle).dropDuplicatesWithinWatermark(["key"])
+    rows = listing.filter(ok).withWatermark("listed", late).groupBy("key")
+    return rows.applyInPandasWithState(watch, "key string, size_bytes long, mtime timestamp", "size long, changed long, given boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def append_results(stream: DataFrame, path: str, checkpoint: str):
+    """A started query that adds each batch of results to JSON lines as it comes; readers bring them in order."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").json(path)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

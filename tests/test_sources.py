@@ -1,11 +1,14 @@
 import datetime
 import json
+import random
 import struct
 
 import pytest
 
+from recscan.plans import jobs
 from recscan.sources import recording as R
 from recscan.sources import tables as T
+from recscan.sources import workspace as W
 from recscan.streaming import telemetry as M
 
 
@@ -30,7 +33,7 @@ def write(path, n=40, footer=True, cut=0):
 def source(spark):
     spark.dataSource.register(R.RecordingSource)
     spark.dataSource.register(R.TFRecordSink)
-    return lambda table, path, **o: spark.read.format("recording").options(table=table, **o).load(str(path))
+    return lambda table, path, **o: spark.read.format("recording").options(table=table, suffix=".rec", **o).load(str(path))
 
 
 def test_layout():
@@ -48,8 +51,8 @@ def test_header_footer_and_frames(source, tmp_path):
     assert (a["camera_serial"], a["session_name"], a["start_timestamp_us"], a["total_frames"], a["version"], a["rgb_codec"]) == ("SERIAL-123", "session-abc", 1_700_000_123_456_789, 40, 2, 2)
     assert a["depth"]["width"] == 640 and a["color"]["height"] == 720 and a["rotation"] == [float(i) for i in range(9)]
     assert rec["b.rec"]["footer_error"] and rec["d.rec"]["header_error"] and len(rec) == 4
-    frames = source("frames", tmp_path, entriesPerPartition=16)
-    assert frames.rdd.getNumPartitions() == 3 + 2 + 1
+    frames = source("frames", tmp_path, bytesPerShare=2000)
+    assert frames.rdd.getNumPartitions() > 4
     counts = {r[0].split("/")[-1]: r[1] for r in frames.groupBy("source_key").count().collect()}
     assert counts == {"a.rec": 40, "b.rec": 7, "c.rec": 4}
     f = frames.filter("idx = 30 and source_key like '%a.rec'").first()
@@ -63,7 +66,8 @@ def test_tfrecord(spark, source, tmp_path):
     assert len(R.tf_record(b"test data")) == 25 and R.masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
     df = spark.createDataFrame([(i, f"s{i}", 0.5, True, [1.0, 2.0], None) for i in range(5)], "step long, name string, t double, first boolean, v array<double>, empty string")
     df.coalesce(1).write.format("tfrecord").mode("append").save(str(tmp_path / "out"))
-    (file,) = (tmp_path / "out").glob("*.tfrecord")
+    (file,) = (tmp_path / "out").glob("*")
+    assert file.name == "part-00000.tfrecord"
     raw, n = file.read_bytes(), 0
     while raw:
         (size,) = struct.unpack("<Q", raw[:8])
@@ -73,6 +77,91 @@ def test_tfrecord(spark, source, tmp_path):
     assert n == 5
 
 
+def test_checksum_of_lanes_equals_the_plain_one():
+    rng = random.Random(1)
+    for n in (0, 1, 9, 4095, 4096, 5000, 70_001):
+        data = rng.randbytes(n)
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc = R._CRC_LIST[(crc ^ b) & 0xFF] ^ crc >> 8
+        assert R.crc32c(data) == crc ^ 0xFFFFFFFF
+    assert R.crc32c(b"123456789") == 0xE3069283
+
+
+def test_episode_files_commit_and_abort(spark, source, tmp_path):
+    df = spark.createDataFrame([(f"d/e{i % 3}.parquet", i, [float(i)]) for i in range(30)], "file string, n long, v array<float>")
+    sorted_ = df.repartition("file").sortWithinPartitions("file", "n")
+    spark.dataSource.register(R.ParquetFileSink)
+    sorted_.write.format("parquetfile").option("file", "file").option("rowsPerGroup", 4).mode("append").save(str(tmp_path / "p"))
+    assert sorted(str(f.relative_to(tmp_path / "p")) for f in (tmp_path / "p").rglob("*") if f.is_file()) == [f"d/e{i}.parquet" for i in range(3)]
+    assert [r["n"] for r in spark.read.parquet(str(tmp_path / "p/d/e1.parquet")).collect()] == list(range(1, 30, 3)) and not (tmp_path / "p/_temporary").exists()
+    with pytest.raises(Exception, match="not together"):
+        df.coalesce(1).write.format("parquetfile").option("file", "file").mode("append").save(str(tmp_path / "q"))
+    assert not [f for f in (tmp_path / "q").rglob("*") if f.is_file()]
+
+
+def test_files_are_validated(spark, source, tmp_path):
+    write(tmp_path / "good.rec")
+    raw = (tmp_path / "good.rec").read_bytes()
+    odd = {
+        "magic": b"XXXXXX" + raw[6:], "version": raw[:6] + b"\x07" + raw[7:], "tiny": raw[:480], "cut": raw[:-3], "short": b"short",
+        "index": raw[:-36] + R.FOOTER.pack(1, len(raw) - 36 - 960, 40, 40, 5, R.FOOTER_MAGIC), "early": raw[:-36] + R.FOOTER.pack(R.INDEX_MAGIC, 7, 40, 40, 5, R.FOOTER_MAGIC),
+        "over": raw[:-36] + R.FOOTER.pack(R.INDEX_MAGIC, len(raw) - 40, 40, 40, 5, R.FOOTER_MAGIC), "frame": raw[:472] + b"zzzz" + raw[476:],
+    }
+    for name, data in odd.items():
+        (tmp_path / f"{name}.rec").write_bytes(data)
+    rec, index = source("recordings", tmp_path, magic="ABCDEF"), source("index", tmp_path, magic="ABCDEF")
+    checked, counts = jobs.validate(index, rec)
+    got = {r["source_key"].rsplit("/", 1)[-1][:-4]: r for r in checked.collect()}
+    want = {
+        "magic": "bad magic bytes", "version": "unsupported version: 7", "tiny": "file too small for header + footer", "short": "cannot read file header: file too small for a header", "index": "bad index magic in footer",
+        "early": "index_offset 7 before end of file header", "over": "index table overlaps footer", "frame": "first frame block has bad magic",
+    }
+    assert {k: r["errors"][0] for k, r in got.items() if r["errors"]} == want
+    assert got["cut"]["valid"] and got["cut"]["warnings"] == ["no valid footer \u2014 file may be truncated"] and got["good"]["valid"] and not got["good"]["warnings"]
+    assert counts.first()["passed"] == 2 and counts.first()["failed"] == 8
+    status = {r["file_name"]: r["validation_error"] for r in jobs.inventory(rec).collect()}
+    assert status["magic.rec"].startswith("bad magic bytes") and status["good.rec"] is None
+    assert spark.read.format("recording").options(table="recordings", suffix=".rec").load(str(tmp_path)).filter("source_key like '%/magic.rec' and header_error is null").count() == 1
+
+
+def test_workspace_files(spark, tmp_path):
+    path = str(tmp_path / "x.jsonl")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, b int, a int")
+    W.upsert_jsonl(spark, path, rows(("z", 1, 1), ("b", 2, 2)), ["k"])
+    W.upsert_jsonl(spark, path, rows(("b", 3, None), ("a", 4, 4)), ["k"])
+    lines = [json.loads(x) for f in sorted((tmp_path / "x.jsonl").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [{"a": 4, "b": 4, "k": "a"}, {"a": None, "b": 3, "k": "b"}, {"a": 1, "b": 1, "k": "z"}] and list(lines[0]) == ["a", "b", "k"]
+    W.append_audit(spark.createDataFrame([("prune", "f")], "op string, filename string"), str(tmp_path / "audit"))
+    W.append_audit(spark.createDataFrame([("restore", "f")], "op string, filename string"), str(tmp_path / "audit"))
+    assert T.read_jsonl(spark, str(tmp_path / "audit"), "op string, timestamp string").filter("timestamp is not null").count() == 2
+    e = spark.createDataFrame([("d", "about", ["t"], "now", f"r{i}.rec", "s", "at", 1.5, 9) for i in (2, 1)], "dataset string, description string, tags array<string>, created string, filename string, session_name string, recorded_at string, duration_s double, frames bigint")
+    W.save_manifests(e, str(tmp_path / "m"))
+    W.save_manifests(e.filter("filename = 'r1.rec'"), str(tmp_path / "m"))
+    assert [r["filename"] for r in W.load_manifests(spark, str(tmp_path / "m")).collect()] == ["r1.rec"]
+    p = spark.createDataFrame([("cam", 1.0, 2.0, 3.0, 4.0, 5, 6)], W.PROFILE)
+    W.write_profiles(p, str(tmp_path / "p"))
+    assert W.read_profiles(spark, str(tmp_path / "p")).collect() == p.collect() and W.read_profiles(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "o.json").write_text(json.dumps({"episodes": {"e1": {"episode_status": "keep", "note": None}}, "buckets": {"renames": {"b": "n"}, "interval_assignments": {"i": {"bucket_id": "b"}}}}))
+    o = W.read_overrides(spark, str(tmp_path / "o.json"))
+    assert o["episodes"].first()["o"] == {"episode_status": "keep", "note": None} and o["intervals"].count() == 0 and o["renames"].first()[:] == ("b", "n") and o["assignments"].first()[:] == ("i", "b", None)
+    assert all(df.count() == 0 for df in W.read_overrides(spark, str(tmp_path / "none.json")).values())
+    (tmp_path / "u.json").write_text(json.dumps({"version": 1, "uploads": [{"filename": "a", "attempts": 2, "success": False}]}))
+    (tmp_path / "bad.json").write_text("{")
+    assert W.read_uploads(spark, str(tmp_path / "u.json")).first()["attempts"] == 2 and W.read_uploads(spark, str(tmp_path / "bad.json")).count() == 0 and W.read_uploads(spark, str(tmp_path / "none")).count() == 0
+    W.dump_features(p, str(tmp_path / "f"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "f")).first()["rgb_mad"] == "2.0"
+
+
+def test_sidecar_and_registration(spark, source, tmp_path):
+    write(tmp_path / "a.rec")
+    rec = source("recordings", tmp_path)
+    meta = json.loads(W.sidecar(rec).first()["meta"])
+    assert (meta["serial_number"], meta["color_width"], meta["fps"], meta["has_imu"], meta["intrinsics"]["depth"]["fx"], meta["extrinsics"]["translation"]) == ("SERIAL-123", 1280, 2.0, True, 1.0, [0.0, 1.0, 2.0])
+    r = jobs.registration(rec).first()
+    assert (r["frame_count"], r["resolution_w"], r["fps"], r["video_streamable"], r["video_stream_error"], r["intrinsics"]["color"]["ppy"]) == (40, 1280, 2.0, True, None, 8.0)
+
+
 def test_json_tables(spark, tmp_path):
     assert T.read_jsonl(spark, str(tmp_path / "none"), "a int").count() == 0
     (tmp_path / "x.jsonl").write_text('{"a": 1}\nbroken\n{"a": null}\n')
@@ -86,8 +175,8 @@ def test_json_tables(spark, tmp_path):
 
 def test_listing_and_digest(spark, tmp_path):
     (tmp_path / "a.rec").write_bytes(b"abc")
-    assert [r["size_bytes"] for r in T.list_objects(spark, str(tmp_path)).collect()] == [3]
-    assert T.file_sha256(spark, str(tmp_path)).first()["sha256"].startswith("ba7816bf")
+    assert [r["size_bytes"] for r in T.list_objects(spark, str(tmp_path), ".rec").collect()] == [3]
+    assert T.file_sha256(spark, str(tmp_path), ".rec", piece=2).first()["sha256"].startswith("ba7816bf")
 
 
 def test_enrich_keeps_good_rows(spark):
@@ -119,8 +208,33 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert sorted(r["captured"] for r in rates.collect()) == [1, 2, 3]
     stalled = run(M.stalls, "stalls").filter("device = 'd'").orderBy("last_ts").collect()
     assert stalled[0]["last_ts"] == at + datetime.timedelta(milliseconds=1200) and stalled[0]["stalled_at"] == at + datetime.timedelta(milliseconds=2200)
-    seen = spark.readStream.schema("device string, ts timestamp, bytes long").parquet(str(tmp_path / "in")).selectExpr("'a/b.rec' AS key", "2048L AS size_bytes", "ts AS mtime")
-    q = M.pending_stream(seen).writeStream.format("memory").queryName("pending").outputMode("append").option("checkpointLocation", str(tmp_path / "p")).start()
-    q.processAllAvailable()
+    assert {r["capture_fps"] for r in rates.collect()} == {1.0, 2.0, 3.0}
+
+
+def test_pending_files_settle_and_come_once(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    schema = "key string, size_bytes long, mtime timestamp, listed timestamp"
+    listings = [
+        [("old", 2048, at(0), at(100)), ("young", 2048, at(95), at(100)), ("grows", 2048, at(99), at(100)), ("small", 10, at(0), at(100)), ("a/.pruned/x", 2048, at(0), at(100))],
+        [("old", 2048, at(0), at(104)), ("grows", 4096, at(104), at(104))],
+        [("old", 2048, at(0), at(112)), ("grows", 4096, at(104), at(112))],
+        [("old", 2048, at(0), at(130)), ("young", 2048, at(95), at(130)), ("grows", 4096, at(104), at(130))],
+        [("end", 10, at(0), at(140))],
+    ]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    (tmp_path / "in").mkdir()
+    q = M.pending_stream(stream).writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    given = []
+    for rows in listings:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+        given.append(sorted((r["key"], r["size_bytes"]) for r in spark.table("settled").collect()))
     q.stop()
-    assert spark.table("pending").count() == 1
+    assert given[0] == [("old", 2048)] and ("grows", 4096) not in given[1] and given[-1] == [("grows", 4096), ("old", 2048), ("young", 2048)]
+
+
+def test_results_are_appended(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        M.append_results(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "out")).collect()) == list(range(5))
