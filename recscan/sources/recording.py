@@ -142,8 +142,8 @@ class Part(InputPartition):
 
 
 class RecordingReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path, self.table = options["path"], options.get("table", "recordings")
+    def __init__(self, options: dict, schema) -> None:
+        self.path, self.table, self.schema = options["path"], options.get("table", "recordings"), schema
         if "suffix" not in options and not options["path"].rsplit("/", 1)[-1].count("."):
             raise ValueError("name the extension of recordings in option suffix")
         self.suffix, self.magic = options.get("suffix", ""), options.get("magic")
@@ -157,8 +157,7 @@ class RecordingReader(DataSourceReader):
         return [Part(u, n, k, of) for u, n in files for of in [max(1, -(-n // self.share_bytes))] for k in range(of)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(self.table)
-        rows = self.rows(part)
+        schema, rows = arrow_schema(self.schema), self.rows(part)
         while block := list(islice(rows, BATCH_ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -172,8 +171,8 @@ class RecordingReader(DataSourceReader):
                 if self.magic is not None and meta.get("magic", self.magic) != self.magic:
                     meta["header_error"] = f"bad magic bytes: {meta['magic']}"
                 meta |= check_file(f, part.size, meta, self.magic) | {"source_key": part.uri, "size_bytes": part.size}
-                parts = {k: dict(zip(_fields(k), meta[k], strict=True)) for k in ("depth", "color") if k in meta}
-                yield tuple((meta | parts).get(c.split()[0]) for c in _columns("recordings"))
+                parts = {k: dict(zip(self.schema[k].dataType.names, meta[k], strict=True)) for k in ("depth", "color") if k in meta}
+                yield tuple((meta | parts).get(c) for c in self.schema.names)
             elif self.table == "index":
                 for i, entry in zip(entries or (), _entries(f, meta, entries) if entries else (), strict=True):
                     yield part.uri, i, *entry
@@ -218,28 +217,10 @@ def _walk(f, size: int) -> Iterator[tuple[int, int]]:
         at, i = at + h[1], i + 1
 
 
-def _columns(table: str) -> list[str]:
-    out, depth, last = [], 0, ""
-    for c in SCHEMAS[table] + ",":
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(last.strip())
-            last = ""
-        else:
-            last += c
-    return out
-
-
-def _fields(column: str) -> list[str]:
-    """Names of the fields of a struct column of the recordings."""
-    return [f.name for f in next(f for f in arrow_schema("recordings") if f.name == column).type]
-
-
-def arrow_schema(table: str) -> pa.Schema:
+def arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(SCHEMAS[table]))
+    return to_arrow_schema(schema)
 
 
 class RecordingSource(DataSource):
@@ -251,7 +232,7 @@ class RecordingSource(DataSource):
         return SCHEMAS[self.options.get("table", "recordings")]
 
     def reader(self, schema) -> RecordingReader:
-        return RecordingReader(dict(self.options))
+        return RecordingReader(dict(self.options), schema)
 
 
 # ---- episode sinks ------------------------------------------------------------------------
@@ -457,10 +438,7 @@ class TFRecordWriter(EpisodeWriter):
 
 class ParquetFileWriter(EpisodeWriter):
     def open(self, system, path: str) -> _Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(self.schema)
-        kept = pa.schema([f for f in schema if f.name != self.file])
+        kept = pa.schema([f for f in arrow_schema(self.schema) if f.name != self.file])
         return _Table(system.open_output_stream(path), kept, self.rows_each)
 
 
