@@ -461,11 +461,11 @@ def upload_sessions(spark: SparkSession, d: str) -> DataFrame:
     q AS (SELECT DISTINCT * FROM p), r AS (SELECT *, ts_s - lag(ts_s) OVER w AS dt, bytes - lag(bytes) OVER w AS db, ts_s - min(ts_s) OVER (PARTITION BY id) AS since FROM q WINDOW w AS (PARTITION BY id ORDER BY ts_s)),
     a AS (SELECT *, CASE WHEN since > 0 THEN bytes / since ELSE 0 END AS average_rate, max(bytes) OVER (PARTITION BY id) * 2 AS total FROM r)
     SELECT id, ts_s, bytes, round(CASE WHEN dt > 0 THEN db / dt ELSE 0 END, 6) AS rate, round(average_rate, 6) AS average_rate, round(bytes / total * 100, 6) AS percent,
-           round(CASE WHEN average_rate > 0 THEN (total - bytes) / average_rate ELSE 0 END, 6) AS eta_s FROM a""")
+           round(CASE WHEN average_rate > 0 THEN (total - bytes) / average_rate ELSE 0 END, 2) AS eta_s FROM a""")
 def upload_rates(spark: SparkSession, d: str) -> DataFrame:
     p = spark.sql("SELECT DISTINCT o_custkey AS id, unix_micros(cast(o_orderdate AS timestamp)) / 1e6 AS ts_s, sum(cast(floor(o_totalprice) AS bigint)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS bytes FROM {orders}", orders=fixture(spark, d, "orders"))
     rates = C.upload_rates(p, p.groupBy("id").agg((F.max("bytes") * 2).alias("total")))
-    return rounded(rates)
+    return rounded(rates.withColumn("eta_s", F.round("eta_s", 2)))
 
 
 # ---- exports, sessions, small functions ---------------------------------------------------
