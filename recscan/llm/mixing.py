@@ -13,10 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recscan.llm.shared import BROADCAST_ROWS, materialize, numbered, settled
+from recscan.operators.ranks import ranked as places
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of their code points, repeated.
@@ -42,8 +43,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     cycle = F.array(*map(F.lit, weights))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = materialize(by_source.withColumn("weight", F.get(cycle, rank % len(weights))), "sources")
+    # sources may be as many as hosts: their places are found without bringing them to one task
+    placed = places(by_source, [F.col("source").asc_nulls_last()], "rank")
+    ranked = materialize(placed.withColumn("weight", F.get(cycle, (F.col("rank") % len(weights)).cast("int"))).drop("rank"), "sources")
     limit = most * F.col("source_size")
     words_all = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, free = 0.0, -1
