@@ -149,9 +149,10 @@ def date_path(ts: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes with one decimal in the unit that leaves less than 1024."""
-    out = F.format_string("%.1f PB", n / 1024.0**5)
+    # ties go to the even digit
+    out = F.format_string("%.1f PB", F.bround(n / 1024.0**5, 1))
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(F.abs(n / 1024.0**k) < 1024, F.format_string(f"%.1f {unit}", n / 1024.0**k)).otherwise(out)
+        out = F.when(F.abs(n / 1024.0**k) < 1024, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**k, 1))).otherwise(out)
     return out
 
 

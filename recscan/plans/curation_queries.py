@@ -131,7 +131,8 @@ def _clips(spark: SparkSession, d: str) -> DataFrame:
     return P.frame_ranges(t, i)
 
 
-_CLIPS = """WITH t AS (SELECT f.source_key, idx, (timestamp_us - start_timestamp_us) / 1e6 AS t FROM {fx_frames} f JOIN {fx_recordings} r ON r.source_key = f.source_key),
+_TIMES = "t AS (SELECT f.source_key, idx, (timestamp_us - start_timestamp_us) / 1e6 AS t FROM {fx_frames} f JOIN {fx_recordings} r ON r.source_key = f.source_key)"
+_CLIPS = f"""WITH {_TIMES}""" + """,
     c AS (SELECT i.interval_id AS id, min(idx) FILTER (WHERE t >= start_s) AS s, coalesce(min(idx) FILTER (WHERE t > end_s), max(idx) + 1) AS e FROM {fx_intervals} i JOIN t USING (source_key) GROUP BY i.interval_id),
     cl AS (SELECT source_key, interval_id AS id, start_s::DOUBLE AS start_s, end_s::DOUBLE AS end_s, CASE WHEN s < e THEN s END AS start_idx, CASE WHEN s < e THEN e END AS end_idx, CASE WHEN s < e THEN NULL ELSE 'no frames in range' END AS error
            FROM {fx_intervals} LEFT JOIN c ON c.id = interval_id)"""
@@ -566,4 +567,105 @@ def registration(spark: SparkSession, d: str) -> DataFrame:
     return jobs.registration(fixture(spark, d, "fx_recordings")).drop("recorded_at", "has_depth")
 
 
+# ---- small functions over tables, and whole jobs ---------------------------------------------
+
+
+_SIZE = "CASE WHEN x < 1024 THEN printf('%.1f B', x::DOUBLE) WHEN x < 1048576 THEN printf('%.1f KB', x / 1024.0::DOUBLE) ELSE printf('%.1f MB', x / 1048576.0::DOUBLE) END"
+
+
+@query(f"""SELECT key, CASE WHEN starts_with(key, '1-urgent') THEN ltrim(substr(key, 9), '/') ELSE key END AS relative_key, split_part(key, '/', 1) AS source_prefix, {_SIZE.replace('x', 'size_bytes')} AS size_text,
+    CASE WHEN k % 5000 < 60 THEN (k % 5000) || 's' WHEN k % 5000 < 3600 THEN printf('%dm %02ds', k % 5000 // 60, k % 60) ELSE printf('%dh %02dm %02ds', k % 5000 // 3600, k % 5000 % 3600 // 60, k % 5000 % 60) END AS duration_text,
+    'pub/x/' || key AS object_key, array_to_string(list_filter([trim(t) FOR t IN string_split(dataset || ', ,' || filename, ',')], lambda t: t <> ''), ',') AS tags,
+    greatest(8 / greatest((k % 90)::DOUBLE, 1.0), 0.1) AS storyboard_rate FROM {{fx_objects}}""")
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    k, key = F.col("k"), F.col("key")
+    return rounded(fixture(spark, d, "fx_objects").select(
+        "key", S.relative_key(key, "1-urgent").alias("relative_key"), S.source_prefix(key).alias("source_prefix"), S.human_size(F.col("size_bytes")).alias("size_text"),
+        S.human_duration((k % 5000).cast("double")).alias("duration_text"), S.object_key("/pub/x/", key).alias("object_key"),
+        S.join_tags(S.tags(F.concat("dataset", F.lit(", ,"), "filename"))).alias("tags"), S.storyboard_rate(F.lit(8), (k % 90).cast("double")).alias("storyboard_rate"),
+    ), 9)
+
+
+@query("SELECT interval_id, 'int_' || substr(sha1(source_key || '::' || (start_s * 1000)::BIGINT || '::' || (end_s * 1000)::BIGINT), 1, 12) AS stable_id FROM {fx_intervals}")
+def interval_ids(spark: SparkSession, d: str) -> DataFrame:
+    return fixture(spark, d, "fx_intervals").select("interval_id", S.interval_id(F.col("source_key"), F.col("start_s").cast("double"), F.col("end_s").cast("double")).alias("stable_id"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+    SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def cosine_of_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    v = fixture(spark, d, "embeddings")
+    both = v.select("vec_id", "embedding").join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    return rounded(both.select("vec_id", S.cosine(F.col("embedding"), F.col("next")).alias("similarity")))
+
+
+@query("""SELECT k, round((greatest(least((k % 13) / 10.0::DOUBLE, 1.0), least((k % 7) / 5.0::DOUBLE - 0.2, 1.0), 0.0) - greatest(least((k % 13) / 10.0::DOUBLE, (k % 7) / 5.0::DOUBLE - 0.2, 1.0), 0.0))
+    * (greatest(least((k % 11) / 9.0::DOUBLE, 1.0), least((k % 5) / 4.0::DOUBLE, 1.0)) - least((k % 11) / 9.0::DOUBLE, (k % 5) / 4.0::DOUBLE, 1.0)), 6) AS area, k % 10 >= 5 AND k % 4 >= 1 AS accepted FROM {fx_labels}""")
+def hand_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Areas of boxes around two landmarks, and whether a detection counts."""
+    k = F.col("k")
+    points = F.array(F.struct((k % 13 / 10).alias("x"), (k % 11 / 9).alias("y")), F.struct((k % 7 / 5 - 0.2).alias("x"), (k % 5 / 4).alias("y")))
+    return rounded(fixture(spark, d, "fx_labels").select("k", S.area_fraction(points).alias("area"), P.accepted(k % 10 / 10, k % 4 / 100).alias("accepted")))
+
+
+@query("SELECT interval_id, short_caption || CASE WHEN k % 2 = 0 THEN chr(10) || 'more' ELSE '' END AS content FROM {fx_labels}")
+def chat_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Contents of chat answers: a string, or parts of which the texts count."""
+    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("short_caption").alias("text")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("more").alias("text"))))
+    raw = F.when(F.col("k") % 2 == 0, parts).otherwise(F.concat(F.lit('"'), "short_caption", F.lit('"')))
+    return fixture(spark, d, "fx_labels").select("interval_id", S.chat_content(raw).alias("content"))
+
+
+@query(f"{_EPISODES} SELECT source_key, episode_status FROM ep WHERE episode_status IN ('keep', 'review') AND rec % 4 <> 0")
+def eligible_episodes(spark: SparkSession, d: str) -> DataFrame:
+    e = _episodes(spark, d)
+    return jobs.eligible(e, fixture(spark, d, "fx_recordings").filter("rec % 4 = 0")).select("source_key", "episode_status")
+
+
+@query(f"""{_segments(30, 45, 15)},
+    k AS (SELECT seg.source_key, start_frame, end_frame, count(*) OVER (PARTITION BY seg.source_key) AS k, row_number() OVER (PARTITION BY seg.source_key ORDER BY start_frame) - 1 AS i, r.total_frames AS n FROM seg JOIN {{fx_recordings}} r USING (source_key)),
+    pl AS (SELECT source_key, replace(split_part(source_key, '/', 2), '.rec', '') || '_seg' || lpad(i::VARCHAR, 3, '0') || '.rec' AS filename, end_frame - start_frame AS frames FROM k WHERE NOT (k = 1 AND start_frame = 0 AND end_frame = n))
+    SELECT split_part(source_key, '/', 2) AS filename, total_frames AS frames FROM {{fx_recordings}} WHERE source_key NOT IN (SELECT source_key FROM pl) UNION ALL SELECT filename, frames FROM pl""")
+def manifest_splice(spark: SparkSession, d: str) -> DataFrame:
+    rec = fixture(spark, d, "fx_recordings")
+    seg = written(A.segments(A.scan(_frames(spark, d)), min_gap=30, min_duration=45, pad=15), "segments")
+    return jobs.splice(_manifest(spark, d).select("filename", "frames"), seg, rec)[0]
+
+
+@query(f"""{_VERDICT},
+    ix AS (SELECT *, lag(file_offset) OVER w AS po FROM {{fx_index}} WINDOW w AS (PARTITION BY source_key ORDER BY entry)),
+    ok AS (SELECT source_key, count(*) FILTER (WHERE file_offset <= po OR file_offset < 472) = 0 AS valid FROM ix GROUP BY source_key),
+    qc AS (SELECT 'ep_' || substr(sha1(r.source_key), 1, 16) AS episode_id, r.source_key, CASE WHEN valid THEN 'valid' ELSE 'invalid' END AS validation_status,
+                  CASE WHEN NOT valid THEN 'invalid' WHEN r.duration_us / 1e6 < 5 THEN 'reject' WHEN verdict IS NULL THEN 'invalid' WHEN verdict = 'KEEP' THEN 'keep' WHEN verdict = 'PRUNE_CONFIDENT' THEN 'reject' ELSE 'review' END AS episode_status, verdict
+           FROM {{fx_recordings}} r JOIN ok USING (source_key) LEFT JOIN verdict USING (source_key))
+    SELECT * FROM qc""")
+def qc_job(spark: SparkSession, d: str) -> DataFrame:
+    episodes = jobs.qc(_frames(spark, d), fixture(spark, d, "fx_index"), fixture(spark, d, "fx_recordings"), with_profiles=False)[0]
+    return episodes.select("episode_id", "source_key", "validation_status", "episode_status", "verdict")
+
+
+@query(f"""{_EPISODES}, {_TIMES},
+    us AS (SELECT interval_id, ei.source_key, effective_start_s, effective_end_s FROM ei LEFT JOIN ee USING (source_key)
+           WHERE effective_interval_decision <> 'reject' AND coalesce(effective_episode_status, 'keep') IN ('keep', 'review') AND effective_end_s > effective_start_s),
+    rg AS (SELECT interval_id, min(idx) FILTER (WHERE t >= effective_start_s) AS s, coalesce(min(idx) FILTER (WHERE t > effective_end_s), max(idx) + 1) AS e FROM us JOIN t USING (source_key) GROUP BY interval_id)
+    SELECT interval_id, source_key, effective_start_s, effective_end_s, 'segments/' || interval_id AS segment_path FROM us JOIN rg USING (interval_id) WHERE s < e""")
+def segments_job(spark: SparkSession, d: str) -> DataFrame:
+    rec = fixture(spark, d, "fx_recordings")
+    effective = {"effective_intervals": _effective_intervals(spark, d), "effective_episodes": _effective_episodes(spark, d)}
+    manifest = jobs.segments(_frames(spark, d), fixture(spark, d, "fx_index"), rec, effective)[0]
+    return manifest.select("interval_id", "source_key", "effective_start_s", "effective_end_s", "segment_path")
+
+
+@query(f"WITH {_PENDING} SELECT key, size_bytes, mtime FROM pe")
+def upload_queue(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.upload_status(fixture(spark, d, "fx_objects"), fixture(spark, d, "fx_uploads"), F.expr(NOW))["pending"].select("key", "size_bytes", "mtime")
+
+
+@query(f"""WITH {_MANIFEST}, t AS (SELECT dataset, sum(duration_s) AS s, sum(frames)::BIGINT AS frames, count(*) AS episodes FROM mf GROUP BY dataset)
+    SELECT dataset, round(s, 6) AS duration_s, frames, episodes, CASE WHEN s < 60 THEN round_even(s, 0)::BIGINT || 's' WHEN s::BIGINT < 0 THEN '' WHEN floor(s) < 3600 THEN printf('%dm %02ds', floor(s)::BIGINT // 60, floor(s)::BIGINT % 60)
+           ELSE printf('%dh %02dm %02ds', floor(s)::BIGINT // 3600, floor(s)::BIGINT % 3600 // 60, floor(s)::BIGINT % 60) END AS duration FROM t""")
+def dataset_info(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(jobs.dataset_info(_manifest(spark, d)))
+
+
 ORACLE_SQL = {k: duck(v) for k, v in _ORACLE.items()}
