@@ -574,7 +574,7 @@ _SIZE = "CASE WHEN x < 1024 THEN printf('%.1f B', x::DOUBLE) WHEN x < 1048576 TH
 
 
 @query(f"""SELECT key, CASE WHEN starts_with(key, '1-urgent') THEN ltrim(substr(key, 9), '/') ELSE key END AS relative_key, split_part(key, '/', 1) AS source_prefix, {_SIZE.replace('x', 'size_bytes')} AS size_text,
-    CASE WHEN k % 5000 < 60 THEN (k % 5000) || 's' WHEN k % 5000 < 3600 THEN printf('%dm %02ds', k % 5000 // 60, k % 60) ELSE printf('%dh %02dm %02ds', k % 5000 // 3600, k % 5000 % 3600 // 60, k % 5000 % 60) END AS duration_text,
+    CASE WHEN k % 5000 < 60 THEN (k % 5000) || 's' WHEN k % 5000 < 3600 THEN printf('%dm %02ds', k % 5000 // 60, k % 5000 % 60) ELSE printf('%dh %02dm %02ds', k % 5000 // 3600, k % 5000 % 3600 // 60, k % 5000 % 60) END AS duration_text,
     'pub/x/' || key AS object_key, array_to_string(list_filter([trim(t) FOR t IN string_split(dataset || ', ,' || filename, ',')], lambda t: t <> ''), ',') AS tags,
     greatest(8 / greatest((k % 90)::DOUBLE, 1.0), 0.1) AS storyboard_rate FROM {{fx_objects}}""")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
