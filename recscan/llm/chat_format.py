@@ -20,10 +20,12 @@ BLOCK_TURNS = 256
 
 
 def escape(s: Column) -> Column:
+    """A text that holds no mark; null stays null, an empty one is empty."""
     return F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
 def unescape(s: Column) -> Column:
+    """What was escaped, exactly; null stays null."""
     return F.replace(F.replace(s, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
