@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscan.llm.shared import fit_logistic, small_batches
+from recscan.llm.shared import BROADCAST_ROWS, fit_logistic, materialize, small_batches
 
 #: At most so many labelled rows, those with the smallest hashed ids, are learned from.
 MAX_TRAIN = 20_000
@@ -286,6 +286,18 @@ def _evidence(counted: DataFrame, base: float) -> DataFrame:
     return found.filter((F.col("g2") >= least) & (F.col("odds") > 0))
 
 
+def _counted_phrases(texts: DataFrame, base: float) -> DataFrame:
+    """(pattern, n, k) of the phrases that stand in enough toxic rows to reach the ratio at all; only those are counted in other rows."""
+    phrases = F.explode(F.array_distinct(F.concat(*map(_phrases, PHRASES)))).alias("pattern")
+    least = LEAST_G2_PHRASE / (2 * float(np.log(1 / base)))
+    toxic = texts.filter("toxic = 1").select(phrases).groupBy("pattern").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least)
+    toxic = materialize(toxic, "phrases")
+    names = toxic.select("pattern")
+    names = F.broadcast(names) if toxic.count() <= BROADCAST_ROWS else names
+    others = texts.filter("toxic = 0").select(phrases).join(names, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("o"))
+    return toxic.join(others, "pattern", "left").select("pattern", (F.col("k") + F.coalesce("o", F.lit(0))).alias("n"), "k")
+
+
 def _contexts(rows: DataFrame, patterns: list[str]) -> DataFrame:
     """(pattern, n, k): in how many different pairs of neighbours a pattern stands, and how many are toxic.
 
@@ -321,16 +333,14 @@ def learn_patterns(rows: DataFrame) -> dict[str, float]:
     sample: a pattern stands in at least five of its toxic rows.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0))
-    patterns = F.array_distinct(F.concat("w", *map(_stems, STEMS), *map(_phrases, PHRASES)))
+    patterns = F.array_distinct(F.concat("w", *map(_stems, STEMS)))
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return {}
-    counted = (
-        rows.filter("text is not null").select("toxic", words.alias("w")).select("toxic", F.explode(patterns).alias("pattern"))
-        .groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
-    )
+    texts = rows.filter("text is not null").select("toxic", words.alias("w"))
+    counted = texts.select("toxic", F.explode(patterns).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
     base = toxic / total
-    best = [r["pattern"] for r in _evidence(counted, base).collect()]
+    best = [r["pattern"] for found in (counted, _counted_phrases(texts, base)) for r in _evidence(found, base).collect()]
     single = Lexicon({p: 1.0 for p in best if " " not in p})
     best = [p for p in best if " " not in p or not any(single.symbol(w)[1] for w in p.split(" "))]
     kept = _evidence(_contexts(rows, best), base).collect()
