@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,8 @@ PER_LANGUAGE, MAX_TRAIN = 1_500, 30_000
 #: Hashed features for n-grams of 1, 2 and 3 characters.
 BITS, GRAMS = 13, 3
 UNDETERMINED = "und"
+#: So many machines are fitted at a time.
+FITS = 4
 
 # Families of language codes. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -141,9 +144,13 @@ def train(docs: DataFrame) -> Model:
         families: dict[str, list[str]] = {}
         for lang in sorted(r["lang"] for r in rows.select("lang").distinct().collect()):
             families.setdefault(family(lang), []).append(lang)
-        between = [_duel(rows.withColumnRenamed("family", "name"), a, b) for a, b in combinations(sorted(families), 2)]
-        by_lang = rows.withColumnRenamed("lang", "name")
-        within = {f: [_duel(by_lang, a, b) for a, b in combinations(langs, 2)] for f, langs in families.items()}
+        # the machines do not depend on one another: some are fitted at a time
+        pairs = [("family", "", a, b) for a, b in combinations(sorted(families), 2)]
+        pairs += [("lang", f, a, b) for f, langs in families.items() for a, b in combinations(langs, 2)]
+        with ThreadPool(FITS) as pool:
+            duels = pool.map(inheritable_thread_target(docs.sparkSession)(lambda p: _duel(rows.withColumnRenamed(p[0], "name"), *p[2:])), pairs)
+        between = [d for p, d in zip(pairs, duels, strict=True) if p[0] == "family"]
+        within = {f: [d for p, d in zip(pairs, duels, strict=True) if p[:2] == ("lang", f)] for f in families}
     finally:
         rows.unpersist()
     return Model(families, between, within)
