@@ -14,13 +14,24 @@ from recscan.operators import spans as P
 from recscan.operators.ranks import ranked
 from recscan.scratch import written
 from recscan.sources import workspace as W
-from recscan.sources.recording import ParquetFileSink, RecordingSource, TFRecordSink
+from recscan.sources.recording import ParquetFileSink, RecordingSource, TFRecordSink, read_blocks
 
 
-def read_recordings(spark: SparkSession, path: str, suffix: str, table: str = "recordings", magic: str | None = None) -> DataFrame:
-    """A table of the recordings below a path; see :mod:`recscan.sources.recording`."""
+def read_recordings(
+    spark: SparkSession, path: str, suffix: str, table: str = "recordings", magic: str | None = None, columns: list[str] | None = None, share_bytes: int | None = None
+) -> DataFrame:
+    """A table of the recordings below a path; see :mod:`recscan.sources.recording`.
+
+    Filters on source_key choose the files that are opened, filters on timestamp_us the entries of an index whose
+    blocks are read. ``columns`` are the ones to give, all if None. With ``share_bytes`` frames and imu of files
+    without an index are read in shares, at the cost of a pass over the footers, but without those choices.
+    """
+    if share_bytes and table in ("frames", "imu"):
+        found = read_blocks(spark, path, suffix, table, share_bytes)
+        return found.select(columns) if columns else found
     spark.dataSource.register(RecordingSource)
-    options = {"table": table, "suffix": suffix} | ({"magic": magic} if magic else {})
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"table": table, "suffix": suffix, "pushdown": "true"} | ({"magic": magic} if magic else {}) | ({"columns": ",".join(columns)} if columns else {})
     return spark.read.format("recording").options(**options).load(path)
 
 

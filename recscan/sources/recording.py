@@ -6,9 +6,14 @@
 * recordings - header and footer of each file, by range reads, and what is wrong with them;
 * index - the index entries of each file;
 * frames - the header of each frame block; payloads are skipped. A large file with an index is
-  split into ranges of entries, one without is read in order by one task;
+  split into ranges of entries, one without is read in order by one task, or by :func:`read_blocks` by many;
 * imu - the motion samples behind each frame's payload.
 
+With option ``pushdown`` (and ``spark.sql.python.filterPushdown.enabled``) filters on source_key choose the files
+before any is opened, and filters on timestamp_us choose entries of an index before blocks are read; the times of an
+index are taken to be those of its blocks, which ``plans.jobs.validate`` checks. Option ``columns`` names the
+columns to give; of recordings, the header, the footer and the checks of a file are read only if a column needs them.
+
 ``path`` is a file, or a folder whose files with the extension of option ``suffix`` are taken in
 order. Planning only lists them; they are opened in tasks, through pyarrow's file systems. A file is
 accepted by its structure, whatever its first bytes are, unless option ``magic`` names those.
@@ -17,15 +22,19 @@ accepted by its structure, whatever its first bytes are, unless option ``magic``
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
+    StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
+)
 
 # Layout of the little-endian file format. Header, frame block, index entry, footer, motion sample.
 HEADER = struct.Struct("<8sII32sfIIffffI5fIIffffI5f9f3f128sQ8sBBBB128s")
@@ -91,11 +100,20 @@ def parse_footer(raw: bytes, size: int) -> dict:
     return {"total_frames": frames, "duration_us": duration, "index_offset": offset, "index_entries": entries}
 
 
-def read_meta(f, size: int) -> dict:
-    f.seek(0)
-    head = parse_header(f.read(HEADER.size))
-    f.seek(max(0, size - FOOTER.size))
-    return head | parse_footer(f.read(FOOTER.size), size)
+#: Columns of recordings that the footer, or a check of the whole file, gives; the others come from the header or the listing.
+FOOTER_COLUMNS = ("total_frames", "duration_us", "index_offset", "index_entries", "footer_error")
+CHECK_COLUMNS = ("file_errors", "file_warnings")
+
+
+def read_meta(f, size: int, header: bool = True, footer: bool = True) -> dict:
+    found = {}
+    if header:
+        f.seek(0)
+        found |= parse_header(f.read(HEADER.size))
+    if footer:
+        f.seek(max(0, size - FOOTER.size))
+        found |= parse_footer(f.read(FOOTER.size), size)
+    return found
 
 
 def check_file(f, size: int, meta: dict, magic: str | None) -> dict:
@@ -148,42 +166,104 @@ class RecordingReader(DataSourceReader):
             raise ValueError("name the extension of recordings in option suffix")
         self.suffix, self.magic = options.get("suffix", ""), options.get("magic")
         self.share_bytes = int(options.get("bytespershare", 4 << 30))
+        self.unindexed = options.get("unindexed", "walk")
+        self.keys: list[Filter] = []
+        self.times = Times()
 
     def partitions(self) -> list[Part]:
         """Shares of files by their sizes, which the listing gives; no file is opened here."""
-        files = list_files(self.path, self.suffix)
+        files = [(u, n) for u, n in list_files(self.path, self.suffix) if all(_holds(k, u) for k in self.keys)]
         if self.table == "recordings":
             return [Part(u, n) for u, n in files]
         return [Part(u, n, k, of) for u, n in files for of in [max(1, -(-n // self.share_bytes))] for k in range(of)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        schema, rows = arrow_schema(self.schema), self.rows(part)
-        while block := list(islice(rows, BATCH_ROWS)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block, strict=True), schema.types, strict=True)], schema=schema)
+        yield from _batches(self.rows(part), arrow_schema(self.schema))
 
     def rows(self, part: Part) -> Iterator[tuple]:
         system, path = _open(part.uri)
         with system.open_input_file(path) as f:
-            meta = read_meta(f, part.size)
+            if self.table == "recordings":
+                yield self.recording(f, part)
+                return
+            meta = read_meta(f, part.size, header=False)
             n = meta.get("index_entries")
             entries = range(n * part.share // part.of, n * (part.share + 1) // part.of) if n is not None else None
-            if self.table == "recordings":
-                if self.magic is not None and meta.get("magic", self.magic) != self.magic:
-                    meta["header_error"] = f"bad magic bytes: {meta['magic']}"
-                meta |= check_file(f, part.size, meta, self.magic) | {"source_key": part.uri, "size_bytes": part.size}
-                parts = {k: dict(zip(self.schema[k].dataType.names, meta[k], strict=True)) for k in ("depth", "color") if k in meta}
-                yield tuple((meta | parts).get(c) for c in self.schema.names)
-            elif self.table == "index":
-                for i, entry in zip(entries or (), _entries(f, meta, entries) if entries else (), strict=True):
-                    yield part.uri, i, *entry
+            names, all_names = self.schema.names, [c.split()[0] for c in SCHEMAS[self.table].split(", ")]
+            take = [all_names.index(c) for c in names]
+            if self.table == "index":
+                found = ((part.uri, i, *entry) for i, entry in zip(entries or (), _entries(f, meta, entries) if entries else (), strict=True) if self.times.holds(entry[0]))
+            elif entries is None and (part.share or self.unindexed == "skip" and part.of > 1):
+                return
             else:
-                for i, at, h in _blocks(f, part, meta, entries):
-                    if self.table == "frames":
-                        yield part.uri, i, h[3], h[2], h[4], h[5], at, h[1], h[6], h[3] % KEYFRAME_EVERY == 0
-                    else:
-                        f.seek(at + FRAME.size + h[4] + h[5])
-                        for k, s in enumerate(IMU.iter_unpack(f.read(h[6] * IMU.size))):
-                            yield part.uri, h[3], k, s[0], list(s[1:4]), list(s[4:7])
+                places = ((i, e[1]) for i, e in zip(entries, _entries(f, meta, entries), strict=True) if self.times.holds(e[0])) if entries is not None else _walk(f, part.size)
+                found = block_rows(f, part.uri, places, self.table)
+            yield from found if names == all_names else (tuple(row[i] for i in take) for row in found)
+
+    def recording(self, f, part: Part) -> tuple:
+        """The row of a file; what no column asks for is not read."""
+        names = set(self.schema.names)
+        checks = names & {*CHECK_COLUMNS}
+        header = checks or names - {*FOOTER_COLUMNS, "source_key", "size_bytes"}
+        meta = read_meta(f, part.size, bool(header), bool(checks or names & {*FOOTER_COLUMNS}))
+        if self.magic is not None and meta.get("magic", self.magic) != self.magic:
+            meta["header_error"] = f"bad magic bytes: {meta['magic']}"
+        if checks:
+            meta |= check_file(f, part.size, meta, self.magic)
+        meta |= {"source_key": part.uri, "size_bytes": part.size}
+        parts = {k: dict(zip(self.schema[k].dataType.names, meta[k], strict=True)) for k in ("depth", "color") if k in meta and k in names}
+        return tuple((meta | parts).get(c) for c in self.schema.names)
+
+
+@dataclass
+class Times:
+    """Bounds of timestamps that filters ask for, all of which hold."""
+
+    bounds: list[tuple[str, int]] = field(default_factory=list)
+
+    def holds(self, t: int) -> bool:
+        return all(t == v if op == "=" else t > v if op == ">" else t >= v if op == ">=" else t < v if op == "<" else t <= v for op, v in self.bounds)
+
+
+_TIME_OPS = {EqualTo: "=", EqualNullSafe: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def _holds(f: Filter, key: str) -> bool:
+    """Whether a source_key passes a filter on it."""
+    if isinstance(f, In):
+        return key in f.value
+    if isinstance(f, (StringStartsWith, StringEndsWith, StringContains)):
+        return key.startswith(f.value) if isinstance(f, StringStartsWith) else key.endswith(f.value) if isinstance(f, StringEndsWith) else f.value in key
+    return isinstance(f, IsNotNull) or key == f.value
+
+
+class PushdownReader(RecordingReader):
+    """Reads only the files and index entries that filters on source_key and timestamp_us let pass."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if f.attribute == ("source_key",) and isinstance(f, (EqualTo, EqualNullSafe, In, IsNotNull, StringStartsWith, StringEndsWith, StringContains)):
+                self.keys.append(f)
+                continue
+            if f.attribute == ("timestamp_us",) and type(f) in _TIME_OPS and self.table in ("frames", "index") and f.value is not None:
+                self.times.bounds.append((_TIME_OPS[type(f)], int(f.value)))
+            yield f  # Spark holds blocks against it too, as a file without an index gives all of them
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while block := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def block_rows(f, uri: str, places: Iterable[tuple[int, int]], table: str) -> Iterator[tuple]:
+    """Rows of frames or imu from the blocks at (number, offset)."""
+    for i, at, h in _blocks(f, places):
+        if table == "frames":
+            yield uri, i, h[3], h[2], h[4], h[5], at, h[1], h[6], h[3] % KEYFRAME_EVERY == 0
+        else:
+            f.seek(at + FRAME.size + h[4] + h[5])
+            for k, s in enumerate(IMU.iter_unpack(f.read(h[6] * IMU.size))):
+                yield uri, h[3], k, s[0], list(s[1:4]), list(s[4:7])
 
 
 def _entries(f, meta: dict, entries: range) -> Iterator[tuple]:
@@ -193,12 +273,8 @@ def _entries(f, meta: dict, entries: range) -> Iterator[tuple]:
         yield from INDEX.iter_unpack(f.read(min(BATCH_ROWS, entries.stop - first) * INDEX.size))
 
 
-def _blocks(f, part: Part, meta: dict, entries: range | None) -> Iterator[tuple]:
-    """(number, offset, header fields) of frame blocks; stops at the first that is cut off."""
-    if entries is not None:
-        places: Iterator = ((i, e[1]) for i, e in zip(entries, _entries(f, meta, entries), strict=True))
-    else:
-        places = _walk(f, part.size) if not part.share else iter(())
+def _blocks(f, places: Iterable[tuple[int, int]]) -> Iterator[tuple]:
+    """(number, offset, header fields) of the frame blocks at some places; what is no block is left out."""
     for i, at in places:
         f.seek(at)
         raw = f.read(FRAME.size)
@@ -206,15 +282,134 @@ def _blocks(f, part: Part, meta: dict, entries: range | None) -> Iterator[tuple]
             yield i, at, h
 
 
-def _walk(f, size: int) -> Iterator[tuple[int, int]]:
-    at, i = HEADER.size, 0
-    while at + FRAME.size <= size:
-        f.seek(at)
-        h = FRAME.unpack(f.read(FRAME.size))
-        if h[0] != FRAME_MAGIC or at + h[1] > size or h[1] < FRAME.size:
-            return
+def _block_end(f, at: int, size: int) -> int | None:
+    """Where the block at a place ends, None if there is no whole one."""
+    if at + FRAME.size > size:
+        return None
+    f.seek(at)
+    h = FRAME.unpack(f.read(FRAME.size))
+    return at + h[1] if h[0] == FRAME_MAGIC and at + h[1] <= size and h[1] >= FRAME.size else None
+
+
+def _walk(f, size: int, at: int = HEADER.size, stop: int | None = None, i: int = 0) -> Iterator[tuple[int, int]]:
+    """(number, offset) of blocks one behind the other, until one is not whole, or begins at ``stop`` or later."""
+    while (stop is None or at < stop) and (end := _block_end(f, at, size)) is not None:
         yield i, at
-        at, i = at + h[1], i + 1
+        at, i = end, i + 1
+
+
+# ---- files without an index, in shares ----------------------------------------------------
+
+#: Blocks behind one another that a place must lead to, or to the end of the file, to be taken for a block's start.
+CONFIRM = 3
+#: Bytes that are searched for a mark at a time.
+LOOK_BYTES = 1 << 20
+_MARK = struct.pack("<I", FRAME_MAGIC)
+
+
+def find_block(f, size: int, at: int, stop: int) -> int | None:
+    """The first place in [at, stop) that looks like a block's start; a payload may hold one too."""
+    while at < stop:
+        f.seek(at)
+        data, found = f.read(min(LOOK_BYTES, stop - at) + len(_MARK) - 1), -1
+        while (found := data.find(_MARK, found + 1)) >= 0:
+            end: int | None = at + found
+            for _ in range(CONFIRM):
+                end = _block_end(f, end, size)
+                if end is None or size - end < FRAME.size:
+                    break
+            if end is not None:
+                return at + found
+        at += LOOK_BYTES
+    return None
+
+
+def walk_share(f, size: int, start: int | None, stop: int) -> tuple[int, int | None]:
+    """(number of blocks, where the first behind ``stop`` begins or None) of the walk from ``start``."""
+    n, end = 0, start
+    while end is not None and end < stop:
+        end = _block_end(f, end, size)
+        n += end is not None
+    return n, end
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each share with the start it found, or was given, the number of its blocks and where the next share's begin."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            system, path = _open(r["uri"])
+            with system.open_input_file(path) as f:
+                start = r["start"] if r["start"] is not None else find_block(f, r["size"], r["low"], r["high"])
+                n, end = walk_share(f, r["size"], start, r["high"])
+            rows.append((r["uri"], r["size"], r["low"], r["high"], start, n, end))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), *[pa.int64()] * 6], strict=True)], ["uri", "size", "low", "high", "start", "n", "end"])
+
+
+def resolve_shares(shares: list[dict]) -> tuple[list[dict], list[dict]]:
+    """(shares with their first block's number, shares to walk again) of one file, in order.
+
+    A share's start counts if the walk before it ends there. The first one that it does not is given
+    the right start, to be walked again; what follows is looked at once that is known.
+    """
+    at, i, good = shares[0]["start"], 0, []
+    for s in shares:
+        if at is None:
+            break
+        if at >= s["high"]:
+            continue  # a block of the shares before reaches over this one
+        if s["start"] != at:
+            return good, [s | {"start": at}]
+        good.append(s | {"first": i})
+        at, i = s["end"], i + s["n"]
+    return good, []
+
+
+def block_shares(spark: SparkSession, files: list[tuple[str, int]], share_bytes: int) -> list[dict]:
+    """Where the walk through each file enters each share of its bytes, and the number of its first block there.
+
+    All shares look for a start of their own at once. Payloads may hold what looks like one: a share
+    whose start is not where the walk before it ends is walked again from there, all files at once, until
+    all fit. So the result is that of a walk in order, whatever the payloads are; only the rounds depend
+    on them. A row for each share, of ``share_bytes`` each, comes to the driver, as the parts of a scan do.
+    """
+    todo = [{"uri": u, "size": n, "low": low, "high": min(n, low + share_bytes), "start": low if low == HEADER.size else None} for u, n in files for low in range(HEADER.size, n, share_bytes)]
+    kind = "uri string, size long, low long, high long, start long"
+    known: dict[str, dict[int, dict]] = {}
+    while todo:
+        rows = spark.createDataFrame([(r["uri"], r["size"], r["low"], r["high"], r["start"]) for r in todo], kind).repartition(max(1, min(len(todo), 10_000)))
+        for r in rows.mapInArrow(_walked, f"{kind}, n long, end long").collect():
+            known.setdefault(r["uri"], {})[r["low"]] = r.asDict()
+        todo = [s for by_low in known.values() for s in resolve_shares([by_low[k] for k in sorted(by_low)])[1]]
+    return [s for by_low in known.values() for s in resolve_shares([by_low[k] for k in sorted(by_low)])[0]]
+
+
+def _shared_rows(table: str, schema: pa.Schema):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, path = _open(r["uri"])
+                with system.open_input_file(path) as f:
+                    yield from _batches(block_rows(f, r["uri"], _walk(f, r["size"], r["start"], r["high"], r["first"]), table), schema)
+
+    return read
+
+
+def read_blocks(spark: SparkSession, path: str, suffix: str, table: str = "frames", share_bytes: int = 4 << 30) -> DataFrame:
+    """frames or imu of the recordings below a path, those without an index too in shares of ``share_bytes``.
+
+    Rows equal those of the source, which walks such a file in one task. Files that have no index and
+    more than one share are found by their footers, then see :func:`block_shares`.
+    """
+    spark.dataSource.register(RecordingSource)
+    source = spark.read.format("recording").options(suffix=suffix, table=table, bytesPerShare=share_bytes, unindexed="skip").load(path)
+    heads = spark.read.format("recording").options(suffix=suffix, table="recordings", columns="source_key,size_bytes,footer_error").load(path)
+    broken = [(r["source_key"], r["size_bytes"]) for r in heads.filter(f"footer_error is not null and size_bytes > {share_bytes}").collect()]
+    shares = block_shares(spark, broken, share_bytes) if broken else []
+    if not shares:
+        return source
+    rows = spark.createDataFrame([(s["uri"], s["size"], s["start"], s["high"], s["first"]) for s in shares], "uri string, size long, start long, high long, first long")
+    return source.unionByName(rows.repartition(min(len(shares), 10_000)).mapInArrow(_shared_rows(table, arrow_schema(source.schema)), source.schema))
 
 
 def arrow_schema(schema) -> pa.Schema:
@@ -229,10 +424,13 @@ class RecordingSource(DataSource):
         return "recording"
 
     def schema(self) -> str:
-        return SCHEMAS[self.options.get("table", "recordings")]
+        fields = {c.split()[0]: c for c in SCHEMAS[self.options.get("table", "recordings")].split(", ")}
+        names = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        return ", ".join(fields[c] for c in names or fields)
 
     def reader(self, schema) -> RecordingReader:
-        return RecordingReader(dict(self.options), schema)
+        kind = PushdownReader if self.options.get("pushdown", "false").lower() == "true" else RecordingReader
+        return kind(dict(self.options), schema)
 
 
 # ---- episode sinks ------------------------------------------------------------------------

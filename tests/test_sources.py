@@ -62,6 +62,152 @@ def test_header_footer_and_frames(source, tmp_path):
     assert imu.count() == sum(i % 3 for i in range(40)) and imu.first()["accel"] == [1.0, 2.0, 3.0]
 
 
+class Opened:
+    """A file that tells what is read of it."""
+
+    def __init__(self, f, told):
+        self.f, self.told = f, told
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.f.close()
+
+    def seek(self, at):
+        self.f.seek(at)
+
+    def read(self, n):
+        self.told.append(n)
+        return self.f.read(n)
+
+
+@pytest.fixture
+def opened(monkeypatch):
+    """(files opened, sizes of what was read) of readers that run here."""
+    files, told, plain = [], [], R._open
+
+    class System:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def open_input_file(self, path):
+            files.append(path)
+            return Opened(self.system.open_input_file(path), told)
+
+    def opening(uri):
+        system, path = plain(uri)
+        return System(system), path
+
+    monkeypatch.setattr(R, "_open", opening)
+    return files, told
+
+
+def rows_here(kind, path, filters=(), **options):
+    source = R.RecordingSource({"path": str(path), "suffix": ".rec", **options})
+    reader = kind(dict(source.options), __import__("pyspark.sql.types", fromlist=["x"])._parse_datatype_string(source.schema()))
+    left = list(reader.pushFilters(list(filters)))
+    return [r for p in reader.partitions() for r in reader.rows(p)], left
+
+
+def test_filters_choose_files_before_they_are_opened(spark, source, opened, tmp_path):
+    for name in ("a", "b", "c", "d"):
+        write(tmp_path / f"{name}.rec")
+    files, told = opened
+    key = ("source_key",)
+    whole, _ = rows_here(R.RecordingReader, tmp_path, table="frames")
+    assert len(files) == 4
+    for f, keep in (
+        (R.EqualTo(key, str(tmp_path / "b.rec")), "b"), (R.In(key, (str(tmp_path / "a.rec"), str(tmp_path / "d.rec"), "x")), "ad"), (R.StringEndsWith(key, "c.rec"), "c"),
+        (R.StringStartsWith(key, str(tmp_path)), "abcd"), (R.StringContains(key, "/nothing"), ""), (R.IsNotNull(key), "abcd"),
+    ):
+        files.clear()
+        got, left = rows_here(R.PushdownReader, tmp_path, [f], table="frames")
+        assert not left and [x.rsplit("/", 1)[-1][0] for x in files] == list(keep)
+        assert got == [r for r in whole if r[0].rsplit("/", 1)[-1][0] in keep]
+    told.clear()
+    t = ("timestamp_us",)
+    got, left = rows_here(R.PushdownReader, tmp_path / "a.rec", [R.GreaterThan(t, 3000), R.LessThanOrEqual(t, 6000)], table="frames")
+    assert len(left) == 2 and [r[3] for r in got] == [4000, 5000, 6000] and told.count(R.FRAME.size) == 3 + 1  # a footer is as long as a block's head
+
+
+def test_columns_choose_what_is_read(spark, source, opened, tmp_path):
+    write(tmp_path / "a.rec")
+    _, told = opened
+    assert rows_here(R.RecordingReader, tmp_path, columns="source_key,size_bytes")[0] == [(str(tmp_path / "a.rec"), (tmp_path / "a.rec").stat().st_size)] and not told
+    assert rows_here(R.RecordingReader, tmp_path, columns="total_frames")[0] == [(40,)] and told == [R.FOOTER.size]
+    told.clear()
+    assert rows_here(R.RecordingReader, tmp_path, columns="camera_serial,flags")[0] == [("SERIAL-123", 3)] and told == [R.HEADER.size]
+    assert source("frames", tmp_path, columns="idx,source_key").columns == ["idx", "source_key"]
+
+
+def test_pushed_filters_give_what_spark_would(spark, tmp_path):
+    for i, name in enumerate(("a", "b", "c")):
+        write(tmp_path / f"{name}.rec", n=20 + i, footer=name != "b")
+    for table in ("frames", "index", "recordings", "imu"):
+        read = jobs.read_recordings(spark, str(tmp_path), ".rec", table)
+        rows = read.collect()
+        for where in ("source_key like '%a.rec'", f"source_key in ('{tmp_path}/b.rec', 'q')", f"source_key = '{tmp_path}/c.rec' and source_key <> 'z'", *(["timestamp_us >= 5000 and timestamp_us < 9000 and source_key like '%b%'"] * (table != "recordings"))):
+            got = read.filter(where)
+            want = spark.createDataFrame(rows, read.schema).filter(where).collect()
+            assert sorted(map(str, got.collect())) == sorted(map(str, want)), (table, where)
+    assert jobs.read_recordings(spark, str(tmp_path), ".rec", "frames").filter(f"source_key = '{tmp_path}/c.rec'").rdd.getNumPartitions() == 1
+
+
+def tricky(path, rng, n=60, cut=0, broken=False):
+    """A file without an index whose payloads hold marks, heads of blocks, and whole blocks that lead to the next one."""
+    raw = header()
+    for i in range(n):
+        block = lambda body, k=i: R.FRAME.pack(R.FRAME_MAGIC, R.FRAME.size + len(body), 5 * k, 1000 + k, len(body), 0, 0, 0) + body
+        body = rng.randbytes(rng.randint(0, 40))
+        for _ in range(rng.randint(0, 3)):
+            body += rng.choice([R._MARK, R.FRAME.pack(R.FRAME_MAGIC, rng.randint(0, 200), 1, 2, 3, 4, 0, 0), block(rng.randbytes(20)), block(block(b"in") + block(b"side")), rng.randbytes(300)])
+        raw += block(body)
+        if broken and i == n // 2:
+            raw += b"????"
+    path.write_bytes(raw[: len(raw) - cut])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shares_of_files_without_an_index_equal_the_walk(spark, source, tmp_path, seed):
+    rng = random.Random(seed)
+    for i in range(5):
+        tricky(tmp_path / f"t{i}.rec", rng, cut=rng.choice([0, 1, 30, 90]), broken=i == 4)
+    write(tmp_path / "good.rec")
+    (tmp_path / "short.rec").write_bytes(b"x")
+    size = max(f.stat().st_size for f in tmp_path.iterdir())
+    for table in ("frames", "imu"):
+        want = sorted(map(str, source(table, tmp_path).collect()))
+        for shares in (2, 7, 50):
+            got = R.read_blocks(spark, str(tmp_path), ".rec", table, size // shares)
+            assert sorted(map(str, got.collect())) == want and (shares == 2 or got.rdd.getNumPartitions() > 6)
+    assert jobs.read_recordings(spark, str(tmp_path), ".rec", "frames", columns=["idx"], share_bytes=999).columns == ["idx"]
+
+
+def test_shares_start_where_the_walk_enters_them(tmp_path):
+    rng = random.Random(9)
+    for k in range(40):
+        path = tmp_path / f"{k}.rec"
+        tricky(path, rng, n=rng.randint(1, 40), cut=rng.choice([0, 7]))
+        size, each = path.stat().st_size, rng.randint(40, 900)
+        with path.open("rb") as f:
+            want = list(R._walk(f, size))
+            shares, rounds = [{"low": low, "high": min(size, low + each), "start": low if low == R.HEADER.size else None} for low in range(R.HEADER.size, size, each)], 0
+            todo = list(shares)
+            while todo:
+                for s in todo:
+                    start = s["start"] if s["start"] is not None else R.find_block(f, size, s["low"], s["high"])
+                    n, end = R.walk_share(f, size, start, s["high"])
+                    shares[(s["low"] - R.HEADER.size) // each] = s | {"start": start, "n": n, "end": end}
+                good, todo = R.resolve_shares(shares)
+                rounds += 1
+                assert rounds <= len(shares) + 1
+            assert [x for s in good for x in R._walk(f, size, s["start"], s["high"], s["first"])] == want
+
+
 def test_tfrecord(spark, source, tmp_path):
     assert len(R.tf_record(b"test data")) == 25 and R.masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
     df = spark.createDataFrame([(i, f"s{i}", 0.5, True, [1.0, 2.0], None) for i in range(5)], "step long, name string, t double, first boolean, v array<double>, empty string")
