@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recscan.functions import scalars as S
+from recscan.operators import components
 from recscan.operators.ranks import ranked
-from recscan.scratch import drop, written
 
 LOW_CONFIDENCE, SIMILAR = 0.55, 0.82
 _ANSWER = "struct<is_manipulation:string,proposed_task_name:string,short_caption:string,primary_objects:string,confidence:string,reason:string>"
@@ -91,25 +91,9 @@ def _unit(v: Column) -> Column:
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) of all vertices; component is the smallest id reachable.
-
-    Smallest labels spread along edges, then labels take their label's label, so that long chains
-    halve; each round is written, which cuts lineage, and rounds end when no label changed.
-    """
-    e = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).filter("x <> y")
-    both = written(e.union(e.select("y", "x")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
-        mid = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("next"))
-        new = written(mid.join(jump, "mid").select("id", "old", F.least("mid", "next").alias("component")), "labels")
-        drop(labels)
-        labels = new.select("id", "component")
-        if new.filter("old <> component").isEmpty():
-            drop(both)
-            break
-    return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    """(id, component) of all vertices; component is the smallest id reachable, see :mod:`recscan.operators.components`."""
+    found = components.connected_components(edges).withColumnRenamed("node", "id")
+    return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def canonical_names(labels: DataFrame, cluster: str = "cluster") -> DataFrame:

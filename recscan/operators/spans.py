@@ -1,20 +1,23 @@
 """Interval algebra: presence spans, merging, splitting, scoring, windows and frame ranges.
 
-Spans are rows (source_key, start_s, end_s). Everything is an equi-join or a window on
-source_key; spans of one recording are few, its frames and samples stay rows.
+Spans are rows (source_key, start_s, end_s). Spans that overlap are joined by recording and slice of
+time, so that neither a pair that does not overlap is made nor the length of a recording matters; its frames and samples stay rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recscan.functions import scalars as S
-from recscan.scratch import written
 
 _KEY = "source_key"
+#: Seconds of a slice of time in which spans meet. A span is copied to each slice it touches.
+SLICE_S = 60.0
 
 
 def present(n: Column, a: Column, least_area: float = 0.01) -> Column:
@@ -26,8 +29,34 @@ def accepted(score: Column, area: Column, least_score: float = 0.5, least_area:
     return (score >= least_score) & (area >= least_area)
 
 
-def merge_spans(spans: DataFrame, gap_s: float, by: str = _KEY, inclusive: bool = True) -> DataFrame:
-    """Spans joined over gaps of at most (inclusive) or below ``gap_s``."""
+def overlapping(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], slice_s: float = SLICE_S) -> DataFrame:
+    """Pairs of rows of one recording whose spans overlap by more than nothing, each once.
+
+    Both sides go to each slice of time they touch and meet there; the slice in which the later one of a pair
+    begins gives the pair. So work is linear in rows, slices and results, and a long recording is many keys.
+    The columns of both sides must differ but for source_key; spans without length or with a null end overlap nothing.
+    """
+
+    def sliced(df: DataFrame, begin: str, end: str) -> DataFrame:
+        span = df.filter(F.col(begin) < F.col(end))
+        return span.withColumn("_slice", F.explode(F.sequence(F.floor(F.col(begin) / slice_s), F.floor(F.col(end) / slice_s))))
+
+    (a, b), (c, d) = left_span, right_span
+    both = sliced(left, a, b).join(sliced(right, c, d), [_KEY, "_slice"])
+    begin = F.greatest(a, c)
+    return both.filter((F.least(b, d) - begin > 0) & (F.col("_slice") == F.floor(begin / slice_s))).drop("_slice")
+
+
+def merge_spans(spans: DataFrame, gap_s: float, by: str = _KEY, inclusive: bool = True, slice_s: float | None = None) -> DataFrame:
+    """Spans joined over gaps of at most (inclusive) or below ``gap_s``.
+
+    With ``slice_s`` those that begin in one slice of time are joined first, so that many short spans of
+    one recording do not meet in one task; what is joined is the same.
+    """
+    if slice_s:
+        slices = spans.select(by, "start_s", "end_s", F.floor(F.col("start_s") / slice_s).alias("_slice"))
+        keyed = slices.withColumn("_by", F.struct(by, "_slice")).drop(by)
+        spans = merge_spans(keyed, gap_s, "_by", inclusive).select(F.col("_by")[by].alias(by), "start_s", "end_s")
     w = Window.partitionBy(by).orderBy("start_s", "end_s")
     ended = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.round(F.col("start_s") - ended, 9)
@@ -36,10 +65,13 @@ def merge_spans(spans: DataFrame, gap_s: float, by: str = _KEY, inclusive: bool
     return grouped.groupBy(by, "_g").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("_g")
 
 
+def _seen(samples: DataFrame, period_s: float) -> DataFrame:
+    return samples.filter(present(F.col("n"), F.col("a"))).select(_KEY, F.col("t").alias("start_s"), (F.col("t") + period_s).alias("end_s"))
+
+
 def presence_spans(samples: DataFrame, period_s: float, merge_gap_s: float) -> DataFrame:
     """Spans in which hands are seen, from samples (source_key, t, n, a)."""
-    seen = samples.filter(present(F.col("n"), F.col("a"))).select(_KEY, F.col("t").alias("start_s"), (F.col("t") + period_s).alias("end_s"))
-    return merge_spans(seen, merge_gap_s)
+    return merge_spans(_seen(samples, period_s), merge_gap_s, slice_s=10 * SLICE_S)
 
 
 def split_points(spans: DataFrame, samples: DataFrame, period_s: float) -> DataFrame:
@@ -48,8 +80,8 @@ def split_points(spans: DataFrame, samples: DataFrame, period_s: float) -> DataF
     The middle of the span is taken if there is no gap, or it lies within 0.25 s of an end.
     """
     spans = spans.select(_KEY, "start_s", "end_s")
-    seen = samples.filter(present(F.col("n"), F.col("a"))).select(_KEY, F.col("t").alias("b"), (F.col("t") + period_s).alias("e"))
-    blocks = spans.join(seen, _KEY).filter((F.least("e", "end_s") - F.greatest("b", "start_s")) > 0)
+    seen = _seen(samples, period_s).select(_KEY, F.col("start_s").alias("b"), F.col("end_s").alias("e"))
+    blocks = overlapping(spans, seen, ("start_s", "end_s"), ("b", "e"))
     ends = spans.select("*", F.col("end_s").alias("b"), F.lit(None).cast("double").alias("e"))
     w = Window.partitionBy(_KEY, "start_s", "end_s").orderBy(F.col("e").isNull(), "b")
     cursor = F.greatest(F.col("start_s"), F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -61,34 +93,84 @@ def split_points(spans: DataFrame, samples: DataFrame, period_s: float) -> DataF
     return spans.join(found, [_KEY, "start_s", "end_s"], "left").select(_KEY, "start_s", "end_s", F.when(inside, F.col("at")).otherwise(middle).alias("split_s"))
 
 
-def split_long_spans(spans: DataFrame, samples: DataFrame, period_s: float, max_segment_s: float, rounds: int = 64) -> DataFrame:
-    """Spans cut at their split points until none is longer than ``max_segment_s``.
-
-    Each round cuts every span that is still too long; a cut leaves at least 0.25 s on each side,
-    so that rounds end. The spans of each round are written, so that plans stay short.
+class Gaps:
+    """The gaps between disjoint, sorted blocks, with the largest and first of any range of them in constant time."""
+
+    def __init__(self, begins: np.ndarray, ends: np.ndarray) -> None:
+        self.begins, self.ends = begins, ends
+        # gap k lies before block k + 1; of equal gaps the first one counts
+        gap = np.round(begins[1:] - ends[:-1], 9)
+        self.gap, best = gap, np.arange(len(gap))
+        self.table = [best]
+        while 2 << len(self.table) - 1 <= len(gap):
+            half, row = 1 << len(self.table) - 1, self.table[-1]
+            a, b = row[:-half], row[half:]
+            self.table.append(np.where(gap[b] > gap[a], b, a))
+
+    def largest(self, low: int, high: int) -> int:
+        """Of gaps low to high - 1."""
+        k = (high - low).bit_length() - 1
+        a, b = self.table[k][low], self.table[k][high - (1 << k)]
+        return int(b if self.gap[b] > self.gap[a] else a)
+
+    def cut(self, start: float, end: float) -> float:
+        """Where a span is cut: see :func:`split_points`."""
+        low, high = np.searchsorted(self.begins, (start, end), "left").tolist()
+        found = []
+        at = max(start, float(self.ends[low - 1])) if low else start
+        if low < high:
+            found.append((round(float(self.begins[low]) - at, 9), -at))
+            if high - low > 1:
+                k = self.largest(low, high - 1)
+                found.append((float(self.gap[k]), -float(self.ends[k])))
+            at = max(start, float(self.ends[high - 1]))
+        found.append((round(end - at, 9), -at))
+        gap, at = max(found)
+        middle = -at + gap / 2
+        return middle if gap > 0 and start + 0.25 < middle < end - 0.25 else start + (end - start) / 2
+
+
+def _split(max_segment_s: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        blocks = rows[~rows["is_span"]].sort_values("start_s")
+        gaps, done = Gaps(blocks["start_s"].to_numpy(), blocks["end_s"].to_numpy()), []
+        todo = rows.loc[rows["is_span"], ["start_s", "end_s"]].to_numpy().tolist()
+        while todo:
+            start, end = todo.pop()
+            if end - start <= max_segment_s:
+                done.append((start, end))
+                continue
+            at = gaps.cut(start, end)
+            todo += ((start, at), (at, end))
+        return pd.DataFrame(done, columns=["start_s", "end_s"]).assign(**{_KEY: rows[_KEY].iloc[0]})[[_KEY, "start_s", "end_s"]]
+
+    return split
+
+
+def split_long_spans(spans: DataFrame, samples: DataFrame, period_s: float, max_segment_s: float) -> DataFrame:
+    """Spans cut at their split points until none is longer than ``max_segment_s``, which must be at least half a second.
+
+    Samples that touch are one block, so what a recording's task holds is its spans and its gaps between hands.
+    A cut leaves at least 0.25 s on each side. Spans with a null end are left out.
     """
-    todo, done = spans.select(_KEY, "start_s", "end_s"), []
-    for _ in range(rounds):
-        todo = written(todo, "spans")
-        length = F.col("end_s") - F.col("start_s")
-        done.append(todo.filter(length <= max_segment_s))
-        longer = todo.filter(length > max_segment_s)
-        if longer.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        cut = split_points(longer, samples, period_s)
-        todo = cut.select(_KEY, "start_s", F.col("split_s").alias("end_s")).unionByName(cut.select(_KEY, F.col("split_s").alias("start_s"), "end_s"))
-    raise ValueError(f"spans are still longer than {max_segment_s} s after {rounds} rounds")
+    if max_segment_s < 0.5:
+        raise ValueError("max_segment_s must be at least 0.5")
+    one = lambda df, is_span: df.select(_KEY, F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), F.lit(is_span).alias("is_span"))
+    long = F.col("end_s") - F.col("start_s") > max_segment_s
+    blocks = merge_spans(_seen(samples, period_s), 0.0, slice_s=10 * SLICE_S)
+    cut = one(spans.filter(long), True).unionByName(one(blocks, False)).groupBy(_KEY).applyInPandas(_split(max_segment_s), f"{_KEY} string, start_s double, end_s double")
+    return one(spans.filter(~long), True).drop("is_span").unionByName(cut)
 
 
 def score_intervals(spans: DataFrame, samples: DataFrame, proposals: DataFrame, period_s: float) -> DataFrame:
     """spans with hand_presence_fraction, active_fraction, max_hands_seen, proposal_score."""
     cols = [_KEY, "start_s", "end_s"]
-    near = spans.join(samples, _KEY).filter(S.overlap(F.col("t"), F.col("t") + period_s, F.col("start_s"), F.col("end_s")) > 0)
+    near = overlapping(spans.select(*cols), samples.select(_KEY, "t", "n", "a", (F.col("t") + period_s).alias("_te")), ("start_s", "end_s"), ("t", "_te"))
     seen = present(F.col("n"), F.col("a"))
     hands = near.groupBy(*cols).agg((F.count(F.when(seen, 1)) / F.count(F.lit(1))).alias("hand"), F.max(F.when(seen, F.col("n"))).alias("most"))
-    part = spans.join(proposals.select(_KEY, F.col("start_s").alias("ps"), F.col("end_s").alias("pe"), "active_fraction"), _KEY)
+    part = overlapping(spans.select(*cols), proposals.select(_KEY, F.col("start_s").alias("ps"), F.col("end_s").alias("pe"), "active_fraction"), ("start_s", "end_s"), ("ps", "pe"))
     share = S.overlap(F.col("start_s"), F.col("end_s"), F.col("ps"), F.col("pe"))
-    part = part.withColumn("ov", share).filter("ov > 0")
+    part = part.withColumn("ov", share)
     active = part.groupBy(*cols).agg((F.sum(F.col("ov") * F.coalesce("active_fraction", F.lit(0.0))) / F.sum("ov")).alias("act"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return spans.join(hands, cols, "left").join(active, cols, "left").select(
@@ -109,7 +191,7 @@ def hand_intervals(
     """
     period = 1.0 / max(sample_fps, 0.1)
     hands = presence_spans(samples, period, merge_gap_s).select(_KEY, F.col("start_s").alias("hs"), F.col("end_s").alias("he"))
-    both = proposals.join(hands, _KEY).filter((F.least("end_s", "he") - F.greatest("start_s", "hs")) > 0).join(recordings.select(_KEY, "duration_s"), _KEY)
+    both = overlapping(proposals.select(_KEY, "start_s", "end_s"), hands, ("start_s", "end_s"), ("hs", "he")).join(recordings.select(_KEY, "duration_s"), _KEY)
     raw = both.select(
         _KEY,
         S.clamp(F.greatest("start_s", "hs") - pad_s, F.lit(0.0), F.col("duration_s")).alias("start_s"),

@@ -93,4 +93,11 @@ def duck(sql: str) -> str:
     if not ctes:
         return main
     begin = re.match(r"WITH\s+(RECURSIVE\s+)?", main, re.IGNORECASE)
-    return f"{begin[0].rstrip()} {ctes}, {main[begin.end():]}" if begin else f"WITH {ctes} {main}"
+    whole = f"{begin[0].rstrip()} {ctes}, {main[begin.end():]}" if begin else f"WITH {ctes} {main}"
+
+    def once(m: re.Match) -> str:
+        # what is read twice is computed once, whatever the engine would do on its own
+        uses = len(re.findall(rf"(?:FROM|JOIN|,)\s+{m[1]}\b(?!\s*(?:AS\b|\.|\())", whole))
+        return f"{m[1]} AS MATERIALIZED (" if uses > 1 else m[0]
+
+    return re.sub(r"\b(\w+) AS \((?=\s*(?:SELECT|WITH)\b)", once, whole)

@@ -1,8 +1,11 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and who deletes them."""
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL = "file:///tmp/checkpoints/recscan"
 
 
+class _Paths(threading.local):
+    """Scratch tables that this thread wrote and that are not deleted yet, in that order."""
+
+    def __init__(self) -> None:
+        self.written: list[str] = []
+
+
+_paths = _Paths()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a local folder for local masters; a cluster session must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,17 +33,50 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for one table below the shared folder."""
+    return f"{shared_dir(spark)}/recscan/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage is cut, and it is computed once."""
+    """``df`` written to the shared folder and read again: lineage is cut, it is computed once, and survives lost executors.
+
+    It is deleted at the end of the :func:`scratch` it was written within, or by :func:`drop`.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/curation/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    _paths.written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def last_written() -> str:
+    """Path of the table that :func:`written` wrote last."""
+    return _paths.written[-1]
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _paths.written:
+        _paths.written.remove(path)
+
+
 def drop(table: DataFrame) -> None:
     """Delete what :func:`written` wrote; nothing may read it any more."""
-    spark = table.sparkSession
     for parent in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        mine = [p for p in _paths.written if p.rsplit("/", 1)[-1] == parent.rsplit("/", 1)[-1]]
+        drop_path(table.sparkSession, mine[0] if mine else parent)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the scratch tables this thread wrote within, but for those whose paths are put into the list.
+
+    What is lazy and reads them must be written, or done with, before the end.
+    """
+    mark, kept = len(_paths.written), []
+    yield kept
+    for path in [p for p in _paths.written[mark:] if p not in kept]:
+        drop_path(spark, path)

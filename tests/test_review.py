@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from recscan.operators import catalog as C
+from recscan.operators import components
 from recscan.operators import labels as L
 from recscan.operators import review as V
 
@@ -59,3 +63,35 @@ def test_bad_answers_go_to_review(spark):
     r = good.first()
     assert (r["proposed_task_name"], r["confidence"], r["primary_objects"], r["is_manipulation"]) == ("unknown", 0.0, [], False)
     assert [x["interval_id"] for x in bad.collect()] == ["a"]
+
+
+@pytest.mark.parametrize("local_links", [0, 5, 10**6])
+def test_components_by_contraction(spark, local_links, monkeypatch):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(100, 180)] + [(500, k) for k in range(501, 600)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(250)] + [(7, 7), (None, 3), (9, 8), (9, 8), (8, 9)]
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    sizes, plain = [], components.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes.extend([out.count()] if name == "links" else [])
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    got = components.connected_components(spark.createDataFrame(links, "a long, b long"), local_links=local_links)
+    assert {r["node"]: r["component"] for r in got.collect()} == {x: find(x) for x in up}
+    assert got.count() == len(up) and all(b <= a * 0.8 for a, b in zip(sizes, sizes[1:]))
+    named = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "p string, q string")
+    assert {tuple(r) for r in components.connected_components(named, "p", "q", local_links).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    assert components.connected_components(named.limit(0), "p", "q", local_links).count() == 0
