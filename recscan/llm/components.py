@@ -1,39 +1,5 @@
-"""Connected components of a table of links, by rounds of joins and minima."""
+"""Connected components of a table of links, see :mod:`recscan.operators.components`."""
 
-from __future__ import annotations
+from recscan.operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from recscan.llm.shared import drop_scratch, scratch_path
-
-
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for each node in a link; component is the smallest node reachable.
-
-    Each round a node takes the smallest label of itself and its neighbours, then the label of
-    its label, so that long chains halve. Labels are written to the shared folder each round,
-    which cuts lineage, and rounds end when no label changed. Links with a null end are ignored,
-    repeated links and loops do no harm, and no link gives no row. A node with very many links
-    costs one partial minimum per task; nothing but a count comes to the driver.
-    """
-    spark = links.sparkSession
-
-    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path), path
-
-    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null and x <> y")
-    both, both_path = kept(ends.union(ends.select("y", "x")).distinct(), "links")
-    labels, path = kept(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
-        near = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("next"))
-        new, new_path = kept(near.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("next", "mid")).alias("component")), "labels")
-        drop_scratch(spark, path)
-        labels, path = new.select("node", "component"), new_path
-        if new.filter("old <> component").isEmpty():
-            drop_scratch(spark, both_path)
-            return labels
+__all__ = ["connected_components"]

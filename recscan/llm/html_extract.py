@@ -1,11 +1,12 @@
 """Main text of web pages by a minimum cut over their blocks.
 
-A page is cut into blocks of text. A classifier, fitted to a bounded sample of pages whose markup
-names the article, gives each block a log-odds of being content from its text alone, which becomes
-its capacity to one terminal. Elements whose tag or words say what they hold are seeds, tied to
-the blocks below them. Neighbours in the page, the closer in the document's tree the more, and
-blocks under one parent are tied as well. The minimum cut through terminals and smoothness edges,
-found by maximum flow, labels all blocks at once: those on the source's side are the main text.
+A page is cut into blocks of text. A classifier, fitted to a bounded sample of pages whose structure
+(article or main elements) tells the article, gives each block a log-odds of being content from its text and
+from the words of the elements around it. Its bounded odds, and a bounded cost for structure, become
+the block's capacity to one terminal. Neighbours in the page, the closer in the document's tree the more, and
+blocks under one parent are tied by smoothness edges, which outvote words and structure where text and
+both neighbours agree. The minimum cut, found by maximum flow, labels all blocks at once: those
+on the source's side are the main text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -24,16 +24,17 @@ from pyspark.sql import functions as F
 
 from recscan.llm.shared import fit_logistic, small_batches
 
+# a quote opens a value only behind an equals sign; a tag without an end stops before the next one, so that no text is read twice
+_ATTRS = r"(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+|[\"'])*+"
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select|button)\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<>]*\Z",  # a tag that the end of the page cuts off
+    rf"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select|button)\b{_ATTRS}>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*+)(?P<attrs>{_ATTRS})(?:>|(?=<)|\Z)"
+    r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 #: One attribute: its name and its value, if any; what stands in a value is no name.
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 
 #: Tags within a block; white space is what they add at most.
@@ -43,16 +44,26 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 REPEATS = frozenset("p li dt dd tr td th option".split())
 # What elements and the words of their class, id and role say of the text below them.
 CONTENT_TAGS = frozenset(("article", "main"))
-BOILER_TAGS = frozenset("nav footer aside form head menu dialog header".split())
+BOILER_TAGS = {"nav": -1.0, "footer": -1.0, "aside": -1.0, "menu": -1.0, "dialog": -1.0, "header": -0.5}
+#: A form may hold a whole page: it only takes back what was said of content around it.
+FORM_SAYS = -0.25
+#: What stands in one of these itself, not in a paragraph, names its fields.
+FORM_TAGS = frozenset("form fieldset legend".split())
 CONTENT_WORDS = frozenset("article main content post entry story articlebody maincontent".split())
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus "
-    "form login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted "
-    "related search share sharing signup social sponsor sponsored subscribe toolbar".split()
+COMMENT_WORDS = frozenset("comment comments commenter commenters disqus reply replies responses reactions discussion guestbook".split())
+BOILER_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent contentinfo cookie cookies copyright footer "
+    "login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted "
+    "related search share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
 )
-#: Words that often only describe a part of the article, or its layout: they weigh half as much.
-LAYOUT_WORDS = frozenset("header footer sidebar banner widget".split())
-TAG_SAYS, WORD_SAYS, LAYOUT_SAYS, HIDDEN_SAYS = 2, 2, 1, 4
+#: Words that say half as much, and nothing beside a word for content: they often name a part of the article.
+LAYOUT_WORDS = frozenset("header footer".split())
+#: Words that do not count beside others.
+HELPER_WORDS = frozenset("area bar block bottom box container global inner item items left link links list module outer page panel primary right secondary section site slot top widget wrap wrapper".split())
+#: Words of names that tell a state of what is around, not what is inside.
+STATE_WORDS = frozenset("closed disabled enabled has hide is layout less no open show template theme with without".split())
+#: Evidence of an element from here on holds for all below it, whatever further words say; HIDDEN is not shown at all.
+STRONG, HIDDEN = 0.75, -2.0
 
 # ---- blocks -------------------------------------------------------------------------------
 
@@ -60,31 +71,80 @@ TAG_SAYS, WORD_SAYS, LAYOUT_SAYS, HIDDEN_SAYS = 2, 2, 1, 4
 class Block(NamedTuple):
     text: str
     tag: str
-    says: int  # evidence of the nearest element that says anything: content above 0, boilerplate below
-    seed: int  # number of that element
+    says: float  # evidence of the words around: 1 for content to -1 for boilerplate, or HIDDEN
+    inside: bool  # within an article or main element, and in nothing within it that is strongly none of it
     linked: int  # characters within links
     parent: int  # number of the element that holds the block's element
     steps: int  # way through the tree from the block before
 
 
-@lru_cache(maxsize=4096)
-def _says(tag: str, attrs: str) -> int:
-    """The evidence of one element: its tag and its words add up, so that none of them has a veto."""
-    words: set[str] = set()
+def name_says(name: str) -> float:
+    """What one class or id says: the share of its words that name content, or boilerplate."""
+    words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+    if words & STATE_WORDS:
+        return 0.0
+    content, boiler = words & CONTENT_WORDS, words & BOILER_WORDS
+    if content:
+        boiler -= LAYOUT_WORDS
+    if boiler:
+        said = -sum(0.5 if w in LAYOUT_WORDS and len(boiler) > 1 else 1.0 for w in boiler)
+        return max(-1.0, said / len(words - HELPER_WORDS - content))
+    rest = words - HELPER_WORDS
+    return len(content) / len(rest) if content else -0.5 * bool(rest and rest <= LAYOUT_WORDS)
+
+
+def element_says(tag: str, attrs: str) -> tuple[float, bool]:
+    """(evidence of one element, whether it holds comments): tag and names add up, so that none of them has a veto."""
+    said, comments = (0.0 if tag in ("body", "html") else BOILER_TAGS.get(tag, 0.0)), False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
-            return -HIDDEN_SAYS
-        if name in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    said = TAG_SAYS * ((tag in CONTENT_TAGS) - (tag in BOILER_TAGS)) + LAYOUT_SAYS * bool(words & CONTENT_WORDS)
-    return said - (WORD_SAYS if words & BOILER_WORDS else LAYOUT_SAYS if words & LAYOUT_WORDS else 0)
-
-
-def blocks(page: str) -> list[Block]:
-    """The blocks of a whole page in order: text with references decoded and spaces made one."""
+            return HIDDEN, False
+        if name in ("class", "id", "role") and tag not in ("body", "html"):
+            for one in value.split():
+                one_says = name_says(one)
+                said += one_says
+                comments = comments or one_says <= -STRONG and bool(set(re.split(r"[^a-z]+", one.lower())) & COMMENT_WORDS)
+    return max(-1.0, min(1.0, said)), comments
+
+
+class _Open(NamedTuple):
+    """An element that is open: what holds for the text in it."""
+
+    tag: str = ""
+    says: float = 0.0
+    inside: bool = False
+    comments: bool = False
+    number: int = 0
+
+
+def _below(up: _Open, tag: str, said: float, comments: bool, number: int) -> _Open:
+    """What holds in an element: strong evidence stays, weak adds up; an article starts anew but in comments."""
+    comments = comments or up.comments
+    if tag == "header" and up.inside:
+        said = max(said, 0.0)  # the heading of an article, not of the page
+    if HIDDEN in (up.says, said):
+        says = HIDDEN
+    elif up.says <= -STRONG or comments:
+        says = min(up.says, -1.0 if comments else 1.0)
+    elif tag == "form" and said > -STRONG:
+        says = min(up.says + said, FORM_SAYS)
+    elif abs(said) >= STRONG:
+        says = 1.0 if said > 0 else -1.0
+    else:
+        says = max(-1.0, min(1.0, up.says + said))
+    inside = not comments and said > -STRONG and (up.inside or tag in CONTENT_TAGS)
+    return _Open(tag, says, inside, comments, number)
+
+
+def blocks(page: str, known: dict[tuple[str, str], tuple[float, bool]] | None = None) -> list[Block]:
+    """The blocks of a whole page in order: text with references decoded and spaces made one.
+
+    ``known`` keeps what elements say, over the pages of a task.
+    """
+    known = {} if known is None else known
     found: list[Block] = []
-    opened: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, what holds here, who says so, number
+    opened: list[_Open] = [_Open()]
     open_tags = Counter()
     pieces: list[str] = []
     count = links = linked = at = 0
@@ -95,8 +155,9 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             depth = len(opened)
-            tag, says, seed, _ = opened[-1]
-            found.append(Block(text, tag, says, seed, min(linked, len(text)), opened[-2][3] if depth > 1 else 0, last + depth - 2 * min(lowest, depth)))
+            here = opened[-1]
+            says = min(here.says, -1.0) if here.tag in FORM_TAGS else here.says
+            found.append(Block(text, here.tag, says, here.inside, min(linked, len(text)), opened[-2].number if depth > 1 else 0, last + depth - 2 * min(lowest, depth)))
             last = lowest = depth
         pieces.clear()
         linked = 0
@@ -119,79 +180,90 @@ def blocks(page: str) -> list[Block]:
         end_block()
         if m["close"]:
             while open_tags[tag]:
-                ended = opened.pop()[0]
+                ended = opened.pop().tag
                 open_tags[ended] -= 1
                 if ended == tag:
                     break
             links = 0
         elif tag not in VOID:
-            if opened[-1][0] == tag and tag in REPEATS or opened[-1][0] == "p":
-                open_tags[opened.pop()[0]] -= 1
+            if opened[-1].tag == tag and tag in REPEATS or opened[-1].tag == "p":
+                open_tags[opened.pop().tag] -= 1
             lowest = min(lowest, len(opened))
-            says = _says(tag, m["attrs"])
-            _, inside, seed, _ = opened[-1]
-            if tag == "header" and inside > 0:
-                says += TAG_SAYS  # the heading of an article, not of the page
+            key = (tag, m["attrs"])
+            said = known.get(key)
+            if said is None:
+                said = element_says(*key)
+                if len(known) < KNOWN_ELEMENTS:
+                    known[key] = said
             count += 1
             open_tags[tag] += 1
-            opened.append((tag, says, count, count) if says else (tag, inside, seed, count))
+            opened.append(_below(opened[-1], tag, *said, count))
         lowest = min(lowest, len(opened))
     pieces.append(page[at:])
     end_block()
     return found
 
 
+#: Elements whose evidence a task keeps; others are read again.
+KNOWN_ELEMENTS = 4096
+
 # ---- the classifier -----------------------------------------------------------------------
 
 #: At most so many pages, those with the smallest hashed ids, are fitted to.
 FIT_PAGES = 2_000
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 caption dt".split())
 ITEMS = frozenset("li td th dd option".split())
-#: Weights before fitting: constant, size (doublings of words), share of links, end of a sentence, heading, item.
-PRIOR = np.array([-2.0, 0.7, -3.0, 0.7, 0.8, -0.5])
-#: How far the classifier may go either way.
-TEXT_MOST = 3.0
-_SIZES, _SHARES = 8, 5
+#: Weights before fitting: constant, size (doublings of words), share of links, end of a sentence, heading, item, words around.
+PRIOR = np.array([-2.0, 0.9, -3.0, 0.7, 0.8, -0.5, 5.5])
+#: How far the text, and the words around it, may go either way: a block's text and two neighbours under its parent outvote the words.
+TEXT_MOST, WORDS_MOST = 3.0, 6.0
+#: How much the weight of words is held to its prior.
+WORDS_PULL = 50.0
+_SIZES, _SHARES, _SAYS = 8, 5, 9
 
 
 def cell(b: Block) -> int:
-    """The text features of a block as one number below 8 x 5 x 2 x 3, so that samples can be counted."""
+    """The features of a block as one number below 8 x 5 x 2 x 3 x 9, so that samples can be counted."""
     size = min(_SIZES - 1, (b.text.count(" ") + 1).bit_length() - 1)
     share = round(4 * b.linked / len(b.text))
     kind = 1 if b.tag in HEADINGS else 2 if b.tag in ITEMS else 0
-    return ((size * _SHARES + share) * 2 + (b.text[-1] in ".!?…。！？")) * 3 + kind
+    says = max(0, round(4 * b.says) + 4)
+    return (((size * _SHARES + share) * 2 + (b.text[-1] in ".!?…。！？")) * 3 + kind) * _SAYS + says
 
 
 def _features(cells: np.ndarray) -> np.ndarray:
-    rest, kind = np.divmod(cells, 3)
+    rest, says = np.divmod(cells, _SAYS)
+    rest, kind = np.divmod(rest, 3)
     rest, sentence = np.divmod(rest, 2)
     size, share = np.divmod(rest, _SHARES)
-    return np.stack([np.ones(len(cells)), size, share / 4, sentence, kind == 1, kind == 2], axis=1).astype(float)
+    return np.stack([np.ones(len(cells)), size, share / 4, sentence, kind == 1, kind == 2, says / 4 - 1], axis=1).astype(float)
 
 
 def cell_odds(weights: np.ndarray) -> list[float]:
-    """The bounded log-odds of content of every cell."""
-    return np.clip(_features(np.arange(_SIZES * _SHARES * 6)) @ weights, -TEXT_MOST, TEXT_MOST).tolist()
+    """The log-odds of content of every cell: of its text and of the words around, each bounded."""
+    x = _features(np.arange(_SIZES * _SHARES * 6 * _SAYS))
+    return (np.clip(x[:, :-1] @ weights[:-1], -TEXT_MOST, TEXT_MOST) + np.clip(x[:, -1] * weights[-1], -WORDS_MOST, WORDS_MOST)).tolist()
 
 
 def fit_blocks(pages: DataFrame, max_pages: int = FIT_PAGES) -> np.ndarray:
     """Weights of the text classifier, from at most ``max_pages`` pages.
 
-    Pages on which an element says that it holds the article teach: blocks below it are content, all
-    others are not. Only counts of cells come to the driver, two for each. Pages without an id are
-    not drawn; without a page that teaches the weights are PRIOR.
+    Pages with an article or main element teach: blocks within are content, all others, and what is
+    strongly none of it within, are not. Only counts of cells come to the driver, two for each. Pages without an id are
+    not drawn, of repeated ids all are; without a page that teaches the weights are PRIOR.
     """
     small_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
     drawn = pages.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
             rows = []
             for page in batch["html"].to_pylist():
-                found = blocks(page or "")
-                if any(b.says >= TAG_SAYS for b in found):
-                    rows += [(cell(b), b.says > 0) for b in found]
+                found = blocks(page or "", known)
+                if any(b.inside for b in found):
+                    rows += [(cell(b), b.inside) for b in found if b.says != HIDDEN]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([y for _, y in rows], pa.bool_())], ["cell", "content"])
 
     # max_pages bounds what is broadcast: an id a row
@@ -201,26 +273,31 @@ def fit_blocks(pages: DataFrame, max_pages: int = FIT_PAGES) -> np.ndarray:
         return PRIOR
     counts.sort(key=lambda r: (r["cell"], r["content"]))
     x, y, n = _features(np.array([r["cell"] for r in counts])), np.array([float(r["content"]) for r in counts]), np.array([float(r["count"]) for r in counts])
-    return fit_logistic(x, y, PRIOR, np.full(len(PRIOR), 1.0), n)
+    # the text is fitted alone, as names tell most of what is none apart; then the weight of names, the text's odds given
+    text = fit_logistic(x[:, :-1], y, PRIOR[:-1], np.full(len(PRIOR) - 1, 1.0), n)
+    given = np.stack([np.clip(x[:, :-1] @ text, -TEXT_MOST, TEXT_MOST), x[:, -1]], axis=1)
+    both = fit_logistic(given, y, np.array([1.0, PRIOR[-1]]), np.array([1e9, WORDS_PULL]), n)
+    return np.append(text, min(both[1], WORDS_MOST))
 
 
 # ---- the cut ------------------------------------------------------------------------------
 
-#: Smoothness: of neighbours two steps apart in the tree, and more if one parent holds both;
-#: of a block and its seed for a unit of evidence that it is content, or that it is not.
-NEAR, SAME_PARENT, FOR_CONTENT, AGAINST = 1.2, 0.8, 1.6, 4.0
+#: Smoothness of neighbours two steps apart in the tree, and more if one parent holds both.
+NEAR, SAME_PARENT = 1.2, 0.8
+#: Costs of structure: of a block within an article or main element, and of others on a page that has one.
+WITHIN, OUTSIDE, UNSEEN = 4.5, -2.0, -100.0
 
 
 def capacities(found: list[Block], odds: list[float]) -> tuple[list[int], dict[tuple[int, int], int]]:
-    """Terminal capacities (above 0 to the source, for content) and smoothness edges of a page.
+    """Terminal capacities (above 0 to the source, for content) and smoothness edges of a page's blocks, in thousandths.
 
-    Blocks come first, then the seeds, whose capacity outweighs all their edges. Capacities are
-    thousandths.
+    Articles within boilerplate, as teasers are, count only where there is no other.
     """
-    unary = [round(1000 * odds[cell(b)]) for b in found]
+    other = OUTSIDE if any(b.inside for b in found) else 0.0
+    clear = any(b.inside and b.says > -STRONG for b in found)
+    unary = [round(1000 * (odds[cell(b)] + (UNSEEN if b.says == HIDDEN else WITHIN if b.inside and (b.says > -STRONG or not clear) else other))) for b in found]
     edges: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
-    seeds: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
             edges[i - 1, i] = round(1000 * NEAR * 2 / max(2, b.steps))
@@ -228,13 +305,6 @@ def capacities(found: list[Block], odds: list[float]) -> tuple[list[int], dict[t
         if j is not None:
             edges[j, i] = edges.get((j, i), 0) + round(1000 * SAME_PARENT / (i - j))
         last[b.parent] = i
-        if b.says:
-            if b.seed not in seeds:
-                seeds[b.seed] = len(unary)
-                unary.append(1 if b.says > 0 else -1)
-            k = seeds[b.seed]
-            edges[i, k] = round(1000 * (FOR_CONTENT if b.says > 0 else AGAINST) * abs(b.says))
-            unary[k] += edges[i, k] if b.says > 0 else -edges[i, k]
     return unary, edges
 
 
@@ -303,11 +373,10 @@ def min_cut(unary: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
 _PRIOR_ODDS = cell_odds(PRIOR)
 
 
-def main_text(page: str | None, odds: list[float] = _PRIOR_ODDS) -> str:
+def main_text(page: str | None, odds: list[float] = _PRIOR_ODDS, known: dict | None = None) -> str:
     """The content blocks of a page, one line each; empty for null, empty or contentless pages."""
-    found = blocks(page or "")
-    # the labels of the seeds come behind those of the blocks
-    return "\n".join(b.text for b, keep in zip(found, min_cut(*capacities(found, odds)), strict=False) if keep)
+    found = blocks(page or "", known)
+    return "\n".join(b.text for b, keep in zip(found, min_cut(*capacities(found, odds)), strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
@@ -322,8 +391,9 @@ def extract_pages(pages: DataFrame, weights: np.ndarray | None = None) -> DataFr
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for b in batches:
-            texts = [main_text(h, odds) for h in b["html"].to_pylist()]
+            texts = [main_text(h, odds, known) for h in b["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
-import re
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the shared folder is when a local session names none; local masters only.
-LOCAL_SCRATCH = "file:///tmp/checkpoints/recscan"
+from recscan.scratch import drop_path as drop_scratch
+from recscan.scratch import last_written, scratch, scratch_path, shared_dir, written
+
+__all__ = ["drop_scratch", "last_written", "scratch", "scratch_path", "shared_dir"]
+
 #: Rows of an Arrow batch; with long texts the default of 10,000 would fill a worker's memory.
 ARROW_ROWS = 256
 #: Keys that more rows than this share are joined apart from the others.
@@ -27,71 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a local one for local masters.
-
-    Raises where a cluster session names none: a machine-local folder would not be seen by the
-    other executors.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return LOCAL_SCRATCH
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for one table below the shared folder."""
-    return f"{shared_dir(spark)}/recscan/{name}-{uuid.uuid4().hex}"
-
-
-#: Paths of the scratch tables that are not deleted yet, in the order they were written.
-_written: list[str] = []
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts lineage and lets a result be used twice without computing it twice; the copy
-    survives the loss of any executor. It is deleted by :func:`scratch`, or by hand.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """See :func:`recscan.scratch.written`."""
+    return written(df, name)
 
 
-def last_written() -> str:
-    """Path of the table that :func:`materialize` wrote last."""
-    return _written[-1]
+#: Operators of an optimised plan that read files, or keep of their rows what they keep each time.
+_SAME = frozenset(("LogicalRelation", "DataSourceV2ScanRelation", "Project", "Filter", "SubqueryAlias"))
+_FILES = frozenset(("HadoopFsRelation", "ParquetScan", "OrcScan", "JsonScan", "CSVScan", "TextScan", "AvroScan"))
 
 
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes the scratch tables written within, but for those whose paths are put into the list.
+def settled(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` such that each reading numbers its rows alike: as it is if it only reads files, else written.
 
-    What is lazy and reads them must be written, or done with, before the end.
+    The optimised plan tells: all its operators read files, select or filter, by expressions that are deterministic.
     """
-    mark, kept = len(_written), []
-    yield kept
-    for path in [p for p in _written[mark:] if p not in kept]:
-        drop_scratch(spark, path)
-        _written.remove(path)
-
-
-#: What the plan of a table that is only read, and cut to some columns or rows, is made of.
-_READS = re.compile(r"(?:\*\(\d+\) )?(?:Scan|FileScan|Project|Filter|ColumnarToRow|AdaptiveSparkPlan)\b")
-
-
-def settled(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` such that each reading numbers its rows alike: as it is if it only reads files, else written."""
-    said = io.StringIO()
-    with contextlib.redirect_stdout(said):
-        docs.explain("simple")
-    lines = [x.lstrip(" :+-") for x in said.getvalue().split("\n")[1:] if x.strip()]
-    same = all(_READS.match(x) for x in lines) and not re.search(r"\brand|uuid|monotonically|ExistingRDD|LocalTable", said.getvalue())
+    todo, same = [docs._jdf.queryExecution().optimizedPlan()], True
+    while todo and same:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        same = kind in _SAME and plan.deterministic()
+        if kind == "LogicalRelation":
+            same = plan.relation().getClass().getSimpleName() in _FILES
+        elif kind == "DataSourceV2ScanRelation":
+            same = plan.scan().getClass().getSimpleName() in _FILES
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
     return docs if same else materialize(docs, name)
 
 
@@ -124,12 +82,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return dealt.join(spread, [*keys, "_slot"]).drop("_slot")
 
 
-def drop_scratch(spark: SparkSession, df_path: str) -> None:
-    """Delete a scratch folder that nothing reads any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

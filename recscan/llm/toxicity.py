@@ -40,17 +40,31 @@ ACTS = frozenset(
     "shoot shoots shooting beat beats beating burn burns burning töte töten umbringen vernichte vernichten erschieße erschießen schlage schlagen "
     "tuer tue tuerai tuons détruire frapper frappe frapperai matar mato mataré destruir golpear golpeo golpearé".split()
 )
-# Acts that threaten only where someone intends them.
+# Acts that hold their object: "I will kill you" in one word.
+ACTS_ON_YOU = frozenset("matarte mataros golpearte destruirte pegarte romperte".split())
+# Acts that threaten only where someone intends them, and nothing follows their object.
 MILD_ACTS = frozenset("find get catch hunt break come finde finden kriege kriegen hole holen trouver trouverai attraper encontrar encontraré pillar".split())
-INTENTIONS = frozenset("will gonna going shall want wanna i'll we'll werde werden wollen vais allons veux voulons voy vamos quiero queremos".split())
+INTENTIONS = frozenset("will gonna going shall want wanna werden wollen voulons veux".split())
+# The speaker, as a pronoun or in the form of the verb.
+SPEAKERS = frozenset("i we i'll we'll i'm we're i'd ich wir werde je nous vais allons yo voy vamos quiero queremos".split())
 TARGETS = frozenset("you your yours yourself u ur du dein deine deiner ihr euer tu toi ton ta tes vous votre tú tus usted ustedes vosotros".split())
+# Targets that can be an act's object, and words that may stand before one.
+DIRECT = frozenset("you u ya yourself yourselves toi vous".split())
+FILLERS = frozenset("all of every each one both alle tous toutes todos".split())
+# What begins a second object, or makes the act a figure of speech: to beat you to it, to shoot you an email.
+COMPLEMENTS = frozenset("a an the some any to at another more my our this that one's ein eine einen den die das un une la le les una el".split())
+# What may end a mild threat.
+CLOSINGS = frozenset("soon now tonight tomorrow again later all bald alle bientôt pronto".split())
 # Words for a target that stand before the verb as well.
 OBJECTS = frozenset("dich dir euch te ti os".split())
 NEGATIONS = frozenset("not no never isn't aren't don't won't nicht kein keine nie niemals pas jamais ne nunca jamás".split())
 REPORTS = frozenset("said says claimed quoted wrote called according sagte sagt schrieb laut dit disait écrit selon dijo dice escribió según".split())
 
-OTHER, ACT, MILD_ACT, INTENTION, TARGET, OBJECT, NEGATION, REPORT = range(8)
-_CLASSES = ((ACTS, ACT), (MILD_ACTS, MILD_ACT), (INTENTIONS, INTENTION), (TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATIONS, NEGATION), (REPORTS, REPORT))
+OTHER, ACT, MILD_ACT, INTENTION, TARGET, OBJECT, NEGATION, REPORT, SPEAKER, YOU, FILLER, COMPLEMENT, CLOSING, ACT_ON_YOU = range(14)
+_CLASSES = (
+    (COMPLEMENTS, COMPLEMENT), (FILLERS, FILLER), (CLOSINGS - FILLERS, CLOSING), (ACTS, ACT), (ACTS_ON_YOU, ACT_ON_YOU), (MILD_ACTS, MILD_ACT), (INTENTIONS, INTENTION), (SPEAKERS, SPEAKER),
+    (TARGETS, TARGET), (OBJECTS, OBJECT), (DIRECT, YOU), (NEGATIONS, NEGATION), (REPORTS, REPORT),
+)
 #: A hit on the tape: this bit, and what holds for it.
 HIT, AIMED, NEGATED, REPORTED, THREAT = 16, 1, 2, 4, 8
 #: How many words on an intention, a target, a negation and a report reach.
@@ -89,25 +103,43 @@ def insults(words: dict[str, float], phrases: dict[tuple[str, ...], float]) -> T
     return Transducer((), arcs, lambda state: not state)
 
 
-def threats(reach: int = TARGET_REACH, intention_reach: int = INTENTION_REACH) -> Transducer:
-    """Marks acts as threats where a target follows, or an object pronoun precedes, within reach.
+#: What a guessed threat still owes: its object next; no complement next; a mild one's object next; the end.
+NOTHING, OBJECT_NEXT, NO_COMPLEMENT, MILD_OBJECT_NEXT, END = range(5)
+#: What the transducers behind need not tell apart.
+_AIMS, _PLAIN = (TARGET, OBJECT, YOU), frozenset((ACT, MILD_ACT, INTENTION, SPEAKER, FILLER, COMPLEMENT, CLOSING, ACT_ON_YOU))
 
-    State: words left of an intention, words left in which a guessed target must come, words left of
-    an object pronoun.
+
+def threats(reach: int = INTENTION_REACH) -> Transducer:
+    """Marks acts as threats: of the speaker, or an order at the clause's start, with you as the verb's object.
+
+    The object follows at once, or stands before the verb where languages put it there; no second object or
+    figure of speech may follow, and nothing at all where the act alone is harmless.
+    State: whether the clause has begun, words left of a speaker, of an intention and of an object before, what is owed.
     """
 
     def arcs(state: tuple, x: int) -> list:
-        intended, owed, seen = state
-        if owed == 1 and x not in (TARGET, OBJECT):
+        begun, speaker, intended, seen, owed = state
+        if owed in (OBJECT_NEXT, MILD_OBJECT_NEXT):
+            if x in (YOU, OBJECT):
+                owed += 1
+            elif x != FILLER:
+                return []
+        elif owed == NO_COMPLEMENT:
+            if x == COMPLEMENT:
+                return []
+            owed = NOTHING
+        elif owed == END and x not in (FILLER, CLOSING):
             return []
-        ahead = (intention_reach if x == INTENTION else max(intended - 1, 0), 0 if x in (TARGET, OBJECT) else max(owed - 1, 0), reach if x == OBJECT else max(seen - 1, 0))
-        plain = (TARGET if x == OBJECT else OTHER if x in (ACT, MILD_ACT, INTENTION) else x, ahead, 0.0)
-        if owed or not (x == ACT or x == MILD_ACT and intended):
+        speaks = x == SPEAKER or x == INTENTION and not begun
+        ahead = (True, reach if speaks else max(speaker - 1, 0), reach if x == INTENTION or speaks else max(intended - 1, 0), reach if x == OBJECT else max(seen - 1, 0))
+        plain = (TARGET if x in _AIMS else OTHER if x in _PLAIN else x, (*ahead, owed), 0.0)
+        orders = not begun and x == ACT
+        if owed or not (x in (ACT, ACT_ON_YOU) and (speaker or orders) or x == MILD_ACT and speaker and intended):
             return [plain]
-        weight = THREATENS + INTENDED * (intended > 0)
-        return [plain, (HIT | THREAT, (ahead[0], 0 if seen else reach, ahead[2]), weight)]
+        due = END if x == MILD_ACT and seen else MILD_OBJECT_NEXT if x == MILD_ACT else NO_COMPLEMENT if seen or x == ACT_ON_YOU else OBJECT_NEXT
+        return [plain, (HIT | THREAT, (*ahead, due), THREATENS + INTENDED * (intended > 0))]
 
-    return Transducer((0, 0, 0), arcs, lambda state: not state[1])
+    return Transducer((False, 0, 0, 0, NOTHING), arcs, lambda state: state[4] in (NOTHING, NO_COMPLEMENT, END))
 
 
 def targets(reach: int = TARGET_REACH) -> Transducer:
@@ -174,8 +206,9 @@ class Cascade:
         return weight, found[::-1]
 
 
-#: Features of a document: weight of hits in each context (all flags of a mark), and of the strongest clause.
-CONTEXTS = 16
+#: Features of a document: weight of its strongest hits in each context (all flags of a mark), and of the strongest clause. Further
+#: hits add nothing, so that a long text is not toxic by its length.
+CONTEXTS, STRONGEST = 16, 3
 FEATURES = CONTEXTS + 1
 
 
@@ -196,7 +229,7 @@ class Lexicon:
         self.stems = {p[:-1]: w for p, w in patterns.items() if p.endswith("*")}
         self.phrases = {tuple(p.split(" ")): w for p, w in patterns.items() if " " in p}
         self.classes = {w: c for words, c in _CLASSES for w in words}
-        self.hits = frozenset(self.words) | ACTS
+        self.hits = frozenset(self.words) | ACTS | ACTS_ON_YOU
         self.heads = frozenset(s[: STEMS[0]] for s in self.stems)
         self.firsts = {p[:2] for p in self.phrases}
         self.named = {w for p in self.phrases for w in p}
@@ -229,18 +262,21 @@ class Lexicon:
         low = (text or "").lower()
         seen = set(_WORD.findall(low))
         hit = not self.hits.isdisjoint(seen) or any(w[: STEMS[0]] in self.heads for w in seen)
-        threat = not (MILD_ACTS.isdisjoint(seen) or INTENTIONS.isdisjoint(seen))
+        threat = not (MILD_ACTS.isdisjoint(seen) or SPEAKERS.isdisjoint(seen) and INTENTIONS.isdisjoint(seen))
         if not hit and not threat and self.named.isdisjoint(seen):
             return out
+        weights: dict[int, list[float]] = {}
         for clause in _CLAUSE.split(low):
             tape = [self.symbol(w) for w in _WORD.findall(clause)]
-            if not any(word or kind in (ACT, MILD_ACT) for kind, word in tape):
+            if not any(word or kind in (ACT, MILD_ACT, ACT_ON_YOU) for kind, word in tape):
                 continue
             weight, hits = self.machine.best(tape)
             for mark, w in hits:
                 context = mark & (CONTEXTS - 1)
-                out[context] += w - _added(context)
+                weights.setdefault(context, []).append(w - _added(context))
             out[CONTEXTS] = max(out[CONTEXTS], weight)
+        for context, each in weights.items():
+            out[context] = sum(sorted(each, reverse=True)[:STRONGEST])
         return out
 
 

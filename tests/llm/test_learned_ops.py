@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,6 +18,7 @@ from recscan.llm import components, html_extract, language_id, pii, queries, sha
 from tests.llm.test_native_ops import targets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
+ROOT = Path(__file__).resolve().parents[2]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -283,15 +285,82 @@ def test_articles_come_out_whole(spark, sf):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want) and got[r["page_id"]]["url"] == r["url"]
 
 
-def test_edges_change_labels_of_real_pages(spark, sf):
-    odds = html_extract.cell_odds(html_extract.fit_blocks(queries.table(spark, sf, "pages")))
-    pages = queries.table(spark, sf, "pages").collect()
-    changed = 0
-    for r in pages:
-        found = html_extract.blocks(r["html"] or "")
+OTHER = "The second half of the day went by in the garden, where the children built a small boat out of old boards."
+LISTED = "".join(f"<li><a href=x{i}>Link number {i}</a></li>" for i in range(6))
+KEPT = [
+    (f'<body class="single search-enabled"><p>{LONG}</p><p>{OTHER}</p>', f"{LONG}\n{OTHER}"),
+    (f'<form id="aspnetForm"><div><p>{LONG}</p><p>{OTHER}</p></div></form>', f"{LONG}\n{OTHER}"),
+    (f'<div class="social-issues story"><p>{LONG}</p><p>{OTHER}</p></div>', f"{LONG}\n{OTHER}"),
+    (f'<article><p>{LONG}</p><section class="notice-of-meeting"><p>{OTHER}</p></section></article>', f"{LONG}\n{OTHER}"),
+    (f'<article><p>{LONG}</p><p class="share-price">{OTHER}</p></article>', f"{LONG}\n{OTHER}"),
+    (f"<article><p title=don't>{LONG}</p><p>It's {OTHER}</p></article>", f"{LONG}\nIt's {OTHER}"),
+    (f'<article><p>{LONG}</p><section class="responses"><div class="reply"><p>{OTHER}</p></div></section></article>', LONG),
+    (f'<div class="search-page"><article><p>{LONG}</p><p>{OTHER}</p></article></div>', f"{LONG}\n{OTHER}"),
+    (f'<article><p>{LONG}</p></article><section id="comments"><article><p>{OTHER}</p></article></section>', LONG),
+    (f'<article><p>{LONG}</p></article><aside class="related"><article><p>{OTHER}</p></article></aside>', LONG),
+    (f'<article><p>{LONG}</p><p>{OTHER}<div class="ad">{OTHER}</div><p>{LONG}</p></article>', f"{LONG}\n{OTHER}\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page, want", KEPT)
+def test_names_have_no_veto(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def plain_pages():
+    """Pages whose names say nothing: a list of links, an article with a short line and headings, a closing list."""
+    rng = random.Random(8)
+    pages = []
+    for k in range(40):
+        body = [rng.choice([f"<p>{LONG}</p>", f"<p>{OTHER}</p>", f"<p>{OTHER} {LONG}</p>", "<p>Yes, it was.</p>", "<h2>Part two</h2>", "<p>Perhaps</p>"]) for _ in range(rng.randint(4, 12))]
+        pages.append(f'<div class="x{k}"><ul class="q">{LISTED}</ul></div><div class="z"><h1>A day in May</h1><p>{LONG}</p>{"".join(body)}<p>{OTHER}</p></div><div class="y"><p>Call us</p><ul>{LISTED}</ul></div>')
+    return pages
+
+
+def test_odds_and_edges_each_decide_pages_whose_names_say_nothing(monkeypatch):
+    odds = html_extract.cell_odds(html_extract.PRIOR)
+    right = no_odds = no_edges = 0
+    for page in plain_pages():
+        found = html_extract.blocks(page)
+        assert not any(b.says or b.inside for b in found)
         unary, edges = html_extract.capacities(found, odds)
-        changed += html_extract.min_cut(unary, edges)[: len(found)] != html_extract.min_cut(unary, {})[: len(found)]
-    assert changed > len(pages) / 2
+        keep = html_extract.min_cut(unary, edges)
+        right += [b.text for b, k in zip(found, keep) if k] == [b.text for b in found[6:-7]]
+        no_odds += html_extract.min_cut([0] * len(unary), edges) != keep
+        no_edges += html_extract.min_cut(unary, {}) != keep
+    assert no_odds > 30 and no_edges > 30 and right > 30
+
+
+@pytest.mark.parametrize("piece", ["<b ", '<a "', "<a ='", '<p x="', "<script '", '<div class="a', "<!-- ", "</", "<", "<svg ", "<p a=b'", "='<x"])
+def test_odd_pages_stay_fast(piece):
+    import time
+
+    began = time.time()
+    html_extract.main_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 5
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Workers unpickle what they run; nothing of it may be looked up in the package."""
+    import os
+    import subprocess
+    import sys
+
+    script = f"""
+import os, sys
+sys.path.insert(0, {str(ROOT)!r})
+os.environ.pop('PYTHONPATH', None)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local-cluster[1,1,1024]').config('spark.ui.enabled', 'false').config('spark.executor.memory', '600m').config('spark.checkpoint.dir', 'file://{tmp_path}/s').config('spark.driver.host', '127.0.0.1').getOrCreate()
+from recscan.llm import html_extract, periodic_runs, pii, prefix_trie
+pages = spark.createDataFrame([(1, 'u', '<article><p>{LONG}</p><nav class="nav">x</nav></article>')], 'page_id long, url string, html string')
+print(html_extract.extract_pages(pages).first()['n_chars'], periodic_runs.periodic_runs(pages, 'html', 'page_id').count(), pii.pii_spans(pages, 'html', 'page_id').count())
+turns = spark.createDataFrame([(1, 1, 'user', 'x')], 'conv_id long, turn long, role string, text string')
+print(prefix_trie.prefix_trie(prefix_trie.turn_rows(turns), turns.select('conv_id')).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=600)
+    assert done.stdout.split() == [str(len(LONG)), "1", "1", "2"], done.stderr[-3000:]
 
 
 def test_classifier_is_fitted_to_marked_pages_only(spark):
@@ -376,7 +445,7 @@ LEXICON = toxicity.Lexicon({"moron": 1.0, "glorp*": 1.0, "piece of junk": 0.8})
     [("a moron.", [0]), ("you moron", [1]), ("moron, you", [1]), ("a moron who sees that nobody at all likes you", [0]), ("not a moron", [2]), ("never you moron", [3]),
      ("not at all as it was a moron", [0]), ("she said moron", [4]), ("she said: you are a moron", [5]), ("she said it. moron", [0]), ("glorpify it", [0]), ("glorp", []),
      ("what a piece of junk", [0]), ("piece of junk you are", [1]), ("piece of cake", []), ("i will kill you", [8]), ("kill time", []), ("you kill me", []),
-     ("he killed her and threatens to shoot you", [8]), ("ich werde dich töten", [8]), ("we are going to find you", [8]), ("we will find out", []), ("you will find it", []),
+     ("he killed her and threatens to shoot you", []), ("we killed time and we shoot you", [8]), ("ich werde dich töten", [8]), ("we are going to find you", [8]), ("we will find out", []), ("you will find it", []),
      ("i won't hurt you", [10]), ("he said i will kill you", [12]), ("moron i will kill you", [1, 8]), (None, []), ("clean words", [])],
 )
 def test_grammar_contexts(text, contexts):
@@ -442,6 +511,31 @@ def test_words_beginnings_and_phrases_are_learned(spark):
     assert all(got[i] == int(i % 4 == 0) for i, _ in rows if held(i))
 
 
+CIVIL = [
+    "I will get you coffee", "You will find your keys", "We will beat your record", "I'll shoot you an email", "The process kills you with logs", "we kill time and you win", "We will beat your deadline.",
+    "I will catch you up later on the plan", "We'll hunt for you a better price", "You can break the code into parts", "they said they will find you a room", "I'm going to beat you to the door", "Do not burn your bridges",
+    "Ich werde dich finden lassen und dir helfen", "Je vais vous trouver une place", "Voy a encontrar tu libro", "If you want, I will come and get your bags", "He will kill the lights before you sleep",
+]
+THREATS = [
+    "I will kill you", "we are going to find you", "I'm gonna hurt you.", "We will destroy all of you", "I will hunt you", "kill yourself", "Ich werde dich töten", "je vais te tuer", "Voy a matarte", "I'll find you soon", "I want to strangle you with my hands",
+]
+
+
+def test_idioms_are_civil_and_threats_are_not():
+    lexicon, model = toxicity.Lexicon({}), toxicity.Model({}, toxicity.PRIOR, toxicity.BIAS)
+    score = lambda t: float(toxicity.scores(lexicon, model, [t])[0])
+    assert {t: round(score(t), 2) for t in CIVIL if score(t) >= 0.3} == {}
+    assert {t: round(score(t), 2) for t in THREATS if score(t) < 0.3} == {}
+    assert score(". ".join(CIVIL * 60)) < 0.3 and score(CIVIL[6] * 20) < 0.3 and len(" ".join(CIVIL * 60).split()) > 5000
+
+
+def test_idioms_stay_civil_with_a_trained_model(spark, sf):
+    model = toxicity.train(queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels"))
+    lexicon = toxicity.Lexicon(model.patterns)
+    civil, threats = (toxicity.scores(lexicon, model, x) for x in (CIVIL + [". ".join(CIVIL * 60)], THREATS))
+    assert civil.max() < 0.3 <= threats.min()
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, ["x", None])
     m = toxicity.train(d, spark.createDataFrame([(0, 1, 0), (None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int"))

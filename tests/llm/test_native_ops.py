@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from recscan import scratch
 from recscan.llm import chat_format, decontaminate, exact_dedup, mixing, shared, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -369,11 +370,11 @@ def test_settled_and_scratch(spark, tmp_path):
     spark.range(100).write.parquet(path)
     read = spark.read.parquet(path)
     with shared.scratch(spark) as kept:
-        before = len(shared._written)
-        assert shared.settled(read.filter("id > 3").select("id"), "x") is not None and len(shared._written) == before
+        before = len(scratch._paths.written)
+        assert shared.settled(read.filter("id > 3").select("id"), "x") is not None and len(scratch._paths.written) == before
         for df in (read.repartition(3), spark.range(5), spark.createDataFrame([(1,)], "rand int"), read.orderBy("id")):
             assert shared.settled(df, "x").count() == df.count()
-        assert len(shared._written) == before + 4
-        kept.append(shared._written[-1])
-    assert len(shared._written) == before + 1 and spark.read.parquet(kept[0]).count() == 100
-    shared.drop_scratch(spark, shared._written.pop())
+        assert len(scratch._paths.written) == before + 4
+        kept.append(scratch._paths.written[-1])
+    assert len(scratch._paths.written) == before + 1 and spark.read.parquet(kept[0]).count() == 100
+    shared.drop_scratch(spark, scratch._paths.written.pop())
