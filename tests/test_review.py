@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,32 @@ def test_components_by_contraction(spark, local_links, monkeypatch):
     named = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "p string, q string")
     assert {tuple(r) for r in components.connected_components(named, "p", "q", local_links).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
     assert components.connected_components(named.limit(0), "p", "q", local_links).count() == 0
+
+
+def clustered(rng, n=600, d=16, k=12):
+    centres = rng.normal(size=(k, d))
+    return centres[rng.integers(0, k, n)] * 3 + rng.normal(size=(n, d)) * 0.8
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.82])
+def test_similar_pairs_skip_blocks_and_lose_nothing(spark, threshold):
+    rng = np.random.default_rng(1)
+    v = np.vstack([clustered(rng), np.zeros((2, 16)), np.tile(rng.normal(size=16), (40, 1))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "vec_id long, embedding array<double>")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    near = unit @ unit.T
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(near >= threshold, 1)))}
+    got = [(r["a"], r["b"]) for r in L.similar_pairs(df, threshold, block=25).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    slotted, pairs = L.vector_blocks(df, threshold, 25)
+    blocks, kept = slotted.select("slot").distinct().count(), pairs.count()
+    assert blocks > 20 and (threshold < 0.8 or kept < 0.6 * blocks * (blocks + 1) / 2)
+    assert L.similar_pairs(df.limit(0), threshold).count() == 0
+
+
+def test_recall_of_lsh_pairs(spark):
+    v = clustered(np.random.default_rng(2), n=800, d=32, k=40)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    exact = {(r["a"], r["b"]) for r in L.similar_pairs(df, 0.82).collect()}
+    found = {(r["a"], r["b"]) for r in L.lsh_pairs(df, 0.82).collect()}
+    assert len(exact) > 1000 and found <= exact and len(found) >= 0.9 * len(exact)
