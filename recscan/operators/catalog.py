@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,22 +227,29 @@ def rlds_examples(steps: DataFrame, numbered: DataFrame, episodes: int) -> DataF
     )
 
 
-def lerobot_rows(recordings: DataFrame, frames: DataFrame, depth: DataFrame | None = None) -> DataFrame:
+def lerobot_rows(recordings: DataFrame, frames: DataFrame, depth: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """One row per frame: global frame_index, episode_index, frame in episode, timestamp, task_index.
 
     Episodes are numbered by key; a frame's global index is the length of earlier episodes plus
     its own place, so that no window spans all frames. With ``depth`` (source_key, idx, depth: array
-    of millimetres) rows have observation.depth_mm.
+    of millimetres) rows have observation.depth_mm. With ``names`` (source_key, dataset_name) each dataset
+    counts for itself, and rows have its name first.
     """
     sizes = frames.groupBy("source_key").agg(F.count(F.lit(1)).alias("length"))
-    numbered = ranked(sizes, [F.col("source_key")], "episode_index", "length").withColumnRenamed("length_before", "before").drop("length")
+    order, named = [F.col("source_key")], []
+    if names is not None:
+        sizes, order, named = sizes.join(names.select("source_key", "dataset_name"), "source_key"), [F.col("dataset_name"), F.col("source_key")], ["dataset_name"]
+    numbered = ranked(sizes, order, "episode_index", "length").withColumnRenamed("length_before", "before").drop("length")
+    if names is not None:
+        firsts = numbered.groupBy("dataset_name").agg(F.min("episode_index").alias("_e"), F.min("before").alias("_b"))
+        numbered = numbered.join(firsts, "dataset_name").withColumns({"episode_index": F.col("episode_index") - F.col("_e"), "before": F.col("before") - F.col("_b")}).drop("_e", "_b")
     rows = _steps(frames).join(numbered, "source_key").join(recordings.select("source_key", "start_timestamp_us"), "source_key")
     seen = []
     if depth is not None:
         rows = rows.join(depth.select("source_key", "idx", "depth"), ["source_key", "idx"], "left")
         seen = [F.transform("depth", lambda x: x.cast("float")).alias("observation.depth_mm")]
     return rows.select(
-        (F.col("before") + F.col("step")).alias("frame_index"), F.col("episode_index").cast("long").alias("episode_index"), F.col("step").cast("long").alias("step"),
+        *named, (F.col("before") + F.col("step")).alias("frame_index"), F.col("episode_index").cast("long").alias("episode_index"), F.col("step").cast("long").alias("step"),
         S.relative_s(F.col("timestamp_us"), F.col("start_timestamp_us")).cast("float").alias("timestamp"), *seen, F.lit(0).cast("long").alias("task_index"),
     )
 
@@ -279,6 +288,19 @@ def lerobot_info(episodes: int, frames: int, fps: int = 30, width: int = 640, he
     }
 
 
+def lerobot_meta(episodes: DataFrame, fps: int = 30) -> DataFrame:
+    """(file, place, value): the lines of each dataset's metadata, from (dataset_name, episode_index, length)."""
+    line = F.to_json(F.struct("episode_index", F.array(F.lit(TASK)).alias("tasks"), "length"))
+    folder = F.concat("dataset_name", F.lit("/meta/"))
+    of = lambda rows, name, place, value: rows.select(F.concat(folder, F.lit(name)).alias("file"), place.cast("long").alias("place"), value.alias("value"))
+    totals = episodes.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("frames"))
+    text = F.lit(json.dumps(lerobot_info(1, 1, fps), indent=2, sort_keys=True))
+    for name, value in (("episodes", F.col("n")), ("frames", F.col("frames")), ("chunks", F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)))):
+        text = F.regexp_replace(text, F.lit(f'"total_{name}": \\d+'), F.concat(F.lit(f'"total_{name}": '), value.cast("string")))
+    tasks = F.lit(json.dumps({"task": TASK, "task_index": 0}))
+    return of(episodes, "episodes.jsonl", F.col("episode_index"), line).unionByName(of(totals, "info.json", F.lit(0), text)).unionByName(of(totals, "tasks.jsonl", F.lit(0), tasks))
+
+
 def lerobot_file(episode: Column) -> Column:
     """Where an episode's rows lie, by chunks of CHUNK episodes."""
     number = lambda c, n: F.lpad(c.cast("string"), F.greatest(F.lit(n), F.length(c.cast("string"))), F.lit("0"))

@@ -14,7 +14,7 @@ from recscan.operators import spans as P
 from recscan.operators.ranks import ranked
 from recscan.scratch import written
 from recscan.sources import workspace as W
-from recscan.sources.recording import ParquetFileSink, RecordingSource, TFRecordSink, read_blocks
+from recscan.sources.recording import ParquetFileSink, RecordingSource, TextFileSink, TFRecordSink, read_blocks
 
 
 def read_recordings(
@@ -262,11 +262,6 @@ def upload_status(objects: DataFrame, uploads: DataFrame, now: Column, datasets:
     return out | ({"loose": C.loose_pending(pending, datasets)} if datasets is not None else {})
 
 
-def _named(path: str, names: DataFrame) -> dict[str, DataFrame]:
-    """Recordings by the folder of their dataset."""
-    return {f"{path}/{r[0]}": names.filter(F.col("dataset_name") == r[0]).select("source_key") for r in names.select("dataset_name").distinct().collect()}  # one value per dataset
-
-
 def export_rlds(recordings: DataFrame, frames: DataFrame, path: str, dataset: str = "ego_recording", description: str = "") -> None:
     """{path}/{dataset}/1.0.0: a TFRecord file of steps per episode, dataset_info.json and features.json."""
     spark = recordings.sparkSession
@@ -283,22 +278,23 @@ def export_rlds(recordings: DataFrame, frames: DataFrame, path: str, dataset: st
 
 
 def export_lerobot(recordings: DataFrame, frames: DataFrame, path: str, depth: DataFrame | None = None, dataset: str | None = None, name: str | None = None, separate: bool = False, fps: int = 30) -> None:
-    """Datasets of frames below ``path``: a Parquet file per episode, info.json, episodes and tasks.
+    """Datasets of frames below ``path``: a Parquet file per episode, and the files info.json, episodes.jsonl and tasks.jsonl.
 
-    All recordings go into one dataset, or with ``separate`` each name into one of its own.
+    All recordings go into one dataset, or with ``separate`` each name into one of its own; all of them are written by one
+    job for the rows and one for the metadata, however many they are.
     """
     spark = recordings.sparkSession
-    spark.dataSource.register(ParquetFileSink)
+    for sink in (ParquetFileSink, TextFileSink):
+        spark.dataSource.register(sink)
     names = C.dataset_name(recordings, dataset, name, separate)
-    for base, keys in _named(path, names).items() if separate else [(path, names.select("source_key"))]:
-        mine = frames.join(keys, "source_key", "left_semi")
-        rows = C.lerobot_rows(recordings, mine, depth).withColumn("file", C.lerobot_file(F.col("episode_index")))
-        rows.repartition("file").sortWithinPartitions("file", "frame_index").drop("step").write.format("parquetfile").option("file", "file").mode("append").save(base)
-        episodes = written(C.lerobot_episodes(rows), "episodes")
-        episodes.orderBy("episode_index").write.json(f"{base}/meta/episodes.jsonl")
-        n, total = episodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-        W.put_json(spark, f"{base}/meta/info.json", C.lerobot_info(n, int(total), fps))
-        W.write_jsonl(spark.range(1).select(F.lit(0).alias("task_index"), F.lit(C.TASK).alias("task")), f"{base}/meta/tasks.jsonl")
+    names = names if separate else names.withColumn("dataset_name", F.lit("."))
+    mine = frames.join(names.select("source_key"), "source_key", "left_semi")
+    rows = C.lerobot_rows(recordings, mine, depth, names).withColumn("file", F.concat_ws("/", "dataset_name", C.lerobot_file(F.col("episode_index"))))
+    episodes = written(rows.groupBy("dataset_name", "episode_index").agg(F.count(F.lit(1)).alias("length")), "episodes")
+    data = rows.repartition("file").sortWithinPartitions("file", "frame_index").drop("step", "dataset_name")
+    meta = C.lerobot_meta(episodes, fps).repartition("file").sortWithinPartitions("file", "place").drop("place")
+    for form, part in (("parquetfile", data), ("textfile", meta)):
+        part.write.format(form).option("file", "file").mode("append").save(path)
 
 
 def publish(tables: dict[str, DataFrame], prefix: str) -> None:

@@ -21,8 +21,12 @@ accepted by its structure, whatever its first bytes are, unless option ``magic``
 
 from __future__ import annotations
 
+import contextlib
+import json
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -63,6 +67,9 @@ def _open(uri: str):
     return system, path
 
 
+open_uri = _open
+
+
 def list_files(uri: str, suffix: str) -> list[tuple[str, int]]:
     """The files below a folder in order, or the file itself, with their sizes."""
     system, path = _open(uri)
@@ -536,17 +543,51 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
+#: Files that a commit moves at a time.
+MOVES = 32
+
+
+def _move_all(system, moves: list[tuple[str, str]]) -> None:
+    """Moves files into place; what has been moved before, by a commit that was cut off, is left."""
+
+    def move(pair: tuple[str, str]) -> None:
+        source, target = pair
+        if system.get_file_info(source).type == fs.FileType.File:
+            system.move(source, target)
+
+    for folder in sorted({target.rsplit("/", 1)[0] for _, target in moves}):
+        system.create_dir(folder, recursive=True)
+    with ThreadPoolExecutor(MOVES) as pool:
+        list(pool.map(move, moves))
+
+
+def finish_commits(path: str) -> int:
+    """Finish the commits below a path whose driver was lost after it had decided; returns how many there were."""
+    system, base = _open(path.rstrip("/"))
+    if system.get_file_info(f"{base}/_temporary").type != fs.FileType.Directory:
+        return 0
+    jobs = [f.path for f in system.get_file_info(fs.FileSelector(f"{base}/_temporary")) if f.type == fs.FileType.Directory]
+    done = [j for j in jobs if system.get_file_info(f"{j}/moves.json").type == fs.FileType.File]
+    for job in done:
+        with system.open_input_stream(f"{job}/moves.json") as f:
+            _move_all(system, [tuple(m) for m in json.loads(f.read())])
+        system.delete_dir(job)
+    return len(done)
+
+
 class EpisodeWriter(DataSourceWriter):
     """Rows to files: one per value of the column that option ``file`` names, else one per task.
 
     Deal rows out by that column and sort within, so that a file's rows come one behind the other.
-    Files are written under a name of the task's attempt and moved when the job commits, so that a
-    repeated task leaves neither a second nor a cut file.
+    A job has a folder of its own, in which files have the name of the task's attempt. To commit, the list of all
+    moves is put there, which decides, and then the files are moved; a commit that is cut off between is finished
+    by :func:`finish_commits`. So a repeated task leaves neither a second nor a cut file, a failed job
+    none, and jobs that write into one folder at once don't touch each other.
     """
 
     def __init__(self, options: dict, schema, extension: str) -> None:
         self.path, self.file = options["path"].rstrip("/"), options.get("file")
-        self.schema, self.extension = schema, extension
+        self.schema, self.extension, self.job = schema, extension, uuid.uuid4().hex
         self.rows_each = int(options.get("rowspergroup", 1024))
 
     def write(self, rows: Iterator) -> Written:
@@ -554,7 +595,7 @@ class EpisodeWriter(DataSourceWriter):
 
         context = TaskContext.get()
         system, base = _open(self.path)
-        name = f"part-{context.partitionId():05d}{self.extension}"
+        name = f"part-{context.partitionId():05d}-{self.job}{self.extension}"
         done: list[tuple[str, str]] = []
         out, at = None, None
         for row in rows:
@@ -563,7 +604,7 @@ class EpisodeWriter(DataSourceWriter):
             if out is None or target != at:
                 if out is not None:
                     out.close()
-                at, path = target, f"{base}/_temporary/{context.taskAttemptId()}-{len(done)}"
+                at, path = target, f"{base}/_temporary/{self.job}/{context.taskAttemptId()}-{len(done)}"
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 done.append((path, f"{base}/{target}"))
                 out = self.open(system, path)
@@ -576,18 +617,25 @@ class EpisodeWriter(DataSourceWriter):
 
     def commit(self, messages: list) -> None:
         system, base = _open(self.path)
-        for source, target in (f for m in messages if m is not None for f in m.files):
-            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            system.move(source, target)
+        moves = [f for m in messages if m is not None for f in m.files]
+        if moves:
+            folder = f"{base}/_temporary/{self.job}"
+            with system.open_output_stream(f"{folder}/moves.tmp") as f:
+                f.write(json.dumps(moves).encode())
+            system.move(f"{folder}/moves.tmp", f"{folder}/moves.json")
+            _move_all(system, moves)
         self._clear(system, base)
 
     def abort(self, messages: list) -> None:
         self._clear(*_open(self.path))
 
-    @staticmethod
-    def _clear(system, base: str) -> None:
-        if system.get_file_info(f"{base}/_temporary").type == fs.FileType.Directory:
-            system.delete_dir(f"{base}/_temporary")
+    def _clear(self, system, base: str) -> None:
+        """The job's own folder goes, and the one above if no other job is in it."""
+        if system.get_file_info(f"{base}/_temporary/{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{base}/_temporary/{self.job}")
+        with contextlib.suppress(OSError):
+            if not system.get_file_info(fs.FileSelector(f"{base}/_temporary")):
+                system.delete_dir(f"{base}/_temporary")
 
     def open(self, system, path: str):
         raise NotImplementedError
@@ -656,3 +704,32 @@ class ParquetFileSink(DataSource):
 
     def writer(self, schema, overwrite: bool) -> ParquetFileWriter:
         return ParquetFileWriter(dict(self.options), schema, ".parquet")
+
+
+class _Lines:
+    """A text file; rows are its lines."""
+
+    def __init__(self, stream) -> None:
+        self.stream = stream
+
+    def write(self, values: dict) -> None:
+        self.stream.write((values["value"] + "\n").encode())
+
+    def close(self) -> None:
+        self.stream.close()
+
+
+class TextFileWriter(EpisodeWriter):
+    def open(self, system, path: str) -> _Lines:
+        return _Lines(system.open_output_stream(path))
+
+
+class TextFileSink(DataSource):
+    """Rows of a column value to the lines of named files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "textfile"
+
+    def writer(self, schema, overwrite: bool) -> TextFileWriter:
+        return TextFileWriter(dict(self.options), schema, ".txt")

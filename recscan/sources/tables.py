@@ -28,8 +28,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Episodes of dataset manifests, one row each, a dataset without episodes too."""
-    m = spark.read.schema(MANIFEST).option("multiLine", multiline).json(path)
+    """Episodes of dataset manifests, one row each, a dataset without episodes too. What does not parse gives none."""
+    m = spark.read.schema(f"{MANIFEST}, _corrupt_record string").option("multiLine", multiline).json(path).filter("_corrupt_record is null")
     e = m.select(F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("name", F.lit("")).alias("dataset"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.explode_outer("episodes").alias("e"))
     return e.select("version", "dataset", "tags", "e.*")
 

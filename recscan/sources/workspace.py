@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recscan.operators.review import upsert
-from recscan.scratch import drop, written
 
 #: The order in which tables are written: by key, source, place and so on.
 ORDERS = {
@@ -30,20 +32,56 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def upsert_jsonl(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order_col: str | None = None) -> None:
-    """Merge rows by key into JSON lines, which come out ordered by the keys as text; a missing file is empty."""
+    """Merge rows by key into JSON lines, which come out ordered by the keys as text; a missing file is empty.
+
+    The old table is kept beside as ``.before`` until the new one is in place; one that a crash left there is put back first.
+    """
     from recscan.sources.tables import read_jsonl
 
+    system, target = _system(spark, path)
+    left = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.before")
+    if system.exists(left) and not system.exists(target):
+        system.rename(left, target)
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != order_col)
     merged = upsert(read_jsonl(spark, path, schema), rows, keys, order_col)
-    # written first: a file cannot be read and replaced at once
-    merged = written(merged.drop(*([order_col] if order_col else [])), "upsert")
-    write_jsonl(merged.orderBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)), path)
-    drop(merged)
+    # a folder cannot be read and replaced at once: it is written beside, then changes places with the old one
+    merged = merged.drop(*([order_col] if order_col else [])).orderBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    beside, before = f"{path}.{uuid.uuid4().hex}.new", f"{path}.before"
+    write_jsonl(merged, beside)
+    system, target = _system(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if system.exists(target):
+        system.delete(hadoop(before), True)
+        system.rename(target, hadoop(before))
+    system.rename(hadoop(beside), target)
+    system.delete(hadoop(before), True)
 
 
 def write_report(results: DataFrame, path: str) -> None:
-    """Analysis results, one JSON object each."""
-    write_jsonl(results.orderBy("source_key"), path)
+    """Analysis results as one JSON array, in a file of that name: an object a line, fields in order of their names.
+
+    Lines are made, sorted and written by tasks; their files are then copied behind one another, as bytes.
+    """
+    spark = results.sparkSession
+    parts = f"{path}.{uuid.uuid4().hex}.parts"
+    row = F.to_json(F.struct(*sorted(results.columns)), {"ignoreNullFields": "false"})
+    results.orderBy("source_key").select(F.concat(F.lit(","), row)).write.text(parts)
+    system, folder = _system(spark, parts)
+    _, target = _system(spark, path)
+    jvm = spark.sparkContext._jvm
+    out, first = system.create(target, True), True
+    out.write(bytearray(b"[\n"))
+    for name in sorted(f.getPath().getName() for f in system.listStatus(folder) if f.getLen() and f.getPath().getName().startswith("part-")):
+        part = system.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+        if first:
+            part.skip(1)  # the comma before the first object
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+        part.close()
+        first = False
+    out.write(bytearray(b"]\n"))
+    out.close()
+    system.delete(folder, True)
 
 
 def dump_features(rows: DataFrame, path: str, form: str = "csv") -> None:
@@ -54,17 +92,54 @@ def dump_features(rows: DataFrame, path: str, form: str = "csv") -> None:
         write_jsonl(rows, path)
 
 
+def _system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that is there whole or not at all; False if there is one of that name, which then stays.
+
+    It is written beside its place. On a local disk a link puts it there, elsewhere a rename that replaces
+    nothing, which the file system must decide for one of several writers, as HDFS does.
+    """
+    system, target = _system(spark, path)
+    jvm = spark.sparkContext._jvm
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}.tmp")
+    out = system.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if system.getScheme() == "file":
+            os.link(beside.toUri().getPath(), target.toUri().getPath())
+            return True
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(beside, target, options)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as failed:
+        if "FileAlreadyExists" not in str(failed.java_exception):
+            raise
+        return False
+    finally:
+        if system.exists(beside):
+            system.delete(beside, False)
+
+
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written beside its place and renamed into it."""
+    """A small file, written beside its place and renamed over it."""
+    system, target = _system(spark, path)
     jvm = spark.sparkContext._jvm
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = system.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if system.exists(target):
-        system.delete(target, False)
-    system.rename(beside, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, target, options)
 
 
 def put_json(spark: SparkSession, path: str, payload: dict) -> None:
@@ -72,27 +147,82 @@ def put_json(spark: SparkSession, path: str, payload: dict) -> None:
     _put(spark, path, json.dumps(payload, indent=2, sort_keys=True) + "\n")
 
 
-def save_manifests(episodes: DataFrame, path: str) -> None:
-    """One manifest per dataset, as a new version beside the old ones; the file CURRENT names it.
+class Conflict(Exception):
+    """Another writer saved a version meanwhile."""
+
+
+def manifest_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(number, folder) of the version of the manifests that holds, None before the first."""
+    system, log = _system(spark, f"{path}/_versions")
+    if not system.exists(log):
+        return None
+    names = [f.getPath().getName() for f in system.listStatus(log)]
+    last = max((n for n in names if n.isdigit()), default=None)
+    return None if last is None else (int(last), spark.read.text(f"{path}/_versions/{last}").first()[0])
+
+
+def save_manifests(episodes: DataFrame, path: str, expected: int | None = None) -> int:
+    """One manifest per dataset, as a new version beside the old ones; returns its number.
 
     ``episodes``: dataset, description, tags, created, filename, session_name, recorded_at, duration_s,
-    frames. A reader sees the old version or the new one, never a part.
+    frames. The version holds once its number is in the log of versions, which one of several writers gets; the
+    others take the next ones. With ``expected``, the number that was read, a version saved meanwhile is a
+    Conflict. A reader sees one version whole; what a crash leaves without a number is never read.
     """
     version = uuid.uuid4().hex
     one = F.struct("filename", "session_name", "recorded_at", "duration_s", "frames")
     rows = episodes.groupBy(F.col("dataset").alias("name")).agg(
         F.max("description").alias("description"), F.max("tags").alias("tags"), F.max("created").alias("created"), F.array_sort(F.collect_list(one)).alias("episodes")
     )
+    spark = episodes.sparkSession
     rows.select(F.lit(1).alias("version"), "*").write.json(f"{path}/v-{version}")
-    _put(episodes.sparkSession, f"{path}/CURRENT", version)
+    system, log = _system(spark, f"{path}/_versions")
+    system.mkdirs(log)
+    while True:
+        held = manifest_version(spark, path)
+        number = held[0] if held else 0
+        if expected is not None and number != expected:
+            raise Conflict(f"version {number} is there, {expected} was read")
+        if put_if_absent(spark, f"{path}/_versions/{number + 1:020d}", version):
+            return number + 1
 
 
 def load_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """The episodes of the current version of :func:`save_manifests`."""
+    """The episodes of the version of :func:`save_manifests` that holds."""
     from recscan.sources.tables import read_manifests
 
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return read_manifests(spark, f"{path}/v-{version}", multiline=False)
+    held = manifest_version(spark, path)
+    if held is None:
+        raise FileNotFoundError(f"no version of manifests below {path}")
+    return read_manifests(spark, f"{path}/v-{held[1]}", multiline=False)
+
+
+def append_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """JSON lines of one batch, added to a folder: their files bear its id, and a repeated batch replaces its own.
+
+    Written beside first. A crash leaves some files of the batch at most, which its repetition deletes.
+    """
+    spark = rows.sparkSession
+    beside = f"{path.rstrip('/')}/_batches/{batch}"
+    write_jsonl(rows, beside)
+    system, folder = _system(spark, path)
+    jvm = spark.sparkContext._jvm
+    for old in system.listStatus(folder):
+        if old.getPath().getName().startswith(f"batch-{batch}-part"):
+            system.delete(old.getPath(), False)
+    for new in system.listStatus(jvm.org.apache.hadoop.fs.Path(beside)):
+        name = new.getPath().getName()
+        if name.startswith("part-"):
+            system.rename(new.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"batch-{batch}-{name}"))
+    system.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
+
+
+def sink_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of a stream's output, kept beside its checkpoint: with the number of a batch it is that batch's id."""
+    system, place = _system(spark, f"{checkpoint}/sink_id")
+    system.mkdirs(place.getParent())
+    put_if_absent(spark, f"{checkpoint}/sink_id", uuid.uuid4().hex[:12])
+    return spark.read.text(f"{checkpoint}/sink_id").first()[0]
 
 
 def append_audit(rows: DataFrame, path: str, at: Column | None = None) -> None:
@@ -166,5 +296,13 @@ def sidecar(recordings: DataFrame, depth_max_mm: int = 4000) -> DataFrame:
 
 
 def write_sidecars(recordings: DataFrame, path: str) -> None:
-    """The metadata documents as JSON lines."""
-    sidecar(recordings).select("meta").write.mode("overwrite").text(path)
+    """The metadata document of each recording, in a file named as it with the extension .json."""
+    from recscan.sources.recording import TextFileSink
+
+    recordings.sparkSession.dataSource.register(TextFileSink)
+    stem = F.regexp_replace(F.element_at(F.split("source_key", "/"), -1), r"\.[^.]*$", "")
+    # recordings of one name in different folders keep their folder
+    twice = F.count(F.lit(1)).over(Window.partitionBy(stem)) > 1
+    place = F.when(twice, F.concat(F.regexp_replace(F.regexp_replace("source_key", r"\.[^./]*$", ""), r"^[a-z]*:?/+", ""), F.lit(".json"))).otherwise(F.concat(stem, F.lit(".json")))
+    files = sidecar(recordings).select(place.alias("file"), F.col("meta").alias("value"))
+    files.repartition("file").sortWithinPartitions("file").write.format("textfile").option("file", "file").mode("append").save(path)

@@ -70,6 +70,12 @@ def test_exports(spark, tables, tmp_path):
     two = rec.orderBy("source_key").limit(2)
     jobs.export_lerobot(two, frames, str(tmp_path / "each"), separate=True)
     assert sorted(p.name for p in (tmp_path / "each").iterdir()) == sorted(r["session_name"] for r in two.collect())
+    for one in (tmp_path / "lr", *(tmp_path / "each").iterdir()):
+        assert (one / "meta/episodes.jsonl").is_file() and (one / "meta/tasks.jsonl").is_file()
+        rows, info = [json.loads(x) for x in (one / "meta/episodes.jsonl").read_text().splitlines()], json.loads((one / "meta/info.json").read_text())
+        assert [r["episode_index"] for r in rows] == list(range(info["total_episodes"])) and sum(r["length"] for r in rows) == info["total_frames"] and info["total_chunks"] == 1
+        back = spark.read.parquet(str(one / "data/chunk-000"))
+        assert back.agg(F.min("frame_index"), F.max("frame_index")).first()[:] == (0, info["total_frames"] - 1) and "dataset_name" not in back.columns
 
 
 def test_dataset_names(spark):

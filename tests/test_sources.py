@@ -4,7 +4,9 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+from recscan.operators import catalog as C
 from recscan.plans import jobs
 from recscan.sources import recording as R
 from recscan.sources import tables as T
@@ -213,7 +215,7 @@ def test_tfrecord(spark, source, tmp_path):
     df = spark.createDataFrame([(i, f"s{i}", 0.5, True, [1.0, 2.0], None) for i in range(5)], "step long, name string, t double, first boolean, v array<double>, empty string")
     df.coalesce(1).write.format("tfrecord").mode("append").save(str(tmp_path / "out"))
     (file,) = (tmp_path / "out").glob("*")
-    assert file.name == "part-00000.tfrecord"
+    assert file.name.startswith("part-00000-") and file.suffix == ".tfrecord"
     raw, n = file.read_bytes(), 0
     while raw:
         (size,) = struct.unpack("<Q", raw[:8])
@@ -271,6 +273,107 @@ def test_files_are_validated(spark, source, tmp_path):
     assert spark.read.format("recording").options(table="recordings", suffix=".rec").load(str(tmp_path)).filter("source_key like '%/magic.rec' and header_error is null").count() == 1
 
 
+MANIFEST_ROW = "dataset string, description string, tags array<string>, created string, filename string, session_name string, recorded_at string, duration_s double, frames bigint"
+
+
+def test_two_writers_of_manifests_and_a_crash(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    rows = lambda *names: spark.createDataFrame([("d", "about", ["t"], "now", n, "s", "at", 1.5, 9) for n in names], MANIFEST_ROW)
+    files = lambda: sorted(r["filename"] for r in W.load_manifests(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        W.load_manifests(spark, path)
+    assert W.save_manifests(rows("a"), path) == 1
+    plain, lost = W.put_if_absent, []
+
+    def racing(spark_, at, text):
+        if not lost and "_versions" in at:
+            lost.append(at)
+            assert W.save_manifests(rows("b"), path) in (2, 4)  # another writer comes first
+        return plain(spark_, at, text)
+
+    monkeypatch.setattr(W, "put_if_absent", racing)
+    assert W.save_manifests(rows("a", "c"), path) == 3 and files() == ["a", "c"]
+    lost.clear()
+    with pytest.raises(W.Conflict):
+        W.save_manifests(rows("x"), path, expected=3)
+    assert files() == ["b"]
+
+    def crash(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(W, "put_if_absent", crash)
+    with pytest.raises(OSError):
+        W.save_manifests(rows("y"), path)
+    assert files() == ["b"]
+    monkeypatch.setattr(W, "put_if_absent", plain)
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: W.save_manifests(rows(f"w{i}"), path), range(6)))
+    assert sorted(numbers) == list(range(5, 11)) and files() == [f"w{numbers.index(10)}"]
+    assert not W.put_if_absent(spark, f"{path}/_versions/{1:020d}", "z") and not list((tmp_path / "m/_versions").glob("*.tmp"))
+
+
+def test_broken_manifests_give_no_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{ broken")
+    (tmp_path / "b.json").write_text(json.dumps({"name": "d", "episodes": [{"filename": "x"}]}))
+    assert [(r["dataset"], r["filename"]) for r in T.read_manifests(spark, str(tmp_path)).collect()] == [("d", "x")]
+
+
+def test_reports_are_one_array_and_sidecars_one_file_each(spark, source, tmp_path):
+    for n in (0, 1, 50):
+        df = spark.range(n).selectExpr("concat('k', id) AS source_key", "id * 0.5D AS score", "CAST(NULL AS string) AS note").repartition(5)
+        W.write_report(df, str(tmp_path / f"r{n}.json"))
+        got = json.loads((tmp_path / f"r{n}.json").read_text())
+        assert [r["source_key"] for r in got] == sorted(f"k{i}" for i in range(n)) and all(list(r) == ["note", "score", "source_key"] for r in got)
+    assert not [f for f in tmp_path.iterdir() if "parts" in f.name]
+    for f in ("a.rec", "b.rec", "sub/b.rec"):
+        (tmp_path / "in" / f).parent.mkdir(parents=True, exist_ok=True)
+        write(tmp_path / "in" / f)
+    W.write_sidecars(source("recordings", tmp_path / "in"), str(tmp_path / "side"))
+    found = {str(p.relative_to(tmp_path / "side")): json.loads(p.read_text()) for p in (tmp_path / "side").rglob("*.json")}
+    assert len(found) == 3 and found["a.json"]["serial_number"] == "SERIAL-123" and {f["source_file"] for f in found.values()} == {str(tmp_path / "in" / f) for f in ("a.rec", "b.rec", "sub/b.rec")}
+
+
+def test_upsert_is_whole_after_a_crash(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "x.jsonl")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, a int")
+    W.upsert_jsonl(spark, path, rows(("a", 1), ("b", 1)), ["k"])
+    (tmp_path / "x.jsonl").rename(tmp_path / "x.jsonl.before")  # where a crash between the two renames leaves it
+    W.upsert_jsonl(spark, path, rows(("b", 2)), ["k"])
+    assert sorted((r["k"], r["a"]) for r in T.read_jsonl(spark, path, "k string, a int").collect()) == [("a", 1), ("b", 2)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["x.jsonl"]
+
+
+def test_jobs_write_into_one_folder_at_once_and_commits_are_finished(spark, source, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark.dataSource.register(R.ParquetFileSink)
+
+    def export(k):
+        df = spark.createDataFrame([(f"job{k}/f{i % 4}.parquet", i) for i in range(40)], "file string, id long").repartition("file").sortWithinPartitions("file")
+        df.write.format("parquetfile").option("file", "file").mode("append").save(str(tmp_path / "p"))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(export, range(4)))
+    assert len(list((tmp_path / "p").rglob("*.parquet"))) == 16 and spark.read.parquet(*(str(tmp_path / f"p/job{k}") for k in range(4))).count() == 160 and not (tmp_path / "p/_temporary").exists()
+    job = R.TFRecordWriter({"path": str(tmp_path / "q")}, None, ".tfrecord")
+    folder = tmp_path / "q/_temporary" / job.job
+    folder.mkdir(parents=True)
+    moves = []
+    for i in range(3):
+        (folder / f"{i}").write_text(str(i))
+        moves.append((str(folder / f"{i}"), str(tmp_path / f"q/d/{i}.txt")))
+    plain, calls = R._move_all, []
+    monkeypatch.setattr(R, "_move_all", lambda system, m: calls.append(plain(system, m[:1])) or (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        job.commit([R.Written(moves)])
+    monkeypatch.setattr(R, "_move_all", plain)
+    (tmp_path / "q/_temporary/undecided").mkdir()
+    assert R.finish_commits(str(tmp_path / "q")) == 1 and sorted(p.read_text() for p in (tmp_path / "q/d").iterdir()) == ["0", "1", "2"]
+    assert R.finish_commits(str(tmp_path / "q")) == 0 and (tmp_path / "q/_temporary/undecided").exists()
+
+
 def test_workspace_files(spark, tmp_path):
     path = str(tmp_path / "x.jsonl")
     rows = lambda *r: spark.createDataFrame(list(r), "k string, b int, a int")
@@ -379,6 +482,98 @@ def test_pending_files_settle_and_come_once(spark, tmp_path):
     assert given[0] == [("old", 2048)] and ("grows", 4096) not in given[1] and given[-1] == [("grows", 4096), ("old", 2048), ("young", 2048)]
 
 
+def test_upload_progress_equals_its_batch_twin(spark, tmp_path):
+    rng = random.Random(2)
+    rows, totals = [], {f"u{k}": 1000 * (k + 1) for k in range(6)}
+    for u, total in totals.items():
+        ts, done = sorted({round(rng.uniform(0, 50), 1) for _ in range(12)}), 0
+        for t in ts:
+            done = min(total, done + rng.randint(0, total // 6))
+            rows.append((u, t, done, total))
+    rows.sort(key=lambda r: r[1])
+    schema = "id string, ts_s double, bytes long, total long"
+    for k in range(0, len(rows), 10):
+        spark.createDataFrame(rows[k : k + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = M.upload_progress(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len({p["batchId"] for p in q.recentProgress if p["numInputRows"]}) > 3
+    told = lambda df: sorted((r["id"], r["ts_s"], r["bytes"], *(round(r[c], 6) for c in ("rate", "average_rate", "percent", "eta_s"))) for r in df.collect())
+    want = C.upload_rates(spark.createDataFrame([r[:3] for r in rows], "id string, ts_s double, bytes long"), spark.createDataFrame([*totals.items()], "id string, total long"))
+    assert told(spark.read.parquet(str(tmp_path / "out"))) == told(want)
+
+
+def test_listed_files_come_once_over_restarts(spark, tmp_path):
+    import os
+    import time
+
+    spark.dataSource.register(M.ListingSource)
+    for f, size, age in (("a.rec", 2048, 100), ("sub/b.rec", 2048, 100), ("young.rec", 2048, -3600), ("tiny.rec", 3, 100), (".pruned/c.rec", 2048, 100), ("sub/deep/d.rec", 4096, 50)):
+        p = tmp_path / "in" / f
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x" * size)
+        os.utime(p, (time.time() - age,) * 2)
+
+    def run():
+        listing = spark.readStream.format("listing").load(str(tmp_path / "in"))
+        q = M.settled_files(listing, str(tmp_path / "log"), str(tmp_path / "c"))
+        q.awaitTermination()
+        return sorted(r["key"].removeprefix(f"{tmp_path}/in/") for r in T.read_jsonl(spark, str(tmp_path / "log"), "key string, size_bytes long").collect())
+
+    assert run() == ["a.rec", "sub/b.rec", "sub/deep/d.rec"] == run()
+    os.utime(tmp_path / "in/young.rec", (time.time() - 60,) * 2)
+    (tmp_path / "in/e.rec").write_bytes(b"x" * 2000)
+    os.utime(tmp_path / "in/e.rec", (0, 0))  # moved here with its old time
+    assert run() == ["a.rec", "e.rec", "sub/b.rec", "sub/deep/d.rec", "young.rec"] == run()
+
+
+def test_state_of_given_files_ends(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    schema = "key string, size_bytes long, mtime timestamp, listed timestamp"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = M.pending_stream(stream, forget="1 hour").writeStream.format("memory").queryName("forgotten").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    held = []
+    for rows in ([(f"f{i}", 2048, at(0), at(100)) for i in range(20)], [("g", 2048, at(110), at(110))], [("h", 2048, at(7200), at(7300))], [("h", 2048, at(7200), at(7400))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    q.stop()
+    assert held[0] == 20 and held[-1] <= 2
+    assert sorted(r["key"] for r in spark.table("forgotten").collect()) == sorted([f"f{i}" for i in range(20)] + ["g", "h"])
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for batch, n in (("s-0", 5), ("s-1", 3), ("s-0", 5), ("s-1", 3)):
+        W.append_batch(spark.range(n).select(F.col("id"), F.lit(batch).alias("b")), path, batch)
+    assert spark.read.json(path).count() == 8 and not list((tmp_path / "out/_batches").iterdir())
+    failed = []
+
+    def run(fail):
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        plain = M.append_batch
+
+        def broken(rows, p, batch):
+            plain(rows, p, batch)
+            if fail:
+                failed.append(batch)
+                raise RuntimeError("lost after the batch was written")
+
+        M.append_batch = broken
+        try:
+            M.append_results(stream, str(tmp_path / "res"), str(tmp_path / "c")).awaitTermination()
+        except Exception:
+            assert fail
+        finally:
+            M.append_batch = plain
+
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    run(True)
+    run(False)
+    assert failed and sorted(r["id"] for r in spark.read.json(str(tmp_path / "res")).collect()) == list(range(7))
+
+
 def test_results_are_appended(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
