@@ -174,6 +174,17 @@ _VERDICT = f"""{_FEATURES},
                   CASE WHEN acc THEN 0 ELSE nk END AS n_keep, CASE WHEN acc THEN 1 ELSE np END AS n_prune FROM v2)"""
 
 
+#: The same with the baselines of each recording's station: its camera's, or its source's where no camera is known.
+_STATIONS = f"""WITH f AS ({_P}),
+    sk AS (SELECT source_key, coalesce(nullif(camera_serial, ''), 'source-' || split_part(source_key, '/', 1)) AS profile_key FROM {{fx_recordings}}),
+    pf AS (SELECT f.*, profile_key FROM f JOIN sk USING (source_key)),
+    br AS (SELECT profile_key, max(med) AS rgb_median, median(abs(s - med)) AS rgb_mad FROM ({_low("rgb_size", "profile_key", "pf")}) GROUP BY profile_key),
+    bd AS (SELECT profile_key, max(med) AS depth_median, median(abs(s - med)) AS depth_mad FROM ({_low("depth_size", "profile_key", "pf")}) GROUP BY profile_key),
+    hd AS (SELECT source_key, coalesce(avg(depth_size) FILTER (WHERE NOT kf) > 1.0, false) AS has_depth FROM f GROUP BY source_key),
+    b AS (SELECT hd.source_key, has_depth, rgb_median, rgb_mad, depth_median, depth_mad FROM hd JOIN sk USING (source_key) JOIN br USING (profile_key) JOIN bd USING (profile_key))"""
+_STATION_VERDICT = _VERDICT.replace(_BASE, _STATIONS)
+
+
 def _segments(gap: int, least: int, pad: int) -> str:
     return f"""{_FUSED},
     s1 AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY source_key ORDER BY s) < {gap} THEN 0 ELSE 1 END AS new FROM runs),

@@ -12,7 +12,7 @@ from recscan.operators import labels as L
 from recscan.operators import review as V
 from recscan.operators import spans as P
 from recscan.plans import jobs
-from recscan.plans.activity_queries import _FUSED, _segments, _VERDICT, _frames, rounded
+from recscan.plans.activity_queries import _FUSED, _segments, _STATION_VERDICT, _STATIONS, _VERDICT, _frames, rounded
 from recscan.plans.activity_queries import analyze_verdict as _verdicts
 from recscan.plans.fixtures import duck, fixture
 from recscan.scratch import written
@@ -644,6 +644,42 @@ def qc_job(spark: SparkSession, d: str) -> DataFrame:
     return episodes.select("episode_id", "source_key", "validation_status", "episode_status", "verdict")
 
 
+@query(f"""{_STATION_VERDICT},
+    ix AS (SELECT *, lag(file_offset) OVER w AS po FROM {{fx_index}} WINDOW w AS (PARTITION BY source_key ORDER BY entry)),
+    ok AS (SELECT source_key, count(*) FILTER (WHERE file_offset <= po OR file_offset < 472) = 0 AS valid FROM ix GROUP BY source_key),
+    qc AS (SELECT 'ep_' || substr(sha1(r.source_key), 1, 16) AS episode_id, r.source_key, CASE WHEN valid THEN 'valid' ELSE 'invalid' END AS validation_status,
+                  CASE WHEN NOT valid THEN 'invalid' WHEN r.duration_us / 1e6 < 5 THEN 'reject' WHEN verdict IS NULL THEN 'invalid' WHEN verdict = 'KEEP' THEN 'keep' WHEN verdict = 'PRUNE_CONFIDENT' THEN 'reject' ELSE 'review' END AS episode_status, verdict
+           FROM {{fx_recordings}} r JOIN ok USING (source_key) LEFT JOIN verdict USING (source_key))
+    SELECT * FROM qc""")
+def qc_job_with_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The job's default: every recording is judged against its station."""
+    episodes = jobs.qc(_frames(spark, d), fixture(spark, d, "fx_index"), fixture(spark, d, "fx_recordings"))[0]
+    return episodes.select("episode_id", "source_key", "validation_status", "episode_status", "verdict")
+
+
+@query(f"{_STATION_VERDICT} SELECT source_key, verdict, round(activity_score, 6) AS activity_score, n_keep, n_prune, true AS used_profile FROM verdict")
+def analyze_job_with_profiles(spark: SparkSession, d: str) -> DataFrame:
+    frames, rec = _frames(spark, d), fixture(spark, d, "fx_recordings")
+    v = jobs.analyze(frames, rec, written(jobs.calibrate(frames, rec)[0], "profiles"))
+    counts = [F.size(f"reasons_{k}").cast("long").alias(f"n_{k}") for k in ("keep", "prune")]
+    return rounded(v.select("source_key", "verdict", "activity_score", *counts, "used_profile"))
+
+
+@query(f"""{_STATIONS}, t AS (SELECT profile_key, count(*) FILTER (WHERE NOT kf) AS frame_count, count(DISTINCT source_key) AS recording_count FROM pf GROUP BY profile_key)
+    SELECT profile_key, round(rgb_median, 6) AS rgb_median, round(rgb_mad, 6) AS rgb_mad, round(depth_median, 6) AS depth_median, round(depth_mad, 6) AS depth_mad, frame_count, recording_count
+    FROM t JOIN br USING (profile_key) JOIN bd USING (profile_key)""")
+def calibrate_job(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(jobs.calibrate(_frames(spark, d), fixture(spark, d, "fx_recordings"))[0])
+
+
+@query("""WITH i AS (SELECT *, lag(file_offset) OVER w AS po, lag(timestamp_us) OVER w AS pt FROM {fx_index} WINDOW w AS (PARTITION BY source_key ORDER BY entry)),
+    g AS (SELECT source_key, count(*) AS n, count(*) FILTER (WHERE file_offset <= po) + count(*) FILTER (WHERE file_offset < 472) AS n_errors, count(*) FILTER (WHERE timestamp_us < pt) AS w FROM i GROUP BY source_key)
+    SELECT source_key, n_errors = 0 AS valid, n_errors, w + (n <> total_frames)::BIGINT AS n_warnings FROM g JOIN {fx_recordings} USING (source_key)""")
+def validate_job(spark: SparkSession, d: str) -> DataFrame:
+    checked, _ = jobs.validate(fixture(spark, d, "fx_index"), fixture(spark, d, "fx_recordings"))
+    return checked.select("source_key", "valid", "n_errors", "n_warnings")
+
+
 @query(f"""{_EPISODES}, {_TIMES},
     us AS (SELECT interval_id, ei.source_key, effective_start_s, effective_end_s FROM ei LEFT JOIN ee USING (source_key)
            WHERE effective_interval_decision <> 'reject' AND coalesce(effective_episode_status, 'keep') IN ('keep', 'review') AND effective_end_s > effective_start_s),
