@@ -18,8 +18,26 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order_col: str | Non
 
 
 def parse_overrides(raw: Column) -> Column:
-    """map<string, string> of an override's fields: a field given as null keeps its key."""
-    return F.from_json(raw, "map<string,string>")
+    """map<string, variant> of an override's fields: values keep their types, a field given as null its key.
+
+    What is no object gives null: no override.
+    """
+    return F.from_json(raw, "map<string,variant>")
+
+
+def given(o: Column, name: str, kind: str = "string") -> Column:
+    """A field of an override as a type; null where it is missing, null, or cannot be read so."""
+    return F.try_variant_get(o[name], "$", kind)
+
+
+def _names(o: Column, name: str) -> Column:
+    return F.coalesce(F.map_contains_key(o, name), F.lit(False))
+
+
+def _notes(applies: Column) -> dict[str, Column]:
+    """What the override that applies says of itself."""
+    o = F.col("_o")
+    return {f"override_{k}": F.when(applies, given(o, k)) for k in ("note", "updated_at")}
 
 
 def episode_status(valid: Column, duration_s: Column, verdict: Column, reject_below_s: float = 5.0) -> Column:
@@ -30,41 +48,50 @@ def episode_status(valid: Column, duration_s: Column, verdict: Column, reject_be
 
 
 def effective_episodes(episodes: DataFrame, overrides: DataFrame) -> DataFrame:
-    """episodes with effective_episode_status: an override's status, on valid episodes only.
+    """episodes with effective_episode_status, override_note and override_updated_at.
 
-    ``overrides``: episode_id, o (map of given fields).
+    ``overrides``: episode_id, o (:func:`parse_overrides`). An override counts on valid episodes only; one that names
+    no status leaves it, one that gives null takes it away. An override without fields is none.
     """
     j = episodes.join(overrides.withColumnRenamed("o", "_o"), "episode_id", "left")
-    given = F.col("_o").isNotNull() & (F.col("validation_status") == "valid") & F.map_contains_key(F.coalesce("_o", F.create_map().cast("map<string,string>")), "episode_status")
-    return j.withColumn("effective_episode_status", F.when(given, F.col("_o")["episode_status"]).otherwise(F.col("episode_status"))).drop("_o")
+    applies = (F.size("_o") > 0) & (F.col("validation_status") == "valid")
+    status = F.when(applies & _names(F.col("_o"), "episode_status"), given(F.col("_o"), "episode_status")).otherwise(F.col("episode_status"))
+    return j.withColumns({"effective_episode_status": status} | _notes(applies)).drop("_o")
 
 
 def effective_intervals(intervals: DataFrame, overrides: DataFrame) -> DataFrame:
-    """intervals with decision and trimmed ends; trims are clamped, and undone if nothing is left."""
+    """intervals with decision, trimmed ends, override_note and override_updated_at.
+
+    ``overrides``: interval_id, o. Trims are numbers, or texts that hold one; they are clamped to the interval, and undone
+    if nothing is left. A missing or null decision is to keep.
+    """
     j = intervals.join(overrides.withColumnRenamed("o", "_o"), "interval_id", "left")
-    start, end = F.coalesce("start_s", F.lit(0.0)), F.coalesce("end_s", "start_s", F.lit(0.0))
-    trim = lambda name, other: F.when(F.col("_o")[name].isNotNull(), S.clamp(F.col("_o")[name].cast("double"), start, end)).otherwise(other)
+    start, end, o = F.coalesce("start_s", F.lit(0.0)), F.coalesce("end_s", "start_s", F.lit(0.0)), F.col("_o")
+    trim = lambda name, other: F.when(given(o, name, "double").isNotNull(), S.clamp(given(o, name, "double"), start, end)).otherwise(other)
     cut = j.withColumns({"_s": trim("trim_start_s", start), "_e": trim("trim_end_s", end)})
     whole = F.col("_e") <= F.col("_s")
     s, e = F.when(whole, start).otherwise(F.col("_s")), F.when(whole, end).otherwise(F.col("_e"))
     return cut.withColumns({
-        "effective_interval_decision": F.coalesce(F.col("_o")["decision"], F.lit("keep")),
+        "effective_interval_decision": F.coalesce(given(o, "decision"), F.lit("keep")),
         "effective_start_s": F.bround(s, 6), "effective_end_s": F.bround(e, 6), "effective_duration_s": F.bround(F.greatest(e - s, F.lit(0.0)), 6),
-    }).drop("_o", "_s", "_e")
+    } | _notes(F.size("_o") > 0)).drop("_o", "_s", "_e")
+
+
+#: Fields of a label that an override may give, and their types.
+LABEL_FIELDS = {"is_manipulation": "boolean", "proposed_task_name": "string", "short_caption": "string", "primary_objects": "array<string>", "confidence": "double", "reason": "string"}
 
 
 def effective_labels(labels: DataFrame, overrides: DataFrame) -> DataFrame:
-    """labels with the fields that an override names, null ones too; names normalised again."""
+    """labels with the fields that an override names, null ones too, override_note and override_updated_at.
+
+    ``overrides``: interval_id, o. Names are normalised again where there is an override. A value that its field's
+    type cannot hold, such as a text for the list of objects, becomes null.
+    """
     j = labels.join(overrides.withColumnRenamed("o", "_o"), "interval_id", "left")
-    has = lambda name: F.coalesce(F.map_contains_key("_o", name), F.lit(False))
-    cast = {"is_manipulation": "boolean", "confidence": "double"}
-    changed = {}
-    for name in ("is_manipulation", "proposed_task_name", "short_caption", "primary_objects", "confidence", "reason"):
-        if name in labels.columns:
-            value = F.from_json(F.col("_o")[name], "array<string>") if name == "primary_objects" else F.col("_o")[name].cast(cast.get(name, "string"))
-            changed[name] = F.when(has(name), value).otherwise(F.col(name))
-    out = j.withColumns(changed)
-    return out.withColumn("normalized_task_name", F.when(F.col("_o").isNotNull(), S.normalize_label(F.col("proposed_task_name"))).otherwise(F.col("normalized_task_name"))).drop("_o")
+    o = F.col("_o")
+    out = j.withColumns({n: F.when(_names(o, n), given(o, n, kind)).otherwise(F.col(n)) for n, kind in LABEL_FIELDS.items() if n in labels.columns})
+    name = F.when(F.size("_o") > 0, S.normalize_label(F.col("proposed_task_name"))).otherwise(F.col("normalized_task_name"))
+    return out.withColumns({"normalized_task_name": name} | _notes(F.size("_o") > 0)).drop("_o")
 
 
 def active_intervals(intervals: DataFrame, episodes: DataFrame) -> DataFrame:

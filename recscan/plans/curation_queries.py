@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,22 +243,38 @@ _EPISODES = f"""{_VERDICT},
     ai AS (SELECT ei.* FROM ei LEFT JOIN ee USING (source_key) WHERE effective_interval_decision <> 'reject' AND coalesce(effective_episode_status, '') NOT IN ('reject', 'invalid'))"""
 
 
+def _episode_overrides(e: DataFrame) -> DataFrame:
+    raw = F.to_json(F.struct(F.when(F.col("rec") % 2 == 0, "reject").otherwise("keep").alias("episode_status"), F.lit("seen").alias("note")))
+    return e.filter("rec % 3 = 0").select("episode_id", V.parse_overrides(raw).alias("o"))
+
+
 def _effective_episodes(spark: SparkSession, d: str) -> DataFrame:
     e = _episodes(spark, d)
-    o = e.filter("rec % 3 = 0").select("episode_id", F.create_map(F.lit("episode_status"), F.when(F.col("rec") % 2 == 0, "reject").otherwise("keep"), F.lit("note"), F.lit("seen")).alias("o"))
-    return V.effective_episodes(e, o)
+    return V.effective_episodes(e, _episode_overrides(e))
 
 
-def _effective_intervals(spark: SparkSession, d: str) -> DataFrame:
-    i = fixture(spark, d, "fx_intervals").withColumns({"start_s": F.col("start_s").cast("double"), "end_s": F.col("end_s").cast("double")})
+def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    return fixture(spark, d, "fx_intervals").withColumns({"start_s": F.col("start_s").cast("double"), "end_s": F.col("end_s").cast("double")})
+
+
+def _interval_overrides(i: DataFrame) -> DataFrame:
     raw = F.when(F.col("k") % 14 == 0, F.lit('{"decision": "reject"}')).otherwise(F.concat(F.lit('{"trim_start_s": '), (F.col("start_s") + 0.5).cast("string"), F.lit(', "note": null}')))
-    return V.effective_intervals(i, i.filter("k % 7 = 0").select("interval_id", V.parse_overrides(raw).alias("o")))
+    return i.filter("k % 7 = 0").select("interval_id", V.parse_overrides(raw).alias("o"))
+
+
+def _effective_intervals(spark: SparkSession, d: str) -> DataFrame:
+    i = _intervals(spark, d)
+    return V.effective_intervals(i, _interval_overrides(i))
+
+
+def _label_overrides(lb: DataFrame) -> DataFrame:
+    raw = F.when(F.col("k") % 27 == 0, F.lit('{"short_caption": null}')).otherwise(F.lit('{"proposed_task_name": "Stack  RED cups!", "confidence": "0.9"}'))
+    return lb.filter("k % 9 = 0").select("interval_id", V.parse_overrides(raw).alias("o"))
 
 
 def _effective_labels(spark: SparkSession, d: str) -> DataFrame:
     lb = _labels(spark, d)
-    raw = F.when(F.col("k") % 27 == 0, F.lit('{"short_caption": null}')).otherwise(F.lit('{"proposed_task_name": "Stack  RED cups!", "confidence": "0.9"}'))
-    return V.effective_labels(lb, lb.filter("k % 9 = 0").select("interval_id", V.parse_overrides(raw).alias("o")))
+    return V.effective_labels(lb, _label_overrides(lb))
 
 
 @query(f"{_EPISODES} SELECT episode_id, source_key, validation_status, episode_status, verdict, round(activity_score, 6) AS activity_score FROM ep")
@@ -293,21 +311,92 @@ def active_labels(spark: SparkSession, d: str) -> DataFrame:
     return V.active_labels(_labels(spark, d), _effective_intervals(spark, d), _effective_episodes(spark, d)).select("interval_id", "normalized_task_name")
 
 
-@query(f"""{_BUCKETS}, {_EFF_LABELS.replace(_LABELS + ', ', '')},
+_EFF_BUCKETS = f"""{_BUCKETS}, {_EFF_LABELS.replace(_LABELS + ', ', '')},
     m2 AS (SELECT interval_id, CASE WHEN k % 21 = 0 THEN 'bucket_custom' ELSE bucket_id END AS bucket_id FROM mp JOIN (SELECT interval_id, k FROM lb) USING (interval_id)),
     ag AS (SELECT m2.bucket_id, count(*) AS member_count, array_to_string(list_sort(list_distinct(list(normalized_task_name))), ',') AS source_labels, array_to_string(list_sort(list_distinct(flatten(list(primary_objects)))), ',') AS primary_objects,
-                  round_even(coalesce(avg(confidence), 0), 6) AS average_confidence FROM m2 LEFT JOIN el USING (interval_id) GROUP BY m2.bucket_id)
-    SELECT bucket_id, CASE WHEN bucket_id = 'bucket_000' THEN 'renamed' ELSE coalesce(canonical_task_name, 'Custom task') END AS canonical_task_name, ag.member_count, ag.source_labels, ag.average_confidence, ag.primary_objects
-    FROM ag LEFT JOIN bb USING (bucket_id)""")
+                  round_even(coalesce(avg(confidence), 0), 6) AS average_confidence FROM m2 LEFT JOIN el USING (interval_id) GROUP BY m2.bucket_id),
+    eq AS (SELECT bucket_id, CASE WHEN bucket_id = 'bucket_000' THEN 'renamed' ELSE coalesce(canonical_task_name, 'Custom task') END AS canonical_task_name, ag.member_count, ag.source_labels, ag.average_confidence, ag.primary_objects
+           FROM ag LEFT JOIN bb USING (bucket_id))"""
+
+
+def _moves(lb: DataFrame) -> DataFrame:
+    return lb.filter("k % 21 = 0").select("interval_id", F.lit("bucket_custom").alias("bucket_id"), F.lit("Custom task").alias("canonical_task_name"))
+
+
+def _renames(b: DataFrame) -> DataFrame:
+    return b.filter("bucket_id = 'bucket_000'").select("bucket_id", F.lit("renamed").alias("canonical_task_name"))
+
+
+@query(f"{_EFF_BUCKETS} SELECT * FROM eq")
 def effective_buckets(spark: SparkSession, d: str) -> DataFrame:
     lb = _labels(spark, d)
     b, m, _ = L.buckets(lb)
-    moves = lb.filter("k % 21 = 0").select("interval_id", F.lit("bucket_custom").alias("bucket_id"), F.lit("Custom task").alias("canonical_task_name"))
-    renames = b.filter("bucket_id = 'bucket_000'").select("bucket_id", F.lit("renamed").alias("canonical_task_name"))
-    e = V.effective_buckets(_effective_labels(spark, d), b, m, renames, moves)
+    e = V.effective_buckets(_effective_labels(spark, d), b, m, _renames(b), _moves(lb))
     return e.withColumns({"source_labels": F.array_join("source_labels", ","), "primary_objects": F.array_join("primary_objects", ",")})
 
 
+@query(f"""WITH {_LABELS} SELECT interval_id, CASE WHEN k % 8 = 1 THEN false WHEN k % 8 = 2 THEN true WHEN k % 8 = 4 THEN false ELSE is_manipulation END AS is_manipulation,
+    CASE WHEN k % 8 = 4 THEN k::VARCHAR ELSE short_caption END AS short_caption,
+    array_to_string(CASE WHEN k % 8 = 0 THEN ['red', 'cup ' || k] WHEN k % 8 IN (2, 3) THEN NULL ELSE primary_objects END, ',') AS primary_objects,
+    round(CASE WHEN k % 8 IN (0, 1) THEN (k % 50) / 100 WHEN k % 8 = 3 THEN NULL ELSE confidence END, 6) AS confidence,
+    CASE WHEN k % 8 = 3 THEN '{{"by":"me"}}' WHEN k % 8 = 4 THEN k::VARCHAR END AS override_note FROM lb""".replace("{{", "{").replace("}}", "}"))
+def override_types(spark: SparkSession, d: str) -> DataFrame:
+    """Labels under overrides of all types: numbers, lists, truth values, nulls, texts that hold one and texts that do not, none."""
+    lb, k = _labels(spark, d), F.col("k")
+    number, at = (k % 50 / 100).cast("string"), k % 8
+    raw = (
+        F.when(at == 0, F.concat(F.lit('{"confidence": '), number, F.lit(', "primary_objects": ["red", "cup '), k, F.lit('"]}')))
+        .when(at == 1, F.concat(F.lit('{"confidence": "'), number, F.lit('", "is_manipulation": "no"}'))).when(at == 2, F.lit('{"primary_objects": null, "is_manipulation": 1}'))
+        .when(at == 3, F.lit('{"confidence": "high", "primary_objects": "cup", "note": {"by": "me"}}')).when(at == 4, F.concat(F.lit('{"short_caption": '), k, F.lit(', "is_manipulation": false, "note": '), k, F.lit("}")))
+        .when(at == 5, F.lit("{}")).otherwise(F.lit("[1]"))
+    )
+    e = V.effective_labels(lb, lb.filter(at != 7).select("interval_id", V.parse_overrides(raw).alias("o")))
+    return rounded(e.select("interval_id", "is_manipulation", "short_caption", F.array_join("primary_objects", ",").alias("primary_objects"), "confidence", "override_note"))
+
+
+@query(f"""{_EPISODES}, {_EFF_BUCKETS.removeprefix("WITH ")}
+    SELECT 'episode' AS kind, episode_id AS id, effective_episode_status AS state, CASE WHEN rec % 3 = 0 AND validation_status = 'valid' THEN 'seen' END AS note, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM ee
+    UNION ALL SELECT 'interval', interval_id, effective_interval_decision, NULL, round(effective_start_s, 6), round(effective_end_s, 6) FROM ei
+    UNION ALL SELECT 'label', interval_id, normalized_task_name, NULL, round(confidence, 6), NULL FROM el
+    UNION ALL SELECT 'bucket', bucket_id, canonical_task_name, NULL, average_confidence, member_count::DOUBLE FROM eq""")
+def materialize_job(spark: SparkSession, d: str) -> DataFrame:
+    """All four tables of the job, each as kind, id, state, note and two numbers."""
+    e, i, lb = _episodes(spark, d), _intervals(spark, d), _labels(spark, d)
+    b, m, _ = L.buckets(lb)
+    overrides = {"episodes": _episode_overrides(e), "intervals": _interval_overrides(i), "labels": _label_overrides(lb), "renames": _renames(b), "assignments": _moves(lb)}
+    t, none = jobs.materialize(e, i, lb, b, m, overrides), F.lit(None).cast("double")
+    parts = (
+        ("episode", "effective_episodes", "episode_id", "effective_episode_status", F.col("override_note"), none, none),
+        ("interval", "effective_intervals", "interval_id", "effective_interval_decision", F.col("override_note"), F.col("effective_start_s"), F.col("effective_end_s")),
+        ("label", "effective_labels", "interval_id", "normalized_task_name", F.col("override_note"), F.col("confidence"), none),
+        ("bucket", "effective_buckets", "bucket_id", "canonical_task_name", F.lit(None).cast("string"), F.col("average_confidence"), F.col("member_count").cast("double")),
+    )
+    rows = [t[name].select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), F.col(state).alias("state"), note.alias("note"), low.alias("low"), high.alias("high")) for kind, name, id_, state, note, low, high in parts]
+    return rounded(reduce(DataFrame.unionByName, rows))
+
+
+@query(f"""{_EPISODES.replace("WITH ", "WITH RECURSIVE ", 1)}, {_LABELS},
+    al AS (SELECT * FROM lb WHERE interval_id IN (SELECT interval_id FROM ai)),
+    uv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE 'int_' || (vec_id + 1) IN (SELECT interval_id FROM al WHERE is_manipulation)),
+    near AS (SELECT x.vec_id AS a, y.vec_id AS b FROM uv x JOIN uv y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= {SIMILAR}),
+    both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+    rc AS (SELECT vec_id AS id, vec_id AS far FROM uv UNION SELECT rc.id, z.b FROM rc JOIN both_ways z ON z.a = rc.far),
+    cl AS (SELECT 'int_' || (id + 1) AS interval_id, 'vector ' || min(far) AS cluster FROM rc GROUP BY id),
+    kb AS (SELECT al.*, coalesce(cluster, 'name ' || normalized_task_name) AS cluster FROM al LEFT JOIN cl USING (interval_id) WHERE is_manipulation),
+    nm AS (SELECT cluster, normalized_task_name AS name, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(interval_id)) AS r FROM kb GROUP BY cluster, normalized_task_name),
+    sz AS (SELECT cluster, count(*) AS n, array_to_string(list_sort(list_distinct(list(normalized_task_name))), ',') AS names, avg(confidence) AS ac, min(interval_id) AS f FROM kb GROUP BY cluster),
+    nb AS (SELECT sz.*, name, row_number() OVER (ORDER BY n DESC, name, f) - 1 AS r FROM sz JOIN (SELECT cluster, name FROM nm WHERE r = 1) USING (cluster))
+    SELECT 'bucket_' || CASE WHEN r < 1000 THEN lpad(r::VARCHAR, 3, '0') ELSE r::VARCHAR END AS bucket_id, name AS canonical_task_name, n AS member_count, names AS source_labels, round(ac, 6) AS average_confidence, n = 1 OR ac < 0.55 AS to_review FROM nb
+    UNION ALL SELECT 'bucket_non_manipulation', 'non_manipulation', count(*), 'idle_or_other', round(avg(confidence), 6), false FROM al WHERE NOT is_manipulation HAVING count(*) > 0""")
+def cluster_job_with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets of active labels by similarity of their vectors; those that have none go by name."""
+    vectors = fixture(spark, d, "embeddings").select(F.concat(F.lit("int_"), F.col("vec_id") + 1).alias("interval_id"), "vec_id", "embedding")
+    found, _, review = jobs.cluster(_labels(spark, d), _effective_intervals(spark, d), _effective_episodes(spark, d), vectors, SIMILAR)
+    sent = review.select(F.col("identifier").alias("bucket_id"), F.lit(True).alias("_sent"))
+    rows = found.join(sent, "bucket_id", "left").withColumns({"source_labels": F.array_join("source_labels", ","), "to_review": F.coalesce("_sent", F.lit(False))})
+    return rounded(rows.select("bucket_id", "canonical_task_name", "member_count", "source_labels", "average_confidence", "to_review"))
+
+
 @query(f"""{_EPISODES}, {_LABELS},
     q AS (SELECT 'qc' AS stage, source_key AS identifier, CASE WHEN validation_status = 'invalid' THEN 'invalid_episode' ELSE 'needs_human_review' END AS reason FROM ep WHERE validation_status = 'invalid' OR episode_status = 'review'
           UNION ALL SELECT 'label', interval_id, 'low_confidence_or_non_manipulation' FROM lb WHERE confidence < 0.55 OR NOT is_manipulation)
@@ -692,6 +781,29 @@ def segments_job(spark: SparkSession, d: str) -> DataFrame:
     return manifest.select("interval_id", "source_key", "effective_start_s", "effective_end_s", "segment_path")
 
 
+@query(f"""{_segments(30, 45, 15)}
+    SELECT seg.source_key, start_frame, end_frame, active_frames, round(active_frames / seg.total_frames, 6) AS active_fraction, round(coalesce(greatest(a.timestamp_us - r.start_timestamp_us, 0) / 1e6, r.duration_us / 1e6), 6) AS start_s,
+           round(coalesce(CASE WHEN z.timestamp_us IS NOT NULL THEN greatest(z.timestamp_us - r.start_timestamp_us, 0) / 1e6 END, r.duration_us / 1e6), 6) AS end_s
+    FROM seg JOIN {{fx_recordings}} r USING (source_key) LEFT JOIN f a ON a.source_key = seg.source_key AND a.idx = start_frame LEFT JOIN f z ON z.source_key = seg.source_key AND z.idx = end_frame""")
+def proposals_job(spark: SparkSession, d: str) -> DataFrame:
+    found = jobs.proposals(_frames(spark, d), fixture(spark, d, "fx_recordings"))
+    return rounded(found.select("source_key", "start_frame", "end_frame", "active_frames", "active_fraction", "start_s", "end_s"))
+
+
+@query("SELECT key, size_bytes FROM {fx_objects} WHERE size_bytes >= 1024 AND starts_with(key, '2-high') ORDER BY key LIMIT 25")
+def stage_first(spark: SparkSession, d: str) -> DataFrame:
+    """A run of 25 files at most: the limit holds after the filters, in order of the keys."""
+    rows = fixture(spark, d, "fx_objects").withColumn("validation_status", F.when(F.col("size_bytes") >= 1024, "valid").otherwise("invalid"))
+    return jobs.stage(rows, "2-high", limit=25).select("key", "size_bytes")
+
+
+@query(f"WITH {_PENDING} SELECT key, size_bytes, mtime FROM pe ORDER BY mtime, key LIMIT 50")
+def upload_next(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 files that an uploader takes next, the oldest ones."""
+    pending = jobs.upload_status(fixture(spark, d, "fx_objects"), fixture(spark, d, "fx_uploads"), F.expr(NOW))["pending"]
+    return pending.select("key", "size_bytes", "mtime").limit(50)
+
+
 @query(f"WITH {_PENDING} SELECT key, size_bytes, mtime FROM pe")
 def upload_queue(spark: SparkSession, d: str) -> DataFrame:
     return jobs.upload_status(fixture(spark, d, "fx_objects"), fixture(spark, d, "fx_uploads"), F.expr(NOW))["pending"].select("key", "size_bytes", "mtime")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,34 +20,61 @@ from recscan.sources.recording import ParquetFileSink, RecordingSource, TextFile
 
 
 def read_recordings(
-    spark: SparkSession, path: str, suffix: str, table: str = "recordings", magic: str | None = None, columns: list[str] | None = None, share_bytes: int | None = None
+    spark: SparkSession, path: str, suffix: str, table: str = "recordings", magic: str | None = None, columns: list[str] | None = None, share_bytes: int | None = None,
+    keys: list[str] | None = None, since_us: int | None = None, until_us: int | None = None, pushdown: bool = False,
 ) -> DataFrame:
     """A table of the recordings below a path; see :mod:`recscan.sources.recording`.
 
-    Filters on source_key choose the files that are opened, filters on timestamp_us the entries of an index whose
-    blocks are read. ``columns`` are the ones to give, all if None. With ``share_bytes`` frames and imu of files
-    without an index are read in shares, at the cost of a pass over the footers, but without those choices.
+    ``columns`` are the ones to give, all if None. ``keys`` are the only files to open; rows of frames, index and imu lie
+    from ``since_us`` to before ``until_us``, and of frames in an index no others are read. With ``share_bytes`` frames and imu of
+    files without an index are read in shares, at the cost of a pass over the footers of all files.
+    ``pushdown`` lets filters choose files and entries; only for a DataFrame that is used with one filter, see there.
     """
+    times = [F.col("timestamp_us") >= since_us] * (since_us is not None) + [F.col("timestamp_us") < until_us] * (until_us is not None)
+    if times and table == "recordings":
+        raise ValueError("recordings have no timestamp_us")
+    need = [*columns, *(["timestamp_us"] if times and "timestamp_us" not in columns else [])] if columns else None
     if share_bytes and table in ("frames", "imu"):
         found = read_blocks(spark, path, suffix, table, share_bytes)
-        return found.select(columns) if columns else found
-    spark.dataSource.register(RecordingSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    options = {"table": table, "suffix": suffix, "pushdown": "true"} | ({"magic": magic} if magic else {}) | ({"columns": ",".join(columns)} if columns else {})
-    return spark.read.format("recording").options(**options).load(path)
-
-
-def inventory(recordings: DataFrame, prefix: str = "") -> DataFrame:
-    """One row per file: names, sizes, times, and whether its header and footer can be used."""
-    c, error = F.col, F.coalesce("header_error", "footer_error")
-    duration = F.coalesce(c("duration_us") / 1e6, F.lit(0.0))
-    key = S.relative_key(c("source_key"), prefix)
-    return recordings.select(
-        c("source_key").alias("key"), key.alias("relative_key"), S.source_prefix(key).alias("source_prefix"), F.element_at(F.split("source_key", "/"), -1).alias("file_name"),
-        "size_bytes", "camera_serial", "session_name", S.recorded_at(c("start_timestamp_us")).alias("recorded_at"), duration.alias("duration_s"), F.coalesce("total_frames", F.lit(0)).alias("frame_count"),
-        S.fps(c("total_frames"), duration).alias("fps"), S.has_flag(c("flags"), 0).alias("has_imu"), S.has_flag(c("flags"), 1).alias("has_index"), S.codec_name(c("rgb_codec")).alias("codec"),
-        S.streamable(c("rgb_codec")).alias("video_streamable"), S.stream_error(c("rgb_codec")).alias("video_stream_error"), F.when(error.isNull(), "valid").otherwise("invalid").alias("validation_status"), error.alias("validation_error"),
+        found = found.filter(F.col("source_key").isin(keys)) if keys is not None else found
+    else:
+        spark.dataSource.register(RecordingSource)
+        options = {"table": table, "suffix": suffix, "magic": magic, "columns": ",".join(need) if need else None, "keys": None if keys is None else json.dumps(keys), "since_us": since_us, "until_us": until_us}
+        if pushdown:
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+            options["pushdown"] = "true"
+        found = spark.read.format("recording").options(**{k: v for k, v in options.items() if v is not None}).load(path)
+    for t in times:
+        found = found.filter(t)  # blocks too, as a file without an index gives all of them
+    return found.select(columns) if columns else found
+
+
+def inventory(recordings: DataFrame, prefix: str = "", objects: DataFrame | None = None) -> DataFrame:
+    """One row per file: names, sizes, times, what its header and footer say, and whether both can be used.
+
+    Without a usable header nothing is said of the file, without a usable footer nothing of its length; validation_error
+    names the part. ``objects``: key and any of etag and mtime, as :func:`tables.list_objects` gives them.
+    """
+    c, header, footer = F.col, F.col("header_error").isNull(), F.col("header_error").isNull() & F.col("footer_error").isNull()
+    duration, key = F.coalesce(c("duration_us") / 1e6, F.lit(0.0)), S.relative_key(c("source_key"), prefix)
+    rate = S.fps(c("total_frames"), duration)
+    said = lambda name, value: F.when(header, value).alias(name)
+    counted = lambda name, value: F.when(footer, value).alias(name)
+    cameras = [said(f"{d}_{k}", c(f"{d}.{k}")) for d in ("color", "depth") if d in recordings.columns for k in ("width", "height")]
+    plain = [said(k, c(k)) for k in ("usb_type", "depth_codec") if k in recordings.columns]
+    entries = [counted("index_entry_count", c("index_entries"))] if "index_entries" in recordings.columns else []
+    rows = recordings.select(
+        c("source_key").alias("key"), key.alias("relative_key"), S.source_prefix(key).alias("source_prefix"), F.element_at(F.split("source_key", "/"), -1).alias("file_name"), "size_bytes",
+        header.alias("header_ok"), footer.alias("footer_ok"), said("camera_serial", c("camera_serial")), said("session_name", c("session_name")), said("recorded_at", S.recorded_at(c("start_timestamp_us"))),
+        F.when(footer, F.bround(duration, 6)).otherwise(0.0).alias("duration_s"), F.when(footer, F.coalesce("total_frames", F.lit(0))).otherwise(0).alias("frame_count"), F.when(footer, F.bround(rate, 4)).otherwise(0.0).alias("fps"),
+        said("has_imu", S.has_flag(c("flags"), 0)), said("has_index", S.has_flag(c("flags"), 1)), said("rgb_codec", c("rgb_codec")), *plain, *cameras, *entries, said("codec", S.codec_name(c("rgb_codec"))),
+        said("video_streamable", S.streamable(c("rgb_codec"))), said("video_stream_error", S.stream_error(c("rgb_codec"))), F.when(footer, "valid").otherwise("invalid").alias("validation_status"),
+        F.coalesce(F.concat(F.lit("header: "), "header_error"), F.concat(F.lit("footer: "), "footer_error")).alias("validation_error"),
     )
+    if objects is None:
+        return rows
+    extra = [F.trim("etag", F.lit('"')).alias("etag") if k == "etag" else F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("last_modified") for k in ("etag", "mtime") if k in objects.columns]
+    return rows.join(objects.select("key", *extra), "key", "left")
 
 
 def registration(recordings: DataFrame) -> DataFrame:
@@ -211,14 +240,19 @@ def segments(frames: DataFrame, index: DataFrame, recordings: DataFrame, effecti
 def cluster(labels: DataFrame, intervals_: DataFrame, episodes: DataFrame, vectors: DataFrame | None = None, threshold: float = L.SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(buckets, mapping, review rows) of active labels: by name, or by similarity of their vectors.
 
-    ``vectors``: interval_id, vec_id, embedding.
+    ``vectors``: interval_id, vec_id, embedding. Labels without a vector are grouped by name.
     """
     active = V.active_labels(labels, intervals_, episodes)
     if vectors is None:
         return L.buckets(active)
-    mine = vectors.join(active.filter("is_manipulation").select("interval_id"), "interval_id", "left_semi")
-    groups = L.connected_components(mine.select(F.col("vec_id").alias("id")), L.similar_pairs(mine, threshold))
-    return L.buckets(active, mine.select("interval_id", "vec_id").join(groups.withColumnRenamed("id", "vec_id"), "vec_id").select("interval_id", "component"))
+    # each is read by several jobs below
+    active = written(active, "active")
+    acted = active.filter("is_manipulation").select("interval_id", "normalized_task_name")
+    mine = written(vectors.filter("embedding is not null").join(acted, "interval_id", "left_semi"), "vectors")
+    groups = L.connected_components(mine.select(F.col("vec_id").alias("id")), L.similar_pairs(mine, threshold)).withColumnRenamed("id", "vec_id")
+    found = mine.select("interval_id", "vec_id").join(groups, "vec_id").select("interval_id", F.concat(F.lit("vector "), "component").alias("component"))
+    rest = acted.join(mine, "interval_id", "left_anti").select("interval_id", F.concat(F.lit("name "), "normalized_task_name").alias("component"))
+    return L.buckets(active, found.unionByName(rest))
 
 
 def clip(frames: DataFrame, index: DataFrame, recordings: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

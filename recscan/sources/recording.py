@@ -9,9 +9,11 @@
   split into ranges of entries, one without is read in order by one task, or by :func:`read_blocks` by many;
 * imu - the motion samples behind each frame's payload.
 
-With option ``pushdown`` (and ``spark.sql.python.filterPushdown.enabled``) filters on source_key choose the files
-before any is opened, and filters on timestamp_us choose entries of an index before blocks are read; the times of an
-index are taken to be those of its blocks, which ``plans.jobs.validate`` checks. Option ``columns`` names the
+Option ``keys``, a JSON list of source keys, chooses the files before any is opened; ``since_us`` and ``until_us`` (exclusive) choose
+entries of an index before blocks are read. The times of an index are taken to be those of its blocks, which
+``plans.jobs.validate`` checks. With option ``pushdown`` (and ``spark.sql.python.filterPushdown.enabled``) filters on source_key and
+timestamp_us do the same, but Spark keeps what a filter chose with the DataFrame, for all that is made from it: give such a
+DataFrame one filter, and read anew for another. Option ``columns`` names the
 columns to give; of recordings, the header, the footer and the checks of a file are read only if a column needs them.
 
 ``path`` is a file, or a folder whose files with the extension of option ``suffix`` are taken in
@@ -36,7 +38,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
+    DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not,
     StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
 )
 
@@ -175,11 +177,13 @@ class RecordingReader(DataSourceReader):
         self.share_bytes = int(options.get("bytespershare", 4 << 30))
         self.unindexed = options.get("unindexed", "walk")
         self.keys: list[Filter] = []
-        self.times = Times()
+        self.only = frozenset(json.loads(options["keys"])) if "keys" in options else None
+        bounds = [(op, int(options[k])) for op, k in ((">=", "since_us"), ("<", "until_us")) if k in options]
+        self.times = Times(bounds if self.table in ("frames", "index") else [])
 
     def partitions(self) -> list[Part]:
         """Shares of files by their sizes, which the listing gives; no file is opened here."""
-        files = [(u, n) for u, n in list_files(self.path, self.suffix) if all(_holds(k, u) for k in self.keys)]
+        files = [(u, n) for u, n in list_files(self.path, self.suffix) if (self.only is None or u in self.only) and all(_holds(k, u) for k in self.keys)]
         if self.table == "recordings":
             return [Part(u, n) for u, n in files]
         return [Part(u, n, k, of) for u, n in files for of in [max(1, -(-n // self.share_bytes))] for k in range(of)]
@@ -249,6 +253,9 @@ class PushdownReader(RecordingReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
+            if isinstance(f, Not):
+                yield f
+                continue
             if f.attribute == ("source_key",) and isinstance(f, (EqualTo, EqualNullSafe, In, IsNotNull, StringStartsWith, StringEndsWith, StringContains)):
                 self.keys.append(f)
                 continue

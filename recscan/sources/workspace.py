@@ -243,12 +243,12 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, PROFILE)
 
 
-_MAPS = "map<string,map<string,string>>"
+_MAPS = "map<string,map<string,variant>>"
 _OVERRIDES = f"version string, updated_at string, episodes {_MAPS}, intervals {_MAPS}, labels {_MAPS}, buckets struct<renames:map<string,string>,interval_assignments:{_MAPS}>"
 
 
 def read_overrides(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Review overrides as tables: episodes, intervals, labels (id and o, the map of given fields),
+    """Review overrides as tables: episodes, intervals, labels (id and o, the map of given fields as variants),
     renames (bucket_id, canonical_task_name) and assignments (interval_id, bucket_id,
     canonical_task_name). What the file leaves out, or a missing file, gives no rows.
     """
@@ -263,7 +263,7 @@ def read_overrides(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         found[part] = raw.select(F.explode(f"r.{part}").alias(name, "o"))
     found["renames"] = raw.select(F.explode("r.buckets.renames").alias("bucket_id", "canonical_task_name"))
     moves = raw.select(F.explode("r.buckets.interval_assignments").alias("interval_id", "o"))
-    found["assignments"] = moves.select("interval_id", F.col("o")["bucket_id"].alias("bucket_id"), F.col("o")["canonical_task_name"].alias("canonical_task_name"))
+    found["assignments"] = moves.select("interval_id", *[F.try_variant_get(F.col("o")[c], "$", "string").alias(c) for c in ("bucket_id", "canonical_task_name")])
     return found
 
 

@@ -17,6 +17,17 @@ def test_inventory_and_validation_of_files(spark, tmp_path):
     inv = {r["file_name"]: r for r in jobs.inventory(rec, str(tmp_path)).collect()}
     assert inv["a.rec"]["validation_status"] == "valid" and inv["a.rec"]["fps"] == 2.0 and inv["a.rec"]["codec"] == "H264"
     assert inv["b.rec"]["validation_status"] == "invalid" and inv["b.rec"]["frame_count"] == 0
+    assert inv["a.rec"]["header_ok"] and inv["a.rec"]["footer_ok"] and inv["b.rec"]["header_ok"] and not inv["b.rec"]["footer_ok"] and inv["b.rec"]["validation_error"].startswith("footer: ")
+    assert inv["a.rec"]["index_entry_count"] is not None and inv["b.rec"]["index_entry_count"] is None and {"usb_type", "color_width", "depth_height", "rgb_codec", "depth_codec"} <= set(inv["a.rec"].asDict())
+    other = tmp_path.parent / f"{tmp_path.name}_other"
+    other.mkdir()
+    write(other / "a.rec")
+    (other / "c.rec").write_bytes(b"short")
+    more = jobs.read_recordings(spark, str(other), ".rec")
+    listed = more.filter("source_key not like '%/c.rec'").select(F.col("source_key").alias("key"), F.lit('"abc"').alias("etag"), F.timestamp_micros(F.lit(0)).alias("mtime"))
+    short = {r["file_name"]: r for r in jobs.inventory(more, objects=listed).collect()}
+    assert short["c.rec"]["validation_error"].startswith("header: ") and not short["c.rec"]["header_ok"] and short["c.rec"]["camera_serial"] is None and short["c.rec"]["etag"] is None
+    assert short["a.rec"]["etag"] == "abc" and short["a.rec"]["last_modified"].startswith("1970-01-01T00:00:00")
     assert {r["validation_status"]: r["files"] for r in jobs.inventory_summary(jobs.inventory(rec)).collect()} == {"valid": 1, "invalid": 1}
     assert jobs.stage(jobs.inventory(rec)).count() == 1 and jobs.stage(jobs.inventory(rec), include_invalid=True, limit=1).count() == 1
     checked, counts = jobs.validate(jobs.read_recordings(spark, str(tmp_path), ".rec", "index"), rec)

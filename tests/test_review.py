@@ -25,6 +25,28 @@ def test_a_field_given_as_null_applies(spark):
     assert r["short_caption"] is None and r["normalized_task_name"] == "new one"
 
 
+def test_overrides_keep_types(spark):
+    lb = spark.createDataFrame([(k, True, "Task", "cap", ["cup"], 0.5, "task") for k in "abcde"], "interval_id string, is_manipulation boolean, proposed_task_name string, short_caption string, primary_objects array<string>, confidence double, normalized_task_name string")
+    raw = [
+        ("a", '{"primary_objects": ["a", "b"], "confidence": 0.9, "note": "by hand", "updated_at": "2024-01-01"}'), ("b", '{"confidence": "0.25", "is_manipulation": "no", "primary_objects": null}'),
+        ("c", '{"confidence": "high", "primary_objects": "cup", "is_manipulation": 0}'), ("d", "{}"), ("e", "[1]"),
+    ]
+    o = spark.createDataFrame(raw, "interval_id string, raw string").select("interval_id", V.parse_overrides(F.col("raw")).alias("o"))
+    got = {r["interval_id"]: r for r in V.effective_labels(lb, o).collect()}
+    assert (got["a"]["primary_objects"], got["a"]["confidence"], got["a"]["override_note"], got["a"]["override_updated_at"]) == (["a", "b"], 0.9, "by hand", "2024-01-01")
+    assert (got["b"]["primary_objects"], got["b"]["confidence"], got["b"]["is_manipulation"], got["b"]["override_note"]) == (None, 0.25, False, None)
+    assert (got["c"]["primary_objects"], got["c"]["confidence"], got["c"]["is_manipulation"]) == (None, None, False)
+    assert all(got[k]["confidence"] == 0.5 and got[k]["primary_objects"] == ["cup"] and got[k]["normalized_task_name"] == "task" for k in "de")
+    e = spark.createDataFrame([("a", "valid", "review"), ("b", "valid", "review"), ("c", "invalid", "invalid"), ("d", "valid", "keep")], "episode_id string, validation_status string, episode_status string")
+    said = spark.createDataFrame([("a", '{"episode_status": "keep", "note": "x"}'), ("b", '{"episode_status": null}'), ("c", '{"episode_status": "keep", "note": "x"}'), ("d", '{"note": 7}')], "episode_id string, raw string")
+    ee = V.effective_episodes(e, said.select("episode_id", V.parse_overrides(F.col("raw")).alias("o")))
+    assert sorted(ee.select("episode_id", "effective_episode_status", "override_note").collect()) == [("a", "keep", "x"), ("b", None, None), ("c", "invalid", None), ("d", "keep", "7")]
+    i = spark.createDataFrame([("a", 0.0, 10.0), ("b", 0.0, 10.0)], "interval_id string, start_s double, end_s double")
+    trims = spark.createDataFrame([("a", '{"trim_start_s": "2.5", "trim_end_s": 8}'), ("b", '{"trim_start_s": [1], "decision": null}')], "interval_id string, raw string")
+    ei = V.effective_intervals(i, trims.select("interval_id", V.parse_overrides(F.col("raw")).alias("o")))
+    assert sorted(ei.select("interval_id", "effective_start_s", "effective_end_s", "effective_interval_decision").collect()) == [("a", 2.5, 8.0, "keep"), ("b", 0.0, 10.0, "keep")]
+
+
 def test_active_rows(spark):
     e = spark.createDataFrame([("s1", "keep"), ("s2", "reject")], "source_key string, effective_episode_status string")
     i = spark.createDataFrame([("int_keep", "s1", "keep"), ("x", "s1", "reject"), ("y", "s2", "keep"), ("unknown", "s9", None)], "interval_id string, source_key string, effective_interval_decision string")

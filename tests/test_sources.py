@@ -150,13 +150,41 @@ def test_pushed_filters_give_what_spark_would(spark, tmp_path):
     for i, name in enumerate(("a", "b", "c")):
         write(tmp_path / f"{name}.rec", n=20 + i, footer=name != "b")
     for table in ("frames", "index", "recordings", "imu"):
-        read = jobs.read_recordings(spark, str(tmp_path), ".rec", table)
+        read = jobs.read_recordings(spark, str(tmp_path), ".rec", table, pushdown=True)
         rows = read.collect()
         for where in ("source_key like '%a.rec'", f"source_key in ('{tmp_path}/b.rec', 'q')", f"source_key = '{tmp_path}/c.rec' and source_key <> 'z'", *(["timestamp_us >= 5000 and timestamp_us < 9000 and source_key like '%b%'"] * (table != "recordings"))):
             got = read.filter(where)
             want = spark.createDataFrame(rows, read.schema).filter(where).collect()
             assert sorted(map(str, got.collect())) == sorted(map(str, want)), (table, where)
-    assert jobs.read_recordings(spark, str(tmp_path), ".rec", "frames").filter(f"source_key = '{tmp_path}/c.rec'").rdd.getNumPartitions() == 1
+            negated = jobs.read_recordings(spark, str(tmp_path), ".rec", table, pushdown=True).filter(f"not ({where})")
+            want = spark.createDataFrame(rows, read.schema).filter(f"not ({where})").collect()
+            assert sorted(map(str, negated.collect())) == sorted(map(str, want)), (table, where)
+    assert jobs.read_recordings(spark, str(tmp_path), ".rec", "frames", pushdown=True).filter(f"source_key = '{tmp_path}/c.rec'").rdd.getNumPartitions() == 1
+
+
+def test_one_reading_serves_many_filters(spark, opened, tmp_path):
+    for i, name in enumerate(("a", "b", "c")):
+        write(tmp_path / f"{name}.rec", n=20 + i, footer=name != "b")
+    key = lambda name: f"{tmp_path}/{name}.rec"
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for table in ("recordings", "frames", "index", "imu"):
+        read = jobs.read_recordings(spark, str(tmp_path), ".rec", table).select("source_key")
+        rows = [r[0] for r in read.collect()]
+        a, c = read.filter(F.col("source_key") == key("a")), read.filter(F.endswith("source_key", F.lit("c.rec")))
+        assert sorted(r[0] for r in a.unionByName(c).collect()) == sorted(k for k in rows if k in (key("a"), key("c")))
+        assert read.filter(f"source_key = '{key('a')}'").count() == rows.count(key("a")) and read.count() == len(rows)
+        mine = jobs.read_recordings(spark, str(tmp_path), ".rec", table, keys=[key("c"), "none"], columns=["source_key"])
+        assert [r[0] for r in mine.collect()] == [k for k in rows if k == key("c")] and mine.rdd.getNumPartitions() == 1
+        if table != "recordings":
+            times = jobs.read_recordings(spark, str(tmp_path), ".rec", table).filter("timestamp_us >= 5000 and timestamp_us < 9000").select("source_key").collect()
+            assert jobs.read_recordings(spark, str(tmp_path), ".rec", table, columns=["source_key"], since_us=5000, until_us=9000).collect() == times
+    assert jobs.read_recordings(spark, str(tmp_path), ".rec", "frames", share_bytes=500, keys=[key("b")], since_us=5000).filter("timestamp_us < 5000 or source_key like '%a.rec'").count() == 0
+    files, told = opened
+    files.clear(), told.clear()
+    got, _ = rows_here(R.RecordingReader, tmp_path, table="frames", keys=json.dumps([key("a")]), since_us="4000", until_us="7000")
+    assert [r[3] for r in got] == [4000, 5000, 6000] and len(files) == 1 and told.count(R.FRAME.size) == 3 + 1
+    with pytest.raises(ValueError):
+        jobs.read_recordings(spark, str(tmp_path), ".rec", since_us=1)
 
 
 def tricky(path, rng, n=60, cut=0, broken=False):
@@ -269,7 +297,7 @@ def test_files_are_validated(spark, source, tmp_path):
     assert got["cut"]["valid"] and got["cut"]["warnings"] == ["no valid footer \u2014 file may be truncated"] and got["good"]["valid"] and not got["good"]["warnings"]
     assert counts.first()["passed"] == 2 and counts.first()["failed"] == 8
     status = {r["file_name"]: r["validation_error"] for r in jobs.inventory(rec).collect()}
-    assert status["magic.rec"].startswith("bad magic bytes") and status["good.rec"] is None
+    assert status["magic.rec"].startswith("header: bad magic bytes") and status["good.rec"] is None
     assert spark.read.format("recording").options(table="recordings", suffix=".rec").load(str(tmp_path)).filter("source_key like '%/magic.rec' and header_error is null").count() == 1
 
 
@@ -393,7 +421,7 @@ def test_workspace_files(spark, tmp_path):
     assert W.read_profiles(spark, str(tmp_path / "p")).collect() == p.collect() and W.read_profiles(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "o.json").write_text(json.dumps({"episodes": {"e1": {"episode_status": "keep", "note": None}}, "buckets": {"renames": {"b": "n"}, "interval_assignments": {"i": {"bucket_id": "b"}}}}))
     o = W.read_overrides(spark, str(tmp_path / "o.json"))
-    assert o["episodes"].first()["o"] == {"episode_status": "keep", "note": None} and o["intervals"].count() == 0 and o["renames"].first()[:] == ("b", "n") and o["assignments"].first()[:] == ("i", "b", None)
+    assert {k: v.toPython() for k, v in o["episodes"].first()["o"].items()} == {"episode_status": "keep", "note": None} and o["intervals"].count() == 0 and o["renames"].first()[:] == ("b", "n") and o["assignments"].first()[:] == ("i", "b", None)
     assert all(df.count() == 0 for df in W.read_overrides(spark, str(tmp_path / "none.json")).values())
     (tmp_path / "u.json").write_text(json.dumps({"version": 1, "uploads": [{"filename": "a", "attempts": 2, "success": False}]}))
     (tmp_path / "bad.json").write_text("{")
