@@ -49,3 +49,15 @@ def test_split_spans_cover_what_they_split(spark, sf):
         total[r["source_key"]] = total.get(r["source_key"], 0) + r["end_s"] - r["start_s"]
     whole = {r["source_key"]: r["end_s"] for r in QUERIES["split_points"](spark, sf).collect()}
     assert {k: round(v, 3) for k, v in total.items()} == {k: round(v, 3) for k, v in whole.items()}
+
+
+def test_merge_spans_sql_leaves_equal_spans_to_no_chance(spark, tmp_path):
+    """Recordings with many spans that begin and end alike: the SQL's windows once ordered them each on its own."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE supplier AS SELECT range AS s_suppkey FROM range(30000)")
+    con.execute("CREATE TABLE part AS SELECT range % 20000 + range // 20000 * 20000 AS p_partkey, (range % 20000 * 7 % 50 + 1)::INTEGER AS p_size FROM range(600000)")
+    for t in ("supplier", "part"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["merge_spans"](spark, str(tmp_path)).select("source_key", "start_s", "end_s").collect())
+    for _ in range(3):
+        assert sorted(con.execute(f"SELECT source_key, start_s, end_s FROM ({SQL['merge_spans']})").fetchall()) == got
