@@ -141,6 +141,22 @@ def test_similar_pairs_skip_blocks_and_lose_nothing(spark, threshold):
     assert L.similar_pairs(df.limit(0), threshold).count() == 0
 
 
+@pytest.mark.parametrize("tile_bytes", [4_000, 16_000_000])
+def test_similar_links_join_up_what_similar_pairs_do(spark, tile_bytes, monkeypatch):
+    monkeypatch.setattr(L, "TILE_BYTES", tile_bytes)
+    rng = np.random.default_rng(3)
+    v = np.vstack([clustered(rng), np.tile(rng.normal(size=16), (60, 1))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "vec_id long, embedding array<double>")
+    pairs, links = L.similar_pairs(df, 0.9, block=50), L.similar_links(df, 0.9, block=50)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)))}
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == sorted(want)
+    joined = lambda e: {r["node"]: r["component"] for r in components.connected_components(e).collect()}
+    # copies and clusters make pairs by the square of their size, links by their size for each pair of tiles
+    assert joined(links) == joined(pairs) and links.count() < len(want) / 2
+    assert L.similar_links(df.limit(0), 0.9).count() == 0
+
+
 def test_recall_of_lsh_pairs(spark):
     v = clustered(np.random.default_rng(2), n=800, d=32, k=40)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
