@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from recscan.operators import activity as A
 from recscan.operators import catalog as C
 from recscan.operators import ranks
 from recscan.plans import curation_queries, jobs
@@ -141,3 +142,20 @@ def test_cluster_by_vectors(spark):
     assert got == {"bucket_000": ("name 0", 3), "bucket_001": ("name 1", 1), "bucket_non_manipulation": ("non_manipulation", 1)}
     assert m.count() == 5 and [r["identifier"] for r in review.collect()] == ["bucket_001"]
     assert jobs.publish_keys(spark.createDataFrame([("a/b.jsonl",)], "relative string"), "/p/").first()[:] == ("a/b.jsonl", "p/a/b.jsonl", "application/x-ndjson")
+
+
+def test_frames_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    """Twice the frames go to twice the tasks, so that a task sorts as many as before; each recording stays in one."""
+    from recscan import scratch
+
+    monkeypatch.setattr(scratch, "TASK_BYTES", 2_000)
+    tasks = {}
+    for n in (40, 80):
+        path = str(tmp_path / str(n))
+        spark.range(n * 300).selectExpr("concat('r', id div 300) source_key", "id % 300 idx", "20000 + (id * 7919) % 9001 rgb_size", "9000 + (id * 104729) % 4001 depth_size").coalesce(1).write.parquet(path)
+        masked = A.activity_masks(spark.read.parquet(path)).select("source_key", "depth_active", F.spark_partition_id().alias("task"))
+        tasks[n] = masked.select("task").distinct().count()
+        assert masked.count() == n * 300 and masked.groupBy("source_key").agg(F.countDistinct("task").alias("k")).agg(F.max("k")).first()[0] == 1
+    assert tasks[40] > 10 and tasks[80] > 1.3 * tasks[40]
+    # a source that does not tell its size
+    assert scratch.dealt(spark.createDataFrame([("a", 1)], "source_key string, x int"), "source_key").count() == 1
